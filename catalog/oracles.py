@@ -233,3 +233,168 @@ SELECT doc_id, d.section, CASE WHEN a.section IS NOT NULL AND b.section IS NOT N
 FROM papers p CROSS JOIN section_dim d
 LEFT JOIN (SELECT * FROM keyword_sections WHERE text <> '') a USING (doc_id, section)
 LEFT JOIN (SELECT * FROM map_sections WHERE text <> '') b USING (doc_id, section)"""
+
+# --- compression -------------------------------------------------------------
+
+RE2_NUMBER_LIST = uni(r"\[\d+(?:[,;\s–\-]+\d+)*\]")
+RE2_AUTHOR_YEAR = uni(r"\(\w[\w\s,.&]+,?\s+\d{4}[a-z]?\)")
+RE2_BRACED_CARET = uni(r"(^|[^\w])\^\{\d+(?:,\d+)*\}")
+RE2_PLAIN_CARET = uni(r"(^|[^\w])\^[\d,]+")
+
+
+def normalize_ws(x: str) -> str:
+    x = f"replace(replace({x}, chr(12), chr(10)), chr(65279), '')"
+    x = sub(sub(x, r"\r\n|\r", "\n"), r"[ \t]{2,}", " ")
+    return strip(sub(x, r"\n{3,}", "\n\n"))
+
+
+def mask_urls(x: str) -> str:
+    return sub(x, uni(r"https?://\S+"), "[URL]")
+
+
+def strip_citations(x: str) -> str:
+    x = sub(sub(x, RE2_NUMBER_LIST), RE2_AUTHOR_YEAR)
+    x = sub(x, r"[\x{b9}\x{b2}\x{b3}\x{2074}-\x{2079}]+")
+    x = sub(sub(x, RE2_BRACED_CARET, r"\1"), RE2_PLAIN_CARET, r"\1")
+    return sub(sub(x, uni(r"\[\s*\]")), uni(r"\(\s*\)"))
+
+
+def strip_boilerplate(x: str, evidence: bool) -> str:
+    for pattern in C.BOILERPLATE_PATTERNS + (C.EVIDENCE_PATTERNS if evidence else []):
+        x = sub(x, uni(pattern + r"[,]?\s*"), " ")
+    x = sub(x, " {2,}", " ")
+    return f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: {strip('l')}), chr(10))"
+
+
+def drop_formula(x: str, aggressive: bool = False) -> str:
+    letters = "length(regexp_replace(l, '[^\\p{L}]+', '', 'g'))"
+    if aggressive:
+        keep = f"length({strip('l')}) < 5 OR {letters} / length({strip('l')}) >= 0.4"
+    else:
+        keep = f"{strip('l')} = '' OR regexp_matches(l, '\\p{{L}}')"
+    return f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: {keep}), chr(10))"
+
+
+def sentence_split(x: str) -> str:
+    marked = f"regexp_replace({x}, {q(uni(r'([.!?])' + chr(92) + 's+'))}, concat('\\1', chr(1)), 'g')"
+    return f"string_split({marked}, chr(1))"
+
+
+def dedup_ctes(prefix: str, source: str, keys: str, col: str) -> None:
+    """Sentence de-duplication of ``col`` per ``keys`` as sub-queries prefix_a, prefix_b."""
+    key = sub(f"lower({strip('sent')})", uni(r"\s+"), " ")
+    CTES[f"{prefix}_a"] = (
+        f"SELECT {keys}, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sent FROM "
+        f"(SELECT {keys}, {sentence_split(col)} AS ss FROM {source})")
+    CTES[f"{prefix}_b"] = f"""
+SELECT {keys}, string_agg(sent, ' ' ORDER BY pos) AS dd FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys}, k ORDER BY pos) AS rn FROM (SELECT *, {key} AS k FROM {prefix}_a))
+WHERE length(k) <= 10 OR rn = 1 GROUP BY {keys}"""
+
+
+ORACLES["c1_normalize_ws"] = f"SELECT doc_id, {normalize_ws('text')} AS out FROM papers"
+ORACLES["c2_mask_urls"] = f"SELECT doc_id, {mask_urls('text')} AS out FROM papers"
+ORACLES["c2_mask_urls_pages"] = "SELECT page_id, " + mask_urls("concat_ws(' ', url, html)") + " AS out FROM pages"
+ORACLES["c3_strip_citations"] = f"SELECT doc_id, {strip_citations('text')} AS out FROM papers"
+ORACLES["c4_strip_boilerplate"] = f"SELECT doc_id, {strip_boilerplate('text', False)} AS out FROM papers"
+ORACLES["c5_strip_boilerplate_evidence"] = f"SELECT doc_id, {strip_boilerplate('text', True)} AS out FROM papers"
+dedup_ctes("raw_dedup", "documents", "doc_id", "text")
+ORACLES["c6_dedup_sentences"] = "SELECT doc_id, dd AS out FROM raw_dedup_b"
+ORACLES["c7_drop_formula_lines"] = (
+    f"SELECT doc_id, {drop_formula('text')} AS light, {drop_formula('text', True)} AS aggressive FROM papers")
+
+CTES["comp_a"] = (
+    f"SELECT doc_id, section, text, n, {drop_formula(strip_citations(mask_urls('n')))} AS s1 FROM "
+    f"(SELECT doc_id, section, text, {normalize_ws('text')} AS n FROM sections)")
+CTES["comp_b"] = f"""
+SELECT doc_id, section, CASE WHEN section = 'results' THEN s1 WHEN section = 'discussion' THEN {strip_boilerplate('s1', False)}
+  ELSE {strip_boilerplate('s1', True)} END AS pre
+FROM comp_a WHERE section IN ('results', 'discussion', 'introduction', 'related_work')"""
+dedup_ctes("comp_dedup", "comp_b", "doc_id, section", "pre")
+CTES["compressed"] = f"""
+SELECT a.doc_id, a.section, a.text, CASE WHEN a.section = 'references' THEN a.text
+  WHEN a.section IN ('abstract', 'methodology', 'conclusion') THEN n ELSE {normalize_ws('dd')} END AS compressed
+FROM comp_a a LEFT JOIN comp_dedup_b d ON a.doc_id = d.doc_id AND a.section = d.section"""
+
+
+def round_py(x: str, digits: int = 1) -> str:
+    """printf rounds the exact binary value, ties to even."""
+    return f"CAST(printf('%.{digits}f', {x}) AS DOUBLE)"
+
+
+def pct(o: str, c: str) -> str:
+    return f"CASE WHEN {o} > 0 THEN {round_py(f'(1.0::DOUBLE - {c}::DOUBLE / {o}) * 100.0::DOUBLE')} ELSE 0.0::DOUBLE END"
+
+
+CTES["comp_stats"] = f"""
+SELECT CASE g WHEN 0 THEN 'section' WHEN 1 THEN 'paper' ELSE 'corpus' END AS level, doc_id, section,
+  CAST(o AS BIGINT) AS original, CAST(c AS BIGINT) AS compressed, {pct('o', 'c')} AS pct
+FROM (SELECT grouping(doc_id, section) AS g, doc_id, section, sum(length(text)) AS o, sum(length(compressed)) AS c
+      FROM compressed WHERE section <> 'references' GROUP BY ROLLUP(doc_id, section))"""
+ORACLES["c8_compress_sections"] = "SELECT doc_id, section, compressed FROM compressed"
+ORACLES["c9_compression_stats"] = "SELECT * FROM comp_stats"
+ORACLES["c10_compression_report"] = f"""
+SELECT *, pct >= 20.0 AS meets_threshold FROM (
+  SELECT papers, original, compressed, grew, {pct('original', 'compressed')} AS pct FROM (
+    SELECT count(DISTINCT doc_id) AS papers, CAST(sum(original) AS BIGINT) AS original,
+      CAST(sum(compressed) AS BIGINT) AS compressed, count(*) FILTER (compressed > original) AS grew
+    FROM comp_stats WHERE level = 'section'))"""
+
+# --- prompts -----------------------------------------------------------------
+
+RE2_CAPTION = (
+    r"(?im)(?:^|\n)[ \t]*(?:\*{0,2})(?:Figure|Fig\.?|Table|Tbl\.|Scheme|Chart)" + uni(r"[ \t]+\d+[.:)]?")
+    + r"(?:\*{0,2})[ \t]*([^\n]{15,300})")
+CTES["sent_texts"] = """
+SELECT c.doc_id, d.ord, c.section, CASE WHEN c.section = 'methodology' THEN c.text ELSE c.compressed END AS t
+FROM compressed c JOIN section_dim d USING (section)"""
+CTES["caption_rows"] = f"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, seq) - 1 AS pos, cap FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, substr(lower(cap), 1, 60) ORDER BY ord, seq) AS rn FROM (
+    SELECT doc_id, ord, seq, rtrim({strip('raw')}, '.') AS cap FROM (
+      SELECT doc_id, ord, unnest(range(0, len(caps))) AS seq, unnest(caps) AS raw FROM (
+        SELECT doc_id, ord, regexp_extract_all(t, {q(RE2_CAPTION)}, 1) AS caps FROM sent_texts)))
+  WHERE length(cap) >= 15)
+WHERE rn = 1"""
+
+
+def smart_truncate(x: str, limit: str) -> str:
+    window = f"substr({x}, 1, {limit})"
+    sentence = f"regexp_extract({window}, {q(uni('(?s)^(.*[.!?]' + chr(92) + 's)'))}, 1)"
+    last_space = f"(length({window}) - instr(reverse({window}), ' '))"
+    ws = q(WS_CHARS)
+    return (f"(CASE WHEN length({x}) <= {limit} THEN {x} ELSE concat(CASE WHEN {sentence} <> '' THEN rtrim({sentence}, {ws}) "
+            f"WHEN contains({window}, ' ') AND {last_space} > {limit} // 2 THEN rtrim(substr({window}, 1, {last_space}), {ws}) "
+            f"ELSE {window} END, {q(C.TRUNCATION_MARK)}) END)")
+
+
+LIMITS = ", ".join(f"({q(k)}, {q(label)}, {n})" for k, label, n in C.PROMPT_SECTIONS)
+CTES["prompt_dim"] = f"SELECT * FROM (VALUES {LIMITS}) AS t(section, label, lim)"
+CTES["prompt_body"] = f"""
+SELECT p.doc_id, substr(CASE WHEN coalesce(size, 0) < {C.PROMPT_MIN_CHARS} THEN coalesce(raw, '') ELSE joined END, 1, {C.PROMPT_MAX_CHARS}) AS body
+FROM papers p
+LEFT JOIN (SELECT doc_id, string_agg(concat('[', label, ']', chr(10), chunk), chr(10) || chr(10) ORDER BY ord) AS joined,
+             sum(length(chunk) + length(label) + 3) AS size
+           FROM (SELECT doc_id, ord, label, {smart_truncate(strip('t'), 'lim')} AS chunk
+                 FROM sent_texts JOIN prompt_dim USING (section) WHERE {strip('t')} <> '') GROUP BY doc_id) j USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(t, ' ' ORDER BY ord) AS raw FROM sent_texts WHERE {strip('t')} <> '' GROUP BY doc_id) r USING (doc_id)"""
+CTES["prompts"] = f"""
+SELECT doc_id, CASE WHEN {strip('body')} = '' THEN '' WHEN block IS NULL THEN body
+  ELSE substr(concat(body, chr(10), chr(10), {q(C.CAPTION_HEADER)}, chr(10), block), 1, {C.PROMPT_MAX_CHARS}) END AS prompt
+FROM prompt_body LEFT JOIN (SELECT doc_id, string_agg('- ' || cap, chr(10) ORDER BY pos) AS block
+  FROM caption_rows WHERE pos < {C.MAX_CAPTIONS} GROUP BY doc_id) USING (doc_id)"""
+ORACLES["p1_captions"] = f"SELECT doc_id, pos, cap AS caption FROM caption_rows WHERE pos < {C.MAX_CAPTIONS}"
+ORACLES["p2_smart_truncate"] = (
+    f"SELECT doc_id, {smart_truncate('text', '700')} AS cut_700, {smart_truncate('text', '40')} AS cut_40 FROM documents")
+ORACLES["p3_assemble_prompt"] = "SELECT doc_id, prompt FROM prompts"
+BUDGET = "CASE section " + " ".join(f"WHEN {q(k)} THEN {n}" for k, n in C.BUDGET_LIMITS) + " ELSE 0 END"
+ORACLES["p4_token_budget"] = f"""
+SELECT CASE g WHEN 0 THEN 'section' WHEN 1 THEN 'paper' ELSE 'corpus' END AS level, doc_id, section,
+  CAST(c AS BIGINT) AS chars, CAST(s AS BIGINT) AS sent, CAST(c // 4 AS BIGINT) AS tokens,
+  {round_py('s::DOUBLE / c * 100.0::DOUBLE')} AS share,
+  CASE WHEN g = 1 THEN CAST({C.TOKENS_PER_MINUTE} // ((s + {C.PROMPT_OVERHEAD_CHARS}) // 4) AS BIGINT) END AS papers_per_minute
+FROM (SELECT grouping(doc_id, section) AS g, doc_id, section, sum(length(text)) AS c, sum(least(length(text), {BUDGET})) AS s
+      FROM sections GROUP BY ROLLUP(doc_id, section))"""
+ORACLES["s8_content_key"] = """
+SELECT doc_id, substr(sha256(text), 1, 16) AS content_key, 'hmap_' || substr(sha256(coalesce(hs, '')), 1, 12) AS heading_key
+FROM papers LEFT JOIN (SELECT doc_id, string_agg(heading, '|' ORDER BY pos) AS hs FROM candidates GROUP BY doc_id) USING (doc_id)"""

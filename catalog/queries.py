@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholium.functions import compression as CF
 from scholium.functions import headings as H
+from scholium.functions import prompts as PF
+from scholium.functions import sections as SECF
+from scholium.operators import compression as COMP
+from scholium.operators import prompts as PR
 from scholium.operators import sections as SEC
 from scholium.sources import derived
 from scholium.sources.readers import spread
@@ -153,5 +158,111 @@ def l15_compare_extractions(spark, sf_dir):
     return SEC.compare_extractions(SEC.keyword_sections(p), SEC.segment_by_map(p, heading_map(spark, sf_dir)))
 
 
+def long_detected(spark, sf_dir):
+    return SEC.long_sections(detected(spark, sf_dir)).select("doc_id", "section", "text")
+
+
+def compressed(spark, sf_dir):
+    return COMP.compress_sections(long_detected(spark, sf_dir))
+
+
+def with_texts(spark, sf_dir):
+    return COMP.compressed_texts(detected(spark, sf_dir))
+
+
+# --- compression -------------------------------------------------------------
+
+@query
+def c1_normalize_ws(spark, sf_dir):
+    return papers(spark, sf_dir).select("doc_id", CF.normalize_ws(F.col("text")).alias("out"))
+
+
+@query
+def c2_mask_urls(spark, sf_dir):
+    return papers(spark, sf_dir).select("doc_id", CF.mask_urls(F.col("text")).alias("out"))
+
+
+@query
+def c2_mask_urls_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", CF.mask_urls(F.concat_ws(" ", "url", "html")).alias("out"))
+
+
+@query
+def c3_strip_citations(spark, sf_dir):
+    return papers(spark, sf_dir).select("doc_id", CF.strip_citations(F.col("text")).alias("out"))
+
+
+@query
+def c4_strip_boilerplate(spark, sf_dir):
+    return papers(spark, sf_dir).select(
+        "doc_id", CF.strip_boilerplate(F.col("text"), evidence=False).alias("out"))
+
+
+@query
+def c5_strip_boilerplate_evidence(spark, sf_dir):
+    return papers(spark, sf_dir).select(
+        "doc_id", CF.strip_boilerplate(F.col("text"), evidence=True).alias("out"))
+
+
+@query
+def c6_dedup_sentences(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", CF.dedup_sentences(F.col("text")).alias("out"))
+
+
+@query
+def c7_drop_formula_lines(spark, sf_dir):
+    return papers(spark, sf_dir).select(
+        "doc_id", CF.drop_formula_lines(F.col("text")).alias("light"),
+        CF.drop_formula_lines(F.col("text"), aggressive=True).alias("aggressive"))
+
+
+@query
+def c8_compress_sections(spark, sf_dir):
+    return compressed(spark, sf_dir).select("doc_id", "section", "compressed")
+
+
+@query
+def c9_compression_stats(spark, sf_dir):
+    return COMP.compression_stats(compressed(spark, sf_dir))
+
+
+@query
+def c10_compression_report(spark, sf_dir):
+    return COMP.compression_report(COMP.compression_stats(compressed(spark, sf_dir)))
+
+
+# --- prompts -----------------------------------------------------------------
+
+@query
+def p1_captions(spark, sf_dir):
+    return PR.captions(with_texts(spark, sf_dir))
+
+
+@query
+def p2_smart_truncate(spark, sf_dir):
+    return documents(spark, sf_dir).select(
+        "doc_id", PF.smart_truncate(F.col("text"), 700).alias("cut_700"),
+        PF.smart_truncate(F.col("text"), 40).alias("cut_40"))
+
+
+@query
+def p3_assemble_prompt(spark, sf_dir):
+    return PR.assemble_prompt(with_texts(spark, sf_dir)).select("doc_id", "prompt")
+
+
+@query
+def p4_token_budget(spark, sf_dir):
+    return PR.token_budget(long_detected(spark, sf_dir))
+
+
+@query
+def s8_content_key(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return p.select(
+        "doc_id", PF.content_key(F.col("text")).alias("content_key"),
+        PF.heading_list_key(SECF.candidate_headings(F.col("text"))).alias("heading_key"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["l11_section_confidence"](spark, sf_dir)

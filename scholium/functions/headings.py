@@ -53,10 +53,7 @@ def is_heading(line: Column) -> Column:
 
 
 def _any_of(col: Column, words: list[str]) -> Column:
-    hit = F.contains(col, F.lit(words[0]))
-    for w in words[1:]:
-        hit = hit | F.contains(col, F.lit(w))
-    return hit
+    return has(col, "|".join(words))
 
 
 def has_stop_word(clean: Column) -> Column:

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 2_000_000
 MAX_HOT_KEYS = 10_000
+BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``max_rows`` rows; reads no more than that."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def lookup_join(
@@ -16,16 +22,19 @@ def lookup_join(
     how: str = "left",
     rows_per_slice: int = ROWS_PER_SLICE,
     counts: DataFrame | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """``rows`` joined to ``dim`` (unique on ``key``) without a hot partition.
 
-    A key is hot when it has more than ``rows_per_slice`` rows and more than 1/MAX_HOT_KEYS of
+    With ``small`` (the caller checked :func:`is_small`) ``dim`` is broadcast. Otherwise a key is hot when it has more than ``rows_per_slice`` rows and more than 1/MAX_HOT_KEYS of
     all rows, so there are never more than MAX_HOT_KEYS hot keys and their list may be
     broadcast at any scale. Rows of a hot key are spread over slices by hash, and its one
     dimension row is repeated per slice. Counting combines on the map side. ``counts``
     (key, n) may be given when the caller has them already.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if small:
+        return rows.join(F.broadcast(dim), keys, how)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     share = counts.select(F.coalesce(F.sum("n"), F.lit(0)) / MAX_HOT_KEYS).scalar()

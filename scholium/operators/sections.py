@@ -18,7 +18,7 @@ from scholium.functions import headings as H
 from scholium.functions import sections as S
 from scholium.functions.text import is_upper, let, split_lines, strip
 from scholium.operators.frames import pin
-from scholium.operators.lookup import lookup_join
+from scholium.operators.lookup import is_small, lookup_join
 
 
 def explode_lines(papers: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def candidate_headings(papers: DataFrame) -> DataFrame:
     ).where(F.col("pos").isNotNull())
 
 
-def heading_mappings(papers: DataFrame, heading_map: DataFrame) -> DataFrame:
+def map_headings(headings: DataFrame, heading_map: DataFrame) -> DataFrame:
     """Per document the mapped candidate headings, in document order: (doc_id, mapping).
 
     Only short heading strings are shuffled; at most forty per document come back.
@@ -90,14 +90,14 @@ def heading_mappings(papers: DataFrame, heading_map: DataFrame) -> DataFrame:
         heading_map.where(F.col("section").isin(VALID_MAP_KEYS))
         .groupBy("heading").agg(F.max("section").alias("section"))
     )
-    found = lookup_join(candidate_headings(papers), valid, "heading", how="inner")
+    found = lookup_join(headings, valid, "heading", how="inner", small=is_small(heading_map))
     entry = F.struct("pos", H.clean_heading(F.col("heading")).alias("clean"), "section")
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("mapping"))
 
 
 def segment_by_map(papers: DataFrame, heading_map: DataFrame) -> DataFrame:
     """Segmentation by the heading map; documents without a mapped heading have no sections."""
-    mapped = papers.join(heading_mappings(papers, heading_map), "doc_id")
+    mapped = papers.join(map_headings(candidate_headings(papers), heading_map), "doc_id")
     return pin(mapped, sections=S.map_sections(F.col("text"), F.col("mapping"))).drop("mapping")
 
 
@@ -118,11 +118,16 @@ def merge_tiers(tier1: DataFrame, tier2: DataFrame) -> DataFrame:
     )
 
 
-def detect_sections(papers: DataFrame, heading_map: DataFrame | None = None) -> DataFrame:
-    """Two-tier detection. Only the texts of sparse documents take part in the map join."""
+def detect_sections(papers: DataFrame, heading_map: DataFrame | None = None, cut=None) -> DataFrame:
+    """Two-tier detection. Only the texts of sparse documents take part in the map join.
+
+    ``cut`` may materialise the keyword result (a checkpoint, say), which is read three times.
+    """
     tier1 = segment_sections(papers)
     if heading_map is None:
         return tier1
+    if cut is not None:
+        tier1 = cut(tier1)
     sparse = S.found_count(F.col("sections")) < TIER2_MIN_SECTIONS
     few = tier1.where(sparse)
     tier2 = segment_by_map(few.select("doc_id", "text"), heading_map)
@@ -224,7 +229,7 @@ def compare_extractions(a: DataFrame, b: DataFrame) -> DataFrame:
 
 __all__ = [
     "candidate_headings", "compare_extractions", "detect_sections", "explode_lines",
-    "fallback_scan", "heading_mappings", "heading_profile", "keyword_sections", "let",
+    "fallback_scan", "map_headings", "heading_profile", "keyword_sections", "let",
     "line_events", "long_sections", "merge_tiers", "section_confidence", "section_profile",
     "section_warnings", "segment_by_map", "segment_sections", "warning_list",
     "with_confidence",

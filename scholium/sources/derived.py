@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from scholium.sources.readers import spread
+from scholium.sources.shared import materialize
 
 NL = "chr(10)"
 
@@ -267,16 +267,16 @@ def load(
 ) -> DataFrame:
     """A derived table in Spark; only the named given tables are read.
 
-    The derivation is test input, not part of any operator, so each derived table is built once
-    per session and kept (memory, then disk): its long expressions would otherwise be planned
-    and run again inside every query. Lost blocks are rebuilt from the given tables.
+    The derivation is test input, not part of any operator, so each derived table is written
+    once per session to the shared folder: its long expressions would otherwise be planned and
+    run again inside every query.
     """
     key = (spark.sparkContext.applicationId, sf_dir, sql.__name__)
     if key not in _TABLES:
         df = _load(spark, sf_dir, sql, tables)
         if spread_key:
             df = spread(df, spread_key)
-        _TABLES[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _TABLES[key] = materialize(df)
     return _TABLES[key]
 
 
