@@ -398,3 +398,288 @@ FROM (SELECT grouping(doc_id, section) AS g, doc_id, section, sum(length(text))
 ORACLES["s8_content_key"] = """
 SELECT doc_id, substr(sha256(text), 1, 16) AS content_key, 'hmap_' || substr(sha256(coalesce(hs, '')), 1, 12) AS heading_key
 FROM papers LEFT JOIN (SELECT doc_id, string_agg(heading, '|' ORDER BY pos) AS hs FROM candidates GROUP BY doc_id) USING (doc_id)"""
+
+# --- references --------------------------------------------------------------
+
+from scholium.functions import references as RF  # noqa: E402
+
+NOW = 2024
+ARXIV = RF.ARXIV.replace("(?iu)", "(?i)")
+DOI_LABELLED = RF.DOI_LABELLED.replace("(?iu)", "(?i)")
+DOI_STANDALONE = RF.DOI_STANDALONE.replace("(?iu)", "(?i)").replace(uni(r"(?<!\w)"), uni(r"(?:^|[^\w])"))
+YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
+
+CTES["works"] = D.works_sql(DD)
+CTES["preprints"] = D.preprints_sql(DD)
+CTES["lookup_log"] = D.lookup_log_sql(DD)
+CTES["links"] = D.links_sql(DD)
+CTES["refs"] = """SELECT p.doc_id, p.text AS full_text, coalesce(s.text, '') AS refs
+FROM papers p LEFT JOIN sections1 s ON s.doc_id = p.doc_id AND s.section = 'references'"""
+
+
+def lines_cte(source: str, col: str) -> str:
+    return f"""SELECT doc_id, seq AS line_no, line, {strip('line')} AS s FROM (
+  SELECT doc_id, unnest(range(0, len(ls))) AS seq, unnest(ls) AS line FROM (SELECT doc_id, {split_lines(col)} AS ls FROM {source}))"""
+
+
+CTES["ref_all_lines"] = lines_cte("refs", "refs")
+CTES["ref_lines"] = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos, s AS line
+FROM ref_all_lines WHERE length(s) > 20"""
+
+
+def peel(x: str, opening: str, closing: str) -> str:
+    opens, closes = f"(length({x}) - length(replace({x}, '{opening}', '')))", f"(length({x}) - length(replace({x}, '{closing}', '')))"
+    run = f"(length({x}) - length(rtrim({x}, '{closing}')))"
+    return f"substr({x}, 1, length({x}) - least({run}, greatest({closes} - {opens}, 0)))"
+
+
+CTES["doi_raw"] = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, unnest(range(0, len(m))) AS n, unnest(m) AS raw FROM (SELECT doc_id, regexp_extract_all(refs, {q(pat)}, 1) AS m FROM refs)"
+    for k, pat in enumerate([DOI_LABELLED, DOI_STANDALONE]))
+CTES["text_dois"] = f"""
+SELECT doc_id, pos, doi FROM (
+  SELECT doc_id, doi, row_number() OVER (PARTITION BY doc_id ORDER BY kind, n) - 1 AS pos FROM (
+    SELECT doc_id, doi, kind, n, row_number() OVER (PARTITION BY doc_id, doi ORDER BY kind, n) AS rn FROM (
+      SELECT doc_id, kind, n, {peel('y', '[', ']')} AS doi FROM (
+        SELECT doc_id, kind, n, {peel('x', '(', ')')} AS y FROM (
+          SELECT doc_id, kind, n, {strip(sub('raw', RF.TRAILING_JUNK))} AS x FROM doi_raw)))
+    WHERE doi <> '')
+  WHERE rn = 1)
+WHERE pos < {C.MAX_DOIS}"""
+CTES["link_rows"] = f"""
+SELECT doc_id, doi, min(link_no) AS link_no FROM (SELECT doc_id, link_no, rtrim(regexp_extract(uri, {q(RF.DOI_IN_LINK)}, 1), '.') AS doi FROM links)
+WHERE doi <> '' GROUP BY doc_id, doi"""
+CTES["dois"] = f"""
+SELECT doc_id, pos, doi FROM (
+  SELECT doc_id, doi, row_number() OVER (PARTITION BY doc_id ORDER BY src, pos) - 1 AS pos FROM (
+    SELECT 0 AS src, doc_id, pos, doi FROM text_dois
+    UNION ALL SELECT 1, doc_id, link_no, doi FROM link_rows l
+      WHERE NOT EXISTS (SELECT 1 FROM text_dois t WHERE t.doc_id = l.doc_id AND t.doi = l.doi)))
+WHERE pos < {C.MAX_DOIS}"""
+CTES["scored_dois"] = f"SELECT d.* FROM dois d JOIN refs USING (doc_id) WHERE {strip('refs')} <> ''"
+CTES["arxiv_ids"] = f"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, arxiv_id FROM (
+  SELECT doc_id, arxiv_id, min(n) AS n FROM (SELECT doc_id, unnest(range(0, len(m))) AS n, unnest(m) AS arxiv_id
+    FROM (SELECT doc_id, regexp_extract_all(refs, {q(ARXIV)}, 1) AS m FROM refs)) GROUP BY doc_id, arxiv_id)"""
+
+
+def title_of(line: str) -> str:
+    x = strip(sub(line, RF.NUMBERING, "", ""))
+    quoted = f"regexp_extract({x}, {q(RF.QUOTED)}, 1)"
+    a, b = (strip(f"regexp_extract({x}, {q(p)}, 1)") for p in (RF.AFTER_YEAR_PARENS, RF.AFTER_YEAR))
+    return (f"(CASE WHEN {quoted} <> '' THEN {strip(quoted)} WHEN length({a}) > 10 THEN {a} "
+            f"WHEN length({b}) > 10 THEN {b} ELSE '' END)")
+
+
+def year_of(line: str) -> str:
+    return f"regexp_extract({line}, {q(YEAR)}, 1)"
+
+
+def label_of(line: str, default: str, flags: str = "") -> str:
+    m = f"regexp_extract({line}, {q(flags + RF.LABEL)}, 1)"
+    return f"(CASE WHEN {m} <> '' THEN {m} ELSE {default} END)"
+
+
+CTES["titles"] = f"SELECT doc_id, pos, line, {title_of('line')} AS title, {year_of('line')} AS year FROM ref_lines"
+CTES["paper_years"] = f"""
+SELECT doc_id, arg_max(y, n * 10000 + y) AS year FROM (SELECT doc_id, y, count(*) AS n FROM (
+  SELECT doc_id, CAST(unnest(regexp_extract_all(substr(text, 1, {C.PAPER_YEAR_WINDOW}), {q(YEAR)}, 1)) AS BIGINT) AS y FROM papers)
+  WHERE y > 1950 AND y <= {NOW} GROUP BY doc_id, y) GROUP BY doc_id"""
+CTES["recency_counts"] = f"""
+SELECT r.doc_id, py.year, count(y) AS n, count(*) FILTER (y >= coalesce(py.year, {NOW}) - 3) AS recent,
+  array_to_string(list_sort(list(DISTINCT y) FILTER (y IS NOT NULL)), ',') AS ref_years
+FROM refs r LEFT JOIN paper_years py USING (doc_id)
+LEFT JOIN (SELECT doc_id, CAST(nullif(year, '') AS BIGINT) AS y FROM titles) t
+  ON t.doc_id = r.doc_id AND y > 1950 AND y <= {NOW}
+GROUP BY r.doc_id, py.year"""
+CTES["recency"] = f"""
+SELECT doc_id, year, CASE WHEN n = 0 THEN 7.0 WHEN ratio >= 0.35 THEN 10.0 WHEN ratio >= 0.2 THEN 8.0 WHEN ratio >= 0.08 THEN 6.0 ELSE 4.0 END::DOUBLE AS recency_score,
+  ratio AS recent_ratio,
+  CASE WHEN n = 0 THEN 'Could not extract publication years from references.'
+    WHEN ratio >= 0.35 THEN concat(share, ' — excellent currency.') WHEN ratio >= 0.2 THEN concat(share, ' — good currency.')
+    WHEN ratio >= 0.08 THEN concat(share, ' — moderate currency.') ELSE concat('Only ', share, ' — literature survey may be outdated.') END AS recency_note,
+  coalesce(ref_years, '') AS ref_years
+FROM (SELECT *, CASE WHEN n > 0 THEN {round_py('recent::DOUBLE / n', 2)} END AS ratio,
+  concat(recent, '/', n, ' refs from ', CASE WHEN year IS NULL THEN 'last 3 years' ELSE concat('last 3 years before paper (', year, ')') END) AS share
+  FROM recency_counts)"""
+
+
+def duplicates_sql(source: str) -> str:
+    norm = sub("lower(s)", uni(r"\s+"), " ")
+    return f"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos, {label_of('s', 'substr(s, 1, 40)', '(?i)')} AS citation
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(norm, 1, 60) ORDER BY line_no) AS rn FROM (
+  SELECT doc_id, line_no, s, {norm} AS norm FROM {source}) WHERE length(norm) > 20) WHERE rn > 1"""
+
+
+CTES["raw_stripped"] = f"SELECT doc_id, {strip('text')} AS t FROM documents"
+CTES["raw_ref_lines"] = lines_cte("raw_stripped", "t")
+CTES["duplicates"] = duplicates_sql("ref_all_lines")
+ORACLES["s2_link_dois"] = "SELECT doc_id, string_agg(doi, '|' ORDER BY link_no) AS dois FROM link_rows GROUP BY doc_id"
+ORACLES["s2_hrefs"] = f"""SELECT page_id, unnest(range(0, len(m))) AS link_no, unnest(m) AS uri
+FROM (SELECT page_id, regexp_extract_all(html, {q(RF.HREF)}, 1) AS m FROM pages)"""
+ORACLES["k1_ref_lines"] = "SELECT doc_id, pos, line FROM ref_lines"
+ORACLES["k1_total_refs"] = f"""SELECT doc_id, CASE WHEN {strip('refs')} = '' THEN 0 ELSE greatest(coalesce(n, 0), 1) END AS total_refs
+FROM refs LEFT JOIN (SELECT doc_id, count(*) AS n FROM ref_lines GROUP BY doc_id) USING (doc_id)"""
+ORACLES["k2_extract_dois"] = "SELECT doc_id, pos, doi FROM text_dois"
+ORACLES["k3_merge_dois"] = """SELECT doc_id, coalesce(d, '') AS dois FROM papers
+LEFT JOIN (SELECT doc_id, string_agg(doi, '|' ORDER BY pos) AS d FROM dois GROUP BY doc_id) USING (doc_id)"""
+ORACLES["k4_ref_year"] = "SELECT doc_id, pos, year FROM titles"
+ORACLES["k5_extract_arxiv"] = "SELECT doc_id, pos, arxiv_id FROM arxiv_ids"
+ORACLES["k6_ref_title"] = "SELECT doc_id, pos, title FROM titles"
+ORACLES["k7_paper_year"] = "SELECT doc_id, year FROM papers LEFT JOIN paper_years USING (doc_id)"
+ORACLES["k8_recency"] = "SELECT * FROM recency"
+ORACLES["k9_duplicate_refs"] = f"SELECT *, 'duplicate' AS category, {q(C.DUPLICATE_DETAIL)} AS detail FROM duplicates"
+ORACLES["k9_duplicate_lines_raw"] = duplicates_sql("raw_ref_lines")
+ORACLES["k10_citation_label"] = (
+    f"SELECT doc_id, pos, {label_of('line', q('none'))} AS exact, {label_of('line', 'substr(line, 1, 40)', '(?i)')} AS loose FROM ref_lines")
+
+# --- verification --------------------------------------------------------------
+
+CTES["log_status"] = """
+SELECT kind, id, CASE WHEN kind = 'doi' AND final = 200 THEN 'verified' WHEN kind = 'doi' AND final = 404 THEN 'not_found'
+  WHEN final <> 200 THEN 'unreachable' END AS status
+FROM (SELECT kind, id, CASE WHEN (kind = 'doi' AND coalesce(a, 0) IN (429, 503, 0)) OR (kind = 'title' AND a = 429) THEN coalesce(b, 0) ELSE coalesce(a, 0) END AS final
+  FROM (SELECT kind, id, max(http_status) FILTER (attempt = 1) AS a, max(http_status) FILTER (attempt = 2) AS b FROM lookup_log GROUP BY kind, id))"""
+
+
+def doi_status(source: str) -> str:
+    return f"""SELECT d.doc_id, d.pos, d.doi, coalesce(l.status, CASE WHEN d.doi IN (SELECT doi FROM works) THEN 'verified' ELSE 'not_found' END) AS status
+FROM {source} d LEFT JOIN log_status l ON l.kind = 'doi' AND l.id = d.doi"""
+
+
+CTES["doi_status"] = doi_status("text_dois")
+CTES["scored_doi_status"] = doi_status("scored_dois")
+CTES["arxiv_status"] = f"""SELECT a.doc_id, a.pos, coalesce(l.status, CASE WHEN a.arxiv_id IN (SELECT arxiv_id FROM preprints) THEN 'verified' ELSE 'not_found' END) AS status
+FROM arxiv_ids a LEFT JOIN log_status l ON l.kind = 'arxiv' AND l.id = a.arxiv_id WHERE a.pos < {C.MAX_ARXIV_LOOKUPS}"""
+
+
+def tokens(x: str) -> str:
+    return (f"list_distinct(list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''))")
+
+
+def grams(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2)))"
+
+
+CTES["ref_titles"] = "SELECT DISTINCT lower(title) AS title FROM titles WHERE title <> ''"
+CTES["work_titles"] = "SELECT lower(title) AS found, list(DISTINCT year) AS years FROM works GROUP BY lower(title)"
+CTES["ref_tokens"] = f"SELECT title, unnest({tokens('title')}) AS token FROM ref_titles"
+CTES["work_tokens"] = f"SELECT found, unnest({tokens('found')}) AS token FROM work_titles"
+CTES["hits"] = f"""
+SELECT title, found, shared, row_number() OVER (PARTITION BY title ORDER BY shared DESC, found) AS rank FROM (
+  SELECT title, found, count(*) AS shared FROM ref_tokens JOIN work_tokens USING (token) GROUP BY title, found)
+JOIN (SELECT title, count(*) AS m FROM ref_tokens GROUP BY title) USING (title)
+WHERE shared >= ceil(m / 2) QUALIFY rank <= {C.TITLE_HITS}"""
+CTES["title_sims"] = f"""
+SELECT h.title, years, 2.0::DOUBLE * len(list_intersect({grams('h.title')}, {grams('h.found')})) / (len({grams('h.title')}) + len({grams('h.found')})) AS sim
+FROM hits h JOIN work_titles w ON w.found = h.found"""
+
+
+def title_status(source: str) -> str:
+    return f"""SELECT t.doc_id, t.pos, t.title, t.year, CASE WHEN t.title = '' THEN 'not_found'
+  WHEN lower(t.title) IN (SELECT lower(id) FROM log_status WHERE kind = 'title' AND status = 'unreachable') THEN 'unreachable'
+  WHEN EXISTS (SELECT 1 FROM title_sims s WHERE s.title = lower(t.title) AND (sim >= 0.6 OR (sim >= 0.5 AND t.year <> ''
+    AND len(list_filter(years, lambda w: abs(w - CAST(nullif(t.year, '') AS BIGINT)) <= 1)) > 0))) THEN 'verified' ELSE 'not_found' END AS status
+FROM {source} t"""
+
+
+CTES["title_rows"] = title_status("titles")
+CTES["uncovered"] = """
+SELECT t.* FROM titles t WHERE NOT EXISTS (
+  SELECT 1 FROM doi_status d WHERE d.doc_id = t.doc_id AND d.status = 'verified' AND contains(t.line, d.doi))"""
+CTES["scored_uncovered"] = """
+SELECT t.*, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n
+FROM titles t WHERE NOT EXISTS (
+  SELECT 1 FROM scored_doi_status d WHERE d.doc_id = t.doc_id AND d.status = 'verified' AND contains(t.line, d.doi))"""
+
+
+def in_sample(k: int) -> str:
+    return f"(n <= {k} OR i IN ({', '.join(f'({j} * n) // {k}' for j in range(k))}))"
+
+
+CTES["sampled"] = f"""
+SELECT doc_id, pos, title, year FROM scored_uncovered
+WHERE title <> '' AND {in_sample(5)} AND doc_id IN (SELECT doc_id FROM scored_dois)
+UNION ALL SELECT doc_id, pos, title, year FROM titles
+WHERE title <> '' AND pos < 10 AND doc_id NOT IN (SELECT doc_id FROM scored_dois)"""
+CTES["sampled_status"] = title_status("sampled")
+CTES["counted"] = f"""
+SELECT r.doc_id, {strip('r.refs')} = '' AS blank, coalesce(n_dois, 0) AS n_dois, coalesce(d_v, 0) AS d_v, coalesce(d_n, 0) AS d_n, coalesce(d_u, 0) AS d_u,
+  coalesce(t_v, 0) AS t_v, coalesce(t_n, 0) AS t_n, coalesce(t_u, 0) AS t_u, coalesce(n_arxiv, 0) AS n_arxiv, coalesce(a_v, 0) AS a_v,
+  coalesce(n_dup, 0) AS n_dup, CASE WHEN {strip('r.refs')} = '' THEN 0 ELSE greatest(coalesce(n_lines, 0), 1) END AS total_refs,
+  rc.recency_score, rc.recency_note
+FROM refs r JOIN recency rc USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_dois, count(*) FILTER (status = 'verified') AS d_v, count(*) FILTER (status = 'not_found') AS d_n,
+   count(*) FILTER (status = 'unreachable') AS d_u FROM scored_doi_status GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) FILTER (status = 'verified') AS t_v, count(*) FILTER (status = 'not_found') AS t_n,
+   count(*) FILTER (status = 'unreachable') AS t_u FROM sampled_status GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_arxiv FROM arxiv_ids GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) FILTER (status = 'verified') AS a_v FROM arxiv_status GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_dup FROM duplicates GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM ref_lines GROUP BY doc_id) USING (doc_id)"""
+linear = round_py("(d_v + t_v)::DOUBLE / (d_v + t_v + d_n + t_n) * 10.0::DOUBLE")
+ratio = "(CASE WHEN n_arxiv > 0 THEN a_v::DOUBLE / n_arxiv END)"
+CTES["base_scores"] = f"""
+SELECT *, (n_dois > 0 AND d_u + t_u = n_dois + t_v + t_n + t_u) AS cleared,
+  CASE WHEN d_v + t_v + d_n + t_n > 0 THEN {linear} WHEN n_dois > 0 THEN 7.0 WHEN d_u + t_u > 0 THEN 7.0 ELSE 3.0 END::DOUBLE AS base FROM counted"""
+CTES["boosted"] = f"""
+SELECT *, CASE WHEN n_dois > 0 THEN least(base + CASE WHEN {ratio} >= 0.7 THEN 1.5 WHEN {ratio} >= 0.4 THEN 0.75 ELSE 0 END, 10)
+  ELSE least(CASE WHEN n_dup > 0 THEN greatest(base - 1, 0) ELSE base END + CASE WHEN {ratio} >= 0.7 THEN 1 ELSE 0 END, 10) END::DOUBLE AS raised FROM base_scores"""
+CTES["scores"] = f"""
+SELECT *, CASE WHEN blank THEN 0.0 WHEN cleared THEN 7.0 WHEN n_dois > 0 THEN blended ELSE least(blended, 6.0) END::DOUBLE AS score
+FROM (SELECT *, {round_py('0.8::DOUBLE * raised + 0.2::DOUBLE * recency_score')} AS blended FROM boosted)"""
+CTES["citation_rows"] = """
+SELECT doc_id, score, CAST(total_refs AS BIGINT) AS total_refs, CASE WHEN cleared THEN 0 ELSE d_v + t_v END AS verified,
+  CASE WHEN cleared THEN 0 ELSE d_n + t_n END AS not_found, d_u + t_u AS unreachable, a_v AS arxiv_verified FROM scores"""
+ORACLES["v1_lookup_status"] = "SELECT * FROM log_status"
+ORACLES["v2_verify_dois"] = "SELECT * FROM doi_status"
+ORACLES["v3_verify_arxiv"] = """SELECT doc_id, ids, verified, verified::DOUBLE / ids AS ratio
+FROM (SELECT doc_id, count(*) AS ids FROM arxiv_ids GROUP BY doc_id)
+JOIN (SELECT doc_id, count(*) FILTER (status = 'verified') AS verified FROM arxiv_status GROUP BY doc_id) USING (doc_id)"""
+ORACLES["v4_search_titles"] = "SELECT title, found, shared, rank FROM hits"
+ORACLES["v4_verify_titles"] = "SELECT * FROM title_rows"
+ORACLES["v5_uncovered_refs"] = "SELECT doc_id, pos, line FROM uncovered"
+ORACLES["v6_sample_refs"] = f"""SELECT doc_id, pos, line FROM (SELECT *, pos AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM ref_lines)
+WHERE {in_sample(5)}"""
+ORACLES["v7_outcome_counts"] = """SELECT doc_id, d_v + t_v AS verified, d_n + t_n AS not_found, d_u + t_u AS unreachable,
+t_v + t_n + t_u AS checked_titles FROM counted"""
+ORACLES["v8_citation_score"] = "SELECT * FROM citation_rows"
+ORACLES["v9_citation_score_no_doi"] = "SELECT doc_id, score FROM scores WHERE n_dois = 0 AND NOT blank"
+ORACLES["v10_blank_references"] = f"""SELECT doc_id, 0.0::DOUBLE AS score, CAST(0 AS BIGINT) AS total_refs FROM refs WHERE {strip('refs')} = ''"""
+CTES["flag_rows"] = f"""
+SELECT doc_id, 0 AS grp, d.pos AS ord, {label_of('coalesce(line, ' + q('') + ')', 'd.doi')} AS citation, 'not_found' AS category, {q(C.NOT_FOUND_DETAIL)} AS detail
+FROM scored_doi_status d LEFT JOIN (SELECT d.doc_id, d.pos, arg_min(line, r.pos) AS line FROM scored_dois d JOIN ref_lines r
+  ON r.doc_id = d.doc_id AND contains(r.line, d.doi) GROUP BY d.doc_id, d.pos) USING (doc_id, pos) WHERE status = 'not_found'
+UNION ALL SELECT doc_id, 1, pos, citation, 'duplicate', {q(C.DUPLICATE_DETAIL)} FROM duplicates"""
+ORACLES["v11_flagged_items"] = """
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, ord) - 1 AS pos, citation, category, detail
+FROM flag_rows WHERE doc_id IN (SELECT doc_id FROM scores WHERE NOT cleared)"""
+ORACLES["v12_citation_messages"] = """
+SELECT doc_id, CASE WHEN blank THEN 'No references section found in document.'
+ WHEN n_dois = 0 THEN concat_ws('|', 'No DOIs found in references section.',
+   CASE WHEN t_v + t_n + t_u > 0 THEN concat('Title verification: ', t_v, '/', t_v + t_n + t_u, ' references verified via Semantic Scholar.')
+     ELSE concat('Could not extract titles from ', total_refs, ' reference entries for verification.') END,
+   CASE WHEN t_u > 0 THEN concat(t_u, ' reference(s) unreachable during verification (excluded from score).') END,
+   CASE WHEN n_dup > 0 THEN concat(n_dup, ' duplicate reference(s) detected.') END,
+   CASE WHEN n_arxiv > 0 THEN concat(a_v, '/', n_arxiv, ' ArXiv reference(s) verified.') END, recency_note)
+ WHEN cleared THEN 'Citation verification throttled — all DOIs unreachable. Neutral score applied.'
+ ELSE concat_ws('|', CASE WHEN d_n > 0 THEN concat(d_n, ' of ', n_dois, ' DOI(s) could not be verified (not found in CrossRef).') END,
+   CASE WHEN t_v + t_n + t_u > 0 THEN concat('Title fallback: ', t_v, '/', t_v + t_n + t_u, ' reference(s) verified via Semantic Scholar (capped at 5).') END,
+   CASE WHEN n_arxiv > 0 THEN concat(a_v, '/', n_arxiv, ' ArXiv preprint reference(s) verified.') END,
+   CASE WHEN n_dup > 0 THEN concat(n_dup, ' duplicate reference(s) detected.') END,
+   CASE WHEN d_u > 0 THEN concat(d_u, ' of ', n_dois, ' DOI(s) were unreachable during validation.') END, recency_note,
+   CASE WHEN d_n = 0 AND n_dup = 0 AND d_u = 0 THEN concat('All ', n_dois, ' DOI(s) verified successfully.') END) END AS issues,
+ CASE WHEN blank THEN 'Add a References section with properly formatted citations including DOIs.'
+ WHEN n_dois = 0 THEN 'Include DOIs for all cited works to improve citation verifiability.|Papers with verifiable DOIs receive higher citation scores.'
+ WHEN cleared THEN 'Retry the analysis when API demand is lower.'
+ WHEN d_n + n_dup + d_u = 0 THEN 'No citation issues found.'
+ ELSE concat_ws('|', CASE WHEN d_n > 0 THEN 'Check flagged DOIs for typos or confirm they are published in indexed journals.' END,
+   CASE WHEN n_dup > 0 THEN 'Remove duplicate entries and ensure consistent formatting.' END,
+   CASE WHEN d_u > 0 THEN 'Retry the analysis to attempt validation of unreachable DOIs.' END) END AS suggestions
+FROM scores"""
+ORACLES["v13_citation_summary"] = """
+SELECT doc_id, total_refs, verified, not_found + unreachable AS unverified,
+  CASE WHEN total_refs > 0 THEN CAST(floor(verified::DOUBLE / total_refs * 100.0::DOUBLE) AS BIGINT) ELSE 0 END AS success_pct,
+  CASE WHEN total_refs > 0 THEN CAST(floor(verified::DOUBLE / total_refs * 100.0::DOUBLE + 0.5) AS BIGINT) ELSE 0 END AS rate_pct
+FROM citation_rows"""

@@ -11,12 +11,19 @@ from pyspark.sql import types as T
 from scholium.functions import compression as CF
 from scholium.functions import headings as H
 from scholium.functions import prompts as PF
+from scholium.functions import references as RF
 from scholium.functions import sections as SECF
 from scholium.operators import compression as COMP
 from scholium.operators import prompts as PR
+from scholium.operators import references as REF
+from scholium.operators import verification as V
 from scholium.operators import sections as SEC
 from scholium.sources import derived
+from scholium.sources import readers
 from scholium.sources.readers import spread
+from scholium.sources.shared import materialize
+
+NOW = 2024  # "current year" of the registered queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -264,5 +271,218 @@ def s8_content_key(spark, sf_dir):
         PF.heading_list_key(SECF.candidate_headings(F.col("text"))).alias("heading_key"))
 
 
+# --- references --------------------------------------------------------------
+
+def refs(spark, sf_dir):
+    return REF.references_of(bundled(spark, sf_dir))
+
+
+def works(spark, sf_dir):
+    return derived.load(spark, sf_dir, derived.works_sql)
+
+
+def preprints(spark, sf_dir):
+    return derived.load(spark, sf_dir, derived.preprints_sql)
+
+
+def lookup_log(spark, sf_dir):
+    return derived.load(spark, sf_dir, derived.lookup_log_sql)
+
+
+def links(spark, sf_dir):
+    return derived.load(spark, sf_dir, derived.links_sql)
+
+
+def facts(spark, sf_dir):
+    docs = refs(spark, sf_dir).join(readers.link_dois(links(spark, sf_dir)), "doc_id", "left")
+    return REF.reference_facts(docs.withColumnRenamed("dois", "links"), NOW)
+
+
+@query
+def s2_link_dois(spark, sf_dir):
+    out = readers.link_dois(links(spark, sf_dir))
+    return out.select("doc_id", F.array_join("dois", "|").alias("dois"))
+
+
+@query
+def s2_hrefs(spark, sf_dir):
+    return readers.hrefs(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def k1_ref_lines(spark, sf_dir):
+    return REF.ref_lines(refs(spark, sf_dir))
+
+
+@query
+def k1_total_refs(spark, sf_dir):
+    return REF.ref_counts(refs(spark, sf_dir))
+
+
+@query
+def k2_extract_dois(spark, sf_dir):
+    return REF.extract_dois(refs(spark, sf_dir))
+
+
+@query
+def k3_merge_dois(spark, sf_dir):
+    text = refs(spark, sf_dir).select("doc_id", RF.extract_dois(F.col("refs")).alias("dois"))
+    merged = REF.merge_dois(text, readers.link_dois(links(spark, sf_dir)))
+    return merged.select("doc_id", F.array_join("dois", "|").alias("dois"))
+
+
+@query
+def k4_ref_year(spark, sf_dir):
+    lines = REF.ref_lines(refs(spark, sf_dir))
+    return lines.select("doc_id", "pos", RF.ref_year(F.col("line")).alias("year"))
+
+
+@query
+def k5_extract_arxiv(spark, sf_dir):
+    return REF.extract_arxiv(refs(spark, sf_dir))
+
+
+@query
+def k6_ref_title(spark, sf_dir):
+    return REF.ref_titles(refs(spark, sf_dir)).select("doc_id", "pos", "title")
+
+
+@query
+def k7_paper_year(spark, sf_dir):
+    return REF.paper_year(papers(spark, sf_dir), NOW)
+
+
+@query
+def k8_recency(spark, sf_dir):
+    r = REF.recency(refs(spark, sf_dir), NOW)
+    return r.withColumn("ref_years", F.array_join(F.col("ref_years").cast("array<string>"), ","))
+
+
+@query
+def k9_duplicate_refs(spark, sf_dir):
+    return REF.duplicate_refs(refs(spark, sf_dir))
+
+
+@query
+def k9_duplicate_lines_raw(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumnRenamed("text", "refs")
+    return REF.duplicate_refs(d).select("doc_id", "pos", "citation")
+
+
+@query
+def k10_citation_label(spark, sf_dir):
+    lines = REF.ref_lines(refs(spark, sf_dir))
+    return lines.select(
+        "doc_id", "pos", RF.citation_label(F.col("line"), F.lit("none")).alias("exact"),
+        RF.citation_label(F.col("line"), F.substr("line", F.lit(1), F.lit(40)), True).alias("loose"))
+
+
+# --- verification --------------------------------------------------------------
+
+def title_checks(spark, sf_dir):
+    return REF.ref_titles(refs(spark, sf_dir))
+
+
+def counted(spark, sf_dir):
+    known = V.registry(works(spark, sf_dir), preprints(spark, sf_dir))
+    status = materialize(V.with_id_status(facts(spark, sf_dir), known, lookup_log(spark, sf_dir)))
+    checks = status.select("doc_id", F.posexplode_outer("checks").alias("pos", "c")).where(
+        F.col("pos").isNotNull()).select("doc_id", "pos", "c.title", "c.year")
+    titles = V.verify_titles(checks, works(spark, sf_dir), lookup_log(spark, sf_dir), cut=materialize)
+    return V.outcome_counts(status, titles)
+
+
+def citations(spark, sf_dir):
+    return V.check_citations(
+        facts(spark, sf_dir), works(spark, sf_dir), preprints(spark, sf_dir),
+        lookup_log(spark, sf_dir), cut=materialize)
+
+
+@query
+def v1_lookup_status(spark, sf_dir):
+    return V.lookup_status(lookup_log(spark, sf_dir))
+
+
+@query
+def v2_verify_dois(spark, sf_dir):
+    dois = REF.extract_dois(refs(spark, sf_dir))
+    return V.verify_dois(dois, works(spark, sf_dir), lookup_log(spark, sf_dir))
+
+
+@query
+def v3_verify_arxiv(spark, sf_dir):
+    ids = REF.extract_arxiv(refs(spark, sf_dir))
+    return V.verify_arxiv(ids, preprints(spark, sf_dir), lookup_log(spark, sf_dir))
+
+
+@query
+def v4_search_titles(spark, sf_dir):
+    found = V.search_titles(title_checks(spark, sf_dir), works(spark, sf_dir), cut=materialize)
+    return found.select("title", "found", "shared", "rank")
+
+
+@query
+def v4_verify_titles(spark, sf_dir):
+    return V.verify_titles(
+        title_checks(spark, sf_dir), works(spark, sf_dir), lookup_log(spark, sf_dir),
+        cut=materialize)
+
+
+@query
+def v5_uncovered_refs(spark, sf_dir):
+    r = refs(spark, sf_dir)
+    dois = V.verify_dois(REF.extract_dois(r), works(spark, sf_dir), lookup_log(spark, sf_dir))
+    return V.uncovered_refs(REF.ref_lines(r), dois.where(F.col("status") == "verified"))
+
+
+@query
+def v6_sample_refs(spark, sf_dir):
+    return V.sample_refs(REF.ref_lines(refs(spark, sf_dir)))
+
+
+@query
+def v7_outcome_counts(spark, sf_dir):
+    return counted(spark, sf_dir).select(
+        "doc_id", F.col("verified").cast("bigint"), F.col("not_found").cast("bigint"),
+        F.col("unreachable").cast("bigint"), F.col("t_checked").alias("checked_titles"))
+
+
+@query
+def v8_citation_score(spark, sf_dir):
+    """Scores of papers with DOIs (V8), without (V9) and without references (V10)."""
+    return citations(spark, sf_dir).select(
+        "doc_id", "score", "total_refs", "verified", "not_found", "unreachable", "arxiv_verified")
+
+
+@query
+def v9_citation_score_no_doi(spark, sf_dir):
+    c = counted(spark, sf_dir).where((F.size("dois") == 0) & ~F.col("blank"))
+    return c.select("doc_id", V.score_without_dois().alias("score"))
+
+
+@query
+def v10_blank_references(spark, sf_dir):
+    blank = facts(spark, sf_dir).where(F.col("blank"))
+    return blank.select("doc_id", F.lit(0.0).alias("score"), "total_refs")
+
+
+@query
+def v11_flagged_items(spark, sf_dir):
+    rows = citations(spark, sf_dir).select("doc_id", F.posexplode_outer("flagged_items").alias("pos", "f"))
+    return rows.where(F.col("pos").isNotNull()).select("doc_id", "pos", "f.citation", "f.category", "f.detail")
+
+
+@query
+def v12_citation_messages(spark, sf_dir):
+    return citations(spark, sf_dir).select(
+        "doc_id", F.array_join("issues", "|").alias("issues"),
+        F.array_join("suggestions", "|").alias("suggestions"))
+
+
+@query
+def v13_citation_summary(spark, sf_dir):
+    return V.citation_summary(citations(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["l11_section_confidence"](spark, sf_dir)

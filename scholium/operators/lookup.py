@@ -15,6 +15,19 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def hot_keys(counts: DataFrame, keys: list[str], rows_per_slice: int, name: str) -> DataFrame:
+    """Hot keys of a (keys, n) frame with the number of slices each is cut into.
+
+    A key is hot when it has more than ``rows_per_slice`` rows and more than 1/MAX_HOT_KEYS of
+    all rows; so there are at most MAX_HOT_KEYS of them at any scale.
+    """
+    share = counts.select(F.coalesce(F.sum("n"), F.lit(0)) / MAX_HOT_KEYS).scalar()
+    limited = counts.withColumn("_limit", F.greatest(share, F.lit(float(rows_per_slice))))
+    return limited.where(F.col("n") > F.col("_limit")).select(
+        *keys, F.ceil(F.col("n") / F.col("_limit")).cast("int").alias(name)
+    )
+
+
 def lookup_join(
     rows: DataFrame,
     dim: DataFrame,
@@ -26,23 +39,17 @@ def lookup_join(
 ) -> DataFrame:
     """``rows`` joined to ``dim`` (unique on ``key``) without a hot partition.
 
-    With ``small`` (the caller checked :func:`is_small`) ``dim`` is broadcast. Otherwise a key is hot when it has more than ``rows_per_slice`` rows and more than 1/MAX_HOT_KEYS of
-    all rows, so there are never more than MAX_HOT_KEYS hot keys and their list may be
-    broadcast at any scale. Rows of a hot key are spread over slices by hash, and its one
-    dimension row is repeated per slice. Counting combines on the map side. ``counts``
-    (key, n) may be given when the caller has them already.
+    With ``small`` (the caller checked :func:`is_small`) ``dim`` is broadcast. Otherwise rows of
+    a hot key are spread over slices by hash, and its one dimension row is repeated per slice;
+    the list of hot keys is bounded, hence broadcast. Counting combines on the map side.
+    ``counts`` (key, n) may be given when the caller has them already.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if small:
         return rows.join(F.broadcast(dim), keys, how)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    share = counts.select(F.coalesce(F.sum("n"), F.lit(0)) / MAX_HOT_KEYS).scalar()
-    hot = (
-        counts.withColumn("_limit", F.greatest(share, F.lit(float(rows_per_slice))))
-        .where(F.col("n") > F.col("_limit"))
-        .select(*keys, F.ceil(F.col("n") / F.col("_limit")).cast("int").alias("_slices"))
-    )
+    hot = hot_keys(counts, keys, rows_per_slice, "_slices")
     others = [c for c in rows.columns if c not in keys]
     spread = F.xxhash64(*others) if others else F.lit(0)
     left = rows.join(F.broadcast(hot), keys, "left").withColumn(

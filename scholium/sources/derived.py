@@ -229,6 +229,18 @@ def lookup_log_sql(D: Dialect) -> str:
     )
 
 
+def links_sql(D: Dialect) -> str:
+    other = doi("doc_id + 2")
+    rows = [
+        (0, f"'https://example.org/' || {s('doc_id')}", "doc_id % 2 = 0"),
+        (1, f"'https://doi.org/' || {other} || '.'", "doc_id % 4 = 2"),
+        (2, f"'https://publisher.example/x?doi=' || {doi('doc_id')} || '>more'", "doc_id % 4 <> 1"),
+        (3, f"'http://dx.doi.org/' || {other}", "doc_id % 4 = 2"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS link_no, {uri} AS uri FROM documents WHERE {cond}" for n, uri, cond in rows)
+
+
 def review_json(D: Dialect) -> str:
     def layer(name: str, k: int) -> str:
         score = s(f"(doc_id * {k} + {k}) % 12")
