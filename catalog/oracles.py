@@ -683,3 +683,192 @@ SELECT doc_id, total_refs, verified, not_found + unreachable AS unverified,
   CASE WHEN total_refs > 0 THEN CAST(floor(verified::DOUBLE / total_refs * 100.0::DOUBLE) AS BIGINT) ELSE 0 END AS success_pct,
   CASE WHEN total_refs > 0 THEN CAST(floor(verified::DOUBLE / total_refs * 100.0::DOUBLE + 0.5) AS BIGINT) ELSE 0 END AS rate_pct
 FROM citation_rows"""
+
+# --- sources and incremental analysis ------------------------------------------
+
+CTES["candidate_rows"] = D.candidates_sql(DD)
+CTES["fallback_rows"] = D.fallback_sql(DD)
+CTES["reviews"] = D.reviews_sql(DD)
+ORACLES["s1_load_papers"] = f"""
+SELECT doc_id, CASE WHEN length({strip('text')}) >= 100 THEN 'accepted' ELSE 'Could not extract meaningful text' END AS outcome FROM documents"""
+ORACLES["s4_pick_first_available"] = """
+SELECT name, arxiv_id, title, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY r) AS best FROM (
+    SELECT name, arxiv_id, title, available, 'arxiv_api' AS source, row_number() OVER (PARTITION BY name ORDER BY priority) AS r FROM candidate_rows
+    QUALIFY r <= 3 UNION ALL SELECT name, arxiv_id, title, available, 'arxiv_fallback', 4 FROM fallback_rows)
+  WHERE available)
+WHERE best = 1"""
+
+
+def layer_field(name: str, field: str) -> str:
+    return f"json_extract(ok, '$.{name}.{field}')"
+
+
+def layer_select(name: str, n: int) -> str:
+    present = " AND ".join(f"json_type(ok, '$.{m}') IS NOT NULL" for m in C.MODEL_LAYERS)
+    lists = {
+        f: f"array_to_string(CAST(json_extract_string(ok, '$.{name}.{f}[*]') AS VARCHAR[]), '|')" for f in ("issues", "suggestions")}
+    texts = {"issues": (C.FALLBACK_ISSUE, C.NO_SECTION_ISSUE, C.NO_ISSUES),
+             "suggestions": (C.FALLBACK_SUGGESTION, C.NO_SECTION_SUGGESTION, C.NO_SUGGESTIONS)}
+    cols = ", ".join(
+        f"CASE WHEN ok IS NULL THEN {q(texts[f][0])} WHEN NOT ({present}) THEN {q(texts[f][2])} "
+        f"WHEN json_type(ok, '$.{name}') <> 'OBJECT' THEN {q(texts[f][1])} "
+        f"WHEN json_type(ok, '$.{name}.{f}') IS NULL THEN {q(texts[f][2])} ELSE {lists[f]} END AS {f}" for f in lists)
+    return (f"SELECT doc_id, ok IS NULL AS analysis_failed, {DISCIPLINE} AS discipline, {n} AS ord, '{name}' AS layer, "
+            f"least(10.0, greatest(0.0, CASE WHEN ok IS NOT NULL AND {present} THEN coalesce(CAST(json_extract(ok, '$.{name}.score') AS DOUBLE), 0) ELSE 0 END))::DOUBLE AS score, "
+            f"{cols} FROM review_docs")
+
+
+KNOWN_DISCIPLINES = ", ".join(q(d) for d in C.DISCIPLINE_WEIGHTS)
+DISCIPLINE = (f"CASE WHEN json_extract_string(ok, '$.discipline') IN ({KNOWN_DISCIPLINES}) THEN json_extract_string(ok, '$.discipline') "
+              f"ELSE 'computer_science' END")
+CTES["review_docs"] = "SELECT doc_id, CASE WHEN json_valid(review_json) THEN CAST(review_json AS JSON) END AS ok FROM reviews"
+CTES["review_layers"] = " UNION ALL ".join(layer_select(n, i) for i, n in enumerate(C.MODEL_LAYERS))
+ORACLES["s5_parse_reviews"] = "SELECT * EXCLUDE (ord) FROM review_layers"
+CTES["keyed"] = "SELECT doc_id, substr(sha256(text), 1, 16) AS content_key FROM documents"
+CTES["stored"] = "SELECT content_key, min(doc_id) AS stored_doc FROM keyed WHERE doc_id % 3 = 0 GROUP BY content_key"
+ORACLES["s9_incremental"] = "SELECT doc_id, coalesce(stored_doc, -1) AS stored_doc FROM keyed LEFT JOIN stored USING (content_key)"
+ORACLES["s9_merge_store"] = """SELECT * FROM stored UNION ALL SELECT content_key, min(doc_id) FROM keyed
+WHERE doc_id % 7 <> 0 AND content_key NOT IN (SELECT content_key FROM stored) GROUP BY content_key"""
+
+# --- reviews and scores --------------------------------------------------------
+
+
+def calibrated(x: str) -> str:
+    stretched = f"greatest(0.0::DOUBLE, least(10.0::DOUBLE, 7.0::DOUBLE + ({x} - 7.0::DOUBLE) * 1.5::DOUBLE))"
+    return f"(CASE WHEN {x} <= 0 THEN {x} ELSE {round_py(stretched)} END)"
+
+
+CITE_SCORE = "CAST(doc_id * 3 % 21 AS DOUBLE) / 2.0::DOUBLE"
+CTES["calibrated_layers"] = f"""
+SELECT doc_id, discipline, ord, layer, {calibrated('score')} AS score, issues FROM review_layers
+UNION ALL SELECT doc_id, {DISCIPLINE}, 4, 'citations', {CITE_SCORE}, 'citation issue' FROM review_docs WHERE doc_id % 7 <> 0"""
+WEIGHTS = ", ".join(f"({q(d)}, {q(l)}, {w[i]}::DOUBLE, {C.max_marks(w[i])})"
+                    for d, w in C.DISCIPLINE_WEIGHTS.items() for i, l in enumerate(C.LAYERS))
+CTES["weights"] = f"SELECT * FROM (VALUES {WEIGHTS}) AS t(discipline, layer, weight, max_marks)"
+layer_sum = " + ".join(
+    f"coalesce(max(score) FILTER (layer = '{l}'), 0.0::DOUBLE) * max(weight) FILTER (layer = '{l}')" for l in C.LAYERS)
+layer_cols = ", ".join(f"coalesce(max(score) FILTER (layer = '{l}'), 0.0::DOUBLE) AS {l}" for l in C.LAYERS)
+
+
+def final_scores(source: str) -> str:
+    final = round_py(f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, (0.0::DOUBLE + {layer_sum}) * 10.0::DOUBLE))")
+    return f"""SELECT doc_id, discipline, {final} AS final_score, {layer_cols}
+FROM (SELECT d.doc_id, d.discipline, w.layer, w.weight, c.score FROM (SELECT DISTINCT doc_id, discipline FROM {source}) d
+  JOIN weights w USING (discipline) LEFT JOIN {source} c ON c.doc_id = d.doc_id AND c.layer = w.layer) GROUP BY doc_id, discipline"""
+
+
+CTES["final_scores"] = final_scores("calibrated_layers")
+LETTER = "CASE WHEN final_score >= 85 THEN 'A' WHEN final_score >= 70 THEN 'B' WHEN final_score >= 55 THEN 'C' WHEN final_score >= 40 THEN 'D' ELSE 'F' END"
+
+
+def by_letter(values: dict) -> str:
+    return f"CASE {LETTER} " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in values.items()) + " END"
+
+
+ORACLES["r1_layer_rows"] = "SELECT doc_id, layer, score FROM review_layers"
+ORACLES["r2_calibrate"] = "SELECT doc_id, layer, score FROM calibrated_layers"
+ORACLES["r3_resolve_discipline"] = f"""SELECT doc_id, CASE WHEN d IN ({KNOWN_DISCIPLINES}) THEN d ELSE 'computer_science' END AS discipline
+FROM (SELECT doc_id, json_extract_string(ok, '$.discipline') AS d FROM review_docs)"""
+ORACLES["r4_weighted_score"] = "SELECT doc_id, discipline, final_score FROM final_scores"
+ORACLES["r5_grade"] = f"SELECT doc_id, {by_letter(C.GRADE_TEXT)} AS grade FROM final_scores"
+ORACLES["r6_marks"] = """SELECT doc_id, layer, CAST(max_marks AS BIGINT) AS max_marks,
+CAST(round_even(score * max_marks / 10.0::DOUBLE, 0) AS BIGINT) AS earned FROM calibrated_layers JOIN weights USING (discipline, layer)"""
+ORACLES["r7_worst_layers"] = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score, ord) - 1 AS rank, layer, score,
+concat(CASE layer {' '.join(f"WHEN '{k}' THEN {q(v)}" for k, v in C.LAYER_LABEL.items())} END, ': ', string_split(issues, '|')[1]) AS issue
+FROM calibrated_layers QUALIFY rank < 2"""
+ORACLES["r8_verdict"] = "SELECT doc_id, CASE " + LETTER + " " + " ".join(
+    f"WHEN '{k}' THEN concat({q(C.VERDICT_TEXT[k][0])}, CAST(final_score AS VARCHAR), {q(C.VERDICT_TEXT[k][1])})" for k in "ABC"
+) + f" ELSE concat({q(C.VERDICT_TEXT['*'][0])}, CAST(final_score AS VARCHAR), {q(C.VERDICT_TEXT['*'][1])}) END AS verdict_text FROM final_scores"
+ORACLES["r9_labels"] = f"""SELECT doc_id, {LETTER} AS letter, {by_letter({g[1]: g[2] for g in C.GRADES})} AS grade_label,
+ {by_letter(C.QUALITY_TITLE)} AS quality_title, {by_letter(C.RECOMMENDATION)} AS recommendation,
+ {by_letter(C.DASHBOARD_RECOMMENDATION)} AS dashboard_recommendation, {by_letter(C.SCORE_DESCRIPTION)} AS description FROM final_scores"""
+ORACLES["r10_bands"] = """SELECT doc_id, CASE WHEN final_score >= 85 THEN 'emerald' WHEN final_score >= 70 THEN 'cyan' WHEN final_score >= 55 THEN 'amber' ELSE 'red' END AS gauge, """ + ", ".join(
+    f"CASE WHEN {l} / 10.0::DOUBLE >= 0.8::DOUBLE THEN 'success' WHEN {l} / 10.0::DOUBLE >= 0.6::DOUBLE THEN 'warning' ELSE 'danger' END AS {l}" for l in C.LAYERS) + " FROM final_scores"
+CTES["confidences1"] = CTES["confidences"].replace("FROM sections", "FROM (SELECT *, 1 AS tier FROM sections1)")
+ORACLES["r10_confidence_bands"] = """SELECT section, CASE WHEN confidence >= 85 THEN 'success' WHEN confidence >= 70 THEN 'warning' ELSE 'danger' END AS band,
+count(*) AS n FROM confidences1 GROUP BY ALL"""
+ORACLES["r11_quota_flag"] = "SELECT doc_id, final_score = 0 AND " + " AND ".join(f"{l} = 0" for l in C.MODEL_LAYERS) + " AS quota_suspected FROM final_scores"
+ORACLES["c11_score_drift"] = """SELECT doc_id, layer, score_a, score_b, delta, max(delta) OVER (PARTITION BY doc_id) AS max_delta,
+ CASE WHEN delta <= 0.5 THEN 'OK' ELSE 'DRIFT' END AS status
+FROM (SELECT a.doc_id, a.layer, a.score AS score_a, coalesce(b.score, 0) AS score_b, abs(coalesce(b.score, 0) - a.score) AS delta
+  FROM review_layers a LEFT JOIN calibrated_layers b ON a.doc_id = b.doc_id AND a.layer = b.layer)"""
+
+# --- batch validation ------------------------------------------------------------
+
+CTES["results"] = D.results_sql(DD)
+CTES["meta"] = D.meta_sql(DD)
+CTES["answers"] = "SELECT *, CAST(response_json AS JSON) AS j FROM results WHERE response_json IS NOT NULL"
+CTES["missing_rows"] = "SELECT paper, concat_ws(',', " + ", ".join(
+    f"CASE WHEN json_type(j, '$.{k}') IS NULL THEN '{k}' END" for k in C.RESULT_KEYS) + ") AS missing FROM answers"
+GRADE_LIST = "[" + ", ".join(f"'{g}'" for g in C.GRADE_TEXT.values()) + "]"
+CTES["range_rows"] = " UNION ALL ".join(
+    f"SELECT paper, concat('layer_scores.{l} out of range [0,10]: ', CAST(v AS VARCHAR)) AS error FROM (SELECT paper, CAST(json_extract(j, '$.layer_scores.{l}') AS DOUBLE) AS v FROM answers) WHERE v < 0 OR v > 10"
+    for l in C.LAYERS) + f"""
+UNION ALL SELECT paper, concat('final_score out of range [0,100]: ', CAST(v AS VARCHAR)) FROM (SELECT paper, CAST(json_extract(j, '$.final_score') AS DOUBLE) AS v FROM answers) WHERE v < 0 OR v > 100
+UNION ALL SELECT paper, concat({q("Invalid grade: '")}, g, {q("' (expected one of " + GRADE_LIST + ")")}) FROM (SELECT paper, json_extract_string(j, '$.grade') AS g FROM answers)
+WHERE g NOT IN ({', '.join(q(g) for g in C.GRADE_TEXT.values())})"""
+
+
+def warn(l: str) -> str:
+    p = f"$.layer_details.{l}"
+    zero = f"CASE WHEN CAST(json_extract(j, '{p}.score') AS DOUBLE) = 0 THEN 'layer {l} returned score 0 — possible analysis failure' END" if l != "citations" else "NULL"
+    return f"""CASE WHEN json_type(j, '{p}') IS NULL THEN 'Missing layer_details entry: {l}' END,
+ CASE WHEN json_array_length(j, '{p}.issues') = 0 THEN {q(f"layer_details.{l} 'issues' is empty or not a list")} END, {zero}"""
+
+
+CTES["layer_warnings"] = "SELECT paper, concat_ws('|', " + ", ".join(warn(l) for l in C.LAYERS) + ") AS warnings, concat_ws(',', " + ", ".join(
+    f"CASE WHEN contains(CAST(json_extract(j, '$.layer_details.{l}.issues') AS VARCHAR), {q(C.STALE_FALLBACK_ISSUE)}) OR json_extract_string(j, '$.layer_details.{l}.analysis_failed') = 'true' THEN '{l}' END" for l in C.LAYERS) + ") AS fallback FROM answers"
+shown = " ".join(f"WHEN '{d}' THEN '{k}'" for k, d, _ in C.SECTIONS)
+CTES["gap_rows"] = f"""
+SELECT paper, section FROM (SELECT paper, unnest(string_split(expected, ',')) AS section FROM meta) e JOIN answers USING (paper)
+WHERE section NOT IN (SELECT CASE k {shown} ELSE lower(k) END FROM (SELECT unnest(json_keys(j, '$.detected_sections')) AS k))"""
+CTES["cite_facts"] = """
+SELECT paper, has_dois, expected_ref_count, CAST(json_extract(j, '$.citation_result.total_refs') AS BIGINT) AS refs,
+ CAST(json_extract(j, '$.citation_result.verified') AS BIGINT) AS verified, json_array_length(j, '$.citation_result.flagged_dois') AS flagged
+FROM answers LEFT JOIN meta USING (paper)"""
+CTES["cite_gaps"] = """
+SELECT paper, 'citation_extraction_failure' AS gap_type, concat('Expected ~', expected_ref_count, ' refs but found 0') AS detail FROM cite_facts WHERE expected_ref_count > 5 AND refs = 0
+UNION ALL SELECT paper, 'doi_extraction_failure', concat('Paper expected to have DOIs but none were extracted (total_refs=', refs, ')') FROM cite_facts WHERE has_dois AND refs > 0 AND verified = 0 AND flagged = 0"""
+CTES["artifacts"] = """SELECT paper, CASE WHEN coalesce(report_size_bytes, 0) <= 0 THEN 'Report PDF not found'
+ WHEN report_size_bytes < 5000 THEN concat('Report PDF too small (', report_size_bytes, ' bytes, expected ≥5000)') END AS error FROM results"""
+CTES["error_rows"] = """
+SELECT paper, concat('Missing schema keys: [''', replace(missing, ',', ''', '''), ''']') AS error FROM missing_rows WHERE missing <> ''
+UNION ALL SELECT * FROM range_rows
+UNION ALL SELECT paper, concat('Report PDF: ', a.error) FROM artifacts a JOIN answers USING (paper) WHERE a.error IS NOT NULL
+UNION ALL SELECT paper, concat('Analysis failed: ', coalesce(error, 'unknown error')) FROM results WHERE response_json IS NULL"""
+CTES["warning_counts"] = """
+SELECT paper, sum(n) AS n FROM (
+  SELECT paper, CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, '|')) END + CASE WHEN fallback <> '' THEN 1 ELSE 0 END AS n FROM layer_warnings
+  UNION ALL SELECT paper, 1 FROM gap_rows GROUP BY paper UNION ALL SELECT paper, count(*) FROM cite_gaps GROUP BY paper) GROUP BY paper"""
+CTES["statuses"] = """
+SELECT r.paper, a.j IS NOT NULL AND missing = '' AS schema_ok, a.j IS NOT NULL AND r.paper NOT IN (SELECT paper FROM range_rows) AS score_ranges_ok,
+ a.j IS NOT NULL AND warnings = '' AND fallback = '' AS layer_details_ok, a.j IS NOT NULL AND f.error IS NULL AS report_pdf_ok,
+ CASE WHEN e.n > 0 THEN 'FAIL' WHEN w.n > 0 THEN 'WARN' ELSE 'PASS' END AS status,
+ CAST(coalesce(w.n, 0) AS BIGINT) AS n_warnings, coalesce(e.n, 0) AS n_errors, CAST(json_extract(a.j, '$.final_score') AS DOUBLE) AS final_score, r.analyze_time_ms AS ms
+FROM results r LEFT JOIN answers a USING (paper) LEFT JOIN missing_rows USING (paper) LEFT JOIN layer_warnings USING (paper) LEFT JOIN artifacts f USING (paper)
+LEFT JOIN (SELECT paper, count(*) AS n FROM error_rows GROUP BY paper) e USING (paper) LEFT JOIN warning_counts w USING (paper)"""
+CTES["finding_rows"] = """
+SELECT paper, 'section_gap' AS kind, section AS item, NULL::VARCHAR AS detail FROM gap_rows
+UNION ALL SELECT paper, 'citation_gap', gap_type, detail FROM cite_gaps
+UNION ALL SELECT paper, 'fallback_layer', unnest(string_split(fallback, ',')), NULL FROM layer_warnings WHERE fallback <> ''
+UNION ALL SELECT paper, 'error', error, NULL FROM error_rows"""
+ORACLES["q1_check_schema"] = "SELECT * FROM missing_rows"
+ORACLES["q2_check_ranges"] = "SELECT * FROM range_rows"
+ORACLES["q3_check_layers"] = "SELECT * FROM layer_warnings"
+ORACLES["q4_section_gaps"] = "SELECT * FROM gap_rows"
+ORACLES["q5_citation_gaps"] = "SELECT * FROM cite_gaps"
+ORACLES["q6_check_artifacts"] = "SELECT * FROM artifacts"
+ORACLES["q7_validate"] = "SELECT * EXCLUDE (final_score, ms) FROM statuses"
+ORACLES["q8_run_summary"] = """
+SELECT count(*) AS total, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'FAIL') AS fail,
+ round(avg(final_score), 6) AS avg_score, round(avg(ms) FILTER (ms > 0), 6) AS avg_time_ms,
+ (SELECT count(*) FROM finding_rows WHERE kind = 'fallback_layer') AS total_fallback_layers, (SELECT count(*) FROM gap_rows) AS total_section_gaps,
+ (SELECT count(*) FROM cite_gaps) AS total_citation_gaps, CAST(sum(n_warnings) AS BIGINT) AS total_warnings, CAST(sum(n_errors) AS BIGINT) AS total_errors
+FROM statuses"""
+ORACLES["q9_findings"] = "SELECT * FROM finding_rows"
+ORACLES["q10_run_verdict"] = """SELECT CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAILURES DETECTED'
+ WHEN count(*) FILTER (status = 'WARN') > 0 THEN 'WARNINGS FOUND' ELSE 'ALL CLEAR' END AS verdict FROM statuses"""
+ORACLES["q11_batch_counts"] = """SELECT category, count(*) FILTER (analyze_status = 200) AS success, count(*) FILTER (analyze_status <> 200) AS failed,
+ round(avg(analyze_time_ms), 6) AS avg_time_ms, CAST(quantile_disc(analyze_time_ms, 0.5) AS BIGINT) AS median_time_ms FROM results GROUP BY category"""
+ORACLES["e3_validate_batch"] = "SELECT kind, item, count(*) AS n FROM finding_rows GROUP BY kind, item"

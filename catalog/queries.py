@@ -10,13 +10,19 @@ from pyspark.sql import types as T
 
 from scholium.functions import compression as CF
 from scholium.functions import headings as H
+from scholium.constants import LAYERS
 from scholium.functions import prompts as PF
 from scholium.functions import references as RF
+from scholium.functions import scoring as SC
 from scholium.functions import sections as SECF
 from scholium.operators import compression as COMP
 from scholium.operators import prompts as PR
 from scholium.operators import references as REF
+from scholium.operators import reviews as RV
+from scholium.operators import validation as VAL
 from scholium.operators import verification as V
+from scholium.plans import analyze as PLAN
+from scholium.sources import incremental as INC
 from scholium.operators import sections as SEC
 from scholium.sources import derived
 from scholium.sources import readers
@@ -484,5 +490,250 @@ def v13_citation_summary(spark, sf_dir):
     return V.citation_summary(citations(spark, sf_dir))
 
 
+# --- sources and incremental analysis ------------------------------------------
+
+@query
+def s1_load_papers(spark, sf_dir):
+    accepted, rejected = readers.load_papers(spark, f"{sf_dir}/documents.parquet")
+    return accepted.select("doc_id", F.lit("accepted").alias("outcome")).unionByName(
+        rejected.select("doc_id", F.col("reason").alias("outcome")))
+
+
+@query
+def s4_pick_first_available(spark, sf_dir):
+    return readers.pick_first_available(
+        derived.load(spark, sf_dir, derived.candidates_sql), derived.load(spark, sf_dir, derived.fallback_sql))
+
+
+@query
+def s5_parse_reviews(spark, sf_dir):
+    rows = parsed_reviews(spark, sf_dir)
+    return rows.select("doc_id", "analysis_failed", "discipline", F.explode_outer("layers").alias("x")).select(
+        "doc_id", "analysis_failed", "discipline", "x.layer", "x.score",
+        F.array_join("x.issues", "|").alias("issues"), F.array_join("x.suggestions", "|").alias("suggestions"))
+
+
+def keyed_documents(spark, sf_dir):
+    return PR.content_key(documents(spark, sf_dir), "text").select("doc_id", "content_key")
+
+
+def stored_keys(spark, sf_dir):
+    d = keyed_documents(spark, sf_dir).where(F.col("doc_id") % 3 == 0)
+    return d.groupBy("content_key").agg(F.min("doc_id").alias("stored_doc"))
+
+
+@query
+def s9_incremental(spark, sf_dir):
+    hits, misses = INC.plan_incremental(keyed_documents(spark, sf_dir), stored_keys(spark, sf_dir))
+    return hits.select("doc_id", "stored_doc").unionByName(misses.select("doc_id", F.lit(-1).cast("bigint").alias("stored_doc")))
+
+
+@query
+def s9_merge_store(spark, sf_dir):
+    new = keyed_documents(spark, sf_dir).select(
+        "doc_id", "content_key", F.col("doc_id").alias("stored_doc"), (F.col("doc_id") % 7 == 0).alias("analysis_failed"))
+    return INC.merge_store(stored_keys(spark, sf_dir), new)
+
+
+# --- reviews and scores --------------------------------------------------------
+
+def reviews(spark, sf_dir):
+    return derived.load(spark, sf_dir, derived.reviews_sql)
+
+
+def parsed_reviews(spark, sf_dir):
+    return RV.parse_reviews(reviews(spark, sf_dir))
+
+
+def layered(spark, sf_dir):
+    """Calibrated reviews with a derived citations layer; every seventh paper has none."""
+    cites = reviews(spark, sf_dir).where(F.col("doc_id") % 7 != 0).select(
+        "doc_id", (F.col("doc_id") * 3 % 21 / 2.0).alias("score"),
+        F.array(F.lit("citation issue")).alias("issues"), F.array(F.lit("fix citations")).alias("suggestions"))
+    return RV.add_citations_layer(RV.calibrate(parsed_reviews(spark, sf_dir)), cites)
+
+
+def scored(spark, sf_dir):
+    return RV.weighted_score(layered(spark, sf_dir))
+
+
+@query
+def r1_layer_rows(spark, sf_dir):
+    return RV.layer_rows(parsed_reviews(spark, sf_dir)).select("doc_id", "layer", "score")
+
+
+@query
+def r2_calibrate(spark, sf_dir):
+    return RV.layer_rows(layered(spark, sf_dir)).select("doc_id", "layer", "score")
+
+
+@query
+def r3_resolve_discipline(spark, sf_dir):
+    raw = reviews(spark, sf_dir).select("doc_id", F.get_json_object("review_json", "$.discipline").alias("discipline"))
+    return RV.resolve_discipline(raw)
+
+
+@query
+def r4_weighted_score(spark, sf_dir):
+    return scored(spark, sf_dir).select("doc_id", "discipline", "final_score")
+
+
+@query
+def r5_grade(spark, sf_dir):
+    return scored(spark, sf_dir).select("doc_id", "grade")
+
+
+@query
+def r6_marks(spark, sf_dir):
+    return RV.marks(layered(spark, sf_dir)).select("doc_id", "layer", "max_marks", "earned")
+
+
+@query
+def r7_worst_layers(spark, sf_dir):
+    return RV.worst_layers(layered(spark, sf_dir))
+
+
+@query
+def r8_verdict(spark, sf_dir):
+    return RV.verdict(scored(spark, sf_dir)).select("doc_id", "verdict_text")
+
+
+@query
+def r9_labels(spark, sf_dir):
+    return RV.labels(scored(spark, sf_dir))
+
+
+@query
+def r10_bands(spark, sf_dir):
+    return RV.bands(scored(spark, sf_dir))
+
+
+@query
+def r10_confidence_bands(spark, sf_dir):
+    rows = SEC.section_confidence(SEC.long_sections(bundled(spark, sf_dir)))
+    return rows.groupBy("section", SC.confidence_band(F.col("confidence")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def r11_quota_flag(spark, sf_dir):
+    return RV.quota_flag(scored(spark, sf_dir))
+
+
+@query
+def c11_score_drift(spark, sf_dir):
+    """Drift between raw and calibrated layer scores."""
+    return COMP.score_drift(RV.layer_rows(parsed_reviews(spark, sf_dir)), RV.layer_rows(layered(spark, sf_dir)))
+
+
+# --- batch validation ------------------------------------------------------------
+
+def results(spark, sf_dir):
+    return derived.load(spark, sf_dir, derived.results_sql)
+
+
+def meta(spark, sf_dir):
+    m = derived.load(spark, sf_dir, derived.meta_sql)
+    return m.withColumn("expected_sections", F.split("expected", ","))
+
+
+def validations(spark, sf_dir):
+    return VAL.validate(results(spark, sf_dir), meta(spark, sf_dir))
+
+
+@query
+def q1_check_schema(spark, sf_dir):
+    r = VAL.with_response(results(spark, sf_dir)).where(F.col("keys").isNotNull())
+    return r.select("paper", F.array_join(VAL.missing_keys(), ",").alias("missing"))
+
+
+@query
+def q2_check_ranges(spark, sf_dir):
+    r = VAL.with_response(results(spark, sf_dir)).where(F.col("keys").isNotNull())
+    return r.select("paper", F.explode_outer(VAL.range_errors()).alias("error")).where(F.col("error").isNotNull())
+
+
+@query
+def q3_check_layers(spark, sf_dir):
+    r = VAL.with_response(results(spark, sf_dir)).where(F.col("keys").isNotNull())
+    return r.select("paper", F.array_join(VAL.layer_warnings(), "|").alias("warnings"),
+                    F.array_join(VAL.fallback_layers(), ",").alias("fallback"))
+
+
+@query
+def q4_section_gaps(spark, sf_dir):
+    return validations(spark, sf_dir).select("paper", F.inline_outer("section_gaps")).where(
+        F.col("section").isNotNull()).select("paper", "section")
+
+
+@query
+def q5_citation_gaps(spark, sf_dir):
+    return validations(spark, sf_dir).select("paper", F.inline_outer("citation_gaps")).where(F.col("gap_type").isNotNull())
+
+
+@query
+def q6_check_artifacts(spark, sf_dir):
+    return results(spark, sf_dir).select("paper", VAL.artifact_error().alias("error"))
+
+
+@query
+def q7_validate(spark, sf_dir):
+    return validations(spark, sf_dir).select(
+        "paper", "schema_ok", "score_ranges_ok", "layer_details_ok", "report_pdf_ok", "status",
+        F.size("warnings").alias("n_warnings"), F.size("errors").alias("n_errors"))
+
+
+@query
+def q8_run_summary(spark, sf_dir):
+    s = VAL.run_summary(validations(spark, sf_dir))
+    return s.withColumn("avg_score", F.round("avg_score", 6)).withColumn("avg_time_ms", F.round("avg_time_ms", 6))
+
+
+@query
+def q9_findings(spark, sf_dir):
+    return VAL.findings(validations(spark, sf_dir))
+
+
+@query
+def q10_run_verdict(spark, sf_dir):
+    return VAL.run_verdict(VAL.run_summary(validations(spark, sf_dir)))
+
+
+@query
+def q11_batch_counts(spark, sf_dir):
+    c = VAL.batch_counts(results(spark, sf_dir))
+    return c.withColumn("avg_time_ms", F.round("avg_time_ms", 6)).withColumn("median_time_ms", F.col("median_time_ms").cast("bigint"))
+
+
+# --- whole jobs ------------------------------------------------------------------
+
+def analysis(spark, sf_dir):
+    return PLAN.analyze_corpus(
+        papers(spark, sf_dir), links(spark, sf_dir), heading_map(spark, sf_dir), reviews(spark, sf_dir),
+        works(spark, sf_dir), preprints(spark, sf_dir), NOW, lookup_log(spark, sf_dir))
+
+
+@query
+def r12_analysis_record(spark, sf_dir):
+    """The nested record of a paper as JSON, without the key columns."""
+    a = analysis(spark, sf_dir)
+    return a.select("doc_id", F.to_json(F.struct(*[c for c in a.columns if c != "doc_id"])).alias("record"))
+
+
+@query
+def e1_analyze_corpus(spark, sf_dir):
+    a = analysis(spark, sf_dir)
+    return a.select(
+        "doc_id", "content_key", "section_count", F.array_join("warnings", ",").alias("warnings"),
+        "discipline", "grade",
+        *[F.try_element_at("layer_scores", F.lit(l)).alias(l) for l in LAYERS],
+        "citation_result.total_refs", "citation_result.verified")
+
+
+@query
+def e3_validate_batch(spark, sf_dir):
+    out = PLAN.validate_batch(results(spark, sf_dir), meta(spark, sf_dir))
+    return out["findings"].groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["l11_section_confidence"](spark, sf_dir)
+    return QUERIES["e1_analyze_corpus"](spark, sf_dir)

@@ -82,7 +82,7 @@ def duplicate_refs(refs: DataFrame) -> DataFrame:
     )
 
 
-def reference_facts(docs: DataFrame, now: int) -> DataFrame:
+def reference_facts(docs: DataFrame, now: int, keep: list[str] | None = None) -> DataFrame:
     """Everything the citation score needs from the text, per document.
 
     Input (doc_id, text, refs, links ARRAY). Reference lines are reduced to what later stages
@@ -128,7 +128,7 @@ def reference_facts(docs: DataFrame, now: int) -> DataFrame:
         recency=RF.recency(F.col("lines"), F.col("paper_year"), now),
     ).select(
         "doc_id", "blank", "total_refs", "dois", "doi_labels", "arxiv_ids", "items",
-        "duplicates", "recency",
+        "duplicates", "recency", *(keep or []),
     )
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholium.constants import STALE_FALLBACK_ISSUE
 from scholium.sources.readers import spread
 from scholium.sources.shared import materialize
 
@@ -267,7 +268,74 @@ def reviews_sql(D: Dialect) -> str:
     return f"SELECT doc_id, {review_json(D)} AS review_json FROM documents"
 
 
-PAPERS, HEADING_MAP, WORKS = papers_sql, heading_map_sql, works_sql
+def candidates_sql(D: Dialect) -> str:
+    return (f"SELECT 'q' || {s('doc_id - doc_id % 5')} AS name, doc_id % 5 AS priority, "
+            f"{arxiv('doc_id')} AS arxiv_id, {title(D, 'doc_id')} AS title, "
+            "doc_id % 7 IN (1, 4) AS available FROM documents")
+
+
+def fallback_sql(D: Dialect) -> str:
+    return (f"SELECT 'q' || {s('doc_id')} AS name, {arxiv('doc_id * 3')} AS arxiv_id, "
+            f"{title(D, 'doc_id * 3')} AS title, doc_id % 9 <> 0 AS available "
+            "FROM documents WHERE doc_id % 5 = 0")
+
+
+def response_json(D: Dialect) -> str:
+    def layer(name: str, k: int) -> str:
+        score = s(f"1 + (doc_id * {k}) % 9")
+        return (f"'\"{name}\":{{\"score\":' || {score} || "
+                f"'.0,\"issues\":[\"i {name}\"],\"suggestions\":[\"s\"]}}'")
+
+    m = "doc_id % 10"
+    name = "'\"filename\":\"p' || " + s("doc_id") + " || '.pdf\",'"
+    filename = f"(CASE WHEN {m} = 1 THEN '' ELSE {name} END)"
+    shown = ("(CASE doc_id % 3 WHEN 0 THEN '\"Abstract\":90,\"Methods\":88,\"Results\":84,\"References\":95' "
+             "WHEN 1 THEN '\"Abstract\":90,\"Introduction\":81,\"References\":95' "
+             "ELSE '\"Odd\":80,\"Methods\":83' END)")
+    high = f"(CASE WHEN {m} = 3 THEN '12.5' ELSE '6.5' END)"
+    low = f"(CASE WHEN {m} = 5 THEN '0.0' ELSE '5.5' END)"
+    scores = (f"'\"layer_scores\":{{\"structure_sections\":' || {high} || "
+              f"',\"clarity_writing\":7.0,\"methodology_rigor\":' || {low} || "
+              f"',\"evidence_claims\":8.0,\"citations\":' || {s('doc_id % 7')} || '.5}},'")
+    structure = (f"(CASE WHEN {m} = 4 THEN "
+                 "'\"structure_sections\":{\"score\":5.0,\"issues\":[],\"suggestions\":[\"s\"]}' "
+                 f"ELSE {layer('structure_sections', 2)} END)")
+    method = (f"(CASE WHEN {m} = 5 THEN '\"methodology_rigor\":{{\"score\":0.0,\"issues\":[\""
+              f"{STALE_FALLBACK_ISSUE}\"],\"suggestions\":[\"s\"]}}' "
+              f"WHEN {m} = 6 THEN '\"methodology_rigor\":{{\"score\":0.0,\"issues\":[\"x\"],"
+              "\"suggestions\":[\"s\"],\"analysis_failed\":true}' "
+              f"ELSE {layer('methodology_rigor', 4)} END)")
+    cites = f"(CASE WHEN {m} = 4 THEN '' ELSE ',' || {layer('citations', 7)} END)"
+    details = (f"'\"layer_details\":{{' || {structure} || ',' || {layer('clarity_writing', 3)} || ',' || "
+               f"{method} || ',' || {layer('evidence_claims', 5)} || {cites} || '}},'")
+    final = f"(CASE WHEN doc_id % 20 = 16 THEN '120.5' ELSE {s('doc_id % 100')} || '.5' END)"
+    grade = f"(CASE WHEN {m} = 2 THEN 'Z' ELSE {D.pick(['A — Excellent', 'B — Good', 'F — Very Poor'], 'doc_id')} END)"
+    refs = f"(CASE WHEN {m} IN (6, 7) THEN '0' ELSE {s('5 + doc_id % 30')} END)"
+    verified = f"(CASE WHEN {m} IN (7, 8) THEN '0' ELSE '4' END)"
+    flagged = "(CASE WHEN doc_id % 4 = 0 THEN '' ELSE '\"10.1/x\"' END)"
+    return (f"(CASE WHEN {m} = 0 THEN NULL ELSE '{{' || {filename} || '\"detected_sections\":{{' || {shown} || "
+            f"'}},\"section_count\":3,\"warnings\":[],' || {scores} || {details} || '\"final_score\":' || {final} || "
+            f"',\"grade\":\"' || {grade} || '\",\"citation_result\":{{\"total_refs\":' || {refs} || "
+            f"',\"verified\":' || {verified} || ',\"not_found\":1,\"unreachable\":0,\"flagged_dois\":[' || {flagged} || "
+            "'],\"flagged_items\":[]}}' END)")
+
+
+def results_sql(D: Dialect) -> str:
+    return (f"SELECT 'paper_' || {s('doc_id')} AS paper, 'Title ' || {s('doc_id')} AS title, "
+            f"{D.pick(['cs', 'bio', 'physics'], 'doc_id')} AS category, "
+            "CASE WHEN doc_id % 10 = 0 THEN 503 ELSE 200 END AS analyze_status, "
+            "(doc_id % 50) * 100 AS analyze_time_ms, "
+            "CASE WHEN doc_id % 25 = 7 THEN NULL WHEN doc_id % 25 = 8 THEN 1200 ELSE 10000 END AS report_size_bytes, "
+            f"CASE WHEN doc_id % 20 = 0 THEN 'timeout' END AS error, {response_json(D)} AS response_json FROM documents")
+
+
+def meta_sql(D: Dialect) -> str:
+    """Expected sections as one comma-separated string."""
+    sections = D.pick(["abstract,methodology,references", "abstract,introduction,references",
+                       "abstract,results"], "doc_id + doc_id % 2")
+    return (f"SELECT 'paper_' || {s('doc_id')} AS paper, {sections} AS expected, doc_id % 3 <> 1 AS has_dois, "
+            "cast(CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 3 ELSE 25 END AS INT) AS expected_ref_count "
+            "FROM documents WHERE doc_id % 15 <> 2")
 
 
 _TABLES: dict = {}
