@@ -17,27 +17,29 @@ from scholium.sources import derived as D
 DD = D.DUCKDB
 CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
+OVERRIDES: dict[str, dict[str, str]] = {}
 
 
 def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def with_ctes(body: str) -> str:
+def with_ctes(body: str, overrides: dict[str, str] | None = None) -> str:
     """Prepend every named sub-query that ``body`` uses, in definition order."""
+    ctes = {**CTES, **(overrides or {})}
     needed, frontier = set(), [body]
     while frontier:
         text = frontier.pop()
-        for name, sql in CTES.items():
+        for name, sql in ctes.items():
             if name not in needed and re.search(rf"\b{name}\b", text):
                 needed.add(name)
                 frontier.append(sql)
-    heads = [f"{n} AS (\n{CTES[n]}\n)" for n in CTES if n in needed]
+    heads = [f"{n} AS (\n{ctes[n]}\n)" for n in ctes if n in needed]
     return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + body
 
 
 def build_all() -> dict[str, str]:
-    return {name: with_ctes(sql) for name, sql in ORACLES.items()}
+    return {name: with_ctes(sql, OVERRIDES.get(name)) for name, sql in ORACLES.items()}
 
 
 def sub(col: str, pattern: str, repl: str = "", flags: str = "g") -> str:
@@ -570,7 +572,7 @@ CTES["hits"] = f"""
 SELECT title, found, shared, row_number() OVER (PARTITION BY title ORDER BY shared DESC, found) AS rank FROM (
   SELECT title, found, count(*) AS shared FROM ref_tokens JOIN work_tokens USING (token) GROUP BY title, found)
 JOIN (SELECT title, count(*) AS m FROM ref_tokens GROUP BY title) USING (title)
-WHERE shared >= ceil(m / 2) QUALIFY rank <= {C.TITLE_HITS}"""
+WHERE shared >= (3 * m + 4) // 5 QUALIFY rank <= {C.TITLE_HITS}"""
 CTES["title_sims"] = f"""
 SELECT h.title, years, 2.0::DOUBLE * len(list_intersect({grams('h.title')}, {grams('h.found')})) / (len({grams('h.title')}) + len({grams('h.found')})) AS sim
 FROM hits h JOIN work_titles w ON w.found = h.found"""
@@ -872,3 +874,17 @@ ORACLES["q10_run_verdict"] = """SELECT CASE WHEN count(*) FILTER (status = 'FAIL
 ORACLES["q11_batch_counts"] = """SELECT category, count(*) FILTER (analyze_status = 200) AS success, count(*) FILTER (analyze_status <> 200) AS failed,
  round(avg(analyze_time_ms), 6) AS avg_time_ms, CAST(quantile_disc(analyze_time_ms, 0.5) AS BIGINT) AS median_time_ms FROM results GROUP BY category"""
 ORACLES["e3_validate_batch"] = "SELECT kind, item, count(*) AS n FROM finding_rows GROUP BY kind, item"
+
+# --- whole jobs ------------------------------------------------------------------
+
+# The job scores the references of the two-tier sections, the V queries those of the first tier.
+CTES["job_layers"] = """
+SELECT doc_id, discipline, layer, score FROM calibrated_layers WHERE layer <> 'citations'
+UNION ALL SELECT s.doc_id, r.discipline, 'citations', s.score FROM scores s JOIN (SELECT DISTINCT doc_id, discipline FROM review_layers) r USING (doc_id)"""
+CTES["job_scores"] = final_scores("job_layers")
+CTES["job_warnings"] = ORACLES["l12_section_warnings"]
+ORACLES["e1_analyze_corpus"] = f"""
+SELECT doc_id, substr(sha256(prompt), 1, 16) AS content_key, section_count, warnings, discipline, final_score,
+  {by_letter(C.GRADE_TEXT)} AS grade, {", ".join(C.LAYERS)}, total_refs, verified
+FROM job_scores JOIN prompts USING (doc_id) JOIN job_warnings USING (doc_id) JOIN citation_rows USING (doc_id)"""
+OVERRIDES["e1_analyze_corpus"] = {"refs": CTES["refs"].replace("sections1 s", "sections s")}

@@ -724,7 +724,7 @@ def e1_analyze_corpus(spark, sf_dir):
     a = analysis(spark, sf_dir)
     return a.select(
         "doc_id", "content_key", "section_count", F.array_join("warnings", ",").alias("warnings"),
-        "discipline", "grade",
+        "discipline", "final_score", "grade",
         *[F.try_element_at("layer_scores", F.lit(l)).alias(l) for l in LAYERS],
         "citation_result.total_refs", "citation_result.verified")
 

@@ -106,8 +106,8 @@ def search_titles(
 ) -> DataFrame:
     """Best ``k`` registry titles for each distinct (lower-case) title: (title, found, years, shared).
 
-    A hit shares at least half of the query's words; hits rank by shared words, then title.
-    At least one of the query's ``m - ceil(m/2) + 1`` rarest words must be in any hit, so only
+    A hit shares at least 60 % of the query's words; hits rank by shared words, then title.
+    At least one of the query's ``m - ceil(0.6 m) + 1`` rarest words must be in any hit, so only
     those are joined on: the frequent words cost nothing and no hit is lost. A pair is emitted
     at its first common rare word only. Equal registry titles are one row with their years.
     ``cut`` may materialise the distinct titles and the probes, which are read several times.
@@ -132,7 +132,7 @@ def search_titles(
             F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token").alias("token"))
         )).alias("ranked"))
     )
-    need = F.ceil(F.size("ranked") / 2).cast("int")
+    need = F.floor((F.size("ranked") * 3 + 4) / 5).cast("int")
     probes = ranked.select(
         "title", need.alias("need"),
         F.transform("ranked", lambda x: x["token"]).alias("tokens"),
@@ -149,13 +149,15 @@ def search_titles(
     hot = hot_works.join(hot_refs, "token", "full_outer")
     left = _sliced(probes, hot, "ref", "work", F.xxhash64("title"))
     right = _sliced(postings, hot, "work", "ref", F.xxhash64("found"))
-    first_common = F.get(
-        F.filter("rare", lambda t: F.array_contains(F.col("found_tokens"), t)), F.lit(0)
-    )
+    first_common = F.get(F.array_intersect("rare", "found_tokens"), F.lit(0))
     shared = F.size(F.array_intersect("tokens", "found_tokens"))
+    # the join multiplies rows, so its partitions must not be merged by their input size
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["token", "_ref", "_work"]
     hits = (
-        left.join(right, ["token", "_ref", "_work"])
-        .where((shared >= F.col("need")) & (first_common == F.col("token")))
+        left.repartition(parts, *keys)
+        .join(right, keys)
+        .where((first_common == F.col("token")) & (shared >= F.col("need")))
         .select("title", "found", "years", shared.alias("shared"))
     )
     rank = Window.partitionBy("title").orderBy(F.desc("shared"), "found")
@@ -176,7 +178,8 @@ def verify_titles(
     if exact_ratio:
         similarity = SIM.sequence_ratio(F.col("title"), F.col("found"))
     else:
-        similarity = SIM.dice(SIM.bigrams(F.col("title")), SIM.bigrams(F.col("found")))
+        hits = pin(hits, a=SIM.bigrams(F.col("title")), b=SIM.bigrams(F.col("found")))
+        similarity = SIM.dice(F.col("a"), F.col("b"))
     scored = hits.withColumn("similarity", similarity)
     found = scored.groupBy(F.col("title").alias("key")).agg(
         F.collect_list(F.struct("similarity", "years")).alias("hits"))

@@ -45,10 +45,10 @@ SPARK, DUCKDB = Dialect("spark"), Dialect("duckdb")
 
 ADJ = ["Adaptive", "Spectral", "Robust", "Sparse", "Hybrid", "Causal", "Latent", "Neural",
        "Modular", "Dynamic", "Bayesian"]
-NOUN = ["models", "estimators", "kernels", "embeddings", "samplers", "filters", "planners",
-        "operators", "sensors", "markets", "proteins", "corpora", "lattices"]
-VERB = ["accelerating", "explaining", "comparing", "predicting", "measuring", "compressing",
-        "aligning"]
+HEADS = ["lum", "tar", "vex", "mor", "sil", "gran", "pol", "quen", "dra", "fen", "hox"]
+MIDDLES = ["ora", "iva", "edu", "ano", "isk", "ulo", "emi", "aru", "oti", "uze", "ebo", "yma", "ilo"]
+TAILS = ["tron", "gen", "form", "net", "path", "cast", "mark", "field", "scope", "wave", "graph",
+         "plex", "node", "span", "core", "type", "band"]
 OBJ = ["climate", "traffic", "genome", "language", "vision", "energy", "supply", "quantum",
        "epidemic", "speech", "urban", "marine", "financial", "robotic", "social", "clinical",
        "historical"]
@@ -67,8 +67,11 @@ def doi(w: str) -> str:
 
 
 def title(D: Dialect, w: str) -> str:
-    return (f"({D.pick(ADJ, w)} || ' ' || {D.pick(NOUN, w)} || ' ' || {D.pick(VERB, w)} || ' ' || "
-            f"{D.pick(OBJ, w)} || ' systems')")
+    """Common words and three composed rarer ones; works that share the first are near titles."""
+    first = f"{D.pick(HEADS, w)} || {D.pick(MIDDLES, w)} || 'ine'"
+    second = f"{D.pick(MIDDLES[:7], w)} || {D.pick(TAILS, w)}"
+    third = f"{D.pick(HEADS + TAILS[:8], w)} || {D.pick(TAILS + MIDDLES[:6], w)} || 'al'"
+    return (f"({D.pick(ADJ, w)} || ' ' || {first} || ' ' || {second} || ' for ' || {third} || ' systems')")
 
 
 def year(w: str) -> str:
