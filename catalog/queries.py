@@ -67,7 +67,7 @@ def bundled(spark, sf_dir):
 
 
 def detected(spark, sf_dir):
-    return SEC.detect_sections(papers(spark, sf_dir), heading_map(spark, sf_dir))
+    return SEC.detect_sections(papers(spark, sf_dir), heading_map(spark, sf_dir), cut=materialize)
 
 
 # --- lines, headings, sections ---------------------------------------------
@@ -411,13 +411,13 @@ def v1_lookup_status(spark, sf_dir):
 
 @query
 def v2_verify_dois(spark, sf_dir):
-    dois = REF.extract_dois(refs(spark, sf_dir))
+    dois = materialize(REF.extract_dois(refs(spark, sf_dir)))
     return V.verify_dois(dois, works(spark, sf_dir), lookup_log(spark, sf_dir))
 
 
 @query
 def v3_verify_arxiv(spark, sf_dir):
-    ids = REF.extract_arxiv(refs(spark, sf_dir))
+    ids = materialize(REF.extract_arxiv(refs(spark, sf_dir)))
     return V.verify_arxiv(ids, preprints(spark, sf_dir), lookup_log(spark, sf_dir))
 
 
@@ -437,7 +437,7 @@ def v4_verify_titles(spark, sf_dir):
 @query
 def v5_uncovered_refs(spark, sf_dir):
     r = refs(spark, sf_dir)
-    dois = V.verify_dois(REF.extract_dois(r), works(spark, sf_dir), lookup_log(spark, sf_dir))
+    dois = V.verify_dois(materialize(REF.extract_dois(r)), works(spark, sf_dir), lookup_log(spark, sf_dir))
     return V.uncovered_refs(REF.ref_lines(r), dois.where(F.col("status") == "verified"))
 
 
