@@ -24,7 +24,7 @@ CANDIDATE_ROMAN = uni(r"^[IVX]{1,5}\.\s+[A-Z]")
 # Event codes, one character per line: a..h open a section, hard and soft stops, plain text.
 SECTION_CODE = {s[0]: chr(ord("a") + i) for i, s in enumerate(SECTIONS)}
 REFERENCES_CODE = SECTION_CODE["references"]
-HARD_STOP, SOFT_STOP, PLAIN, UNUSED = "X", "s", ".", "-"
+HARD_STOP, SOFT_STOP, PLAIN = "X", "s", "."
 
 
 def clean_heading(line: Column) -> Column:

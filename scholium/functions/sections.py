@@ -17,11 +17,11 @@ from scholium.constants import (
     FALLBACK_SCAN_WINDOW, MAX_CANDIDATE_HEADINGS, SECTION_KEYS, SECTIONS, VALID_MAP_KEYS,
 )
 from scholium.functions.headings import (
-    HARD_STOP, PLAIN, REFERENCES_CODE, SECTION_CODE, SOFT_STOP, UNUSED, clean_heading,
+    HARD_STOP, PLAIN, REFERENCES_CODE, SECTION_CODE, SOFT_STOP, clean_heading,
     has_stop_word, heading_rule, is_appendix_letter, is_candidate_heading, line_code,
 )
 from scholium.functions.text import (
-    empty_strings, extract, extract_all, first_by_key, has, let, split_lines, strip, sub, uni,
+    extract, extract_all, first_by_key, has, let, split_lines, strip, sub, uni,
 )
 
 SECTION_STRUCT = "struct<section:string,text:string,by_hash:boolean>"
@@ -201,9 +201,3 @@ def confidence(text: Column, by_hash: Column, tier: Column) -> Column:
     )
     raw = base + bonus + F.pmod(points, F.lit(6))
     return F.greatest(F.least(raw, F.lit(99)), F.lit(80)).cast("int")
-
-
-__all__ = [
-    "candidate_headings", "confidence", "empty_strings", "found_count", "keyword_sections",
-    "map_sections", "merge_sections", "scan_missing", "section_runs", "UNUSED",
-]

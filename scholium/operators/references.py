@@ -130,10 +130,3 @@ def reference_facts(docs: DataFrame, now: int, keep: list[str] | None = None) ->
         "doc_id", "blank", "total_refs", "dois", "doi_labels", "arxiv_ids", "items",
         "duplicates", "recency", *(keep or []),
     )
-
-
-__all__ = [
-    "duplicate_refs", "empty_strings", "extract_arxiv", "extract_dois", "merge_dois",
-    "paper_year", "recency", "ref_counts", "ref_lines", "ref_titles", "reference_facts",
-    "references_of", "total_refs",
-]

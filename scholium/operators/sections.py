@@ -16,7 +16,7 @@ from scholium.constants import (
 )
 from scholium.functions import headings as H
 from scholium.functions import sections as S
-from scholium.functions.text import is_upper, let, split_lines, strip
+from scholium.functions.text import is_upper, split_lines, strip
 from scholium.operators.frames import pin
 from scholium.operators.lookup import is_small, lookup_join
 
@@ -225,12 +225,3 @@ def compare_extractions(a: DataFrame, b: DataFrame) -> DataFrame:
         F.when(in_a & in_b, "both").when(in_a, "a_only").when(in_b, "b_only")
         .otherwise("neither").alias("outcome"),
     )
-
-
-__all__ = [
-    "candidate_headings", "compare_extractions", "detect_sections", "explode_lines",
-    "fallback_scan", "map_headings", "heading_profile", "keyword_sections", "let",
-    "line_events", "long_sections", "merge_tiers", "section_confidence", "section_profile",
-    "section_warnings", "segment_by_map", "segment_sections", "warning_list",
-    "with_confidence",
-]

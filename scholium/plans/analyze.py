@@ -14,7 +14,6 @@ from scholium.operators import reviews as RV
 from scholium.operators import sections as SEC
 from scholium.operators import validation as VAL
 from scholium.operators import verification as V
-from scholium.operators.frames import pin
 from scholium.sources.readers import link_dois
 from scholium.sources.shared import materialize
 
@@ -124,7 +123,3 @@ def validate_batch(results: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
         "verdict": VAL.run_verdict(summary),
         "counts": VAL.batch_counts(results),
     }
-
-
-__all__ = ["analysis_record", "analyze_corpus", "analyze_prepared", "pin", "prepare_corpus",
-           "validate_batch"]
