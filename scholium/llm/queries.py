@@ -24,3 +24,21 @@ def op9_token_counts(spark, sf_dir):
     from scholium.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    from scholium.llm.common import held_out
+    from scholium.llm.language_id import identify
+
+    out = identify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out(out.doc_id).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@query
+def op3_quality(spark, sf_dir):
+    from scholium.llm.common import held_out
+    from scholium.llm.quality import score
+
+    out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(out.doc_id).alias("held_out"), "score", "predicted")
