@@ -42,3 +42,10 @@ def op3_quality(spark, sf_dir):
 
     out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out(out.doc_id).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_best_fit_packing(spark, sf_dir):
+    from scholium.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
