@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,19 @@ def op1_best_fit_packing(spark, sf_dir):
     from scholium.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_secret_scans(spark, sf_dir):
+    from scholium.llm.secret_scan import scan, span_text
+
+    def of_kind(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    out = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return out.select(
+        "doc_id",
+        *[F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex", "crf")],
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+    )
