@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -30,10 +33,14 @@ END_ID = 1
 STEPS = 32
 PATTERN_DOCS = 4
 #: Distinct words whose ids a task remembers before it starts again; bounds its memory, not its results.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 300_000
+#: Words encoded in one call; bounds the tokenizer's own results.
+ENCODED_AT_ONCE = 2_000
+#: Words, of one document or more, whose new ones are learned together.
+LEARNED_AT_ONCE = 30_000
 _NOT_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS_SIGNS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def space_words(text: str | None) -> list[str]:
@@ -46,35 +53,73 @@ class WordIds:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in
-    a row. A word also falls apart between a letter or digit and trailing ASCII punctuation (without
-    the apostrophe, which may begin a contraction). Only words not met before are encoded.
+    a row. A word of Latin letters and trailing ASCII signs (without the apostrophe, which may begin a
+    contraction) also falls apart between the two. Only words not met before are encoded.
     """
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as little-endian 32-bit numbers")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _encode(self, letters: list[str], others: list[str]) -> None:
+        """``letters`` are encoded as one text each time: a run of letters ends with its only word-end token."""
+        for at in range(0, len(letters), ENCODED_AT_ONCE):
+            some = letters[at : at + ENCODED_AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise RuntimeError("the vocabulary does not mark every word's end")
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[i:j] for i, j in zip([0, *ends], ends)]))
+        for at in range(0, len(others), ENCODED_AT_ONCE):
+            some = others[at : at + ENCODED_AT_ONCE]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[part] = array("I", found.ids).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of words met for the first time, from those of letters and signs; case is dropped by the tokenizer."""
+        known, letters, others, split = self.known, set(), set(), []
+        for word in new:
+            found = _LETTERS_SIGNS.fullmatch(word)
+            if found:
+                head, tail = found.groups()
+                head = head.lower()
+                split.append((word, head, tail))
+                if head not in known:
+                    letters.add(head)
+                if tail and tail not in known:
+                    others.add(tail)
+            else:
+                others.add(word)
+        self._encode(list(letters), list(others))
+        for word, head, tail in split:
+            known[word] = known[head] + known[tail] if tail else known[head]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        known = self.known
-        words = [space_words(t) for t in texts]
-        new = set(itertools.chain.from_iterable(words)).difference(known)
-        split = {}
-        for word in new:
-            head = word.rstrip(_PUNCTUATION) if word.isascii() else word
-            split[word] = (head, word[len(head) :]) if head and head != word and head[-1].isalnum() else (word, "")
-        parts = [p for p in {p for pair in split.values() for p in pair} if p and (p not in known or p in new)]
-        ids = dict(zip(parts, self._encode(parts)))
-        known.update({p: i for p, i in ids.items() if len(p) < 64})
-        ids[""] = b""
-        local = {w: (ids.get(a) or known.get(a, b"")) + (ids.get(b) or known.get(b, b"")) for w, (a, b) in split.items()}
-        known.update({w: i for w, i in local.items() if len(w) < 64})
-        return [b"".join([local[w] if w in local else known[w] for w in ws]) for ws in words]
+        out: list[bytes] = []
+        waiting: list[list[str]] = []
+        size = 0
+        for text in [*texts, None]:
+            words = space_words(text)
+            waiting.append(words)
+            size += len(words)
+            if size > LEARNED_AT_ONCE or len(out) + len(waiting) > len(texts):
+                if len(self.known) > REMEMBERED_WORDS:
+                    self.known.clear()
+                new = set(itertools.chain.from_iterable(waiting)).difference(self.known)
+                if new:
+                    self._learn(new)
+                known = self.known
+                out += [b"".join([known[w] for w in ws]) for ws in waiting]
+                waiting, size = [], 0
+        return out[: len(texts)]
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
