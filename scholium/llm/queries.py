@@ -108,3 +108,11 @@ WITH turns AS (
 )
 SELECT conv_id, n_turns, turns_sha256, loss_chars::BIGINT AS loss_chars, loss_sha256, formatted_chars::BIGINT AS formatted_chars, escaped, exact FROM conv
 """
+
+
+@query
+def op10_nearest(spark, sf_dir):
+    from scholium.llm.nearest import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
