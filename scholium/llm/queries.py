@@ -116,3 +116,10 @@ def op10_nearest(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op4_near_dedup(spark, sf_dir):
+    from scholium.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
