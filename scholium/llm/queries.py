@@ -123,3 +123,30 @@ def op4_near_dedup(spark, sf_dir):
     from scholium.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query
+def op7_decontamination(spark, sf_dir):
+    from scholium.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op7_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+item AS (SELECT item_id, len(w) AS n, greatest(1, len(w) - 4) AS m, w FROM i WHERE len(w) > 0),
+ish AS (SELECT item_id, s, count(*) AS c FROM (
+    SELECT item_id, unnest(list_transform(range(1, m + 1), lambda p: array_to_string(w[p:p + least(5, n) - 1], ' '))) AS s FROM item) GROUP BY ALL),
+dsh AS (SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda p: array_to_string(w[p:p + 4], ' '))) AS s FROM d WHERE len(w) > 0)),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM dsh JOIN ish USING (s)),
+win AS (SELECT p.doc_id, p.item_id, n, m, unnest(range(0, len(d.w) - n + 1)) AS start FROM pairs p JOIN d USING (doc_id) JOIN item USING (item_id)),
+wsh AS (SELECT win.doc_id, win.item_id, win.n, win.m, start,
+    unnest(list_transform(range(1, win.m + 1), lambda p: array_to_string(d.w[start + p:start + p + least(5, win.n) - 1], ' '))) AS s FROM win JOIN d USING (doc_id)),
+cnt AS (SELECT doc_id, item_id, n, m, start, s, count(*) AS c FROM wsh GROUP BY ALL),
+sim AS (SELECT doc_id, cnt.item_id, n, start, sum(least(cnt.c, ish.c)) AS both_, any_value(m) AS m FROM cnt JOIN ish ON cnt.item_id = ish.item_id AND cnt.s = ish.s GROUP BY ALL)
+SELECT doc_id, item_id, (both_ / (2 * m - both_))::DOUBLE AS similarity, start::BIGINT AS start, n::BIGINT AS n_words FROM sim
+WHERE 100 * both_ >= 80 * (2 * m - both_)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY both_ / (2 * m - both_) DESC, start) = 1
+"""
