@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of one Arrow batch sent to a Python worker; bounds the worker's memory whatever the texts' lengths.
 BATCH_BYTES = 8 << 20
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a local one only where that is unset, in local mode."""
@@ -29,10 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame) -> DataFrame:
     """Write a frame once as Parquet in the shared folder and go on from the files.
 
-    Cuts the plan, lets later steps prune columns, and survives lost executors.
+    Cuts the plan, lets later steps prune columns, and survives lost executors. The shuffle files behind it
+    are not needed any more and are removed at once.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -150,3 +150,11 @@ SELECT doc_id, item_id, (both_ / (2 * m - both_))::DOUBLE AS similarity, start::
 WHERE 100 * both_ >= 80 * (2 * m - both_)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY both_ / (2 * m - both_) DESC, start) = 1
 """
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    from scholium.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
