@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import held_out, limit_batches, map_arrow
+from scholium.llm.common import held_out, id_and_text, limit_batches, map_arrow
 
 NGRAM = 4
 BUCKETS = 1 << 16
@@ -110,6 +110,22 @@ def mixture(counts: np.ndarray, probability: np.ndarray, penalty: float) -> tupl
     return full, selected
 
 
+def detect(text: str | None, langs: list[str], probability: np.ndarray, penalty: float) -> tuple[str, float, list[tuple[str, float]]]:
+    """Language, its share among all languages, and the selected mixture; ``probability`` is (BUCKETS, languages)."""
+    if not langs or not text or not _LETTER.search(text):
+        return UNDETERMINED, 0.0, []
+    full, selected = mixture(ngram_counts(text), probability, penalty)
+    best = int(np.argmax(selected))
+    return langs[best], float(min(1.0, full[best])), [(langs[i], float(selected[i])) for i in np.flatnonzero(selected)]
+
+
+def fitted(source: DataFrame):
+    """Broadcast model of ``train``: as many numbers as languages times BUCKETS."""
+    columns = [F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("text", "string"), ("lang", "string"))]
+    langs, probability = train(source.select(*columns))
+    return source.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(probability.T)))
+
+
 def identify(docs: DataFrame, training: DataFrame | None = None, penalty: float = 0.5) -> DataFrame:
     """Language of every text, with the shares of the languages it mixes.
 
@@ -121,28 +137,28 @@ def identify(docs: DataFrame, training: DataFrame | None = None, penalty: float
     Returns ``doc_id, lang_pred, score`` (EM share of that language among all) and ``mixture``
     (shares within the selected set).
     """
-    source = docs if training is None else training
-    langs, probability = train(source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
-    model = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(probability.T)))  # languages x BUCKETS
+    model = fitted(docs if training is None else training)
 
     def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, probability = model.value
-        preds, scores, mixtures = [], [], []
-        for text in batch.column(1).to_pylist():
-            if not langs or not text or not _LETTER.search(text):
-                preds.append(UNDETERMINED)
-                scores.append(0.0)
-                mixtures.append([])
-                continue
-            full, selected = mixture(ngram_counts(text), probability, penalty)
-            best = int(np.argmax(selected))
-            preds.append(langs[best])
-            scores.append(float(min(1.0, full[best])))
-            mixtures.append([(langs[i], float(selected[i])) for i in np.flatnonzero(selected)])
+        found = [detect(t, *model.value, penalty) for t in batch.column(1).to_pylist()]
+        preds, scores, mixtures = zip(*found)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.map_(pa.string(), pa.float64()))],
             names=["doc_id", "lang_pred", "score", "mixture"],
         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, answer, "doc_id long, lang_pred string, score double, mixture map<string,double>")
+    return map_arrow(id_and_text(docs), answer, "doc_id long, lang_pred string, score double, mixture map<string,double>")
+
+
+def accepted(docs: DataFrame, least_share: float = 0.5, penalty: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language with at least ``least_share`` of it.
+
+    Rows are judged in place, nothing is shuffled. Undetermined texts (null, or without a letter) go.
+    """
+    model, text = fitted(docs), docs.columns.index("text")
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [detect(t, *model.value, penalty) for t in batch.column(text).to_pylist()]
+        return batch.filter(pa.array([lang != UNDETERMINED and share >= least_share for lang, share, _ in found], pa.bool_()))
+
+    return map_arrow(docs, keep, docs.schema)

@@ -306,6 +306,13 @@ def train(docs: DataFrame) -> Field:
     return fit([(w.encode("utf-8", "surrogatepass").split(), list(t), f) for w, t, f in sorted(distinct)])
 
 
+def spans_of(text: str | None, tagger: Tagger) -> list[tuple[int, int, str]]:
+    """All spans of a text by start, then kind: the base spans, and the field's where they meet none."""
+    base = base_spans(text)
+    found = found_spans(text, tagger.tags(byte_words(text), len(text)), base) if text and tagger.field.weights[0] else []
+    return sorted(base + found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
 def scan(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
     """Spans of secrets in every whole text, in code points, end exclusive.
 
@@ -317,17 +324,39 @@ def scan(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(train(docs if training is None else training))
 
     def find(batch: pa.RecordBatch, tagger: Tagger) -> pa.RecordBatch:
-        out = []
-        for text in batch.column(1).to_pylist():
-            base = base_spans(text)
-            spans = base + (found_spans(text, tagger.tags(byte_words(text), len(text)), base) if text and tagger.field.weights[0] else [])
-            out.append([{"start": a, "end": b, "kind": k} for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))])
+        out = [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(text, tagger)] for text in batch.column(1).to_pylist()]
         span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], names=["doc_id", "spans"])
 
     return map_arrow(id_and_text(docs), find, "doc_id long, spans array<struct<start:long,end:long,kind:string>>", lambda: Tagger(field.value))
 
 
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mark``; spans that meet are replaced together.
+
+    All columns stay; ``n_chars``, where it is a column, becomes the new length. Null texts stay null. Nothing is shuffled.
+    """
+    field = docs.sparkSession.sparkContext.broadcast(train(docs))
+    at = docs.columns.index("text")
+
+    def clean(batch: pa.RecordBatch, tagger: Tagger) -> pa.RecordBatch:
+        out = []
+        for text in batch.column(at).to_pylist():
+            spans = spans_of(text, tagger)
+            if spans:
+                parts, done = [], 0
+                for start, end, _ in spans:
+                    if start >= done:
+                        parts += [text[done:start], mark]
+                    done = max(done, end)
+                text = "".join([*parts, text[done:]])
+            out.append(text)
+        return batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    cleaned = map_arrow(docs, clean, docs.schema, lambda: Tagger(field.value))
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+
+
 def span_text(spans):
     """A column of spans written as ``kind:start:end``, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
