@@ -2,13 +2,14 @@
 
 Every shingle throws its ranks 0, 1, 2, ... at positions of a random permutation; a signature holds the least
 rank and fraction per position and is complete as soon as no position waits for a later rank.
-Documents of equal shingle sets are one node. Nodes that share a band meet leaders of that bucket,
-round by round, until no two nodes of a bucket are left uncompared in different components: every
-link between different components is found, without writing out the pairs of a group.
+Documents of equal shingle sets are one node. Nodes that share a band meet the chief of that bucket,
+then what is still outside the bucket's largest component meets the rest: every link between different
+components is found, without writing out the pairs of a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,12 +128,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose full shingle sets are similar enough."""
+def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``a, b, common, total``: shingles in both and in either full set of the nodes of every pair."""
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     limit_batches(pairs.sparkSession)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets: dict[bytes, np.ndarray] = {}  # of this batch, whose bytes are bounded
@@ -140,58 +141,81 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 for k, node in enumerate(nodes):
                     if node not in sets:
                         sets[node] = shingle_hashes(column[k].as_py(), size)
-            keep = []
-            for x, y in zip(a, b):
-                x, y = sets[x], sets[y]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            if out.num_rows:
-                yield out
-
-    return sides.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
-
-
-def link(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Labels of all nodes that have a link, and the links found."""
-    spark = nodes.sparkSession
-    posted = nodes.select("node", "n", F.explode("keys").alias("key"))
+            common = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)]
+            total = [len(sets[x]) + len(sets[y]) - n for x, y, n in zip(a, b, common)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
+
+    return sides.select("a", "b", "ta", "tb").mapInArrow(count, "a binary, b binary, common long, total long")
+
+
+def least_bands(percent: int, bands: int, rows: int, risk: float = 1e-6) -> int:
+    """Bands that linked nodes share but for the given risk; 1, which banding asks for anyway, at least."""
+    p = (percent / 100) ** rows
+    fewer, shared = (1 - p) ** bands, 1
+    while True:
+        fewer += math.comb(bands, shared) * p**shared * (1 - p) ** (bands - shared)
+        if fewer > risk:
+            return shared
+        shared += 1
+
+
+def link(nodes: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``node, label`` of all nodes that have a link.
+
+    First every bucket's chief, the node whose buckets hold most, meets the others of the bucket. Of the
+    nodes still outside their bucket's largest component each then meets all others of another component,
+    which leaves no pair of a bucket unsettled. A pair is taken up in the first band it shares, and only if
+    distances to the bucket's chief allow the link: Jaccard distance is a metric, so two nodes are at
+    least as far apart as their distances to the chief differ.
+    """
+    ints = F.transform("keys", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))
+    posted = nodes.select("node", "n", ints.alias("bands"), F.posexplode("keys").alias("band", "key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     posted = store(posted.join(shared, "key"))
-    # those whose buckets hold most come first: a copy's source before its copies
-    reach = posted.groupBy("node").agg(F.sum("held").alias("reach"))
-    state = store(posted.join(reach, "node").select("key", "node", "n", "reach", F.col("node").alias("label")))
-    wanted = reach.select("node")
-    texts = store(texts.join(wanted, "node"))
-    labels = spark.createDataFrame([], "node binary, label binary")
-    links = spark.createDataFrame([], "a binary, b binary")
-    slices = 1
-    while not state.isEmpty():
-        part = F.pmod(F.xxhash64("node", F.lit(slices)), F.lit(slices))
-        chief = F.max_by(F.struct("node", "n", "label"), F.struct("reach", "node"))
-        chiefs = store(state.groupBy("key", part.alias("part")).agg(chief.alias("c")).select("key", "c.*").toDF("key", "chief", "chief_n", "chief_label"))
-        met = state.join(chiefs, "key").where(
-            (F.col("label") != F.col("chief_label"))
-            & (100 * F.least("n", "chief_n") >= percent * F.greatest("n", "chief_n"))
-        )
-        pairs = met.select(F.least("node", "chief").alias("a"), F.greatest("node", "chief").alias("b")).distinct()
-        found = store(verified(pairs, texts, size, percent))
-        links = links.union(found)
-        # components of components: a new link joins the labels its ends had
-        a, b = (labels.toDF(side, f"{side}_label") for side in "ab")
-        ends = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-        merged = components(ends)
-        new = merged.toDF("label", "to")
-        relabelled = labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        fresh = merged.join(labels, "node", "left_anti")
-        labels = store(relabelled.union(fresh))
-        # chiefs have met all of their bucket; buckets with one component left are done
-        rest = state.drop("label").join(chiefs.select("key", F.col("chief").alias("node")), ["key", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
-        state = store(rest.join(open_keys, "key", "left_semi"))
-        slices *= 2
-    return labels, links
+    reach = store(posted.groupBy("node").agg(F.sum("held").alias("reach")))
+    texts = store(texts.join(reach.select("node"), "node"))
+    ranked = posted.select("key", "node", "n").join(reach, "node")
+    chiefs = store(
+        ranked.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("reach", "node")).alias("c"))
+        .select("key", F.col("c.node").alias("chief"), F.col("c.n").alias("chief_n")))
+
+    def near_in_size(n, m):
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+    def pair_of(x, y):
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+    met = posted.join(chiefs, "key").where((F.col("node") != F.col("chief")) & near_in_size("n", "chief_n"))
+    first = store(similarities(met.select(*pair_of("node", "chief")).distinct(), texts, size))
+    enough = 100 * F.col("common") >= percent * F.col("total")
+    labels = store(components(first.where(enough).select("a", "b")))
+
+    distance = first.select("a", "b", (1 - F.col("common") / F.col("total")).alias("distance"))
+    placed = (
+        posted.join(chiefs.select("key", "chief"), "key").where(F.col("node") != F.col("chief")).withColumns(dict(zip("ab", pair_of("node", "chief"))))
+        .join(distance, ["a", "b"], "left").join(labels, "node", "left")
+        .select("key", "band", "node", "n", "bands", "distance", F.coalesce("label", "node").alias("label"))
+    )
+    placed = store(placed)
+    largest = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    outside = placed.join(largest, "key").where(F.col("label") != F.col("largest"))
+    o = store(outside.drop("band")).select("key", "largest", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "bands", "distance", "label")])
+    same = F.zip_with("bands", "o_bands", lambda x, y: x == y)
+    within = F.coalesce(F.abs(F.col("distance") - F.col("o_distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    # of two nodes outside, one row is enough
+    once = (F.col("label") == F.col("largest")) | (F.col("node") < F.col("o_node"))
+    rest = placed.join(o, "key").where(
+        (F.col("label") != F.col("o_label")) & once & near_in_size("n", "o_n") & within
+        & (F.array_position(same, True) == F.col("band") + 1)
+        & (F.size(F.filter(same, lambda x: x)) >= least_bands(percent, bands, rows))
+    )
+    second = store(similarities(rest.select(*pair_of("node", "o_node")), texts, size).where(enough).select("a", "b"))
+    # links between labels: the components of components
+    a, b = (labels.toDF(side, f"{side}_label") for side in "ab")
+    ends = second.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    merged = store(components(ends))
+    moved = labels.join(merged.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return moved.union(merged.join(labels, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -212,7 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     repeated = full.groupBy("doc_id").agg(F.count_distinct("node").alias("sets")).where("sets > 1").limit(1)
     if not repeated.isEmpty():
         texts = matching(texts, size)
-    labels, _ = link(nodes, texts, size, percent)
+    labels = link(nodes, texts, size, percent, bands, rows)
     label = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     answer = label.select("node", "label").join(least, "label").select("node", "component_id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import byte_words, id_and_text, map_arrow
+from scholium.llm.common import byte_words, id_and_text, map_arrow, store
 
 # The patterns of the base spans and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -301,7 +301,8 @@ def train(docs: DataFrame) -> Field:
     order = F.xxhash64("words")
     rows = []
     for hit, most in ((True, FIT_WITH), (False, FIT_WITHOUT)):
-        rows += offered.where(F.col("hit") == hit).orderBy(order, "words", "tags", "file").limit(most).collect()
+        # stored first: a sorted limit that is collected directly sends every task's share to the driver
+        rows += store(offered.where(F.col("hit") == hit).orderBy(order, "words", "tags", "file").limit(most)).collect()
     distinct = {(r["words"], tuple(r["tags"]), tuple(r["file"])) for r in rows}
     return fit([(w.encode("utf-8", "surrogatepass").split(), list(t), f) for w, t, f in sorted(distinct)])
 
