@@ -153,15 +153,15 @@ FROM (SELECT h.doc_id, h.section, m, substr(p.text, instr(p.text, m) + length(m)
 CTES["sections1"] = f"""
 SELECT doc_id, section, text, by_hash FROM keyword_sections WHERE text <> ''
 UNION ALL
-SELECT doc_id, section, {strip(f"concat(m, substr(tail, 1, CASE WHEN nxt = '' THEN {C.FALLBACK_SCAN_WINDOW} ELSE least(instr(tail, nxt) - 1, {C.FALLBACK_SCAN_WINDOW}) END))")} AS text, false AS by_hash
+SELECT doc_id, section, {strip(f"concat(m, substr(tail, 1, CASE WHEN nxt = '' THEN length(tail) ELSE instr(tail, nxt) - 1 END))")} AS text, false AS by_hash
 FROM scan_cuts"""
 CTES["candidates"] = f"""
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos, s AS heading FROM (
-  SELECT doc_id, line_no, s, row_number() OVER (PARTITION BY doc_id, substr(lower(s), 1, 50) ORDER BY line_no) AS rn
+  SELECT doc_id, line_no, s, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY line_no) AS rn
   FROM headings WHERE length(s) BETWEEN 1 AND 90 AND (
     {has('s', H.CANDIDATE_HASH)} OR (length(s) >= 3 AND {is_upper('s')} AND NOT {has('s', H.ANY_DIGIT)})
     OR {has('s', H.CANDIDATE_NUMBER)} OR {has('s', H.CANDIDATE_ROMAN)}))
-WHERE rn = 1 QUALIFY pos < {C.MAX_CANDIDATE_HEADINGS}"""
+WHERE rn = 1"""
 CTES["mapped_keys"] = f"""
 SELECT doc_id, {clean_heading('heading')} AS clean, arg_max(section, pos) AS target
 FROM candidates JOIN heading_map USING (heading)
@@ -184,7 +184,7 @@ CTES["sections"] = f"""
 SELECT doc_id, section, tier, by_hash,
   CASE WHEN n1 >= {C.TIER2_MIN_SECTIONS} THEN a_text WHEN tier = 2 THEN coalesce(b_text, a_text) ELSE coalesce(a_text, b_text) END AS text
 FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.section, b.section) AS section,
-        nullif(a.text, '') AS a_text, nullif(b.text, '') AS b_text, coalesce(a.by_hash, false) AS by_hash
+        nullif(a.text, '') AS a_text, nullif(b.text, '') AS b_text, coalesce(a.by_hash AND a.text <> '', false) AS by_hash
       FROM sections1 a FULL OUTER JOIN map_sections b ON a.doc_id = b.doc_id AND a.section = b.section)
 JOIN tier_counts USING (doc_id)
 WHERE CASE WHEN n1 >= {C.TIER2_MIN_SECTIONS} THEN a_text ELSE coalesce(a_text, b_text) END IS NOT NULL"""
@@ -194,7 +194,7 @@ CTES["confidences"] = f"""
 SELECT doc_id, section, CAST(greatest(80, least(99,
   CASE WHEN tier = 2 THEN 88 WHEN by_hash THEN 85 ELSE 70 END
   + CASE WHEN {line_count} >= 20 THEN 10 WHEN {line_count} >= 10 THEN 7 WHEN {line_count} >= 5 THEN 4 ELSE 2 END
-  + list_sum(list_transform(range(1, least(length(text), 200) + 1), lambda i: unicode(substr(text, i, 1)))) % 6)) AS BIGINT) AS confidence
+  + list_sum(list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i, 1)))) % 6)) AS BIGINT) AS confidence
 FROM sections"""
 
 ORACLES["l1_explode_lines"] = "SELECT doc_id, line_no, line FROM lines"
@@ -228,7 +228,7 @@ SELECT doc_id, line_no, heading, total FROM (
   FROM (SELECT *, {strip('line')} AS s FROM raw_lines)
   WHERE length(s) BETWEEN 1 AND 80 AND (starts_with(s, '#') OR ({is_upper('s')} AND length(s) >= 3)
     OR {has('s', H.NUMBERED_HEADING)} OR (length(s) < 80 AND NOT ends_with(s, '.') AND NOT starts_with(s, '|'))))
-WHERE rn <= 40"""
+"""
 ORACLES["l15_compare_extractions"] = """
 SELECT doc_id, d.section, CASE WHEN a.section IS NOT NULL AND b.section IS NOT NULL THEN 'both'
   WHEN a.section IS NOT NULL THEN 'a_only' WHEN b.section IS NOT NULL THEN 'b_only' ELSE 'neither' END AS outcome
@@ -346,13 +346,13 @@ SELECT *, pct >= 20.0 AS meets_threshold FROM (
 
 RE2_CAPTION = (
     r"(?im)(?:^|\n)[ \t]*(?:\*{0,2})(?:Figure|Fig\.?|Table|Tbl\.|Scheme|Chart)" + uni(r"[ \t]+\d+[.:)]?")
-    + r"(?:\*{0,2})[ \t]*([^\n]{15,300})")
+    + r"(?:\*{0,2})[ \t]*([^\n]{15,})")
 CTES["sent_texts"] = """
 SELECT c.doc_id, d.ord, c.section, CASE WHEN c.section = 'methodology' THEN c.text ELSE c.compressed END AS t
 FROM compressed c JOIN section_dim d USING (section)"""
 CTES["caption_rows"] = f"""
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, seq) - 1 AS pos, cap FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, substr(lower(cap), 1, 60) ORDER BY ord, seq) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, lower(cap) ORDER BY ord, seq) AS rn FROM (
     SELECT doc_id, ord, seq, rtrim({strip('raw')}, '.') AS cap FROM (
       SELECT doc_id, ord, unnest(range(0, len(caps))) AS seq, unnest(caps) AS raw FROM (
         SELECT doc_id, ord, regexp_extract_all(t, {q(RE2_CAPTION)}, 1) AS caps FROM sent_texts)))
@@ -373,19 +373,19 @@ def smart_truncate(x: str, limit: str) -> str:
 LIMITS = ", ".join(f"({q(k)}, {q(label)}, {n})" for k, label, n in C.PROMPT_SECTIONS)
 CTES["prompt_dim"] = f"SELECT * FROM (VALUES {LIMITS}) AS t(section, label, lim)"
 CTES["prompt_body"] = f"""
-SELECT p.doc_id, substr(CASE WHEN coalesce(size, 0) < {C.PROMPT_MIN_CHARS} THEN coalesce(raw, '') ELSE joined END, 1, {C.PROMPT_MAX_CHARS}) AS body
+SELECT p.doc_id, CASE WHEN coalesce(size, 0) < 1 THEN coalesce(raw, '') ELSE joined END AS body
 FROM papers p
 LEFT JOIN (SELECT doc_id, string_agg(concat('[', label, ']', chr(10), chunk), chr(10) || chr(10) ORDER BY ord) AS joined,
              sum(length(chunk) + length(label) + 3) AS size
-           FROM (SELECT doc_id, ord, label, {smart_truncate(strip('t'), 'lim')} AS chunk
+           FROM (SELECT doc_id, ord, label, {strip('t')} AS chunk
                  FROM sent_texts JOIN prompt_dim USING (section) WHERE {strip('t')} <> '') GROUP BY doc_id) j USING (doc_id)
 LEFT JOIN (SELECT doc_id, string_agg(t, ' ' ORDER BY ord) AS raw FROM sent_texts WHERE {strip('t')} <> '' GROUP BY doc_id) r USING (doc_id)"""
 CTES["prompts"] = f"""
 SELECT doc_id, CASE WHEN {strip('body')} = '' THEN '' WHEN block IS NULL THEN body
-  ELSE substr(concat(body, chr(10), chr(10), {q(C.CAPTION_HEADER)}, chr(10), block), 1, {C.PROMPT_MAX_CHARS}) END AS prompt
+  ELSE concat(body, chr(10), chr(10), {q(C.CAPTION_HEADER)}, chr(10), block) END AS prompt
 FROM prompt_body LEFT JOIN (SELECT doc_id, string_agg('- ' || cap, chr(10) ORDER BY pos) AS block
-  FROM caption_rows WHERE pos < {C.MAX_CAPTIONS} GROUP BY doc_id) USING (doc_id)"""
-ORACLES["p1_captions"] = f"SELECT doc_id, pos, cap AS caption FROM caption_rows WHERE pos < {C.MAX_CAPTIONS}"
+  FROM caption_rows GROUP BY doc_id) USING (doc_id)"""
+ORACLES["p1_captions"] = f"SELECT doc_id, pos, cap AS caption FROM caption_rows"
 ORACLES["p2_smart_truncate"] = (
     f"SELECT doc_id, {smart_truncate('text', '700')} AS cut_700, {smart_truncate('text', '40')} AS cut_40 FROM documents")
 ORACLES["p3_assemble_prompt"] = "SELECT doc_id, prompt FROM prompts"
@@ -446,8 +446,7 @@ SELECT doc_id, pos, doi FROM (
         SELECT doc_id, kind, n, {peel('x', '(', ')')} AS y FROM (
           SELECT doc_id, kind, n, {strip(sub('raw', RF.TRAILING_JUNK))} AS x FROM doi_raw)))
     WHERE doi <> '')
-  WHERE rn = 1)
-WHERE pos < {C.MAX_DOIS}"""
+  WHERE rn = 1)"""
 CTES["link_rows"] = f"""
 SELECT doc_id, doi, min(link_no) AS link_no FROM (SELECT doc_id, link_no, rtrim(regexp_extract(uri, {q(RF.DOI_IN_LINK)}, 1), '.') AS doi FROM links)
 WHERE doi <> '' GROUP BY doc_id, doi"""
@@ -456,8 +455,7 @@ SELECT doc_id, pos, doi FROM (
   SELECT doc_id, doi, row_number() OVER (PARTITION BY doc_id ORDER BY src, pos) - 1 AS pos FROM (
     SELECT 0 AS src, doc_id, pos, doi FROM text_dois
     UNION ALL SELECT 1, doc_id, link_no, doi FROM link_rows l
-      WHERE NOT EXISTS (SELECT 1 FROM text_dois t WHERE t.doc_id = l.doc_id AND t.doi = l.doi)))
-WHERE pos < {C.MAX_DOIS}"""
+      WHERE NOT EXISTS (SELECT 1 FROM text_dois t WHERE t.doc_id = l.doc_id AND t.doi = l.doi)))"""
 CTES["scored_dois"] = f"SELECT d.* FROM dois d JOIN refs USING (doc_id) WHERE {strip('refs')} <> ''"
 CTES["arxiv_ids"] = f"""
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, arxiv_id FROM (
@@ -485,7 +483,7 @@ def label_of(line: str, default: str, flags: str = "") -> str:
 CTES["titles"] = f"SELECT doc_id, pos, line, {title_of('line')} AS title, {year_of('line')} AS year FROM ref_lines"
 CTES["paper_years"] = f"""
 SELECT doc_id, arg_max(y, n * 10000 + y) AS year FROM (SELECT doc_id, y, count(*) AS n FROM (
-  SELECT doc_id, CAST(unnest(regexp_extract_all(substr(text, 1, {C.PAPER_YEAR_WINDOW}), {q(YEAR)}, 1)) AS BIGINT) AS y FROM papers)
+  SELECT doc_id, CAST(unnest(regexp_extract_all(text, {q(YEAR)}, 1)) AS BIGINT) AS y FROM papers)
   WHERE y > 1950 AND y <= {NOW} GROUP BY doc_id, y) GROUP BY doc_id"""
 CTES["recency_counts"] = f"""
 SELECT r.doc_id, py.year, count(y) AS n, count(*) FILTER (y >= coalesce(py.year, {NOW}) - 3) AS recent,
@@ -510,7 +508,7 @@ def duplicates_sql(source: str) -> str:
     norm = sub("lower(s)", uni(r"\s+"), " ")
     return f"""
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos, {label_of('s', 'substr(s, 1, 40)', '(?i)')} AS citation
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(norm, 1, 60) ORDER BY line_no) AS rn FROM (
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY line_no) AS rn FROM (
   SELECT doc_id, line_no, s, {norm} AS norm FROM {source}) WHERE length(norm) > 20) WHERE rn > 1"""
 
 
@@ -553,7 +551,7 @@ FROM {source} d LEFT JOIN log_status l ON l.kind = 'doi' AND l.id = d.doi"""
 CTES["doi_status"] = doi_status("text_dois")
 CTES["scored_doi_status"] = doi_status("scored_dois")
 CTES["arxiv_status"] = f"""SELECT a.doc_id, a.pos, coalesce(l.status, CASE WHEN a.arxiv_id IN (SELECT arxiv_id FROM preprints) THEN 'verified' ELSE 'not_found' END) AS status
-FROM arxiv_ids a LEFT JOIN log_status l ON l.kind = 'arxiv' AND l.id = a.arxiv_id WHERE a.pos < {C.MAX_ARXIV_LOOKUPS}"""
+FROM arxiv_ids a LEFT JOIN log_status l ON l.kind = 'arxiv' AND l.id = a.arxiv_id"""
 
 
 def tokens(x: str) -> str:
@@ -569,27 +567,28 @@ CTES["work_titles"] = "SELECT lower(title) AS found, list(DISTINCT year) AS year
 CTES["ref_tokens"] = f"SELECT title, unnest({tokens('title')}) AS token FROM ref_titles"
 CTES["work_tokens"] = f"SELECT found, unnest({tokens('found')}) AS token FROM work_titles"
 CTES["hits"] = f"""
-SELECT title, found, shared, row_number() OVER (PARTITION BY title ORDER BY shared DESC, found) AS rank FROM (
+SELECT title, found, shared FROM (
   SELECT title, found, count(*) AS shared FROM ref_tokens JOIN work_tokens USING (token) GROUP BY title, found)
 JOIN (SELECT title, count(*) AS m FROM ref_tokens GROUP BY title) USING (title)
-WHERE shared >= (3 * m + 4) // 5 QUALIFY rank <= {C.TITLE_HITS}"""
+WHERE shared >= (3 * m + 4) // 5"""
 CTES["title_sims"] = f"""
 SELECT h.title, years, 2.0::DOUBLE * len(list_intersect({grams('h.title')}, {grams('h.found')})) / (len({grams('h.title')}) + len({grams('h.found')})) AS sim
 FROM hits h JOIN work_titles w ON w.found = h.found"""
 
 
+CTES["title_best"] = "SELECT title, max(sim) AS best FROM title_sims GROUP BY title"
+CTES["title_near"] = """SELECT DISTINCT title, w + o AS y FROM (SELECT title, unnest(years) AS w FROM title_sims WHERE sim >= 0.5), (VALUES (-1), (0), (1)) AS v(o)"""
+
+
 def title_status(source: str) -> str:
     return f"""SELECT t.doc_id, t.pos, t.title, t.year, CASE WHEN t.title = '' THEN 'not_found'
   WHEN lower(t.title) IN (SELECT lower(id) FROM log_status WHERE kind = 'title' AND status = 'unreachable') THEN 'unreachable'
-  WHEN EXISTS (SELECT 1 FROM title_sims s WHERE s.title = lower(t.title) AND (sim >= 0.6 OR (sim >= 0.5 AND t.year <> ''
-    AND len(list_filter(years, lambda w: abs(w - CAST(nullif(t.year, '') AS BIGINT)) <= 1)) > 0))) THEN 'verified' ELSE 'not_found' END AS status
-FROM {source} t"""
+  WHEN b.best >= 0.6 OR n.y IS NOT NULL THEN 'verified' ELSE 'not_found' END AS status
+FROM {source} t LEFT JOIN title_best b ON b.title = lower(t.title)
+LEFT JOIN title_near n ON n.title = lower(t.title) AND n.y = TRY_CAST(t.year AS BIGINT)"""
 
 
 CTES["title_rows"] = title_status("titles")
-CTES["uncovered"] = """
-SELECT t.* FROM titles t WHERE NOT EXISTS (
-  SELECT 1 FROM doi_status d WHERE d.doc_id = t.doc_id AND d.status = 'verified' AND contains(t.line, d.doi))"""
 CTES["scored_uncovered"] = """
 SELECT t.*, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n
 FROM titles t WHERE NOT EXISTS (
@@ -600,7 +599,9 @@ def in_sample(k: int) -> str:
     return f"(n <= {k} OR i IN ({', '.join(f'({j} * n) // {k}' for j in range(k))}))"
 
 
-CTES["sampled"] = f"""
+CTES["sampled"] = """
+SELECT doc_id, pos, title, year FROM scored_uncovered WHERE title <> ''"""
+CTES["small_sample"] = f"""
 SELECT doc_id, pos, title, year FROM scored_uncovered
 WHERE title <> '' AND {in_sample(5)} AND doc_id IN (SELECT doc_id FROM scored_dois)
 UNION ALL SELECT doc_id, pos, title, year FROM titles
@@ -639,11 +640,10 @@ ORACLES["v2_verify_dois"] = "SELECT * FROM doi_status"
 ORACLES["v3_verify_arxiv"] = """SELECT doc_id, ids, verified, verified::DOUBLE / ids AS ratio
 FROM (SELECT doc_id, count(*) AS ids FROM arxiv_ids GROUP BY doc_id)
 JOIN (SELECT doc_id, count(*) FILTER (status = 'verified') AS verified FROM arxiv_status GROUP BY doc_id) USING (doc_id)"""
-ORACLES["v4_search_titles"] = "SELECT title, found, shared, rank FROM hits"
-ORACLES["v4_verify_titles"] = "SELECT * FROM title_rows"
-ORACLES["v5_uncovered_refs"] = "SELECT doc_id, pos, line FROM uncovered"
-ORACLES["v6_sample_refs"] = f"""SELECT doc_id, pos, line FROM (SELECT *, pos AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM ref_lines)
-WHERE {in_sample(5)}"""
+ORACLES["v4_search_titles"] = "SELECT title, found, shared FROM hits"
+ORACLES["v4_verify_titles"] = ORACLES["v4_verify_titles_dice"] = "SELECT * FROM title_rows"
+ORACLES["v5_uncovered_refs"] = "SELECT doc_id, pos, title, year FROM sampled"
+ORACLES["v6_sample_refs"] = "SELECT doc_id, pos, title, year FROM small_sample"
 ORACLES["v7_outcome_counts"] = """SELECT doc_id, d_v + t_v AS verified, d_n + t_n AS not_found, d_u + t_u AS unreachable,
 t_v + t_n + t_u AS checked_titles FROM counted"""
 ORACLES["v8_citation_score"] = "SELECT * FROM citation_rows"
@@ -667,7 +667,7 @@ SELECT doc_id, CASE WHEN blank THEN 'No references section found in document.'
    CASE WHEN n_arxiv > 0 THEN concat(a_v, '/', n_arxiv, ' ArXiv reference(s) verified.') END, recency_note)
  WHEN cleared THEN 'Citation verification throttled — all DOIs unreachable. Neutral score applied.'
  ELSE concat_ws('|', CASE WHEN d_n > 0 THEN concat(d_n, ' of ', n_dois, ' DOI(s) could not be verified (not found in CrossRef).') END,
-   CASE WHEN t_v + t_n + t_u > 0 THEN concat('Title fallback: ', t_v, '/', t_v + t_n + t_u, ' reference(s) verified via Semantic Scholar (capped at 5).') END,
+   CASE WHEN t_v + t_n + t_u > 0 THEN concat('Title fallback: ', t_v, '/', t_v + t_n + t_u, ' reference(s) verified via Semantic Scholar.') END,
    CASE WHEN n_arxiv > 0 THEN concat(a_v, '/', n_arxiv, ' ArXiv preprint reference(s) verified.') END,
    CASE WHEN n_dup > 0 THEN concat(n_dup, ' duplicate reference(s) detected.') END,
    CASE WHEN d_u > 0 THEN concat(d_u, ' of ', n_dois, ' DOI(s) were unreachable during validation.') END, recency_note,
@@ -697,7 +697,7 @@ ORACLES["s4_pick_first_available"] = """
 SELECT name, arxiv_id, title, source FROM (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY r) AS best FROM (
     SELECT name, arxiv_id, title, available, 'arxiv_api' AS source, row_number() OVER (PARTITION BY name ORDER BY priority) AS r FROM candidate_rows
-    QUALIFY r <= 3 UNION ALL SELECT name, arxiv_id, title, available, 'arxiv_fallback', 4 FROM fallback_rows)
+    UNION ALL SELECT name, arxiv_id, title, available, 'arxiv_fallback', 1000000 FROM fallback_rows)
   WHERE available)
 WHERE best = 1"""
 
@@ -716,8 +716,9 @@ def layer_select(name: str, n: int) -> str:
         f"CASE WHEN ok IS NULL THEN {q(texts[f][0])} WHEN NOT ({present}) THEN {q(texts[f][2])} "
         f"WHEN json_type(ok, '$.{name}') <> 'OBJECT' THEN {q(texts[f][1])} "
         f"WHEN json_type(ok, '$.{name}.{f}') IS NULL THEN {q(texts[f][2])} ELSE {lists[f]} END AS {f}" for f in lists)
-    return (f"SELECT doc_id, ok IS NULL AS analysis_failed, {DISCIPLINE} AS discipline, {n} AS ord, '{name}' AS layer, "
-            f"least(10.0, greatest(0.0, CASE WHEN ok IS NOT NULL AND {present} THEN coalesce(CAST(json_extract(ok, '$.{name}.score') AS DOUBLE), 0) ELSE 0 END))::DOUBLE AS score, "
+    marked = "coalesce(" + " OR ".join(f"coalesce(json_extract_string(ok, '$.{m}.analysis_failed') = 'true', false)" for m in C.MODEL_LAYERS) + ", false)"
+    return (f"SELECT doc_id, ok IS NULL OR {marked} AS analysis_failed, {DISCIPLINE} AS discipline, {n} AS ord, '{name}' AS layer, "
+            f"least(10.0, greatest(0.0, CASE WHEN ok IS NOT NULL AND {present} THEN coalesce(TRY_CAST(json_extract_string(ok, '$.{name}.score') AS DOUBLE), 0) ELSE 0 END))::DOUBLE AS score, "
             f"{cols} FROM review_docs")
 
 
@@ -727,11 +728,11 @@ DISCIPLINE = (f"CASE WHEN json_extract_string(ok, '$.discipline') IN ({KNOWN_DIS
 CTES["review_docs"] = "SELECT doc_id, CASE WHEN json_valid(review_json) THEN CAST(review_json AS JSON) END AS ok FROM reviews"
 CTES["review_layers"] = " UNION ALL ".join(layer_select(n, i) for i, n in enumerate(C.MODEL_LAYERS))
 ORACLES["s5_parse_reviews"] = "SELECT * EXCLUDE (ord) FROM review_layers"
-CTES["keyed"] = "SELECT doc_id, substr(sha256(text), 1, 16) AS content_key FROM documents"
-CTES["stored"] = "SELECT content_key, min(doc_id) AS stored_doc FROM keyed WHERE doc_id % 3 = 0 GROUP BY content_key"
-ORACLES["s9_incremental"] = "SELECT doc_id, coalesce(stored_doc, -1) AS stored_doc FROM keyed LEFT JOIN stored USING (content_key)"
-ORACLES["s9_merge_store"] = """SELECT * FROM stored UNION ALL SELECT content_key, min(doc_id) FROM keyed
-WHERE doc_id % 7 <> 0 AND content_key NOT IN (SELECT content_key FROM stored) GROUP BY content_key"""
+CTES["keyed"] = "SELECT doc_id, sha256(text) AS content_digest FROM documents"
+CTES["stored"] = "SELECT content_digest, min(doc_id) AS stored_doc FROM keyed WHERE doc_id % 3 = 0 GROUP BY content_digest"
+ORACLES["s9_incremental"] = "SELECT doc_id, coalesce(stored_doc, -1) AS stored_doc FROM keyed LEFT JOIN stored USING (content_digest)"
+ORACLES["s9_merge_store"] = """SELECT * FROM stored UNION ALL SELECT content_digest, min(doc_id) FROM keyed
+WHERE doc_id % 7 <> 0 AND content_digest NOT IN (SELECT content_digest FROM stored) GROUP BY content_digest"""
 
 # --- reviews and scores --------------------------------------------------------
 
@@ -877,14 +878,62 @@ ORACLES["e3_validate_batch"] = "SELECT kind, item, count(*) AS n FROM finding_ro
 
 # --- whole jobs ------------------------------------------------------------------
 
-# The job scores the references of the two-tier sections, the V queries those of the first tier.
-CTES["job_layers"] = """
-SELECT doc_id, discipline, layer, score FROM calibrated_layers WHERE layer <> 'citations'
-UNION ALL SELECT s.doc_id, r.discipline, 'citations', s.score FROM scores s JOIN (SELECT DISTINCT doc_id, discipline FROM review_layers) r USING (doc_id)"""
+# The job scores the references of the two-tier sections, the V queries those of the first tier; every
+# fortieth paper is too short for it, and every twenty-ninth has no review.
+FAILED = "doc_id % 29 = 7"
+CTES["job_reviews"] = f"""
+SELECT doc_id, CASE WHEN {FAILED} THEN 'computer_science' ELSE discipline END AS discipline, {FAILED} OR analysis_failed AS failed, layer,
+  CASE WHEN {FAILED} THEN 0.0::DOUBLE ELSE score END AS raw, {calibrated('score')} AS own,
+  CASE WHEN {FAILED} THEN {q(C.FALLBACK_ISSUE)} ELSE issues END AS issues,
+  CASE WHEN {FAILED} THEN {q(C.FALLBACK_SUGGESTION)} ELSE suggestions END AS suggestions FROM review_layers"""
+CTES["job_layers"] = f"""
+SELECT doc_id, discipline, layer, CASE WHEN {FAILED} THEN 0.0::DOUBLE ELSE own END AS score FROM job_reviews
+UNION ALL SELECT s.doc_id, r.discipline, 'citations', s.score FROM scores s JOIN (SELECT DISTINCT doc_id, discipline FROM job_reviews) r USING (doc_id)"""
 CTES["job_scores"] = final_scores("job_layers")
 CTES["job_warnings"] = ORACLES["l12_section_warnings"]
-ORACLES["e1_analyze_corpus"] = f"""
-SELECT doc_id, substr(sha256(prompt), 1, 16) AS content_key, section_count, warnings, discipline, final_score,
-  {by_letter(C.GRADE_TEXT)} AS grade, {", ".join(C.LAYERS)}, total_refs, verified
-FROM job_scores JOIN prompts USING (doc_id) JOIN job_warnings USING (doc_id) JOIN citation_rows USING (doc_id)"""
-OVERRIDES["e1_analyze_corpus"] = {"refs": CTES["refs"].replace("sections1 s", "sections s")}
+CTES["job_failed"] = "SELECT DISTINCT doc_id, failed FROM job_reviews"
+JOB = f"""
+FROM job_scores JOIN prompts USING (doc_id) JOIN job_warnings USING (doc_id) JOIN citation_rows USING (doc_id) JOIN job_failed USING (doc_id)
+JOIN papers USING (doc_id) WHERE length({strip('papers.text')}) >= 100"""
+HEAD = f"""SELECT doc_id, substr(sha256(prompt), 1, 16) AS content_key, failed AS analysis_failed, section_count, final_score,
+  {by_letter(C.GRADE_TEXT)} AS grade, total_refs, verified"""
+ORACLES["e1_analyze_corpus"] = f"{HEAD}, warnings, discipline, {', '.join(C.LAYERS)} {JOB}"
+ORACLES["e2_analyze_stream"] = f"{HEAD} {JOB}"
+shown_name = "CASE section " + " ".join(f"WHEN {q(k)} THEN {q(d)}" for k, d, _ in C.SECTIONS) + " END"
+CTES["job_detected"] = f"SELECT doc_id, string_agg({shown_name}, ',' ORDER BY {shown_name}) AS detected FROM sections GROUP BY doc_id"
+CTES["job_flags"] = "SELECT doc_id, count(*) AS n_flagged FROM flag_rows WHERE doc_id IN (SELECT doc_id FROM scores WHERE NOT cleared) GROUP BY doc_id"
+VERDICT = ORACLES["r8_verdict"].removeprefix("SELECT doc_id, ").removesuffix(" AS verdict_text FROM final_scores")
+CTES["job_messages"] = ORACLES["v12_citation_messages"]
+ORACLES["r12_analysis_record"] = f"""
+SELECT l.doc_id, failed AS analysis_failed, l.layer, coalesce(r.raw, l.score) AS raw_score, coalesce(r.issues, m.issues) AS issues,
+  coalesce(r.suggestions, m.suggestions) AS suggestions, l.score, CAST(w.max_marks AS BIGINT) AS max_marks, verdict_text,
+  coalesce(detected, '') AS detected, c.unreachable, coalesce(n_flagged, 0) AS n_flagged
+FROM job_layers l LEFT JOIN (SELECT doc_id, layer, raw, issues, suggestions FROM job_reviews) r ON r.doc_id = l.doc_id AND r.layer = l.layer
+JOIN (SELECT doc_id, {VERDICT} AS verdict_text FROM job_scores) v ON v.doc_id = l.doc_id
+JOIN weights w ON w.discipline = l.discipline AND w.layer = l.layer
+JOIN citation_rows c ON c.doc_id = l.doc_id JOIN job_failed f ON f.doc_id = l.doc_id JOIN job_messages m ON m.doc_id = l.doc_id
+LEFT JOIN job_detected d ON d.doc_id = l.doc_id LEFT JOIN job_flags g ON g.doc_id = l.doc_id
+JOIN papers p ON p.doc_id = l.doc_id WHERE length({strip('p.text')}) >= 100"""
+JOB_TABLES = {
+    "papers": f"SELECT doc_id, CASE WHEN doc_id % 40 = 3 THEN substr(text, 1, 60) ELSE text END AS text FROM ({CTES['papers']})",
+    "refs": CTES["refs"].replace("sections1 s", "sections s"),
+}
+OVERRIDES["e1_analyze_corpus"] = OVERRIDES["r12_analysis_record"] = JOB_TABLES
+OVERRIDES["e2_analyze_stream"] = {**JOB_TABLES, "links": CTES["links"] + " LIMIT 0"}
+CTES["feed"] = D.feed_sql(DD)
+ORACLES["s3_read_feed"] = """
+SELECT arxiv_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, coalesce(href, 'https://arxiv.org/pdf/' || arxiv_id || '.pdf') AS pdf_url
+FROM (SELECT *, regexp_extract(id, '/abs/([0-9.]+)v', 1) AS arxiv_id FROM feed)"""
+ORACLES["s6_read_results"] = """
+SELECT paper, category, CAST(analyze_status AS BIGINT) AS analyze_status, error, json_extract_string(j, '$.grade') AS grade,
+  CAST(json_extract(j, '$.final_score') AS DOUBLE) AS final_score, CAST(json_extract(j, '$.citation_result.total_refs') AS BIGINT) AS total_refs,
+  CAST(json_extract(j, '$.layer_scores.citations') AS DOUBLE) AS citations,
+  CASE WHEN j IS NOT NULL THEN array_to_string(CAST(json_extract_string(j, '$.citation_result.flagged_dois[*]') AS VARCHAR[]), ',') END AS flagged
+FROM (SELECT *, CAST(response_json AS JSON) AS j FROM results)"""
+ORACLES["s7_write_results"] = "SELECT category, count(*) AS n, CAST(sum(analyze_time_ms) AS BIGINT) AS ms FROM results GROUP BY category"
+ORACLES["c8_compress_sections_off"] = "SELECT doc_id, section, text AS compressed FROM sections"
+ORACLES["c8_compress_sections_aggressive"] = f"""
+SELECT a.doc_id, CASE WHEN a.section = 'related_work' THEN 'survey' ELSE a.section END AS section, CASE WHEN a.section = 'references' THEN a.text
+  WHEN a.section IN ('abstract', 'methodology', 'conclusion') THEN n
+  WHEN a.section = 'related_work' THEN {normalize_ws(drop_formula('dd', True))} ELSE {normalize_ws('dd')} END AS compressed
+FROM comp_a a LEFT JOIN comp_dedup_b d ON a.doc_id = d.doc_id AND a.section = d.section"""

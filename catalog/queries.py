@@ -27,7 +27,8 @@ from scholium.operators import sections as SEC
 from scholium.sources import derived
 from scholium.sources import readers
 from scholium.sources.readers import spread
-from scholium.sources.shared import materialize
+from scholium.sources.shared import materialize, new_path
+from scholium.streaming import analyze_stream as STREAM
 
 NOW = 2024  # "current year" of the registered queries
 
@@ -162,7 +163,7 @@ def l13_section_profile(spark, sf_dir):
 
 @query
 def l14_heading_profile(spark, sf_dir):
-    return SEC.heading_profile(documents(spark, sf_dir), 40)
+    return SEC.heading_profile(documents(spark, sf_dir))
 
 
 @query
@@ -235,6 +236,19 @@ def c8_compress_sections(spark, sf_dir):
     return compressed(spark, sf_dir).select("doc_id", "section", "compressed")
 
 
+@query
+def c8_compress_sections_aggressive(spark, sf_dir):
+    """Sections with a name of their own are cut hardest in this mode; related work stands for such a one."""
+    named = F.when(F.col("section") == "related_work", "survey").otherwise(F.col("section"))
+    out = COMP.compress_sections(long_detected(spark, sf_dir).withColumn("section", named), "aggressive")
+    return out.select("doc_id", "section", "compressed")
+
+
+@query
+def c8_compress_sections_off(spark, sf_dir):
+    return COMP.compress_sections(long_detected(spark, sf_dir), "off").select("doc_id", "section", "compressed")
+
+
 @query
 def c9_compression_stats(spark, sf_dir):
     return COMP.compression_stats(compressed(spark, sf_dir))
@@ -386,15 +400,17 @@ def k10_citation_label(spark, sf_dir):
 # --- verification --------------------------------------------------------------
 
 def title_checks(spark, sf_dir):
-    return REF.ref_titles(refs(spark, sf_dir))
+    return materialize(REF.ref_titles(refs(spark, sf_dir)))
 
 
-def counted(spark, sf_dir):
+def id_status(spark, sf_dir, **limits):
     known = V.registry(works(spark, sf_dir), preprints(spark, sf_dir))
-    status = materialize(V.with_id_status(facts(spark, sf_dir), known, lookup_log(spark, sf_dir)))
-    checks = status.select("doc_id", F.posexplode_outer("checks").alias("pos", "c")).where(
-        F.col("pos").isNotNull()).select("doc_id", "pos", "c.title", "c.year")
-    titles = V.verify_titles(checks, works(spark, sf_dir), lookup_log(spark, sf_dir), cut=materialize)
+    return V.with_id_status(facts(spark, sf_dir), known, lookup_log(spark, sf_dir), **limits)
+
+
+def counted(spark, sf_dir):
+    status = materialize(id_status(spark, sf_dir))
+    titles = V.verify_titles(V.title_checks(status), works(spark, sf_dir), lookup_log(spark, sf_dir), cut=materialize)
     return V.outcome_counts(status, titles)
 
 
@@ -424,7 +440,7 @@ def v3_verify_arxiv(spark, sf_dir):
 @query
 def v4_search_titles(spark, sf_dir):
     found = V.search_titles(title_checks(spark, sf_dir), works(spark, sf_dir), cut=materialize)
-    return found.select("title", "found", "shared", "rank")
+    return found.select("title", "found", "shared")
 
 
 @query
@@ -434,16 +450,23 @@ def v4_verify_titles(spark, sf_dir):
         cut=materialize)
 
 
+@query
+def v4_verify_titles_dice(spark, sf_dir):
+    return V.verify_titles(
+        title_checks(spark, sf_dir), works(spark, sf_dir), lookup_log(spark, sf_dir), dice=True,
+        cut=materialize)
+
+
 @query
 def v5_uncovered_refs(spark, sf_dir):
-    r = refs(spark, sf_dir)
-    dois = V.verify_dois(materialize(REF.extract_dois(r)), works(spark, sf_dir), lookup_log(spark, sf_dir))
-    return V.uncovered_refs(REF.ref_lines(r), dois.where(F.col("status") == "verified"))
+    """References with a title and without a verified DOI: all that are looked up by title."""
+    return V.title_checks(id_status(spark, sf_dir))
 
 
 @query
 def v6_sample_refs(spark, sf_dir):
-    return V.sample_refs(REF.ref_lines(refs(spark, sf_dir)))
+    """The sample that a caller with a limited look-up service may ask for."""
+    return V.title_checks(id_status(spark, sf_dir, sample=5, first=10))
 
 
 @query
@@ -499,6 +522,41 @@ def s1_load_papers(spark, sf_dir):
         rejected.select("doc_id", F.col("reason").alias("outcome")))
 
 
+@query
+def s3_read_feed(spark, sf_dir):
+    """Entries written as XML to the run folder and read back."""
+    path = new_path(spark, "feed")
+    derived.load(spark, sf_dir, derived.feed_sql).select(
+        "id", "title", F.when(F.col("href").isNotNull(), F.array(
+            F.struct(F.lit("other").alias("_title"), F.lit("https://example.org/x").alias("_href"), F.lit("alternate").alias("_rel")),
+            F.struct(F.lit("pdf").alias("_title"), F.col("href").alias("_href"), F.lit("related").alias("_rel")))).alias("link"),
+    ).write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
+    return readers.read_feed(spark, path)
+
+
+@query
+def s6_read_results(spark, sf_dir):
+    """Batch records written by S7 as JSON to the run folder and read back."""
+    path = new_path(spark, "results")
+    rows = results(spark, sf_dir).withColumn(
+        "analyze_response", F.from_json("response_json", readers.RESPONSE_SCHEMA)).drop("response_json")
+    INC.write_results(rows, path, "json", partition_by=["category"])
+    back = readers.read_results(spark, path, by_line=True)
+    return back.select(
+        "paper", "category", "analyze_status", "error", "analyze_response.grade", "analyze_response.final_score",
+        "analyze_response.citation_result.total_refs", F.try_element_at("analyze_response.layer_scores", F.lit("citations")).alias("citations"),
+        F.array_join("analyze_response.citation_result.flagged_dois", ",").alias("flagged"))
+
+
+@query
+def s7_write_results(spark, sf_dir):
+    """A partitioned Parquet write, read back by its partition column."""
+    path = new_path(spark, "written")
+    INC.write_results(results(spark, sf_dir), path, partition_by=["category"])
+    return spark.read.parquet(path).groupBy("category").agg(
+        F.count("*").alias("n"), F.sum("analyze_time_ms").cast("bigint").alias("ms"))
+
+
 @query
 def s4_pick_first_available(spark, sf_dir):
     return readers.pick_first_available(
@@ -514,12 +572,12 @@ def s5_parse_reviews(spark, sf_dir):
 
 
 def keyed_documents(spark, sf_dir):
-    return PR.content_key(documents(spark, sf_dir), "text").select("doc_id", "content_key")
+    return PR.content_key(documents(spark, sf_dir), "text").select("doc_id", "content_digest")
 
 
 def stored_keys(spark, sf_dir):
     d = keyed_documents(spark, sf_dir).where(F.col("doc_id") % 3 == 0)
-    return d.groupBy("content_key").agg(F.min("doc_id").alias("stored_doc"))
+    return d.groupBy("content_digest").agg(F.min("doc_id").alias("stored_doc"))
 
 
 @query
@@ -531,7 +589,7 @@ def s9_incremental(spark, sf_dir):
 @query
 def s9_merge_store(spark, sf_dir):
     new = keyed_documents(spark, sf_dir).select(
-        "doc_id", "content_key", F.col("doc_id").alias("stored_doc"), (F.col("doc_id") % 7 == 0).alias("analysis_failed"))
+        "doc_id", "content_digest", F.col("doc_id").alias("stored_doc"), (F.col("doc_id") % 7 == 0).alias("analysis_failed"))
     return INC.merge_store(stored_keys(spark, sf_dir), new)
 
 
@@ -706,29 +764,65 @@ def q11_batch_counts(spark, sf_dir):
 
 # --- whole jobs ------------------------------------------------------------------
 
+def job_papers(spark, sf_dir):
+    """Papers of the whole job: every fortieth is too short and must be rejected."""
+    short = F.when(F.col("doc_id") % 40 == 3, F.substr("text", F.lit(1), F.lit(60))).otherwise(F.col("text"))
+    return papers(spark, sf_dir).select("doc_id", short.alias("text"))
+
+
+def job_reviews(spark, sf_dir):
+    """Reviews of the whole job: every twenty-ninth paper has none."""
+    return reviews(spark, sf_dir).where(F.col("doc_id") % 29 != 7)
+
+
 def analysis(spark, sf_dir):
     return PLAN.analyze_corpus(
-        papers(spark, sf_dir), links(spark, sf_dir), heading_map(spark, sf_dir), reviews(spark, sf_dir),
+        job_papers(spark, sf_dir), links(spark, sf_dir), heading_map(spark, sf_dir), job_reviews(spark, sf_dir),
         works(spark, sf_dir), preprints(spark, sf_dir), NOW, lookup_log(spark, sf_dir))
 
 
 @query
 def r12_analysis_record(spark, sf_dir):
-    """The nested record of a paper as JSON, without the key columns."""
+    """The nested record, a row per layer: raw score in the details, calibrated score, texts, marks."""
     a = analysis(spark, sf_dir)
-    return a.select("doc_id", F.to_json(F.struct(*[c for c in a.columns if c != "doc_id"])).alias("record"))
+    rows = a.select(
+        "doc_id", "analysis_failed", "layer_scores", "layer_max_marks", "verdict_text",
+        F.array_join(F.array_sort(F.map_keys("detected_sections")), ",").alias("detected"),
+        "citation_result.unreachable", F.size("citation_result.flagged_items").alias("n_flagged"),
+        F.explode("layer_details").alias("layer", "d"))
+    return rows.select(
+        "doc_id", "analysis_failed", "layer", F.col("d.score").alias("raw_score"), F.array_join("d.issues", "|").alias("issues"),
+        F.array_join("d.suggestions", "|").alias("suggestions"), F.try_element_at("layer_scores", F.col("layer")).alias("score"),
+        F.try_element_at("layer_max_marks", F.col("layer")).alias("max_marks"), "verdict_text", "detected", "unreachable", "n_flagged")
 
 
 @query
 def e1_analyze_corpus(spark, sf_dir):
     a = analysis(spark, sf_dir)
     return a.select(
-        "doc_id", "content_key", "section_count", F.array_join("warnings", ",").alias("warnings"),
+        "doc_id", "content_key", "analysis_failed", "section_count", F.array_join("warnings", ",").alias("warnings"),
         "discipline", "final_score", "grade",
         *[F.try_element_at("layer_scores", F.lit(l)).alias(l) for l in LAYERS],
         "citation_result.total_refs", "citation_result.verified")
 
 
+@query
+def e2_analyze_stream(spark, sf_dir):
+    """The same papers arriving as files, in two runs of the stream."""
+    base = new_path(spark, "stream")
+    source, out, marks = (f"{base}/{name}" for name in ("in", "out", "marks"))
+    parts = job_papers(spark, sf_dir)
+    given = job_reviews(spark, sf_dir)
+    for half in (0, 1):
+        parts.where(F.col("doc_id") % 2 == half).write.mode("append").parquet(source)
+        STREAM.analyze_stream(
+            spark, source, out, marks, NOW, lambda p: p.select("doc_id").join(given, "doc_id"), works(spark, sf_dir),
+            preprints(spark, sf_dir), heading_map(spark, sf_dir), lookup_log(spark, sf_dir)).awaitTermination()
+    return spark.read.parquet(out).select(
+        "doc_id", "content_key", "analysis_failed", "section_count", "final_score", "grade",
+        "citation_result.total_refs", "citation_result.verified")
+
+
 @query
 def e3_validate_batch(spark, sf_dir):
     out = PLAN.validate_batch(results(spark, sf_dir), meta(spark, sf_dir))

@@ -6,27 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scholium.constants import (
-    CAPTION_HEADER, MAX_CAPTIONS, PROMPT_MAX_CHARS, PROMPT_MIN_CHARS, PROMPT_SECTIONS,
-    SECTION_KEYS, TRUNCATION_MARK,
+    CAPTION_HEADER, PROMPT_SECTIONS, SECTION_KEYS, TRUNCATION_MARK,
 )
-from scholium.functions.text import WS_SET, extract, extract_all, first_by_key, let, rstrip, strip, uni
+from scholium.functions.text import WS_SET, extract, extract_all, first_by_key, first_n, let, rstrip, strip, uni
 
 # Caption line.
 CAPTION = (
     r"(?imud)(?:^|\n)[ \t]*(?:\*{0,2})(?:Figure|Fig\.?|Table|Tbl\.|Scheme|Chart)"
     + uni(r"[ \t]+\d+[.:)]?")
-    + r"(?:\*{0,2})[ \t]*([^\n]{15,300})"
+    + r"(?:\*{0,2})[ \t]*([^\n]{15,})"
 )
 UP_TO_SENTENCE_END = rf"(?s)\A(.*[.!?][{WS_SET}])"
 
 
-def captions(texts: Column) -> Column:
-    """Distinct figure and table captions over section texts, in order, before the cap."""
+def captions(texts: Column, key_chars: int | None = None) -> Column:
+    """Distinct figure and table captions over section texts, in order.
+
+    Captions are equal without regard to case; ``key_chars`` compares only their opening characters.
+    """
     found = F.flatten(F.transform(texts, lambda t: extract_all(t, CAPTION, 1)))
     clean = F.filter(
         F.transform(found, lambda c: F.rtrim(strip(c), F.lit("."))), lambda c: F.length(c) >= 15
     )
-    return first_by_key(clean, lambda c: F.substr(F.lower(c), F.lit(1), F.lit(60)))
+    return first_by_key(clean, lambda c: F.lower(c if key_chars is None else F.substr(c, F.lit(1), F.lit(key_chars))))
 
 
 def smart_truncate(col: Column, limit: int) -> Column:
@@ -52,35 +54,46 @@ def smart_truncate(col: Column, limit: int) -> Column:
     )
 
 
-def assemble(texts: Column, caption_list: Column) -> Column:
-    """Prompt from the eight section texts (in section order); '' when there is nothing to send."""
+def assemble(
+    texts: Column, caption_list: Column, limits: bool = False, min_chars: int = 1,
+    max_captions: int | None = None, max_chars: int | None = None,
+) -> Column:
+    """Prompt from the eight section texts (in section order); '' when there is nothing to send.
+
+    Whole sections go in; ``limits`` cuts each at its number in PROMPT_SECTIONS, ``max_chars`` the prompt, and
+    ``max_captions`` the list of captions. Where the labelled sections have fewer than ``min_chars``
+    characters, all texts are sent as they are.
+    """
 
     def chunk(key: str, label: str, limit: int) -> Column:
         content = strip(texts[SECTION_KEYS.index(key)])
         return let(
             content,
             lambda c: F.when(
-                c != "", F.concat(F.lit(f"[{label}]\n"), smart_truncate(c, limit))
+                c != "", F.concat(F.lit(f"[{label}]\n"), smart_truncate(c, limit) if limits else c)
             ),
         )
 
     chunks = F.filter(F.array(*[chunk(*s) for s in PROMPT_SECTIONS]), lambda x: x.isNotNull())
 
+    def cut(text: Column) -> Column:
+        return text if max_chars is None else F.substr(text, F.lit(1), F.lit(max_chars))
+
     def body(parts: Column) -> Column:
         size = F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.length(p))
         raw = F.array_join(F.filter(texts, lambda t: strip(t) != ""), " ")
-        whole = F.when(size < PROMPT_MIN_CHARS, raw).otherwise(F.array_join(parts, "\n\n"))
-        return let(F.substr(whole, F.lit(1), F.lit(PROMPT_MAX_CHARS)), with_captions)
+        whole = F.when(size < min_chars, raw).otherwise(F.array_join(parts, "\n\n"))
+        return let(cut(whole), with_captions)
 
     def with_captions(text: Column) -> Column:
         block = F.array_join(
-            F.transform(F.slice(caption_list, 1, MAX_CAPTIONS), lambda c: F.concat(F.lit("- "), c)),
+            F.transform(first_n(caption_list, max_captions), lambda c: F.concat(F.lit("- "), c)),
             "\n",
         )
         full = F.concat(text, F.lit(f"\n\n{CAPTION_HEADER}\n"), block)
         return (
             F.when(strip(text) == "", F.lit(""))
-            .when(F.size(caption_list) > 0, F.substr(full, F.lit(1), F.lit(PROMPT_MAX_CHARS)))
+            .when(F.size(caption_list) > 0, cut(full))
             .otherwise(text)
         )
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholium.constants import MAX_DOIS, MIN_REF_CHARS, NEUTRAL_SCORE, PAPER_YEAR_WINDOW
+from scholium.constants import MIN_REF_CHARS, NEUTRAL_SCORE
 from scholium.functions.text import (
-    empty_strings, extract, extract_all, has, let, repeats_by_key, round_exact, split_lines,
+    empty_strings, extract, extract_all, first_n, has, let, repeats_by_key, round_exact, split_lines,
     strip, sub, uni,
 )
 
@@ -51,11 +51,11 @@ def clean_doi(col: Column) -> Column:
     return let(let(trimmed, lambda x: _peel(x, "(", ")")), lambda x: _peel(x, "[", "]"))
 
 
-def extract_dois(refs: Column, cap: int = MAX_DOIS) -> Column:
+def extract_dois(refs: Column, cap: int | None = None) -> Column:
     """Distinct DOIs in discovery order, labelled ones first."""
     found = F.concat(extract_all(refs, DOI_LABELLED), extract_all(refs, DOI_STANDALONE))
     clean = F.filter(F.transform(found, clean_doi), lambda d: d != "")
-    return F.slice(F.array_distinct(clean), 1, cap)
+    return first_n(F.array_distinct(clean), cap)
 
 
 def link_doi(uri: Column) -> Column:
@@ -63,8 +63,8 @@ def link_doi(uri: Column) -> Column:
     return F.nullif(F.rtrim(extract(uri, DOI_IN_LINK), F.lit(".")), F.lit(""))
 
 
-def merge_dois(text_dois: Column, link_dois: Column, cap: int = MAX_DOIS) -> Column:
-    return F.slice(F.array_union(text_dois, F.coalesce(link_dois, empty_strings())), 1, cap)
+def merge_dois(text_dois: Column, link_dois: Column, cap: int | None = None) -> Column:
+    return first_n(F.array_union(text_dois, F.coalesce(link_dois, empty_strings())), cap)
 
 
 def ref_year(line: Column) -> Column:
@@ -93,15 +93,21 @@ def citation_label(line: Column, default: Column, ignore_case: bool = False) ->
     return F.when(label != "", label).otherwise(default)
 
 
+def year_number(year: Column) -> Column:
+    """A year as a number; the pattern admits digits of any script, only ASCII ones are read."""
+    return year.try_cast("int")
+
+
 def _plausible(years: Column, now: int) -> Column:
-    return F.filter(
-        F.transform(years, lambda y: y.cast("int")), lambda y: (y > 1950) & (y <= now)
-    )
+    return F.filter(F.transform(years, year_number), lambda y: (y > 1950) & (y <= now))
+
 
+def paper_year(text: Column, now: int, window: int | None = None) -> Column:
+    """Most frequent year of the text, the latest of equals; NULL when none.
 
-def paper_year(text: Column, now: int) -> Column:
-    """Most frequent year of the opening pages, the latest of equals; NULL when none."""
-    head = F.substr(text, F.lit(1), F.lit(PAPER_YEAR_WINDOW))
+    ``window`` restricts it to the opening characters.
+    """
+    head = text if window is None else F.substr(text, F.lit(1), F.lit(window))
 
     def top(years: Column) -> Column:
         counted = F.transform(
@@ -148,8 +154,8 @@ def recency(lines: Column, year: Column, now: int) -> Column:
     return let(_plausible(first_years, now), of)
 
 
-def duplicate_lines(refs: Column) -> Column:
-    """Every reference line whose first 60 normalised characters occurred before."""
+def duplicate_lines(refs: Column, key_chars: int | None = None) -> Column:
+    """Every reference line that, normalised, occurred before (compared by ``key_chars`` characters, if given)."""
     rows = F.transform(
         split_lines(strip(refs)),
         lambda l: F.struct(
@@ -157,19 +163,22 @@ def duplicate_lines(refs: Column) -> Column:
         ),
     )
     long_rows = F.filter(rows, lambda r: F.length(r["norm"]) > MIN_REF_CHARS)
-    again = repeats_by_key(long_rows, lambda r: F.substr(r["norm"], F.lit(1), F.lit(60)))
+    again = repeats_by_key(
+        long_rows, lambda r: r["norm"] if key_chars is None else F.substr(r["norm"], F.lit(1), F.lit(key_chars)))
     return F.transform(again, lambda r: r["line"])
 
 
-def duplicate_labels(refs: Column) -> Column:
+def duplicate_labels(refs: Column, key_chars: int | None = None) -> Column:
     return F.transform(
-        duplicate_lines(refs),
+        duplicate_lines(refs, key_chars),
         lambda l: citation_label(l, F.substr(l, F.lit(1), F.lit(40)), ignore_case=True),
     )
 
 
-def spread_sample(items: Column, k: int) -> Column:
-    """All items when at most ``k``, else ``k`` spread evenly over the array."""
+def spread_sample(items: Column, k: int | None) -> Column:
+    """All items when at most ``k`` (or without a limit), else ``k`` spread evenly over the array."""
+    if k is None:
+        return items
     n = F.size(items)
     picks = F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)),

@@ -13,15 +13,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholium.constants import (
-    FALLBACK_SCAN_WINDOW, MAX_CANDIDATE_HEADINGS, SECTION_KEYS, SECTIONS, VALID_MAP_KEYS,
-)
+from scholium.constants import SECTION_KEYS, SECTIONS, VALID_MAP_KEYS
 from scholium.functions.headings import (
     HARD_STOP, PLAIN, REFERENCES_CODE, SECTION_CODE, SOFT_STOP, clean_heading,
     has_stop_word, heading_rule, is_appendix_letter, is_candidate_heading, line_code,
 )
 from scholium.functions.text import (
-    extract, extract_all, first_by_key, has, let, split_lines, strip, sub, uni,
+    extract, extract_all, first_by_key, first_n, has, let, split_lines, strip, sub, uni,
 )
 
 SECTION_STRUCT = "struct<section:string,text:string,by_hash:boolean>"
@@ -81,7 +79,7 @@ ANY_KEYWORD_AT_LINE = _keyword_pattern(_ALL_WORDS, _AT_LINE)
 ANY_KEYWORD_AFTER_BREAK = _keyword_pattern(_ALL_WORDS, _AFTER_BREAK)
 
 
-def _scan_section(text: Column, words: list[str]) -> Column:
+def _scan_section(text: Column, words: list[str], window: int | None) -> Column:
     """Text of the first keyword heading up to the next keyword heading, '' when none.
 
     The matched string is located by value: an earlier copy of it would itself be an earlier
@@ -93,9 +91,9 @@ def _scan_section(text: Column, words: list[str]) -> Column:
     def cut(m: Column) -> Column:
         def body(tail: Column) -> Column:
             def stop(nxt: Column) -> Column:
-                end = F.when(nxt == "", F.lit(FALLBACK_SCAN_WINDOW)).otherwise(
-                    F.least(F.instr(tail, nxt) - 1, F.lit(FALLBACK_SCAN_WINDOW))
-                )
+                end = F.when(nxt == "", F.length(tail)).otherwise(F.instr(tail, nxt) - 1)
+                if window is not None:
+                    end = F.least(end, F.lit(window))
                 return strip(F.concat(m, F.substr(tail, F.lit(1), end)))
 
             return let(extract(tail, ANY_KEYWORD_AFTER_BREAK, 0), stop)
@@ -107,8 +105,8 @@ def _scan_section(text: Column, words: list[str]) -> Column:
     return let(heading, cut)
 
 
-def scan_missing(text: Column, sections: Column) -> Column:
-    """Fill empty sections by the keyword scan over the raw text."""
+def scan_missing(text: Column, sections: Column, window: int | None = None) -> Column:
+    """Fill empty sections by the keyword scan over the raw text; ``window`` limits their characters."""
 
     def filled(sections: Column) -> Column:
         return F.array(
@@ -116,7 +114,7 @@ def scan_missing(text: Column, sections: Column) -> Column:
                 F.when(sections[i]["text"] != "", sections[i]).otherwise(
                     F.struct(
                         F.lit(key).alias("section"),
-                        _scan_section(text, words).alias("text"),
+                        _scan_section(text, words, window).alias("text"),
                         F.lit(False).alias("by_hash"),
                     )
                 )
@@ -132,13 +130,10 @@ def scan_missing(text: Column, sections: Column) -> Column:
 
 # --- heading map -----------------------------------------------------------
 
-def candidate_headings(text: Column) -> Column:
-    """First forty distinct top-level heading lines (stripped) of a text."""
+def candidate_headings(text: Column, most: int | None = None) -> Column:
+    """Distinct top-level heading lines (stripped) of a text, the first ``most`` if given."""
     lines = F.filter(F.transform(split_lines(text), strip), is_candidate_heading)
-    return F.slice(
-        first_by_key(lines, lambda l: F.substr(F.lower(l), F.lit(1), F.lit(50))),
-        1, MAX_CANDIDATE_HEADINGS,
-    )
+    return first_n(first_by_key(lines, F.lower), most)
 
 
 def map_sections(text: Column, mapping: Column) -> Column:
@@ -179,7 +174,8 @@ def merge_sections(tier1: Column, tier2: Column) -> Column:
 
         def pick(x: Column, y: Column) -> Column:
             use_map = (y["text"] != "") & (more | (x["text"] == ""))
-            return F.when(use_map, y).otherwise(x)
+            # a section of the map was not opened by a marked heading
+            return F.when(use_map, y.withField("by_hash", F.lit(False))).otherwise(x)
 
         return F.struct(
             F.zip_with(a, b, pick).alias("sections"),
@@ -189,13 +185,13 @@ def merge_sections(tier1: Column, tier2: Column) -> Column:
     return let(tier1, lambda a: let(tier2, lambda b: merged(a, b)))
 
 
-def confidence(text: Column, by_hash: Column, tier: Column) -> Column:
-    """Confidence 80..99 of a non-empty section."""
+def confidence(text: Column, by_hash: Column, tier: Column, chars: int | None = None) -> Column:
+    """Confidence 80..99 of a non-empty section; ``chars`` limits the characters its checksum reads."""
     n = F.size(split_lines(text))
     base = F.when(tier == 2, 88).otherwise(F.when(by_hash, 85).otherwise(70))
     bonus = F.when(n >= 20, 10).when(n >= 10, 7).when(n >= 5, 4).otherwise(2)
     points = F.aggregate(
-        F.split(F.substr(text, F.lit(1), F.lit(200)), ""),
+        F.split(text if chars is None else F.substr(text, F.lit(1), F.lit(chars)), ""),
         F.lit(0).cast("long"),
         lambda acc, ch: acc + F.ascii(ch),
     )

@@ -45,6 +45,11 @@ def uni(pattern: str) -> str:
     return "".join(out)
 
 
+def first_n(items: Column, n: int | None) -> Column:
+    """The first ``n`` items; all of them without a limit."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once: expressions inside lambdas get no common-subexpression reuse."""
     return F.transform(F.array(value), body)[0]

@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 2_000_000
 MAX_HOT_KEYS = 10_000
-BROADCAST_ROWS = 100_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def hot_keys(counts: DataFrame, keys: list[str], rows_per_slice: int, name: str) -> DataFrame:
@@ -35,18 +29,14 @@ def lookup_join(
     how: str = "left",
     rows_per_slice: int = ROWS_PER_SLICE,
     counts: DataFrame | None = None,
-    small: bool = False,
 ) -> DataFrame:
     """``rows`` joined to ``dim`` (unique on ``key``) without a hot partition.
 
-    With ``small`` (the caller checked :func:`is_small`) ``dim`` is broadcast. Otherwise rows of
-    a hot key are spread over slices by hash, and its one dimension row is repeated per slice;
+    A side small enough by its bytes is broadcast by the adaptive planner. Rows of a hot key are spread over slices by hash, and its one dimension row is repeated per slice;
     the list of hot keys is bounded, hence broadcast. Counting combines on the map side.
     ``counts`` (key, n) may be given when the caller has them already.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if small:
-        return rows.join(F.broadcast(dim), keys, how)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(counts, keys, rows_per_slice, "_slices")

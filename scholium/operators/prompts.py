@@ -6,30 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.constants import (
-    BUDGET_LIMITS, CHARS_PER_TOKEN, MAX_CAPTIONS, PROMPT_OVERHEAD_CHARS, TOKENS_PER_MINUTE,
+    BUDGET_LIMITS, CHARS_PER_TOKEN, PROMPT_OVERHEAD_CHARS, TOKENS_PER_MINUTE,
 )
 from scholium.functions import prompts as PF
-from scholium.functions.text import round_exact
+from scholium.functions.text import first_n, round_exact
 from scholium.operators.frames import pin
 
 
-def captions(with_texts: DataFrame, cap: int = MAX_CAPTIONS) -> DataFrame:
-    """(doc_id, pos, caption) from a frame with ``texts``."""
+def captions(with_texts: DataFrame, cap: int | None = None) -> DataFrame:
+    """(doc_id, pos, caption) from a frame with ``texts``; the first ``cap`` of each document, if given."""
     found = pin(with_texts.select("doc_id", "texts"), found=PF.captions(F.col("texts")))
     return found.select(
-        "doc_id", F.posexplode_outer(F.slice("found", 1, cap)).alias("pos", "caption")
+        "doc_id", F.posexplode_outer(first_n(F.col("found"), cap)).alias("pos", "caption")
     ).where(F.col("pos").isNotNull())
 
 
-def assemble_prompt(with_texts: DataFrame) -> DataFrame:
-    """Adds ``prompt`` and ``content_key``; an empty prompt means a paper without content."""
+def assemble_prompt(with_texts: DataFrame, **limits) -> DataFrame:
+    """Adds ``prompt``, ``content_key`` and ``content_digest``; an empty prompt means a paper without content.
+
+    ``limits`` are those of :func:`scholium.functions.prompts.assemble`; none apply by default.
+    """
     caps = pin(with_texts, caps=PF.captions(F.col("texts")))
-    out = pin(caps, prompt=PF.assemble(F.col("texts"), F.col("caps"))).drop("caps")
+    out = pin(caps, prompt=PF.assemble(F.col("texts"), F.col("caps"), **limits)).drop("caps")
     return content_key(out, "prompt")
 
 
 def content_key(df: DataFrame, col: str, n: int = 16) -> DataFrame:
-    return df.withColumn("content_key", PF.content_key(F.col(col), n))
+    """Adds the digest of a text, whole for joins and its first ``n`` digits for display."""
+    digested = df.withColumn("content_digest", F.sha2(col, 256))
+    return digested.withColumn("content_key", F.substr("content_digest", F.lit(1), F.lit(n)))
 
 
 def token_budget(

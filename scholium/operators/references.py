@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.constants import DUPLICATE_DETAIL, MAX_DOIS, SECTION_KEYS
+from scholium.constants import DUPLICATE_DETAIL, SECTION_KEYS
 from scholium.functions import references as RF
 from scholium.functions.text import empty_strings, strip
 from scholium.operators.frames import pin
@@ -39,7 +39,7 @@ def total_refs(refs: Column) -> Column:
     )
 
 
-def extract_dois(refs: DataFrame, cap: int = MAX_DOIS) -> DataFrame:
+def extract_dois(refs: DataFrame, cap: int | None = None) -> DataFrame:
     return _rows(refs, RF.extract_dois(F.col("refs"), cap), "doi")
 
 
@@ -47,7 +47,7 @@ def extract_arxiv(refs: DataFrame) -> DataFrame:
     return _rows(refs, RF.extract_arxiv(F.col("refs")), "arxiv_id")
 
 
-def merge_dois(text_dois: DataFrame, link_dois: DataFrame, cap: int = MAX_DOIS) -> DataFrame:
+def merge_dois(text_dois: DataFrame, link_dois: DataFrame, cap: int | None = None) -> DataFrame:
     """Both inputs (doc_id, dois ARRAY); text order first."""
     links = link_dois.select("doc_id", F.col("dois").alias("links"))
     return text_dois.join(links, "doc_id", "left").select(
@@ -85,7 +85,7 @@ def duplicate_refs(refs: DataFrame) -> DataFrame:
 def reference_facts(docs: DataFrame, now: int, keep: list[str] | None = None) -> DataFrame:
     """Everything the citation score needs from the text, per document.
 
-    Input (doc_id, text, refs, links ARRAY). Reference lines are reduced to what later stages
+    Input (doc_id, refs, links ARRAY) and either text or its paper_year. Reference lines are reduced to what later stages
     ask of them (title, year, which DOIs they contain), so no reference text is shuffled.
     """
     base = pin(
@@ -95,17 +95,17 @@ def reference_facts(docs: DataFrame, now: int, keep: list[str] | None = None) ->
             RF.merge_dois(RF.extract_dois(F.col("refs")), F.col("links"))
         ),
         arxiv_ids=RF.extract_arxiv(F.col("refs")),
-        paper_year=RF.paper_year(F.col("text"), now),
+        paper_year=F.col("paper_year") if "paper_year" in docs.columns else RF.paper_year(F.col("text"), now),
         duplicates=RF.duplicate_labels(F.col("refs")),
     )
 
-    def item(line: Column) -> Column:
+    def item(line: Column, pos: Column) -> Column:
         inside = F.filter(
             F.transform(F.col("dois"), lambda d, i: F.when(F.contains(line, d), i)),
             lambda i: i.isNotNull(),
         )
         return F.struct(
-            RF.ref_title(line).alias("title"), RF.ref_year(line).alias("year"),
+            pos.alias("pos"), RF.ref_title(line).alias("title"), RF.ref_year(line).alias("year"),
             inside.alias("doi_hits"),
         )
 

@@ -13,7 +13,7 @@ from scholium.constants import (
 from scholium.functions import scoring as SC
 from scholium.operators.frames import pin
 
-LAYER_SCHEMA = "struct<score:double,issues:array<string>,suggestions:array<string>>"
+LAYER_SCHEMA = "struct<score:string,issues:array<string>,suggestions:array<string>,analysis_failed:boolean>"
 
 
 def _layer(name: str, score: Column, issues: Column, suggestions: Column) -> Column:
@@ -27,6 +27,11 @@ def _one(text: str) -> Column:
     return F.array(F.lit(text))
 
 
+def fallback_layers() -> Column:
+    """The layers of a paper whose review is not to be had."""
+    return F.array(*[_layer(n, F.lit(0.0), _one(FALLBACK_ISSUE), _one(FALLBACK_SUGGESTION)) for n in MODEL_LAYERS])
+
+
 def parse_reviews(reviews: DataFrame) -> DataFrame:
     """(doc_id, analysis_failed, discipline, layers) from review JSON.
 
@@ -39,12 +44,17 @@ def parse_reviews(reviews: DataFrame) -> DataFrame:
         top=F.from_json("review_json", "map<string,string>"),
     )
     failed = F.col("keys").isNull()
+    # a stored review may say of a layer that its analysis failed
+    marked_failed = F.exists(
+        F.array(*map(F.lit, MODEL_LAYERS)),
+        lambda n: F.coalesce(F.from_json(F.try_element_at("top", n), LAYER_SCHEMA)["analysis_failed"], F.lit(False)),
+    )
     complete = F.size(F.array_intersect("keys", F.array(*map(F.lit, MODEL_LAYERS)))) == len(MODEL_LAYERS)
 
     def layer(name: str) -> Column:
         raw = F.when(complete, F.try_element_at("top", F.lit(name))).otherwise(F.col("review_json"))
         obj = F.from_json(raw, LAYER_SCHEMA)
-        score = SC.clip(F.coalesce(obj["score"], F.lit(0.0)), 0.0, 10.0)
+        score = SC.clip(F.coalesce(obj["score"].try_cast("double"), F.lit(0.0)), 0.0, 10.0)
         is_object = F.coalesce(raw.startswith("{"), F.lit(False))
         return (
             F.when(failed, _layer(name, F.lit(0.0), _one(FALLBACK_ISSUE), _one(FALLBACK_SUGGESTION)))
@@ -56,7 +66,7 @@ def parse_reviews(reviews: DataFrame) -> DataFrame:
 
     return pin(
         parsed,
-        analysis_failed=failed,
+        analysis_failed=failed | F.coalesce(marked_failed, F.lit(False)),
         discipline=SC.resolve_discipline(F.try_element_at("top", F.lit("discipline"))),
         layers=F.array(*[layer(n) for n in MODEL_LAYERS]),
     ).drop("review_json", "keys", "top")
@@ -69,11 +79,11 @@ def layer_rows(parsed: DataFrame) -> DataFrame:
 
 
 def calibrate(parsed: DataFrame) -> DataFrame:
-    """Calibrates the model layers of a ``layers`` array; citations pass unchanged."""
+    """Calibrates the model layers of a ``layers`` array, keeping ``raw``; citations pass unchanged."""
 
     def one(x: Column) -> Column:
         score = F.when(x["layer"] == "citations", x["score"]).otherwise(SC.calibrate(x["score"]))
-        return x.withField("score", score)
+        return x.withField("score", score).withField("raw", x["score"])
 
     return pin(parsed, layers=F.transform("layers", one))
 
@@ -82,7 +92,7 @@ def add_citations_layer(calibrated: DataFrame, results: DataFrame) -> DataFrame:
     """Appends the citations layer from citation results, joined on doc_id."""
     cites = results.select(
         "doc_id", _layer("citations", F.col("score"), F.col("issues"), F.col("suggestions"))
-        .alias("cites"))
+        .withField("raw", F.col("score")).alias("cites"))
     joined = calibrated.join(cites, "doc_id", "left")
     return joined.withColumn(
         "layers", F.concat("layers", F.filter(F.array("cites"), lambda c: c.isNotNull()))

@@ -16,9 +16,9 @@ from scholium.constants import (
 )
 from scholium.functions import headings as H
 from scholium.functions import sections as S
-from scholium.functions.text import is_upper, split_lines, strip
+from scholium.functions.text import first_n, is_upper, split_lines, strip
 from scholium.operators.frames import pin
-from scholium.operators.lookup import is_small, lookup_join
+from scholium.operators.lookup import lookup_join
 
 
 def explode_lines(papers: DataFrame) -> DataFrame:
@@ -84,13 +84,13 @@ def candidate_headings(papers: DataFrame) -> DataFrame:
 def map_headings(headings: DataFrame, heading_map: DataFrame) -> DataFrame:
     """Per document the mapped candidate headings, in document order: (doc_id, mapping).
 
-    Only short heading strings are shuffled; at most forty per document come back.
+    Only short heading strings are shuffled.
     """
     valid = (
         heading_map.where(F.col("section").isin(VALID_MAP_KEYS))
         .groupBy("heading").agg(F.max("section").alias("section"))
     )
-    found = lookup_join(headings, valid, "heading", how="inner", small=is_small(heading_map))
+    found = lookup_join(headings, valid, "heading", how="inner")
     entry = F.struct("pos", H.clean_heading(F.col("heading")).alias("clean"), "section")
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("mapping"))
 
@@ -101,16 +101,14 @@ def segment_by_map(papers: DataFrame, heading_map: DataFrame) -> DataFrame:
     return pin(mapped, sections=S.map_sections(F.col("text"), F.col("mapping"))).drop("mapping")
 
 
-def merge_tiers(tier1: DataFrame, tier2: DataFrame) -> DataFrame:
-    """Lay the map's sections over sparse keyword results; dense documents pass unchanged."""
-    t2 = tier2.select("doc_id", F.col("sections").alias("map_sections"))
-    joined = tier1.join(t2, "doc_id", "left")
-    use = F.col("map_sections").isNotNull() & (
-        S.found_count(F.col("sections")) < TIER2_MIN_SECTIONS
+def lay_map_over(sparse: DataFrame) -> DataFrame:
+    """Sparse keyword results with a ``mapping`` column (NULL without one): the map's sections laid over them."""
+    over = F.when(
+        F.col("mapping").isNotNull(),
+        S.merge_sections(F.col("sections"), S.map_sections(F.col("text"), F.col("mapping"))),
     )
-    merged = F.when(use, S.merge_sections(F.col("sections"), F.col("map_sections")))
-    out = pin(joined, m=merged)
-    keep = [c for c in tier1.columns if c not in ("sections", "tier")]
+    out = pin(sparse, m=over)
+    keep = [c for c in sparse.columns if c not in ("sections", "tier", "mapping")]
     return out.select(
         *keep,
         F.coalesce("m.sections", "sections").alias("sections"),
@@ -119,19 +117,22 @@ def merge_tiers(tier1: DataFrame, tier2: DataFrame) -> DataFrame:
 
 
 def detect_sections(papers: DataFrame, heading_map: DataFrame | None = None, cut=None) -> DataFrame:
-    """Two-tier detection. Only the texts of sparse documents take part in the map join.
+    """Two-tier detection.
 
-    ``cut`` may materialise the keyword result (a checkpoint, say), which is read three times.
+    Headings of sparse documents are looked up as short strings; their mapping comes back to the text in
+    one join, in which dense documents take no part. ``cut`` may materialise the keyword result, which is
+    read three times.
     """
     tier1 = segment_sections(papers)
     if heading_map is None:
         return tier1
+    tier1 = tier1.withColumn("sparse", S.found_count(F.col("sections")) < TIER2_MIN_SECTIONS)
     if cut is not None:
         tier1 = cut(tier1)
-    sparse = S.found_count(F.col("sections")) < TIER2_MIN_SECTIONS
-    few = tier1.where(sparse)
-    tier2 = segment_by_map(few.select("doc_id", "text"), heading_map)
-    return tier1.where(~sparse).unionByName(merge_tiers(few, tier2))
+    few = tier1.where("sparse").drop("sparse")
+    mapping = map_headings(candidate_headings(few.select("doc_id", "text")), heading_map)
+    laid = lay_map_over(few.join(mapping, "doc_id", "left"))
+    return tier1.where(~F.col("sparse")).drop("sparse").unionByName(laid)
 
 
 def with_confidence(bundled: DataFrame) -> DataFrame:
@@ -179,8 +180,8 @@ def section_profile(bundled: DataFrame) -> DataFrame:
     )
 
 
-def heading_profile(papers: DataFrame, n: int = 40) -> DataFrame:
-    """Heading-like lines with line numbers: the first ``n`` of each document, and how many."""
+def heading_profile(papers: DataFrame, n: int | None = None) -> DataFrame:
+    """Heading-like lines with line numbers, the first ``n`` of each document if given, and how many."""
 
     def candidate(line: Column) -> Column:
         size = F.length(line)
@@ -202,7 +203,7 @@ def heading_profile(papers: DataFrame, n: int = 40) -> DataFrame:
     return found.select(
         "doc_id",
         F.size("found").alias("total"),
-        F.explode_outer(F.slice("found", 1, n)).alias("h"),
+        F.explode_outer(first_n(F.col("found"), n)).alias("h"),
     ).where(F.col("total") > 0).select("doc_id", "h.line_no", "h.heading", "total")
 
 

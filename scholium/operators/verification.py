@@ -1,23 +1,22 @@
 """Reference verification as joins against registries, and the citation score.
 
 Identifiers are looked up once per distinct value for the whole corpus; what travels is ids and
-statuses, never reference text. Frames are keyed by doc_id and hold arrays bounded by the fixed
-per-document limits (20 DOIs, 15 preprints, 10 titles).
+statuses, never reference text. Frames are keyed by doc_id and hold arrays as long as the document's
+own reference list. The limits of the original on remote calls are arguments without a default.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scholium.constants import (
-    DUPLICATE_DETAIL, MAX_ARXIV_LOOKUPS, NEUTRAL_SCORE, NO_DOI_CAP, NOT_FOUND_DETAIL, TITLE_HITS,
-    TITLE_MIN_SIMILARITY, TITLE_MIN_SIMILARITY_SAME_YEAR, TITLE_SAMPLE, TITLE_SAMPLE_NO_DOI,
+    DUPLICATE_DETAIL, NEUTRAL_SCORE, NO_DOI_CAP, NOT_FOUND_DETAIL, TITLE_MIN_SIMILARITY,
+    TITLE_MIN_SIMILARITY_SAME_YEAR,
 )
 from scholium.functions import references as RF
 from scholium.functions import similarity as SIM
-from scholium.functions.text import empty_strings, let, round_exact
+from scholium.functions.text import empty_strings, first_n, let, round_exact
 from scholium.operators.frames import pin
 from scholium.operators.lookup import ROWS_PER_SLICE, hot_keys, lookup_join
 
@@ -77,9 +76,11 @@ def verify_dois(dois: DataFrame, works: DataFrame, log: DataFrame | None = None)
     return verify_ids(ids, known, log).select("doc_id", "pos", F.col("id").alias("doi"), "status")
 
 
-def verify_arxiv(arxiv: DataFrame, preprints: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """Per document: all ids, verified ids among the first fifteen, and the ratio over all."""
-    ids = arxiv.where(F.col("pos") < MAX_ARXIV_LOOKUPS).select(
+def verify_arxiv(
+    arxiv: DataFrame, preprints: DataFrame, log: DataFrame | None = None, most: int | None = None
+) -> DataFrame:
+    """Per document: all ids, verified ids (among the first ``most``, if given), and the ratio over all."""
+    ids = (arxiv if most is None else arxiv.where(F.col("pos") < most)).select(
         "doc_id", "pos", F.lit("arxiv").alias("kind"), F.col("arxiv_id").alias("id"))
     known = preprints.select(F.lit("arxiv").alias("kind"), F.col("arxiv_id").alias("id")).distinct()
     checked = verify_ids(ids, known, log).groupBy("doc_id").agg(
@@ -100,26 +101,30 @@ def _sliced(rows: DataFrame, hot: DataFrame, own: str, other: str, spread: Colum
     ).drop("ref_slices", "work_slices")
 
 
+def registry_titles(works: DataFrame) -> DataFrame:
+    """Equal registry titles (lower case) as one row with their years: (found, years)."""
+    return works.groupBy(F.lower("title").alias("found")).agg(
+        F.sort_array(F.collect_set(F.when(F.col("year").between(1000, 2999), F.col("year"))))
+        .alias("years")
+    )
+
+
 def search_titles(
-    titles: DataFrame, works: DataFrame, k: int = TITLE_HITS, rows_per_slice: int = ROWS_PER_SLICE,
-    cut=None,
+    titles: DataFrame, works: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, cut=None,
+    least_length_ratio: float = 0.0,
 ) -> DataFrame:
-    """Best ``k`` registry titles for each distinct (lower-case) title: (title, found, years, shared).
+    """All registry titles that share at least 60 % of a title's words: (title, found, years, shared).
 
-    A hit shares at least 60 % of the query's words; hits rank by shared words, then title.
     At least one of the query's ``m - ceil(0.6 m) + 1`` rarest words must be in any hit, so only
     those are joined on: the frequent words cost nothing and no hit is lost. A pair is emitted
-    at its first common rare word only. Equal registry titles are one row with their years.
+    at its first common rare word only. ``least_length_ratio`` leaves out pairs whose lengths alone
+    bound ``2 * shorter / (shorter + longer)`` below it; the condition is part of the join.
     ``cut`` may materialise the distinct titles and the probes, which are read several times.
     """
     cut = cut or (lambda df: df)
     refs = titles.select(F.lower("title").alias("title")).where(F.col("title") != "").distinct()
     refs = cut(pin(refs, tokens=SIM.title_tokens(F.col("title"))))
-    entries = works.groupBy(F.lower("title").alias("found")).agg(
-        F.sort_array(F.collect_set(F.when(F.col("year").between(1000, 2999), F.col("year"))))
-        .alias("years")
-    )
-    entries = pin(entries, found_tokens=SIM.title_tokens(F.col("found")))
+    entries = pin(registry_titles(works), found_tokens=SIM.title_tokens(F.col("found")))
     postings = entries.select("found", "years", "found_tokens",
                               F.explode_outer("found_tokens").alias("token"))
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -151,105 +156,97 @@ def search_titles(
     right = _sliced(postings, hot, "work", "ref", F.xxhash64("found"))
     first_common = F.get(F.array_intersect("rare", "found_tokens"), F.lit(0))
     shared = F.size(F.array_intersect("tokens", "found_tokens"))
+    a, b = F.length("title"), F.length("found")
     # the join multiplies rows, so its partitions must not be merged by their input size
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["token", "_ref", "_work"]
-    hits = (
+    return (
         left.repartition(parts, *keys)
         .join(right, keys)
+        .where(2 * F.least(a, b) >= F.lit(least_length_ratio) * (a + b))
         .where((first_common == F.col("token")) & (shared >= F.col("need")))
         .select("title", "found", "years", shared.alias("shared"))
     )
-    rank = Window.partitionBy("title").orderBy(F.desc("shared"), "found")
-    return hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
 def verify_titles(
-    checks: DataFrame, works: DataFrame, log: DataFrame | None = None, k: int = TITLE_HITS,
-    exact_ratio: bool = False, cut=None,
+    checks: DataFrame, works: DataFrame, log: DataFrame | None = None,
+    dice: bool = False, cut=None,
 ) -> DataFrame:
     """Adds ``status`` to (doc_id, pos, title, year) rows.
 
-    Verified when one of the best ``k`` hits is similar enough; a year within one of the hit's
-    lowers the threshold. Similarity is Dice over character pairs, or with ``exact_ratio`` the
-    standard library's matching-blocks ratio.
+    Verified when any hit is similar enough; a year within one of a hit's lowers the threshold.
+    Equal titles are settled first by an equi-join. Similarity is the matching-blocks ratio, computed
+    for pairs whose common characters (an upper bound of it) allow it; with ``dice`` it is
+    Dice over character pairs. Per title only the outcome is kept, and the years for which it is near.
     """
-    hits = search_titles(checks, works, k, cut=cut)
-    if exact_ratio:
-        similarity = SIM.sequence_ratio(F.col("title"), F.col("found"))
-    else:
+    titles = checks.where(F.col("title") != "").select(F.lower("title").alias("title")).distinct()
+    same = titles.join(registry_titles(works).select(F.col("found").alias("title")), "title", "left_semi")
+    rest = titles.join(same, "title", "left_anti")
+    hits = search_titles(
+        rest, works, cut=cut, least_length_ratio=0.0 if dice else TITLE_MIN_SIMILARITY_SAME_YEAR)
+    if dice:
         hits = pin(hits, a=SIM.bigrams(F.col("title")), b=SIM.bigrams(F.col("found")))
-        similarity = SIM.dice(F.col("a"), F.col("b"))
-    scored = hits.withColumn("similarity", similarity)
-    found = scored.groupBy(F.col("title").alias("key")).agg(
-        F.collect_list(F.struct("similarity", "years")).alias("hits"))
-    dim = found
+        scored = hits.withColumn("similarity", SIM.dice(F.col("a"), F.col("b")))
+    else:
+        bound = SIM.character_bound(F.col("title"), F.col("found"))
+        possible = pin(hits, bound=bound).where(F.col("bound") >= TITLE_MIN_SIMILARITY_SAME_YEAR)
+        scored = possible.withColumn("similarity", SIM.sequence_ratio(F.col("title"), F.col("found")))
+    scored = (cut or (lambda df: df))(
+        scored.where(F.col("similarity") >= TITLE_MIN_SIMILARITY_SAME_YEAR).select("title", "years", "similarity"))
+    sure = same.union(scored.where(F.col("similarity") >= TITLE_MIN_SIMILARITY).select("title")).distinct()
+    years = scored.select("title", F.explode("years").alias("w"))
+    near = years.select(
+        F.col("title").alias("key"), F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("y")
+    ).distinct().withColumn("near", F.lit(True))
+    dim = sure.select(F.col("title").alias("key"), F.lit(True).alias("sure"))
     if log is not None:
         blocked = lookup_status(log.where(F.col("kind") == "title")).select(
             F.lower("id").alias("key"), (F.col("status") == "unreachable").alias("blocked")
         ).groupBy("key").agg(F.max("blocked").alias("blocked"))
-        dim = found.join(blocked, "key", "full_outer")
+        dim = dim.join(blocked, "key", "full_outer")
     else:
         dim = dim.withColumn("blocked", F.lit(False))
-    rows = lookup_join(checks.withColumn("key", F.lower("title")), dim, "key")
-
-    def matches(hit: Column) -> Column:
-        y = F.when(F.col("year") != "", F.col("year").cast("int"))
-        near = F.exists(hit["years"], lambda w: F.abs(w - y) <= 1)
-        return (hit["similarity"] >= TITLE_MIN_SIMILARITY) | (
-            F.coalesce(near, F.lit(False))
-            & (hit["similarity"] >= TITLE_MIN_SIMILARITY_SAME_YEAR)
-        )
-
+    keyed = checks.withColumn("key", F.lower("title")).withColumn("y", RF.year_number(F.col("year")))
+    found = F.col("title") != ""
+    # rows without a title can match nothing and stay out of the joins
+    rows = lookup_join(lookup_join(keyed.where(found), dim, "key"), near, ["key", "y"])
     status = (
-        F.when(F.col("title") == "", "not_found")
-        .when(F.col("blocked"), "unreachable")
-        .when(F.coalesce(F.exists("hits", matches), F.lit(False)), "verified")
-        .otherwise("not_found")
+        F.when(F.col("blocked"), "unreachable")
+        .when(F.coalesce("sure", "near", F.lit(False)), "verified").otherwise("not_found")
     )
-    return rows.withColumn("status", status).drop("key", "hits", "blocked")
+    done = rows.withColumn("status", status).select(*checks.columns, "status")
+    return done.unionByName(checks.where(~found).withColumn("status", F.lit("not_found")))
 
 
 # --- per document ------------------------------------------------------------
 
-def uncovered_refs(lines: DataFrame, verified: DataFrame) -> DataFrame:
-    """Reference lines (doc_id, pos, line) without any verified DOI (doc_id, doi) of the document."""
-    dois = verified.groupBy("doc_id").agg(F.collect_set("doi").alias("dois"))
-    joined = lines.join(dois, "doc_id", "left")
-    covered = F.coalesce(
-        F.exists("dois", lambda d: F.contains(F.col("line"), d)), F.lit(False)
-    )
-    return joined.where(~covered).drop("dois")
-
+def sample_items(
+    items: Column, dois: Column, verified: Column, sample: int | None = None, first: int | None = None
+) -> Column:
+    """Items to check by title: those without a verified DOI, all of them where there are no DOIs.
 
-def sample_refs(lines: DataFrame, k: int = TITLE_SAMPLE) -> DataFrame:
-    """Evenly spread sample of ``k`` lines per document, in order."""
-    w = Window.partitionBy("doc_id")
-    numbered = lines.withColumn("i", F.row_number().over(w.orderBy("pos")) - 1).withColumn(
-        "n", F.count(F.lit(1)).over(w))
-    wanted = F.exists(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * F.col("n") / k) == F.col("i")
-    )
-    return numbered.where((F.col("n") <= k) | wanted).drop("i", "n")
-
-
-def sample_items(items: Column, dois: Column, verified: Column) -> Column:
-    """Items to check by title: a spread of those without a verified DOI; without DOIs the first ten."""
+    ``sample`` takes an even spread of the former, ``first`` the first of the latter.
+    """
     uncovered = F.filter(
         items, lambda it: ~F.exists(it["doi_hits"], lambda i: F.array_contains(verified, dois[i]))
     )
-    sampled = let(uncovered, lambda u: RF.spread_sample(u, TITLE_SAMPLE))
-    chosen = F.when(F.size(dois) > 0, sampled).otherwise(
-        F.slice(items, 1, TITLE_SAMPLE_NO_DOI)
-    )
+    sampled = let(uncovered, lambda u: RF.spread_sample(u, sample))
+    chosen = F.when(F.size(dois) > 0, sampled).otherwise(first_n(items, first))
     return F.filter(chosen, lambda it: it["title"] != "")
 
 
-def with_id_status(facts: DataFrame, known: DataFrame, log: DataFrame | None) -> DataFrame:
-    """Facts with the looked-up statuses: verified / not_found / unreachable DOIs, arXiv count."""
+def with_id_status(
+    facts: DataFrame, known: DataFrame, log: DataFrame | None, max_arxiv: int | None = None,
+    sample: int | None = None, first: int | None = None,
+) -> DataFrame:
+    """Facts with the looked-up statuses: verified / not_found / unreachable DOIs, arXiv count.
+
+    ``checks`` are the items to look up by title. The limits are those of the functions used.
+    """
     doi_ids = F.transform("dois", lambda d: F.struct(F.lit("doi").alias("kind"), d.alias("id")))
     arxiv_ids = F.transform(
-        F.slice("arxiv_ids", 1, MAX_ARXIV_LOOKUPS),
+        first_n(F.col("arxiv_ids"), max_arxiv),
         lambda a: F.struct(F.lit("arxiv").alias("kind"), a.alias("id")),
     )
     ids = facts.select(
@@ -273,10 +270,17 @@ def with_id_status(facts: DataFrame, known: DataFrame, log: DataFrame | None) ->
         blocked_dois=of("doi", "unreachable"), arxiv_verified=F.size(of("arxiv", "verified")),
     ).drop("checked")
     return pin(
-        joined, checks=sample_items(F.col("items"), F.col("dois"), F.col("verified_dois"))
+        joined, checks=sample_items(
+            F.col("items"), F.col("dois"), F.col("verified_dois"), sample, first)
     ).drop("items")
 
 
+def title_checks(with_status: DataFrame) -> DataFrame:
+    """(doc_id, pos, title, year): references to look up by title, ``pos`` their line."""
+    rows = with_status.select("doc_id", F.explode_outer("checks").alias("c")).where(F.col("c").isNotNull())
+    return rows.select("doc_id", "c.pos", "c.title", "c.year")
+
+
 def outcome_counts(with_status: DataFrame, titles: DataFrame) -> DataFrame:
     """Adds the title outcomes of ``titles`` (doc_id, status) and the blended counters."""
     per_doc = titles.groupBy("doc_id").agg(
@@ -356,7 +360,7 @@ def issue_messages() -> Column:
             " DOI(s) could not be verified (not found in CrossRef)."))),
         F.when(F.col("t_checked") > 0, F.concat(
             F.lit("Title fallback: "), _s(F.col("t_verified")), F.lit("/"), _s(F.col("t_checked")),
-            F.lit(" reference(s) verified via Semantic Scholar (capped at 5)."))),
+            F.lit(" reference(s) verified via Semantic Scholar."))),
         F.when(n_arxiv > 0, F.concat(_s(F.col("arxiv_verified")), F.lit("/"), _s(n_arxiv),
                                      F.lit(" ArXiv preprint reference(s) verified."))),
         duplicates,
@@ -456,7 +460,7 @@ def citation_results(counted: DataFrame) -> DataFrame:
 
 def check_citations(
     facts: DataFrame, works: DataFrame, preprints: DataFrame, log: DataFrame | None = None,
-    exact_ratio: bool = False, cut=None,
+    dice: bool = False, cut=None,
 ) -> DataFrame:
     """Citation result per document from :func:`reference_facts`.
 
@@ -465,10 +469,7 @@ def check_citations(
     with_status = with_id_status(facts, registry(works, preprints), log)
     if cut is not None:
         with_status = cut(with_status)
-    checks = with_status.select(
-        "doc_id", F.posexplode_outer("checks").alias("pos", "c")
-    ).where(F.col("pos").isNotNull()).select("doc_id", "pos", "c.title", "c.year")
-    titles = verify_titles(checks, works, log, exact_ratio=exact_ratio, cut=cut)
+    titles = verify_titles(title_checks(with_status), works, log, dice=dice, cut=cut)
     return citation_results(outcome_counts(with_status, titles))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.constants import DISPLAY_NAME, EMPTY_ISSUE, EMPTY_SUGGESTION, LAYERS, MODEL_LAYERS
+from scholium.functions import references as RF
 from scholium.functions import scoring as SC
 from scholium.operators import compression as COMP
 from scholium.operators import prompts as PR
@@ -14,57 +15,73 @@ from scholium.operators import reviews as RV
 from scholium.operators import sections as SEC
 from scholium.operators import validation as VAL
 from scholium.operators import verification as V
-from scholium.sources.readers import link_dois
+from scholium.operators.lookup import lookup_join
+from scholium.sources.readers import accept_papers, link_dois
 from scholium.sources.shared import materialize
 
 
 def prepare_corpus(
     papers: DataFrame, links: DataFrame | None, heading_map: DataFrame | None, now: int,
     mode: str = "light", cut=materialize,
-) -> DataFrame:
-    """Everything that needs the paper text, one slim row per paper, written once.
+) -> tuple[DataFrame, DataFrame]:
+    """(facts, prompts) of the usable papers, one slim row per paper in each.
 
-    Sections, prompt, content key and reference facts come from the same row of text; after
-    this no stage reads or shuffles the text again.
+    Sections, prompt, content key, reference block and year come from the same row of text, which is
+    written once without the text; links are joined to what is left of the reference block. Papers with
+    too little text are rejected (:func:`scholium.sources.readers.accept_papers`).
     """
-    base = SEC.detect_sections(papers, heading_map, cut)
-    docs = SEC.with_confidence(base)
+    papers, _ = accept_papers(papers)
+    docs = SEC.with_confidence(SEC.detect_sections(papers, heading_map, cut))
+    docs = PR.assemble_prompt(COMP.compressed_texts(docs, mode)).drop("texts")
+    slim = cut(docs.select(
+        "doc_id", "prompt", "content_key", "content_digest", "detected", "tier",
+        SEC.warning_list(F.col("sections")).alias("warnings"),
+        F.filter("sections", lambda s: s["section"] == "references")[0]["text"].alias("refs"),
+        RF.paper_year(F.col("text"), now).alias("paper_year"),
+        (F.col("prompt") == "").alias("empty"),
+    ))
+    prompts = slim.select("doc_id", "content_digest", "prompt")
+    rows = slim.drop("prompt")
     if links is not None:
-        found = link_dois(links).withColumnRenamed("dois", "links")
-        docs = docs.join(found, "doc_id", "left")
+        rows = rows.join(link_dois(links).withColumnRenamed("dois", "links"), "doc_id", "left")
     else:
-        docs = docs.withColumn("links", F.array().cast("array<string>"))
-    docs = COMP.compressed_texts(docs, mode)
-    docs = PR.assemble_prompt(docs).drop("texts")
-    docs = docs.withColumn("warnings", SEC.warning_list(F.col("sections")))
-    docs = docs.withColumn(
-        "refs", F.filter("sections", lambda s: s["section"] == "references")[0]["text"]
-    )
-    slim = docs.select("doc_id", "text", "refs", "links", "prompt", "content_key", "detected",
-                       "warnings", "tier")
-    facts = REF.reference_facts(
-        slim, now, keep=["prompt", "content_key", "detected", "warnings", "tier"])
-    return cut(facts)
+        rows = rows.withColumn("links", F.array().cast("array<string>"))
+    keep = ["content_key", "content_digest", "detected", "warnings", "tier", "empty"]
+    return cut(REF.reference_facts(rows, now, keep=keep)), prompts
+
+
+def with_stored(facts: DataFrame, reviews: DataFrame, store: DataFrame | None) -> DataFrame:
+    """(doc_id, review_json) of every paper that has a review, stored ones by content before new ones.
+
+    ``store`` is (content_digest, review_json), unique by digest, of earlier successful reviews.
+    """
+    if store is None:
+        return reviews.select("doc_id", "review_json")
+    known = lookup_join(
+        facts.select("doc_id", "content_digest"), store.select("content_digest", F.col("review_json").alias("stored")), "content_digest")
+    return known.join(reviews.select("doc_id", "review_json"), "doc_id", "left").select(
+        "doc_id", F.coalesce("stored", "review_json").alias("review_json")).where(F.col("review_json").isNotNull())
 
 
 def analyze_prepared(
-    prepared: DataFrame, reviews: DataFrame, works: DataFrame, preprints: DataFrame,
-    log: DataFrame | None = None, exact_ratio: bool = False, cut=materialize,
+    facts: DataFrame, reviews: DataFrame, works: DataFrame, preprints: DataFrame,
+    log: DataFrame | None = None, dice: bool = False, cut=materialize, store: DataFrame | None = None,
 ) -> DataFrame:
-    """Result record per paper from prepared rows and reviews keyed by doc_id."""
-    facts = prepared.drop("prompt", "content_key", "detected", "warnings", "tier")
-    citations = cut(V.check_citations(facts, works, preprints, log, exact_ratio, cut))
-    parsed = RV.parse_reviews(reviews)
-    docs = prepared.select(
-        "doc_id", "content_key", "detected", "warnings", "tier", (F.col("prompt") == "").alias("empty")
-    ).join(parsed, "doc_id", "left")
+    """Result record per prepared paper; reviews are keyed by doc_id, stored ones by content.
+
+    A paper without any review gets the fallback review and ``analysis_failed``.
+    """
+    kept = ["content_key", "content_digest", "detected", "warnings", "tier", "empty"]
+    citations = cut(V.check_citations(facts.drop(*kept), works, preprints, log, dice, cut))
+    parsed = RV.parse_reviews(with_stored(facts, reviews, store))
+    docs = facts.select("doc_id", *kept).join(parsed, "doc_id", "left")
     nothing = F.array(*[
         RV._layer(n, F.lit(0.0), RV._one(EMPTY_ISSUE), RV._one(EMPTY_SUGGESTION)) for n in MODEL_LAYERS
     ])
-    docs = docs.where(F.col("empty") | F.col("layers").isNotNull()).withColumn(
-        "layers", F.when(F.col("empty"), nothing).otherwise(F.col("layers"))
-    ).withColumn("discipline", SC.resolve_discipline(F.col("discipline"))).withColumn(
-        "analysis_failed", F.coalesce("analysis_failed", F.lit(False)))
+    missing = F.col("layers").isNull() & ~F.col("empty")
+    docs = docs.withColumn("analysis_failed", F.coalesce("analysis_failed", missing)).withColumn(
+        "layers", F.when(F.col("empty"), nothing).otherwise(F.coalesce("layers", RV.fallback_layers()))
+    ).withColumn("discipline", SC.resolve_discipline(F.col("discipline")))
     layered = RV.add_citations_layer(RV.calibrate(docs), citations)
     scored = RV.verdict(RV.weighted_score(layered))
     return analysis_record(scored, citations)
@@ -84,13 +101,13 @@ def analysis_record(scored: DataFrame, citations: DataFrame) -> DataFrame:
     details = F.transform(
         "layers",
         lambda x: F.struct(x["layer"].alias("k"), F.struct(
-            x["score"].alias("score"), x["issues"].alias("issues"),
+            x["raw"].alias("score"), x["issues"].alias("issues"),
             x["suggestions"].alias("suggestions")).alias("v")),
     )
     marks = F.create_map(*[
         x for l in LAYERS for x in (F.lit(l), SC.max_mark(F.col("discipline"), F.lit(l)))])
     return scored.join(cites, "doc_id").select(
-        "doc_id", "content_key", "analysis_failed",
+        "doc_id", "content_key", "content_digest", "analysis_failed",
         F.map_from_entries(shown).alias("detected_sections"),
         F.size("detected").alias("section_count"),
         "warnings",
@@ -105,11 +122,11 @@ def analysis_record(scored: DataFrame, citations: DataFrame) -> DataFrame:
 def analyze_corpus(
     papers: DataFrame, links: DataFrame | None, heading_map: DataFrame | None, reviews: DataFrame,
     works: DataFrame, preprints: DataFrame, now: int, log: DataFrame | None = None,
-    mode: str = "light", exact_ratio: bool = False, cut=materialize,
+    mode: str = "light", dice: bool = False, cut=materialize, store: DataFrame | None = None,
 ) -> DataFrame:
-    """Analyse a corpus: text stage, verification, scoring, one record per paper."""
-    prepared = prepare_corpus(papers, links, heading_map, now, mode, cut)
-    return analyze_prepared(prepared, reviews, works, preprints, log, exact_ratio, cut)
+    """Analyse a corpus: text stage, verification, scoring, one record per usable paper."""
+    facts, _ = prepare_corpus(papers, links, heading_map, now, mode, cut)
+    return analyze_prepared(facts, reviews, works, preprints, log, dice, cut, store)
 
 
 def validate_batch(results: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:

@@ -233,6 +233,12 @@ def lookup_log_sql(D: Dialect) -> str:
     )
 
 
+def feed_sql(D: Dialect) -> str:
+    return (f"SELECT 'http://arxiv.org/abs/' || {arxiv('doc_id')} || 'v' || {s('1 + doc_id % 3')} AS id, "
+            f"' ' || {title(D, 'doc_id')} || chr(10) || '   of  note' AS title, "
+            f"CASE WHEN doc_id % 4 <> 1 THEN 'https://arxiv.org/pdf/' || {arxiv('doc_id')} || 'v9' END AS href FROM documents")
+
+
 def links_sql(D: Dialect) -> str:
     other = doi("doc_id + 2")
     rows = [
@@ -254,7 +260,8 @@ def review_json(D: Dialect) -> str:
     evidence = (
         "(CASE doc_id % 17 WHEN 2 THEN '\"evidence_claims\":{\"score\":6}' "
         "WHEN 3 THEN '\"evidence_claims\":null' "
-        "WHEN 4 THEN '\"other\":1' ELSE " + layer("evidence_claims", 7) + " END)"
+        "WHEN 4 THEN '\"other\":1' "
+        "WHEN 6 THEN '\"evidence_claims\":{\"score\":\"8\",\"issues\":[\"late\"],\"analysis_failed\":true}' ELSE " + layer("evidence_claims", 7) + " END)"
     )
     disc = f"(CASE WHEN doc_id % 19 = 5 THEN '' ELSE ',\"discipline\":\"' || {D.pick(DISCIPLINES, 'doc_id')} || '\"' END)"
     zero = "'{\"score\":0,\"issues\":[\"none\"],\"suggestions\":[\"none\"]}'"

@@ -9,9 +9,12 @@ from scholium.operators.lookup import lookup_join
 
 
 def plan_incremental(prompts: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with the stored columns, misses). Copies of one paper share a key, which may be hot."""
+    """(hits with the stored columns, misses), joined on the whole ``content_digest``.
+
+    Copies of one paper share a digest, which may be hot.
+    """
     marked = store.withColumn("_stored", F.lit(True))
-    joined = lookup_join(prompts, marked, "content_key")
+    joined = lookup_join(prompts, marked, "content_digest")
     hits = joined.where(F.col("_stored")).drop("_stored")
     misses = joined.where(F.col("_stored").isNull()).select(prompts.columns)
     return hits, misses
@@ -19,14 +22,14 @@ def plan_incremental(prompts: DataFrame, store: DataFrame) -> tuple[DataFrame, D
 
 def merge_store(store: DataFrame, new: DataFrame) -> DataFrame:
     """Store plus the successful new results, one per key (the lowest doc_id); stored rows win."""
-    columns = [c for c in store.columns if c != "content_key"]
+    columns = [c for c in store.columns if c != "content_digest"]
     picked = (
         new.where(~F.col("analysis_failed"))
-        .groupBy("content_key")
+        .groupBy("content_digest")
         .agg(F.min_by(F.struct(*columns), "doc_id").alias("r"))
-        .select("content_key", "r.*")
+        .select("content_digest", "r.*")
     )
-    fresh = picked.join(store.select("content_key"), "content_key", "left_anti")
+    fresh = picked.join(store.select("content_digest"), "content_digest", "left_anti")
     return store.unionByName(fresh.select(store.columns))
 
 

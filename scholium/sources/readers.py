@@ -36,10 +36,10 @@ def accept_papers(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def load_papers(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """(papers, rejected) from parquet (doc_id, text), or from text files, one paper per file."""
+    """(papers, rejected) from parquet (doc_id, text), or from text files, one paper per file, its path the id."""
     if fmt == "text":
         raw = spark.read.text(path, wholetext=True).select(
-            F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")
+            F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")
         )
     else:
         raw = spark.read.format(fmt).load(path).select("doc_id", "text")
@@ -95,37 +95,44 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pick_first_available(candidates: DataFrame, fallback: DataFrame, k: int = 3) -> DataFrame:
-    """Per query the first available of its best ``k`` candidates, else the available fallback.
+def pick_first_available(candidates: DataFrame, fallback: DataFrame, k: int | None = None) -> DataFrame:
+    """Per query its first available candidate (of the best ``k``, if given), else the available fallback.
 
     candidates: (name, priority, arxiv_id, title, available); fallback: same without priority.
     """
-    top = Window.partitionBy("name").orderBy("priority")
-    tried = candidates.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    tried = candidates
+    if k is not None:
+        top = Window.partitionBy("name").orderBy("priority")
+        tried = candidates.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     both = tried.where("available").select(
-        "name", "arxiv_id", "title", "rank", F.lit("arxiv_api").alias("source")
+        "name", "arxiv_id", "title", F.struct(F.lit(0).alias("kind"), F.col("priority").cast("long").alias("n")).alias("rank"),
+        F.lit("arxiv_api").alias("source")
     ).unionByName(
         fallback.where("available").select(
-            "name", "arxiv_id", "title", F.lit(k + 1).alias("rank"),
+            "name", "arxiv_id", "title", F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n")).alias("rank"),
             F.lit("arxiv_fallback").alias("source"))
     )
     best = both.groupBy("name").agg(F.min_by(F.struct("arxiv_id", "title", "source"), "rank").alias("b"))
     return best.select("name", "b.arxiv_id", "b.title", "b.source")
 
 
-RESULT_SCHEMA = """
-paper string, title string, category string, analyze_status int, analyze_time_ms bigint,
-report_status int, report_size_bytes bigint, error string, analyze_response struct<
+RESPONSE_SCHEMA = """struct<
   filename:string, detected_sections:map<string,int>, section_count:int, warnings:array<string>,
   layer_scores:map<string,double>,
   layer_details:map<string,struct<score:double,issues:array<string>,suggestions:array<string>,analysis_failed:boolean>>,
   final_score:double, grade:string,
   citation_result:struct<total_refs:int,verified:int,not_found:int,unreachable:int,
     flagged_dois:array<string>,
-    flagged_items:array<struct<citation:string,category:string,detail:string>>>>
+    flagged_items:array<struct<citation:string,category:string,detail:string>>>>"""
+RESULT_SCHEMA = f"""
+paper string, title string, category string, analyze_status int, analyze_time_ms bigint,
+report_status int, report_size_bytes bigint, error string, analyze_response {RESPONSE_SCHEMA}
 """
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Batch records from JSON arrays (or one object per file), nested and partly null."""
-    return spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Batch records, nested and partly null, from JSON arrays or one object per file.
+
+    ``by_line`` reads one record per line instead, as :func:`scholium.sources.incremental.write_results` writes them.
+    """
+    return spark.read.schema(RESULT_SCHEMA).option("multiLine", not by_line).json(path)

@@ -1,31 +1,55 @@
-"""Materialised frames in the shared folder."""
+"""Intermediate tables in the shared folder of the cluster."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a local folder only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application below ``spark.checkpoint.dir``.
+
+    A local folder, removed when the program ends, only in local mode without that setting.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scholium-"))
-    else:
+        return f"{configured.rstrip('/')}/scholium-{app}"
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="scholium-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
+
+
+def new_path(spark: SparkSession, name: str = "step") -> str:
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, once nothing reads them any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame once to the shared folder and go on from there.
+    """Write a frame once as Parquet to the shared folder and go on from there.
 
     Used where several branches read one costly result: unlike a cache it survives lost
-    executors, and the plan behind it is cut.
+    executors, the plan behind it is cut, and each branch reads only its columns and row groups.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,52 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scholium.plans.analyze import analyze_prepared, prepare_corpus
 from scholium.sources.incremental import plan_incremental
+from scholium.sources.shared import exists, new_path, remove
 
 PAPER_SCHEMA = "doc_id bigint, text string"
 
 
-def stored_keys(spark: SparkSession, out_path: str, before_batch: int) -> DataFrame | None:
-    """Content keys with a successful result of an earlier batch, None before the first one."""
-    try:
-        stored = spark.read.parquet(out_path)
-    except AnalysisException:  # nothing written yet
+def stored_reviews(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+    """(content_digest, review_json) of the successful reviews of earlier batches, None before the first one."""
+    if not exists(spark, path):
         return None
-    done = stored.where((F.col("batch") < before_batch) & ~F.col("analysis_failed"))
-    return done.select("content_key").distinct()
+    rows = spark.read.schema("content_digest string, review_json string, batch bigint").parquet(path)
+    return rows.where(F.col("batch") < before_batch).select("content_digest", "review_json")
 
 
 def analyze_stream(
     spark: SparkSession, in_path: str, out_path: str, checkpoint: str, now: int,
     reviews_of: Callable[[DataFrame], DataFrame], works: DataFrame, preprints: DataFrame,
     heading_map: DataFrame | None = None, log: DataFrame | None = None,
-    max_files: int = 100,
+    max_files: int = 100, dice: bool = False,
 ) -> StreamingQuery:
-    """Append a result per new paper; papers whose content is already stored are skipped.
+    """A result per usable arriving paper; a review stored for the same content is reused.
 
-    Every micro-batch runs the batch job. Its rows go to a folder named by the batch, which a
-    repeated batch overwrites, so a restart neither loses nor doubles results. ``reviews_of``
-    maps prepared papers to (doc_id, review_json).
+    Every micro-batch runs the batch job: references are always checked anew, only reviews are taken from
+    the store ``<out_path>_reviews``, which holds one row per content. A batch's rows go to folders named by
+    the batch, which a repeated batch overwrites, so a restart neither loses nor doubles results.
+    ``reviews_of`` maps (doc_id, content_digest, prompt), one row per content without a stored
+    review, to (doc_id, review_json). Intermediate tables of a batch are removed at its end.
     """
     papers = (
         spark.readStream.schema(PAPER_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(in_path)
     )
+    review_path = f"{out_path}_reviews"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prepared = prepare_corpus(batch, None, heading_map, now)
-        earlier = stored_keys(spark, out_path, batch_id)
-        if earlier is not None:
-            _, prepared = plan_incremental(prepared, earlier)
-        once = prepared.groupBy("content_key").agg(F.min("doc_id").alias("doc_id"))
-        fresh = prepared.join(once, ["doc_id", "content_key"], "left_semi")
-        records = analyze_prepared(fresh, reviews_of(fresh), works, preprints, log)
+        folder = new_path(spark, f"batch-{batch_id}")
+        steps = iter(range(1 << 30))
+
+        def cut(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{next(steps)}"
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        facts, prompts = prepare_corpus(batch, None, heading_map, now, cut=cut)
+        store = stored_reviews(spark, review_path, batch_id)
+        wanted = prompts if store is None else plan_incremental(prompts, store)[1]
+        once = wanted.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id"))
+        fresh = cut(wanted.join(once, ["doc_id", "content_digest"], "left_semi"))
+        reviewed = cut(
+            reviews_of(fresh).join(fresh.select("doc_id", "content_digest"), "doc_id").select("content_digest", "review_json"))
+        both = reviewed if store is None else reviewed.unionByName(store)
+        nobody = prompts.select("doc_id", F.lit(None).cast("string").alias("review_json")).limit(0)
+        records = cut(analyze_prepared(facts, nobody, works, preprints, log, dice, cut, both))
         records.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        good = records.where(~F.col("analysis_failed")).select("content_digest").distinct()
+        reviewed.join(good, "content_digest", "left_semi").write.mode("overwrite").parquet(f"{review_path}/batch={batch_id}")
+        remove(spark, folder)
 
     return (
         papers.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -115,12 +115,33 @@ def test_title_search_is_exact_under_skew(spark):
         assert got == brute_hits(sorted(set(refs)), works)
 
 
+def test_equal_title_is_found_among_many_longer_ones(spark):
+    titles = ["A deep learning view of river ice", "Ample deep learning for tide tables", "Applied deep learning in tram depots", "Deep Learning"]
+    works = spark.createDataFrame([(f"d{i}", t, 2015) for i, t in enumerate(titles)], "doi string, title string, year int")
+    checks = spark.createDataFrame(
+        [(1, 0, "deep learning", ""), (1, 1, "Deep Learning", "19\u0663\u0664"), (2, 0, "methods survey grids image nets solar", "")],
+        "doc_id bigint, pos int, title string, year string")
+    more = works.union(spark.createDataFrame([("e", "solar nets image grids survey methods", 2015)], works.schema))
+    for dice in (False, True):
+        got = {(r.doc_id, r.pos): r.status for r in V.verify_titles(checks, more, dice=dice).collect()}
+        assert got[(1, 0)] == got[(1, 1)] == "verified"
+        assert got[(2, 0)] == ("verified" if dice else "not_found")  # same words, other order
+
+
+def test_character_bound_is_above_the_ratio(spark):
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice("abcd ef") for _ in range(rng.randint(0, 14)))
+    pairs = spark.createDataFrame([(make(), make()) for _ in range(300)], "a string, b string")
+    rows = pairs.select(SIM.character_bound(F.col("a"), F.col("b")).alias("u"), SIM.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(r.u >= r.r - 1e-12 for r in rows)
+
+
 def test_year_relaxes_the_threshold_and_exact_ratio(spark):
     works = spark.createDataFrame([("d", "Attention Is All You Need", 2017)], "doi string, title string, year int")
     checks = spark.createDataFrame(
         [(1, 0, "Attention is all you need", ""), (1, 1, "Attention is all", "2018"), (1, 2, "Quantum biology now", "2017"), (1, 3, "", "")],
         "doc_id bigint, pos int, title string, year string")
-    for exact in (False, True):
-        got = {r.pos: r.status for r in V.verify_titles(checks, works, exact_ratio=exact).collect()}
+    for dice in (False, True):
+        got = {r.pos: r.status for r in V.verify_titles(checks, works, dice=dice).collect()}
         assert got == {0: "verified", 1: "verified", 2: "not_found", 3: "not_found"}
     assert spark.range(1).select(SIM.dice(SIM.bigrams(F.lit("night")), SIM.bigrams(F.lit("nacht")))).first()[0] == 0.25

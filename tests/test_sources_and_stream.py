@@ -54,9 +54,9 @@ def test_batch_results_and_summary(spark, tmp_path):
 
 
 def test_store_keeps_failures_out(spark):
-    store = spark.createDataFrame([("k1", 7)], "content_key string, v int")
+    store = spark.createDataFrame([("k1", 7)], "content_digest string, v int")
     new = spark.createDataFrame([(2, "k1", 9, False), (3, "k2", 8, False), (1, "k2", 6, False), (4, "k3", 5, True)],
-                                "doc_id bigint, content_key string, v int, analysis_failed boolean")
+                                "doc_id bigint, content_digest string, v int, analysis_failed boolean")
     assert sorted(map(tuple, INC.merge_store(store, new).collect())) == [("k1", 7), ("k2", 6)]
 
 
@@ -66,15 +66,20 @@ TEXT = ("# Abstract\nWe study {i}.\n# Introduction\n" + "Many words about the to
         + "\n# Methods\nWe do it.\n# References\n[1] Smith, J. (2020). Title of a paper here. J. DOI: 10.1000/w.{i}")
 
 
-def test_stream_equals_batch_and_skips_known(spark, tmp_path):
+def test_stream_equals_batch_and_reuses_reviews(spark, tmp_path):
     source, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     papers = spark.createDataFrame([(i, TEXT.format(i=i)) for i in range(3)], "doc_id bigint, text string")
     works = spark.createDataFrame([("10.1000/w.0", "Title of a paper here", 2020)], "doi string, title string, year int")
     preprints = spark.createDataFrame([("1234.56789",)], "arxiv_id string")
 
+    asked = []
+
+    def reviews_of(wanted):
+        asked.append(wanted.count())
+        return wanted.select("doc_id", F.lit(REVIEW).alias("review_json"))
+
     def run():
-        analyze_stream(spark, source, out, ck, 2024, lambda p: p.select("doc_id", F.lit(REVIEW).alias("review_json")),
-                       works, preprints).awaitTermination()
+        analyze_stream(spark, source, out, ck, 2024, reviews_of, works, preprints).awaitTermination()
 
     papers.coalesce(1).write.parquet(source)
     run()
@@ -83,4 +88,21 @@ def test_stream_equals_batch_and_skips_known(spark, tmp_path):
     assert sorted(first) == sorted(batch.select("doc_id", "final_score", "citation_result.verified").collect())
     spark.createDataFrame([(10, TEXT.format(i=1)), (11, TEXT.format(i=5))], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(source)
     run()
-    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 11]
+    again = spark.read.parquet(out).collect()
+    assert sorted(r.doc_id for r in again) == [0, 1, 2, 10, 11] and not any(r.analysis_failed for r in again)
+    assert asked == [3, 1]  # the copy's review comes from the store
+    assert len({r.content_digest for r in again}) == 4
+
+
+def test_every_usable_paper_has_a_record(spark):
+    papers = spark.createDataFrame([(1, TEXT.format(i=1)), (2, TEXT.format(i=2)), (3, "too short")], "doc_id bigint, text string")
+    works = spark.createDataFrame([("10.1000/w.1", "Title of a paper here", 2020)], "doi string, title string, year int")
+    preprints = spark.createDataFrame([("1234.56789",)], "arxiv_id string")
+    reviews = spark.createDataFrame([(1, REVIEW)], "doc_id bigint, review_json string")
+    rows = {r.doc_id: r for r in analyze_corpus(papers, None, None, reviews, works, preprints, 2024).collect()}
+    assert sorted(rows) == [1, 2] and [rows[i].analysis_failed for i in (1, 2)] == [False, True]
+    assert rows[1].layer_details["clarity_writing"].score == 8.0 and rows[1].layer_scores["clarity_writing"] == 8.5
+    assert rows[2].layer_scores["clarity_writing"] == 0.0
+    known = spark.createDataFrame([(rows[2].content_digest, REVIEW)], "content_digest string, review_json string")
+    stored = {r.doc_id: r for r in analyze_corpus(papers, None, None, reviews.limit(0), works, preprints, 2024, store=known).collect()}
+    assert [stored[i].analysis_failed for i in (1, 2)] == [True, False]
