@@ -30,8 +30,10 @@ from scholium.llm.common import id_and_text, map_arrow, store
 CAPACITY = 4096
 END_ID = 1
 #: Lengths are rounded up to one of so many steps to enumerate patterns, of at most so many documents.
-STEPS = 32
-PATTERN_DOCS = 4
+STEPS = 64
+PATTERN_DOCS = 3
+#: Shares of the fitted repeats that are tried; the plan with fewest sequences is taken.
+FIXED_SHARES = (1.0, 0.5, 0.25, 0.0)
 #: Distinct words whose ids a task remembers before it starts again; bounds its memory, not its results.
 REMEMBERED_WORDS = 300_000
 #: Words encoded in one call; bounds the tokenizer's own results.
@@ -163,12 +165,12 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 300) -
 
 
 def patterns(steps: int, most: int, used: list[int]) -> list[tuple[int, ...]]:
-    """Multisets of at most ``most`` of the ``used`` rounded lengths that fill ``steps`` or leave less than the least of them."""
+    """Multisets of at most ``most`` of the ``used`` rounded lengths that fill ``steps`` exactly."""
     found: list[tuple[int, ...]] = []
 
     def extend(prefix: tuple[int, ...], room: int) -> None:
         fits = [u for u in used if u <= room and (not prefix or u <= prefix[-1])]
-        if prefix and (not fits or len(prefix) == most or room == 0):
+        if room == 0:
             found.append(prefix)
         if len(prefix) < most:
             for u in fits:
@@ -215,43 +217,49 @@ class Plan:
 
 def plan_packing(histogram: np.ndarray, capacity: int, steps: int = STEPS, most: int = PATTERN_DOCS) -> Plan:
     """Plan for ``histogram[length]`` pieces of every length."""
-    left, plan = histogram.astype(np.int64).copy(), Plan(capacity)
     width = -(-capacity // steps)
     steps = capacity // width
     rounded = np.minimum(-(-np.arange(capacity + 1) // width), steps)
-    per_step = np.bincount(rounded, weights=left, minlength=steps + 1)
-    used = [u for u in range(steps, 0, -1) if per_step[u]]
-    shapes = patterns(steps, most, used)
+    per_step = np.bincount(rounded, weights=histogram, minlength=steps + 1)
+    shapes = patterns(steps, most, [u for u in range(steps, 0, -1) if per_step[u]])
+    repeats = np.zeros(len(shapes))
     if shapes:
         matrix = np.zeros((steps + 1, len(shapes)))
         for k, shape in enumerate(shapes):
             for u in shape:
                 matrix[u, k] += 1
         scale = per_step.max()
-        repeats = np.floor(nonnegative_least_squares(matrix, per_step / scale) * scale + 1e-6).astype(np.int64)
-        # only patterns that fill their sequence are fixed; best fit does the others better, with the exact lengths
-        for k in sorted(np.flatnonzero(repeats), key=lambda k: (-sum(shapes[k]), -repeats[k], k)):
-            shape = shapes[k]
-            if sum(shape) < steps:
-                continue
-            need = {u: shape.count(u) for u in shape}
-            have = {u: int(left[(rounded == u)].sum()) for u in need}
-            count = int(min(repeats[k], *(have[u] // need[u] for u in need)))
-            pending = [(plan.open(count), count, capacity)] if count else []
-            for u in shape:
-                after = []
-                for first, n, room in pending:
-                    while n:
-                        length = next(x for x in range(min(u * width, capacity), 0, -1) if rounded[x] == u and left[x] and x <= room)
-                        put = int(min(n, left[length]))
+        repeats = nonnegative_least_squares(matrix, per_step / scale) * scale
+    plans = [fill(histogram, capacity, width, rounded, shapes, np.floor(share * repeats + 1e-6).astype(np.int64)) for share in FIXED_SHARES]
+    return min(plans, key=lambda plan: plan.sequences)
+
+
+def fill(histogram: np.ndarray, capacity: int, width: int, rounded: np.ndarray, shapes: list, repeats: np.ndarray) -> Plan:
+    """Fill sequences by patterns as often as ``repeats`` says, then pack what is left best-fit, longest first."""
+    left, plan = histogram.astype(np.int64).copy(), Plan(capacity)
+    for k in sorted(np.flatnonzero(repeats), key=lambda k: (-repeats[k], k)):
+        shape = shapes[k]
+        need = {u: shape.count(u) for u in shape}
+        have = {u: int(left[(rounded == u)].sum()) for u in need}
+        count = int(min(repeats[k], *(have[u] // need[u] for u in need)))
+        pending = [(plan.open(count), count, capacity)] if count else []
+        for at, u in enumerate(shape):
+            after = []
+            for first, n, room in pending:
+                while n:
+                    # the last document fills what the exact lengths of the others left
+                    top, low = (room, 1) if at == len(shape) - 1 else (min(u * width, capacity, room), (u - 1) * width + 1)
+                    length = next((x for x in range(top, low - 1, -1) if left[x]), 0)
+                    put = int(min(n, left[length])) if length else n
+                    if length:
                         plan.runs.append((length, plan.ranks[length], put, first, capacity - room))
                         plan.ranks[length] += put
                         left[length] -= put
-                        after.append((first, put, room - length))
-                        first, n = first + put, n - put
-                pending = after
-            for first, n, room in pending:
-                plan.add(room, first, n)
+                    after.append((first, put, room - length))
+                    first, n = first + put, n - put
+            pending = after
+        for first, n, room in pending:
+            plan.add(room, first, n)
     for length in range(capacity, 0, -1):
         while left[length]:
             at = bisect.bisect_left(plan.rooms, length)
