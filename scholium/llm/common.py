@@ -28,13 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write a frame once as Parquet in the shared folder and go on from the files.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored frame that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def store(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a frame once as Parquet in the shared folder (at ``path``, if given) and go on from the files.
 
     Cuts the plan, lets later steps prune columns, and survives lost executors. The shuffle files behind it
     are not needed any more and are removed at once.
     """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = path or shared_dir(spark)
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import id_and_text, limit_batches, map_arrow, mix64, store
+from scholium.llm.common import id_and_text, limit_batches, map_arrow, mix64, remove, shared_dir, store
 
 PHRASE = 5
 WINDOW = 20
@@ -156,10 +156,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shards = max(1, -(-size // SHARD_BYTES))
     source = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "twin"), F.lit(shards)))
 
-    counted = store(phrases(source, window))
+    spark = docs.sparkSession
+    paths = [shared_dir(spark) for _ in range(2)]
+    counted = store(phrases(source, window), paths[0])
     recurring = counted.groupBy("phrase").agg(F.sum("n").alias("all")).where("all > 1").select("phrase")
-    confirmed = store(counted.join(recurring, "phrase").select("phrase", "shard").distinct())
+    confirmed = store(counted.join(recurring, "phrase").select("phrase", "shard").distinct(), paths[1])
     found = store(occurrences(source, confirmed, window))
+    for path in paths:
+        remove(spark, path)
     ranges = later_windows(found, window).groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
     ranges = store(ranges)
 
