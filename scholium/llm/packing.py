@@ -40,7 +40,7 @@ REMEMBERED_WORDS = 300_000
 ENCODED_AT_ONCE = 2_000
 #: Words, of one document or more, whose new ones are learned together.
 LEARNED_AT_ONCE = 30_000
-_NOT_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
+_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split() takes these for white space, the tokenizer does not
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 _LETTERS_SIGNS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -48,7 +48,7 @@ _LETTERS_SIGNS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)
 def space_words(text: str | None) -> list[str]:
     if not text:
         return []
-    return [w for w in _SPACE.split(text) if w] if _NOT_SPACE.search(text) else text.split()
+    return [w for w in _SPACE.split(text) if w] if any(c in text for c in _NOT_SPACE) else text.split()
 
 
 class WordIds:
