@@ -149,6 +149,20 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6] and kept.columns == frame(spark, rows).columns
 
 
+def test_leaks_of_texts_shorter_than_the_item(spark):
+    item = [f"term{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "a b c d e f"), (3, "p q r")], "item_id bigint, text string")
+    rows = [
+        (1, " ".join(item[:39])), (2, " ".join(item[6:])), (3, " ".join(item[8:])), (4, " ".join(item[:20] + ["other"] + item[21:39])),
+        (5, "a b c d e"), (6, "p q"), (7, "a b c d"), (8, " ".join(item[:38])), (8, "filler " * 60), (8, "filler"), (None, " ".join(item[1:])),
+    ]
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_words) for r in decontamination.leaks(frame(spark, rows), items).collect()}
+    # (3: 28 of 36 shingles are too few; 4: 30 of 41; 5: 1 of 2; 6 and 7 have no whole shingle)
+    want = {(1, 1): (35 / 36, 0, 39), (2, 1): (30 / 36, 0, 34), (8, 1): (34 / 36, 0, 38), (None, 1): (35 / 36, 0, 39)}
+    assert got == {k: (round(s, 9), a, n) for k, (s, a, n) in want.items()}
+    assert sorted(r.doc_id for r in decontamination.without_leaks(frame(spark, rows), items).collect()) == [3, 4, 5, 6, 7]
+
+
 def test_hamming_blocks_find_all_within_the_radius(spark):
     rng = random.Random(1)
     pairs = []
