@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from scholium.llm.common import id_and_text, limit_batches, map_arrow, mix64, store
 
@@ -226,6 +227,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     nothing. Rows that repeat an id are documents of their own with one id; if their texts differ, each has the group of its own text.
     An empty table gives no rows. Returns ``doc_id, n_shingles, component_id, kept``: ``component_id`` is the smallest id reachable.
     """
+    out = grouped(docs, size, percent, bands, rows)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, size: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, node, label, component_id`` of every row; ``label`` is the least node of its group, null without words."""
     source = id_and_text(docs)
     sketches = store(sketch(source, size, bands, rows))
     full = sketches.where(F.col("node").isNotNull())
@@ -239,9 +246,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     labels = link(nodes, texts, size, percent, bands, rows)
     label = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = label.select("node", "label").join(least, "label").select("node", "component_id")
+    answer = label.select("node", "label").join(least, "label").select("node", "label", "component_id")
     out = sketches.select("doc_id", "n_shingles", "node").join(answer, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "node", "label", "component_id")
 
 
 def matching(texts: DataFrame, size: int) -> DataFrame:
@@ -254,11 +261,26 @@ def matching(texts: DataFrame, size: int) -> DataFrame:
     return map_arrow(texts, keep, "node binary, text string")
 
 
+def with_node(docs: DataFrame, size: int) -> DataFrame:
+    """The rows of ``docs`` as ``row``, with ``id`` and ``body`` and the ``node`` of their own text."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("body"))
+
+    def name(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(t, size) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())], names=["row", "id", "body", "node"])
+
+    return map_arrow(rows, name, StructType([*rows.schema.fields, StructField("node", BinaryType())]))
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies of a smaller id; of rows that repeat an id with the same set, one."""
-    groups = near_duplicates(docs, size, percent)
-    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    numbered = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.col("body").asc_nulls_last()))
-    chosen = numbered.join(kept, F.col("id") == F.col("kept_id"), "left_semi").withColumn("copy", first).where("copy = 1")
+    """One document of each group of near copies, the smallest id.
+
+    A row stands for its own text, so an id repeated with texts of several groups is kept or not in each of them. Where
+    the smallest id has several rows in a group, the first text stays. Of rows that repeat an id without words, one stays.
+    """
+    groups = grouped(docs, size, percent)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "label").distinct()
+    chosen = with_node(docs, size).join(kept, (F.col("id") == F.col("kept_id")) & F.col("node").eqNullSafe(F.col("kept_node")))
+    first = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.col("body").asc_nulls_last()))
+    chosen = chosen.withColumn("copy", first).where("copy = 1")
     return chosen.select("row.*").union(docs.where(F.col("doc_id").isNull()))

@@ -76,6 +76,19 @@ def test_near_duplicates_equal_brute_force(spark, family):
     assert len(twice) == 4 and {r.component_id for r in twice if r.doc_id == 2} == {1}
 
 
+def test_one_of_each_with_two_texts_under_one_id(spark):
+    copy, clean, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "acz")
+    rows = [
+        (3, copy), (7, copy + " more"), (7, clean), (8, clean.upper()), (9, other), (9, other + " b"), (9, other),
+        (9, "entirely different words here"), (10, None), (10, ""), (11, "one"), (11, "one"),
+    ]
+    left = near_dedup.one_of_each(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    # of 10, whose texts have no words, one row; of 9's near copies the first text, and the other text
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+        [(3, copy), (7, clean), (9, other), (9, "entirely different words here"), (10, ""), (11, "one")], key=str)
+
+
 def test_near_dedup_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = QUERIES["op4_near_dedup"](spark, SF).collect()
