@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences.
 
 The lengths of all pieces make a histogram of at most ``capacity`` bins, whatever the corpus. On it the
-driver plans: patterns of few documents are enumerated over rounded lengths, non-negative least squares
-fits how often each is repeated, the counts are rounded down, and what is left is packed best-fit into
+driver plans: full patterns of few documents are enumerated over rounded lengths, with a greedy pattern of
+any number for each length that is in none of them; non-negative least squares fits how often each is repeated, the counts are rounded down, and what is left is packed best-fit into
 the sequences begun so far or into new ones. The plan consists of runs, "the next n pieces of this
 length go to sequences s, s+1, ... at this offset"; pieces find their run by length and rank.
 """
@@ -29,11 +29,11 @@ from scholium.llm.common import id_and_text, map_arrow, store
 
 CAPACITY = 4096
 END_ID = 1
-#: Lengths are rounded up to one of so many steps to enumerate patterns, of at most so many documents.
+#: Lengths are rounded up to one of so many steps to enumerate full patterns, of at most so many documents.
 STEPS = 64
 PATTERN_DOCS = 3
-#: Shares of the fitted repeats that are tried; the plan with fewest sequences is taken.
-FIXED_SHARES = (1.0, 0.5, 0.25, 0.0)
+#: Shares of the fitted repeats that are tried, none of them 0; the plan with fewest sequences is taken.
+FIXED_SHARES = (1.0, 0.5, 0.25)
 #: Distinct words whose ids a task remembers before it starts again; bounds its memory, not its results.
 REMEMBERED_WORDS = 300_000
 #: Words encoded in one call; bounds the tokenizer's own results.
@@ -180,6 +180,17 @@ def patterns(steps: int, most: int, used: list[int]) -> list[tuple[int, ...]]:
     return found
 
 
+def greedy_patterns(steps: int, used: list[int], full: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """For each of the ``used`` rounded lengths, descending, in no ``full`` pattern: as many of it as fit, then of each shorter one."""
+    found, held = [], {u for shape in full for u in shape}
+    for at in (k for k, u in enumerate(used) if u not in held):
+        shape, room = (), steps
+        for u in used[at:]:
+            shape, room = shape + (u,) * (room // u), room % u
+        found.append(shape)
+    return found
+
+
 class Plan:
     """Groups of equally filled sequences, and the runs that filled them. A group is (room, first sequence, count)."""
 
@@ -221,7 +232,9 @@ def plan_packing(histogram: np.ndarray, capacity: int, steps: int = STEPS, most:
     steps = capacity // width
     rounded = np.minimum(-(-np.arange(capacity + 1) // width), steps)
     per_step = np.bincount(rounded, weights=histogram, minlength=steps + 1)
-    shapes = patterns(steps, most, [u for u in range(steps, 0, -1) if per_step[u]])
+    used = [u for u in range(steps, 0, -1) if per_step[u]]
+    shapes = patterns(steps, most, used)
+    shapes += greedy_patterns(steps, used, shapes)
     repeats = np.zeros(len(shapes))
     if shapes:
         matrix = np.zeros((steps + 1, len(shapes)))

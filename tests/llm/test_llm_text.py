@@ -102,6 +102,21 @@ def test_plan_is_close_to_best_fit():
         assert plan.sequences <= len(rooms) * 1.01 + 1
 
 
+def test_every_plan_holds_fitted_patterns(monkeypatch):
+    rng = np.random.default_rng(2)
+    planned, fill = [], packing.fill
+
+    def spy(histogram, capacity, width, rounded, shapes, repeats):
+        planned.append(sum(int(n) * len(shape) for n, shape in zip(repeats, shapes)))
+        return fill(histogram, capacity, width, rounded, shapes, repeats)
+
+    monkeypatch.setattr(packing, "fill", spy)
+    for lengths, capacity in ((rng.integers(1, 257, 3000), 256), (np.full(1000, 100), 256), (rng.integers(1, 400, 100000), 4096)):
+        planned.clear()
+        packing.plan_packing(np.bincount(lengths, minlength=capacity + 1), capacity)
+        assert len(planned) == len(packing.FIXED_SHARES) and min(planned) >= 0.1 * len(lengths)
+
+
 def test_language(spark, awkward, docs):
     rows = {(r.doc_id, i): r for i, r in enumerate(language_id.identify(awkward, docs).collect())}
     assert [r.lang_pred for (d, _), r in rows.items() if d in (1, 2, 3, 7)] == ["und"] * 4
