@@ -150,8 +150,14 @@ def identify(docs: DataFrame, training: DataFrame | None = None, penalty: float
     return map_arrow(id_and_text(docs), answer, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
+def acceptable(found: tuple[str, float, list[tuple[str, float]]], least_share: float) -> bool:
+    """Whether the language that ``detect`` found has ``least_share`` of the selected mixture."""
+    lang, _, shares = found
+    return lang != UNDETERMINED and dict(shares)[lang] >= least_share
+
+
 def accepted(docs: DataFrame, least_share: float = 0.5, penalty: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language with at least ``least_share`` of it.
+    """The rows of ``docs``, all columns as they are, whose text has a language with at least ``least_share`` of the selected mixture.
 
     Rows are judged in place, nothing is shuffled. Undetermined texts (null, or without a letter) go.
     """
@@ -159,6 +165,6 @@ def accepted(docs: DataFrame, least_share: float = 0.5, penalty: float = 0.5) ->
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [detect(t, *model.value, penalty) for t in batch.column(text).to_pylist()]
-        return batch.filter(pa.array([lang != UNDETERMINED and share >= least_share for lang, share, _ in found], pa.bool_()))
+        return batch.filter(pa.array([acceptable(f, least_share) for f in found], pa.bool_()))
 
     return map_arrow(docs, keep, docs.schema)

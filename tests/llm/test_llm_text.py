@@ -137,6 +137,15 @@ def test_mixtures_are_recovered():
     assert chosen[1] == 0 and abs(chosen[0] - 0.5) < 0.05
 
 
+def test_acceptance_is_by_the_selected_mixture():
+    alike = np.full((language_id.BUCKETS, 3), 1 / language_id.BUCKETS)
+    found = language_id.detect("short text", ["a", "b", "c"], alike, 0.5)
+    assert found[1] < 0.5 and [share for _, share in found[2]] == [1.0]
+    assert language_id.acceptable(found, 0.5)
+    assert not language_id.acceptable(language_id.detect("12", ["a"], alike[:, :1], 0.5), 0.5)
+    assert not language_id.acceptable(("a", 0.9, [("a", 0.4), ("b", 0.3), ("c", 0.3)]), 0.5)
+
+
 def test_quality(spark, awkward):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = QUERIES["op3_quality"](spark, SF).join(labels, "doc_id").where("held_out").collect()
