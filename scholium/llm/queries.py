@@ -158,3 +158,88 @@ def op6_substring_dedup(spark, sf_dir):
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_license_scans(spark, sf_dir):
+    from scholium.llm.license_rules import SURE
+    from scholium.llm.license_scan import scan
+
+    out = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("detections", lambda d: d["base"])
+    sure = F.create_map(*[F.lit(x) for pair in SURE.items() for x in pair])
+
+    def labels(rows):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda d: d["label"]))), ",")
+
+    starts = F.transform(base, lambda d: d["start"])
+    spans = F.transform(F.filter("detections", lambda d: ~d["base"]), lambda d: F.concat_ws(":", d["label"], d["level"].cast("string"), d["start"].cast("string"), d["stop"].cast("string")))
+    return out.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("detections")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: sure[d["level"]])), F.lit(0.0)).alias("score"),
+        F.array_join(F.array_sort(spans), ",").alias("spans"),
+    )
+
+
+def _license_oracle():
+    from scholium.llm.license_rules import SURE, rules
+
+    def row(k, r):
+        return f"({k}, '{r.label}', {r.level}, {str(r.base).lower()}, {SURE[r.level]}::DOUBLE, '{r.pattern}')"
+
+    values = ", ".join(row(k, r) for k, r in enumerate(rules()))
+    return rf"""
+WITH rules(rule, label, level, base, sure, pattern) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT row, ' ' || array_to_string(w, '  ') || ' ' AS spaced FROM d),
+likely AS (SELECT * FROM s WHERE regexp_matches(spaced, 'licen|gpl| cc |spdx|apache|bsd|commons|cc0| org |perl|domain|reserved|copyright|proprietary|rail|wtfpl|hereby|compliance|applicable|redistributions|endorse|advertising|altered|evil|beer|eclipse|mozilla')),
+hit AS (SELECT row, rule, regexp_extract_all(spaced, pattern) AS inside, string_split_regex(spaced, pattern) AS around FROM likely, rules WHERE regexp_matches(spaced, pattern)),
+words AS (SELECT row, rule, list_transform(inside, lambda x: len(string_split(trim(x), '  '))) AS own,
+    list_transform(around, lambda x: CASE WHEN trim(x) = '' THEN 0 ELSE len(string_split(trim(x), '  ')) END) AS gap FROM hit),
+nth AS (SELECT row, rule, own, gap, unnest(range(1, len(own) + 1)) AS k FROM words),
+det AS (SELECT row, rule, label, level, base, sure, start, start + own[k] AS stop FROM
+    (SELECT *, coalesce(list_sum(gap[1:k]), 0) + coalesce(list_sum(own[1:k - 1]), 0) AS start FROM nth) JOIN rules USING (rule)),
+kept AS (SELECT * FROM det a WHERE base OR NOT EXISTS (SELECT 1 FROM det b WHERE b.row = a.row AND NOT b.base AND b.level <= a.level AND b.start <= a.start AND b.stop >= a.stop
+    AND (b.stop - b.start > a.stop - a.start OR b.level < a.level OR (b.level = a.level AND b.rule < a.rule)))),
+agg AS (SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sure) AS score,
+    string_agg(label || ':' || level || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY label || ':' || level || ':' || start::BIGINT || ':' || stop::BIGINT) FILTER (NOT base) AS spans
+    FROM kept GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (row)
+"""
+
+
+ORACLES["op11_license_scans"] = _license_oracle()
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    from scholium.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", label), lambda vec_id: vec_id % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+    FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    from scholium.llm.token_alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
