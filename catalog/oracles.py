@@ -482,9 +482,10 @@ def label_of(line: str, default: str, flags: str = "") -> str:
 
 CTES["titles"] = f"SELECT doc_id, pos, line, {title_of('line')} AS title, {year_of('line')} AS year FROM ref_lines"
 CTES["paper_years"] = f"""
-SELECT doc_id, arg_max(y, n * 10000 + y) AS year FROM (SELECT doc_id, y, count(*) AS n FROM (
-  SELECT doc_id, CAST(unnest(regexp_extract_all(text, {q(YEAR)}, 1)) AS BIGINT) AS y FROM papers)
-  WHERE y > 1950 AND y <= {NOW} GROUP BY doc_id, y) GROUP BY doc_id"""
+SELECT doc_id, arg_max(y, n * 10000 + y) AS year FROM (SELECT doc_id, y, sum(c) AS n FROM (
+  SELECT doc_id, 1 AS c, CAST(unnest(regexp_extract_all(text, {q(YEAR)}, 1)) AS BIGINT) AS y FROM papers
+  UNION ALL SELECT doc_id, -1, CAST(unnest(regexp_extract_all(refs, {q(YEAR)}, 1)) AS BIGINT) FROM refs)
+  WHERE y > 1950 AND y <= {NOW} GROUP BY doc_id, y HAVING sum(c) > 0) GROUP BY doc_id"""
 CTES["recency_counts"] = f"""
 SELECT r.doc_id, py.year, count(y) AS n, count(*) FILTER (y >= coalesce(py.year, {NOW}) - 3) AS recent,
   array_to_string(list_sort(list(DISTINCT y) FILTER (y IS NOT NULL)), ',') AS ref_years
@@ -733,6 +734,7 @@ CTES["stored"] = "SELECT content_digest, min(doc_id) AS stored_doc FROM keyed WH
 ORACLES["s9_incremental"] = "SELECT doc_id, coalesce(stored_doc, -1) AS stored_doc FROM keyed LEFT JOIN stored USING (content_digest)"
 ORACLES["s9_merge_store"] = """SELECT * FROM stored UNION ALL SELECT content_digest, min(doc_id) FROM keyed
 WHERE doc_id % 7 <> 0 AND content_digest NOT IN (SELECT content_digest FROM stored) GROUP BY content_digest"""
+ORACLES["s9_result_store"] = ORACLES["s9_merge_store"]
 
 # --- reviews and scores --------------------------------------------------------
 
@@ -878,8 +880,8 @@ ORACLES["e3_validate_batch"] = "SELECT kind, item, count(*) AS n FROM finding_ro
 
 # --- whole jobs ------------------------------------------------------------------
 
-# The job scores the references of the two-tier sections, the V queries those of the first tier; every
-# fortieth paper is too short for it, and every twenty-ninth has no review.
+# The job scores the references of the two-tier sections, the V queries those of the first tier; short
+# notes, one per fortieth paper, are rejected, and every twenty-ninth paper has no review.
 FAILED = "doc_id % 29 = 7"
 CTES["job_reviews"] = f"""
 SELECT doc_id, CASE WHEN {FAILED} THEN 'computer_science' ELSE discipline END AS discipline, {FAILED} OR analysis_failed AS failed, layer,
@@ -915,7 +917,7 @@ JOIN citation_rows c ON c.doc_id = l.doc_id JOIN job_failed f ON f.doc_id = l.do
 LEFT JOIN job_detected d ON d.doc_id = l.doc_id LEFT JOIN job_flags g ON g.doc_id = l.doc_id
 JOIN papers p ON p.doc_id = l.doc_id WHERE length({strip('p.text')}) >= 100"""
 JOB_TABLES = {
-    "papers": f"SELECT doc_id, CASE WHEN doc_id % 40 = 3 THEN substr(text, 1, 60) ELSE text END AS text FROM ({CTES['papers']})",
+    "papers": f"SELECT doc_id, text FROM ({CTES['papers']}) UNION ALL SELECT -1 - doc_id, 'Note on paper ' || doc_id FROM documents WHERE doc_id % 40 = 3",
     "refs": CTES["refs"].replace("sections1 s", "sections s"),
 }
 OVERRIDES["e1_analyze_corpus"] = OVERRIDES["r12_analysis_record"] = JOB_TABLES

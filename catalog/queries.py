@@ -27,7 +27,7 @@ from scholium.operators import sections as SEC
 from scholium.sources import derived
 from scholium.sources import readers
 from scholium.sources.readers import spread
-from scholium.sources.shared import materialize, new_path
+from scholium.sources.shared import Bucketed, materialize, new_path
 from scholium.streaming import analyze_stream as STREAM
 
 NOW = 2024  # "current year" of the registered queries
@@ -68,7 +68,7 @@ def bundled(spark, sf_dir):
 
 
 def detected(spark, sf_dir):
-    return SEC.detect_sections(papers(spark, sf_dir), heading_map(spark, sf_dir), cut=materialize)
+    return SEC.detect_sections(papers(spark, sf_dir), heading_map(spark, sf_dir), cut=Bucketed(spark), keep_text=False)
 
 
 # --- lines, headings, sections ---------------------------------------------
@@ -134,7 +134,7 @@ def l8_candidate_headings(spark, sf_dir):
 
 @query
 def l9_segment_by_map(spark, sf_dir):
-    out = SEC.segment_by_map(papers(spark, sf_dir), heading_map(spark, sf_dir))
+    out = SEC.segment_by_map(papers(spark, sf_dir), heading_map(spark, sf_dir), cut=Bucketed(spark))
     return SEC.long_sections(out).select("doc_id", "section", "text")
 
 
@@ -369,7 +369,7 @@ def k6_ref_title(spark, sf_dir):
 
 @query
 def k7_paper_year(spark, sf_dir):
-    return REF.paper_year(papers(spark, sf_dir), NOW)
+    return REF.paper_year(refs(spark, sf_dir), NOW)
 
 
 @query
@@ -593,6 +593,18 @@ def s9_merge_store(spark, sf_dir):
     return INC.merge_store(stored_keys(spark, sf_dir), new)
 
 
+@query
+def s9_result_store(spark, sf_dir):
+    """The same merge, in place: stored keys first, then the documents in two halves, the first of them twice."""
+    store = INC.ResultStore(spark, new_path(spark, "store"), "content_digest string, stored_doc bigint", rows_per_folder=5_000)
+    store.merge(stored_keys(spark, sf_dir))
+    new = keyed_documents(spark, sf_dir).where(F.col("doc_id") % 7 != 0).select("doc_id", "content_digest", F.col("doc_id").alias("stored_doc"))
+    least = new.groupBy("content_digest").agg(F.min("stored_doc").alias("stored_doc"))
+    for half in (0, 0, 1):
+        store.merge(least.where(F.col("stored_doc") % 2 == half))
+    return store.rows().select("content_digest", "stored_doc")
+
+
 # --- reviews and scores --------------------------------------------------------
 
 def reviews(spark, sf_dir):
@@ -765,9 +777,10 @@ def q11_batch_counts(spark, sf_dir):
 # --- whole jobs ------------------------------------------------------------------
 
 def job_papers(spark, sf_dir):
-    """Papers of the whole job: every fortieth is too short and must be rejected."""
-    short = F.when(F.col("doc_id") % 40 == 3, F.substr("text", F.lit(1), F.lit(60))).otherwise(F.col("text"))
-    return papers(spark, sf_dir).select("doc_id", short.alias("text"))
+    """Papers of the whole job, and as many short notes of their own, which must be rejected, as every fortieth paper makes."""
+    whole = papers(spark, sf_dir).select("doc_id", "text")
+    notes = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") % 40 == 3)
+    return whole.union(notes.select(-1 - F.col("doc_id"), F.concat(F.lit("Note on paper "), F.col("doc_id").cast("string"))))
 
 
 def job_reviews(spark, sf_dir):

@@ -102,21 +102,34 @@ def _plausible(years: Column, now: int) -> Column:
     return F.filter(F.transform(years, year_number), lambda y: (y > 1950) & (y <= now))
 
 
-def paper_year(text: Column, now: int, window: int | None = None) -> Column:
-    """Most frequent year of the text, the latest of equals; NULL when none.
+def years_in(text: Column, now: int) -> Column:
+    """All plausible years of a text, in order, as numbers."""
+    return _plausible(extract_all(text, YEAR), now)
 
-    ``window`` restricts it to the opening characters.
-    """
-    head = text if window is None else F.substr(text, F.lit(1), F.lit(window))
 
-    def top(years: Column) -> Column:
+def year_outside(years: Column, cited: Column) -> Column:
+    """Most frequent of ``years``, after those of ``cited`` are taken off, the latest of equals; NULL when none is left."""
+
+    def top(years: Column, cited: Column) -> Column:
+        def count(rows: Column, y: Column) -> Column:
+            return F.size(F.filter(rows, lambda z: z == y))
+
         counted = F.transform(
-            F.array_distinct(years),
-            lambda y: F.struct(F.size(F.filter(years, lambda z: z == y)).alias("n"), y.alias("y")),
-        )
-        return F.array_max(counted)["y"]
+            F.array_distinct(years), lambda y: F.struct((count(years, y) - count(cited, y)).alias("n"), y.alias("y")))
+        return F.array_max(F.filter(counted, lambda c: c["n"] > 0))["y"]
 
-    return let(_plausible(extract_all(head, YEAR), now), top)
+    return let(years, lambda y: let(cited, lambda c: top(y, c)))
+
+
+def paper_year(text: Column, now: int, refs: Column | None = None, window: int | None = None) -> Column:
+    """Most frequent year of the text outside its reference block, the latest of equals; NULL when none.
+
+    ``refs`` is the text of the block, which is part of ``text``: its years are taken off the counts, so a long
+    bibliography does not outvote the paper's own date. ``window`` restricts the text to its opening characters.
+    """
+    head = text if window is None else F.substr(text, F.lit(1), F.lit(window))
+    cited = F.array().cast("array<int>") if refs is None else years_in(F.coalesce(refs, F.lit("")), now)
+    return year_outside(years_in(head, now), cited)
 
 
 def recency(lines: Column, year: Column, now: int) -> Column:

@@ -75,18 +75,28 @@ def _keyword_pattern(words: list[str], anchor: str) -> str:
 _AT_LINE = r"(?:\A|(?<!\n)\n)"
 _AFTER_BREAK = r"(?<!\n)\n"
 _ALL_WORDS = [w for _, _, words in SECTIONS for w in words]
-ANY_KEYWORD_AT_LINE = _keyword_pattern(_ALL_WORDS, _AT_LINE)
+#: Every keyword heading of a text, as its keyword: what has to follow it is only looked at, so that it may open the
+#: next heading. No keyword is another one and a separator, so a line start has one match at most.
+KEYWORD_HEADINGS = (
+    rf"(?iu){_AT_LINE}" + uni(r"\s*(?:\d+\.?\s*)?")
+    + f"({'|'.join(re.escape(w).replace(chr(92) + ' ', ' ') for w in _ALL_WORDS)})" + uni(r"(?=\s*[\n\-—:.])")
+)
 ANY_KEYWORD_AFTER_BREAK = _keyword_pattern(_ALL_WORDS, _AFTER_BREAK)
 
 
-def _scan_section(text: Column, words: list[str], window: int | None) -> Column:
+def _scan_section(text: Column, headings: Column, words: list[str], window: int | None) -> Column:
     """Text of the first keyword heading up to the next keyword heading, '' when none.
 
+    ``headings`` are the keywords that head a line somewhere; only the first of ``words`` among them is searched for.
     The matched string is located by value: an earlier copy of it would itself be an earlier
     match, so its first occurrence is where the pattern matched.
     """
-    hits = [F.nullif(extract(text, _keyword_pattern([w], _AT_LINE), 0), F.lit("")) for w in words]
-    heading = F.coalesce(*hits, F.lit(""))
+    def heads(word: str) -> Column:
+        return F.exists(headings, lambda h: has(h, rf"(?iu)\A(?:{re.escape(word)})\z"))
+
+    heading = F.lit("")
+    for w in reversed(words):
+        heading = F.when(heads(w), extract(text, _keyword_pattern([w], _AT_LINE), 0)).otherwise(heading)
 
     def cut(m: Column) -> Column:
         def body(tail: Column) -> Column:
@@ -106,15 +116,18 @@ def _scan_section(text: Column, words: list[str], window: int | None) -> Column:
 
 
 def scan_missing(text: Column, sections: Column, window: int | None = None) -> Column:
-    """Fill empty sections by the keyword scan over the raw text; ``window`` limits their characters."""
+    """Fill empty sections by the keyword scan over the raw text; ``window`` limits their characters.
+
+    One pass finds all keyword headings; the text is read again only for sections that one of them fills.
+    """
 
-    def filled(sections: Column) -> Column:
+    def filled(sections: Column, headings: Column) -> Column:
         return F.array(
             *[
                 F.when(sections[i]["text"] != "", sections[i]).otherwise(
                     F.struct(
                         F.lit(key).alias("section"),
-                        _scan_section(text, words, window).alias("text"),
+                        _scan_section(text, headings, words, window).alias("text"),
                         F.lit(False).alias("by_hash"),
                     )
                 )
@@ -124,7 +137,10 @@ def scan_missing(text: Column, sections: Column, window: int | None = None) -> C
 
     return let(
         sections,
-        lambda s: F.when(has(text, ANY_KEYWORD_AT_LINE), filled(s)).otherwise(s),
+        lambda s: let(
+            F.array_distinct(F.transform(extract_all(text, KEYWORD_HEADINGS), F.lower)),
+            lambda hs: F.when(F.size(hs) > 0, filled(s, hs)).otherwise(s),
+        ),
     )
 
 
@@ -185,15 +201,29 @@ def merge_sections(tier1: Column, tier2: Column) -> Column:
     return let(tier1, lambda a: let(tier2, lambda b: merged(a, b)))
 
 
+_ASCII = [(c, rf"\x{c:02x}") for c in range(128)]
+# ASCII characters by the residue of their code: odd ones, and those that leave 1 and 2 of 3
+_ODD, _ONE, _TWO = ("".join(x for c, x in _ASCII if keep(c)) for keep in (lambda c: c % 2 == 1, lambda c: c % 3 == 1, lambda c: c % 3 == 2))
+
+
+def points_mod_6(text: Column) -> Column:
+    """Sum of all code points, modulo 6.
+
+    ASCII characters are counted by residues of 2 and 3, which settle the one of 6; only other characters become array elements.
+    """
+    def count(members: str) -> Column:
+        return F.length(sub(text, f"[^{members}]+"))
+
+    others = F.aggregate(
+        F.filter(F.split(sub(text, r"[\x00-\x7f]+"), ""), lambda ch: ch != ""), F.lit(0).cast("long"), lambda acc, ch: acc + F.ascii(ch))
+    return F.pmod(3 * count(_ODD) + 4 * (count(_ONE) + 2 * count(_TWO)) + others, F.lit(6))
+
+
 def confidence(text: Column, by_hash: Column, tier: Column, chars: int | None = None) -> Column:
     """Confidence 80..99 of a non-empty section; ``chars`` limits the characters its checksum reads."""
     n = F.size(split_lines(text))
     base = F.when(tier == 2, 88).otherwise(F.when(by_hash, 85).otherwise(70))
     bonus = F.when(n >= 20, 10).when(n >= 10, 7).when(n >= 5, 4).otherwise(2)
-    points = F.aggregate(
-        F.split(text if chars is None else F.substr(text, F.lit(1), F.lit(chars)), ""),
-        F.lit(0).cast("long"),
-        lambda acc, ch: acc + F.ascii(ch),
-    )
-    raw = base + bonus + F.pmod(points, F.lit(6))
+    points = points_mod_6(text if chars is None else F.substr(text, F.lit(1), F.lit(chars)))
+    raw = base + bonus + points
     return F.greatest(F.least(raw, F.lit(99)), F.lit(80)).cast("int")

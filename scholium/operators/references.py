@@ -63,13 +63,14 @@ def ref_titles(refs: DataFrame) -> DataFrame:
     )
 
 
-def paper_year(papers: DataFrame, now: int) -> DataFrame:
-    return papers.select("doc_id", RF.paper_year(F.col("text"), now).alias("year"))
+def paper_year(refs: DataFrame, now: int) -> DataFrame:
+    """Needs text and refs: only years outside the reference block count."""
+    return refs.select("doc_id", RF.paper_year(F.col("text"), now, F.col("refs")).alias("year"))
 
 
 def recency(refs: DataFrame, now: int) -> DataFrame:
     """Needs text and refs; adds the recency fields."""
-    out = pin(refs, year=RF.paper_year(F.col("text"), now))
+    out = pin(refs, year=RF.paper_year(F.col("text"), now, F.col("refs")))
     out = pin(out, recency=RF.recency(RF.ref_lines(F.col("refs")), F.col("year"), now))
     return out.select("doc_id", "year", "recency.*")
 
@@ -95,7 +96,7 @@ def reference_facts(docs: DataFrame, now: int, keep: list[str] | None = None) ->
             RF.merge_dois(RF.extract_dois(F.col("refs")), F.col("links"))
         ),
         arxiv_ids=RF.extract_arxiv(F.col("refs")),
-        paper_year=F.col("paper_year") if "paper_year" in docs.columns else RF.paper_year(F.col("text"), now),
+        paper_year=F.col("paper_year") if "paper_year" in docs.columns else RF.paper_year(F.col("text"), now, F.col("refs")),
         duplicates=RF.duplicate_labels(F.col("refs")),
     )
 

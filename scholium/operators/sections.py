@@ -95,9 +95,18 @@ def map_headings(headings: DataFrame, heading_map: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("mapping"))
 
 
-def segment_by_map(papers: DataFrame, heading_map: DataFrame) -> DataFrame:
-    """Segmentation by the heading map; documents without a mapped heading have no sections."""
-    mapped = papers.join(map_headings(candidate_headings(papers), heading_map), "doc_id")
+def with_mapping(papers: DataFrame, mapping: DataFrame, how: str) -> DataFrame:
+    """Papers with their ``mapping``; the slim side is hashed, so papers are neither sorted nor, if bucketed by id, moved."""
+    return papers.join(mapping.hint("shuffle_hash"), "doc_id", how)
+
+
+def segment_by_map(papers: DataFrame, heading_map: DataFrame, cut=None) -> DataFrame:
+    """Segmentation by the heading map; documents without a mapped heading have no sections.
+
+    ``cut`` may write the papers as a table bucketed by ``doc_id``; no text is shuffled then.
+    """
+    papers = cut(papers) if cut else papers
+    mapped = with_mapping(papers, map_headings(candidate_headings(papers), heading_map), "inner")
     return pin(mapped, sections=S.map_sections(F.col("text"), F.col("mapping"))).drop("mapping")
 
 
@@ -116,23 +125,27 @@ def lay_map_over(sparse: DataFrame) -> DataFrame:
     )
 
 
-def detect_sections(papers: DataFrame, heading_map: DataFrame | None = None, cut=None) -> DataFrame:
+def detect_sections(papers: DataFrame, heading_map: DataFrame | None = None, cut=None, keep_text: bool = True) -> DataFrame:
     """Two-tier detection.
 
     Headings of sparse documents are looked up as short strings; their mapping comes back to the text in
     one join, in which dense documents take no part. ``cut`` may materialise the keyword result, which is
-    read three times.
+    read three times: as a table bucketed by ``doc_id`` (:class:`scholium.sources.shared.Bucketed`), texts and sections stay where
+    they are. Without ``keep_text`` the result has no ``text``, and that of dense documents is not even written.
     """
     tier1 = segment_sections(papers)
     if heading_map is None:
-        return tier1
+        return tier1 if keep_text else tier1.drop("text")
     tier1 = tier1.withColumn("sparse", S.found_count(F.col("sections")) < TIER2_MIN_SECTIONS)
+    if not keep_text:
+        tier1 = tier1.withColumn("text", F.when(F.col("sparse"), F.col("text")))
     if cut is not None:
         tier1 = cut(tier1)
     few = tier1.where("sparse").drop("sparse")
     mapping = map_headings(candidate_headings(few.select("doc_id", "text")), heading_map)
-    laid = lay_map_over(few.join(mapping, "doc_id", "left"))
-    return tier1.where(~F.col("sparse")).drop("sparse").unionByName(laid)
+    laid = lay_map_over(with_mapping(few, mapping, "left"))
+    out = tier1.where(~F.col("sparse")).drop("sparse").unionByName(laid)
+    return out if keep_text else out.drop("text")
 
 
 def with_confidence(bundled: DataFrame) -> DataFrame:

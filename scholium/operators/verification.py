@@ -191,7 +191,7 @@ def verify_titles(
     else:
         bound = SIM.character_bound(F.col("title"), F.col("found"))
         possible = pin(hits, bound=bound).where(F.col("bound") >= TITLE_MIN_SIMILARITY_SAME_YEAR)
-        scored = possible.withColumn("similarity", SIM.sequence_ratio(F.col("title"), F.col("found")))
+        scored = pin(possible, similarity=SIM.matching_ratio(F.col("title"), F.col("found")))
     scored = (cut or (lambda df: df))(
         scored.where(F.col("similarity") >= TITLE_MIN_SIMILARITY_SAME_YEAR).select("title", "years", "similarity"))
     sure = same.union(scored.where(F.col("similarity") >= TITLE_MIN_SIMILARITY).select("title")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.constants import DISPLAY_NAME, EMPTY_ISSUE, EMPTY_SUGGESTION, LAYERS, MODEL_LAYERS
+from scholium.constants import DISPLAY_NAME, EMPTY_ISSUE, EMPTY_SUGGESTION, LAYERS, MODEL_LAYERS, SECTION_KEYS
 from scholium.functions import references as RF
 from scholium.functions import scoring as SC
 from scholium.operators import compression as COMP
@@ -17,7 +17,7 @@ from scholium.operators import validation as VAL
 from scholium.operators import verification as V
 from scholium.operators.lookup import lookup_join
 from scholium.sources.readers import accept_papers, link_dois
-from scholium.sources.shared import materialize
+from scholium.sources.shared import Bucketed, materialize
 
 
 def prepare_corpus(
@@ -26,20 +26,23 @@ def prepare_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """(facts, prompts) of the usable papers, one slim row per paper in each.
 
-    Sections, prompt, content key, reference block and year come from the same row of text, which is
-    written once without the text; links are joined to what is left of the reference block. Papers with
+    Sections are written once, bucketed by document, so that no text is shuffled; that table goes as soon as prompt,
+    content key, reference block and year are taken from it. Links are joined to what is left of the reference block. Papers with
     too little text are rejected (:func:`scholium.sources.readers.accept_papers`).
     """
     papers, _ = accept_papers(papers)
-    docs = SEC.with_confidence(SEC.detect_sections(papers, heading_map, cut))
+    papers = papers.withColumn("years", RF.years_in(F.col("text"), now))
+    tables = Bucketed(papers.sparkSession)
+    docs = SEC.with_confidence(SEC.detect_sections(papers, heading_map, tables, keep_text=False))
     docs = PR.assemble_prompt(COMP.compressed_texts(docs, mode)).drop("texts")
+    refs = F.col("sections")[SECTION_KEYS.index("references")]["text"]
     slim = cut(docs.select(
         "doc_id", "prompt", "content_key", "content_digest", "detected", "tier",
         SEC.warning_list(F.col("sections")).alias("warnings"),
-        F.filter("sections", lambda s: s["section"] == "references")[0]["text"].alias("refs"),
-        RF.paper_year(F.col("text"), now).alias("paper_year"),
+        refs.alias("refs"), RF.year_outside(F.col("years"), RF.years_in(refs, now)).alias("paper_year"),
         (F.col("prompt") == "").alias("empty"),
     ))
+    tables.remove()
     prompts = slim.select("doc_id", "content_digest", "prompt")
     rows = slim.drop("prompt")
     if links is not None:

@@ -38,12 +38,51 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate tables, once nothing reads them any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Files of a bucketed table at most, about; beyond it rows are first dealt to their buckets.
+MOST_BUCKET_FILES = 100_000
+
+
+class Bucketed:
+    """Tables bucketed by ``key`` of one job: joins and aggregations by that key read them without an exchange.
+
+    A task writes the rows of each bucket to a file of its own, so writing moves nothing. Where that would make more
+    than ``MOST_BUCKET_FILES`` files, rows go to their buckets in one exchange first; that is then the only
+    one of the job that carries them. ``buckets`` defaults to the session's number of shuffle partitions.
+    """
+
+    def __init__(self, spark: SparkSession, key: str = "doc_id", buckets: int | None = None):
+        self.spark, self.key = spark, key
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables: list[tuple[str, str]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path, name = new_path(self.spark, "bucketed"), f"scholium_{uuid.uuid4().hex}"
+        if df.rdd.getNumPartitions() * self.buckets > MOST_BUCKET_FILES:
+            df = df.repartition(self.buckets, self.key)
+        df.write.bucketBy(self.buckets, self.key).option("path", path).saveAsTable(name)
+        self.tables.append((name, path))
+        return self.spark.table(name)
+
+    def remove(self) -> None:
+        """Drop the tables and their files, once nothing reads them any more."""
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+        self.tables.clear()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame once as Parquet to the shared folder and go on from there.
 

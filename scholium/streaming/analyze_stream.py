@@ -9,38 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scholium.plans.analyze import analyze_prepared, prepare_corpus
-from scholium.sources.incremental import plan_incremental
-from scholium.sources.shared import exists, new_path, remove
+from scholium.sources.incremental import ResultStore, plan_incremental
+from scholium.sources.shared import new_path, remove
 
 PAPER_SCHEMA = "doc_id bigint, text string"
 
 
-def stored_reviews(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
-    """(content_digest, review_json) of the successful reviews of earlier batches, None before the first one."""
-    if not exists(spark, path):
-        return None
-    rows = spark.read.schema("content_digest string, review_json string, batch bigint").parquet(path)
-    return rows.where(F.col("batch") < before_batch).select("content_digest", "review_json")
-
-
 def analyze_stream(
     spark: SparkSession, in_path: str, out_path: str, checkpoint: str, now: int,
     reviews_of: Callable[[DataFrame], DataFrame], works: DataFrame, preprints: DataFrame,
     heading_map: DataFrame | None = None, log: DataFrame | None = None,
-    max_files: int = 100, dice: bool = False,
+    max_files: int = 100, dice: bool = False, rows_per_folder: int = 100_000,
 ) -> StreamingQuery:
     """A result per usable arriving paper; a review stored for the same content is reused.
 
     Every micro-batch runs the batch job: references are always checked anew, only reviews are taken from
-    the store ``<out_path>_reviews``, which holds one row per content. A batch's rows go to folders named by
-    the batch, which a repeated batch overwrites, so a restart neither loses nor doubles results.
+    the store ``<out_path>_reviews``, which holds one row per content (:class:`scholium.sources.incremental.ResultStore`);
+    a batch reads and rewrites only the store's folders that its own digests fall into. A batch's records go to a folder named by
+    the batch, which a repeated batch overwrites, and merging a review again changes nothing, so a restart
+    neither loses nor doubles results.
     ``reviews_of`` maps (doc_id, content_digest, prompt), one row per content without a stored
     review, to (doc_id, review_json). Intermediate tables of a batch are removed at its end.
     """
     papers = (
         spark.readStream.schema(PAPER_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(in_path)
     )
-    review_path = f"{out_path}_reviews"
+    reviews = ResultStore(spark, f"{out_path}_reviews", rows_per_folder=rows_per_folder)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         folder = new_path(spark, f"batch-{batch_id}")
@@ -52,18 +46,18 @@ def analyze_stream(
             return spark.read.schema(df.schema).parquet(path)
 
         facts, prompts = prepare_corpus(batch, None, heading_map, now, cut=cut)
-        store = stored_reviews(spark, review_path, batch_id)
-        wanted = prompts if store is None else plan_incremental(prompts, store)[1]
+        known = cut(reviews.lookup(prompts.select("content_digest")))
+        wanted = plan_incremental(prompts, known)[1]
         once = wanted.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id"))
         fresh = cut(wanted.join(once, ["doc_id", "content_digest"], "left_semi"))
         reviewed = cut(
             reviews_of(fresh).join(fresh.select("doc_id", "content_digest"), "doc_id").select("content_digest", "review_json"))
-        both = reviewed if store is None else reviewed.unionByName(store)
+        both = reviewed.unionByName(known)
         nobody = prompts.select("doc_id", F.lit(None).cast("string").alias("review_json")).limit(0)
         records = cut(analyze_prepared(facts, nobody, works, preprints, log, dice, cut, both))
         records.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         good = records.where(~F.col("analysis_failed")).select("content_digest").distinct()
-        reviewed.join(good, "content_digest", "left_semi").write.mode("overwrite").parquet(f"{review_path}/batch={batch_id}")
+        reviews.merge(reviewed.join(good, "content_digest", "left_semi"))
         remove(spark, folder)
 
     return (

@@ -1,3 +1,4 @@
+import difflib
 import random
 
 import pytest
@@ -132,14 +133,44 @@ def test_character_bound_is_above_the_ratio(spark):
     rng = random.Random(5)
     make = lambda: "".join(rng.choice("abcd ef") for _ in range(rng.randint(0, 14)))
     pairs = spark.createDataFrame([(make(), make()) for _ in range(300)], "a string, b string")
-    rows = pairs.select(SIM.character_bound(F.col("a"), F.col("b")).alias("u"), SIM.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    rows = pairs.select(SIM.character_bound(F.col("a"), F.col("b")).alias("u"), SIM.matching_ratio(F.col("a"), F.col("b")).alias("r")).collect()
     assert all(r.u >= r.r - 1e-12 for r in rows)
 
 
+def test_matching_ratio_is_the_sequence_matchers(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 8)))
+    rows = [("", ""), ("a", ""), ("", "b"), ("abc", "abc"), ("é日\U0001F600x", "日\U0001F600x"), ("ab" * 120, "ba" * 120)]
+    for size, changes, n in ((8, 3, 200), (60, 20, 15)):  # the longer ones have popular characters
+        for _ in range(n):
+            a = [word() for _ in range(rng.randint(1, size) if size < 60 else size)]
+            b = list(a)
+            for _ in range(rng.randrange(changes + 1)):
+                b[rng.randrange(len(b))] = word()
+            if rng.random() < 0.3:
+                rng.shuffle(b)
+            rows.append((" ".join(a), " ".join(b)))
+    for _ in range(15):
+        a = [chr(rng.randrange(97, 900)) for _ in range(250)]
+        b = [chr(rng.randrange(97, 900)) if rng.random() < 0.2 else c for c in a]
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string").repartition(4)
+    for a, b, r in df.select("a", "b", SIM.matching_ratio(F.col("a"), F.col("b"))).collect():
+        assert r == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_title_check_runs_in_the_jvm(spark):
+    works = spark.createDataFrame([("d", "Slow kilns of the upper valley", 2017)], "doi string, title string, year int")
+    checks = spark.createDataFrame([(1, 0, "Slow kilns of an upper valley", "2016")], "doc_id bigint, pos int, title string, year string")
+    out = V.verify_titles(checks, works)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.first().status == "verified" and "EvalPython" not in plan and "MapInPandas" not in plan
+
+
 def test_year_relaxes_the_threshold_and_exact_ratio(spark):
-    works = spark.createDataFrame([("d", "Attention Is All You Need", 2017)], "doi string, title string, year int")
+    works = spark.createDataFrame([("d", "Salt Roads Of The High Desert", 2017)], "doi string, title string, year int")
     checks = spark.createDataFrame(
-        [(1, 0, "Attention is all you need", ""), (1, 1, "Attention is all", "2018"), (1, 2, "Quantum biology now", "2017"), (1, 3, "", "")],
+        [(1, 0, "Salt roads of the high desert", ""), (1, 1, "Salt roads", "2018"), (1, 2, "Quantum biology now", "2017"), (1, 3, "", "")],
         "doc_id bigint, pos int, title string, year string")
     for dice in (False, True):
         got = {r.pos: r.status for r in V.verify_titles(checks, works, dice=dice).collect()}

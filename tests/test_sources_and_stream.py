@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -60,6 +61,61 @@ def test_store_keeps_failures_out(spark):
     assert sorted(map(tuple, INC.merge_store(store, new).collect())) == [("k1", 7), ("k2", 6)]
 
 
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def folders_read(store, digests):
+    """Folders of the rows that a look-up scans; the scan's own partition filter leaves out the others."""
+    rows = store._touched(digests, store.digits())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder#" in plan or "folder#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    return {r.folder for r in rows.select("folder").distinct().collect()}
+
+
+def test_store_merges_in_place(spark, tmp_path):
+    """Folders that a batch does not touch keep their files, and are not read; a full folder makes the store grow by a digit."""
+    root = tmp_path / "store"
+    store = INC.ResultStore(spark, str(root), "content_digest string, v bigint", rows_per_folder=40)
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+
+    def frame(ids, plus=0):
+        return spark.createDataFrame([(digest(i), i + plus) for i in ids], "content_digest string, v bigint")
+
+    assert store.lookup(frame([1])).count() == 0
+    store.merge(frame(range(300)))
+    assert store.digits() == 1 and store.rows().count() == 300
+    before = files_of(root)
+    new = [i for i in range(300, 400) if digest(i)[0] == "a"]
+    store.merge(frame(new).union(frame([0], 9)).where(F.col("content_digest").startswith("a")))
+    after = files_of(root)
+    changed = {f.split("/")[1] for f, _ in set(before.items()) ^ set(after.items())}
+    assert changed == {"folder=da"}
+    asked = [i for i in range(300) if digest(i)[0] == "3"] + [10**6]
+    found = store.lookup(frame(asked))
+    assert sorted(r.v for r in found.collect()) == sorted(asked[:-1])
+    assert folders_read(store, frame(asked)) == {"d3", "d" + digest(10**6)[0]}
+    store.merge(frame([0], 50))  # stored rows win
+    assert store.lookup(frame([0])).first().v == 0
+    store.merge(frame(range(400, 1400)))
+    assert store.digits() == 2 and store.rows().count() == 300 + len(new) + 1000
+    store.merge(frame(range(400, 1400)))  # once more: nothing changes
+    assert store.rows().count() == 300 + len(new) + 1000 and not (root / "digits=1").exists()
+
+
+def test_a_batch_reads_no_more_from_an_older_store(spark, tmp_path):
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    store = INC.ResultStore(spark, str(tmp_path / "s"), "content_digest string, v bigint", rows_per_folder=60)
+    read = []
+    for start in (0, 2000):
+        rows = [(digest(i), i) for i in range(start, start + 2000)]
+        store.merge(spark.createDataFrame(rows, "content_digest string, v bigint"))
+        batch = spark.createDataFrame([(digest(i),) for i in range(5)], "content_digest string")
+        assert len(folders_read(store, batch)) <= 5 and store.lookup(batch).count() == 5
+        read.append(store._touched(batch, store.digits()).count())
+    assert store.rows().count() == 4000 and max(read) <= 5 * 60
+
+
 REVIEW = json.dumps({**{n: {"score": 8, "issues": ["i"], "suggestions": ["s"]} for n in
                         ["structure_sections", "clarity_writing", "methodology_rigor", "evidence_claims"]}, "discipline": "physics"})
 TEXT = ("# Abstract\nWe study {i}.\n# Introduction\n" + "Many words about the topic of the day. " * 20
@@ -91,6 +147,12 @@ def test_stream_equals_batch_and_reuses_reviews(spark, tmp_path):
     again = spark.read.parquet(out).collect()
     assert sorted(r.doc_id for r in again) == [0, 1, 2, 10, 11] and not any(r.analysis_failed for r in again)
     assert asked == [3, 1]  # the copy's review comes from the store
+    # a batch that is run again, as after a crash before its commit, changes nothing
+    for f in sorted((tmp_path / "ck" / "commits").glob("*1*")):
+        f.unlink()
+    run()
+    assert asked == [3, 1, 0]
+    assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, again))
     assert len({r.content_digest for r in again}) == 4
 
 

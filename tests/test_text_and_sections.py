@@ -1,10 +1,14 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from scholium.functions import prompts as PF
 from scholium.functions import text as T
+from scholium.constants import SECTIONS
+from scholium.functions import sections as SF
 from scholium.operators import sections as SEC
+from scholium.sources.shared import Bucketed
 
 
 def plan_of(df):
@@ -83,6 +87,71 @@ def test_tier_merge_uses_the_map_only_for_sparse_papers(spark):
     assert {s.section for s in out[1].sections if s.text} == {"abstract", "methodology", "conclusion", "discussion"}
 
 
+def test_no_text_is_shuffled_when_the_map_is_laid_over(spark):
+    """With joins by broadcast off, what is exchanged above the bucketed table holds neither texts nor sections."""
+    papers = spark.createDataFrame([(i, f"OVERVIEW\nview {i}.\nIV. Limits\nlimits.\n") for i in range(40)], "doc_id bigint, text string")
+    hmap = spark.createDataFrame([("OVERVIEW", "abstract"), ("IV. Limits", "conclusion")], "heading string, section string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = Bucketed(spark)
+        for out in (SEC.detect_sections(papers, hmap, tables), SEC.segment_by_map(papers, hmap, tables)):
+            plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            lines = plan.splitlines()
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            for k, line in enumerate(lines):
+                if "Exchange hashpartitioning(doc_id" in line:
+                    below = lines[k + 1]
+                    assert "mapping" in below or "collect_list" in below or "count" in below or "pos" in below, below
+                    assert "text" not in below and "sections" not in below
+            assert len(out.collect()) == 40
+        assert {r.tier for r in SEC.detect_sections(papers, hmap, tables, keep_text=False).collect()} == {2}
+        names = [n for n, _ in tables.tables]
+        tables.remove()
+        assert not any(spark.catalog.tableExists(n) for n in names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plain_scan(text, sections):
+    """The keyword scan, keyword by keyword."""
+    space = r"[ \t\n]*"
+
+    def pattern(words, anchor):
+        return re.compile(anchor + space + r"(?:\d+\.?" + space + ")?(?:" + "|".join(map(re.escape, words)) + ")" + space + r"[\n\-—:.]", re.I)
+
+    every = pattern([w for _, _, ws in SECTIONS for w in ws], r"(?<!\n)\n")
+    out = []
+    for (_, _, words), have in zip(SECTIONS, sections):
+        hits = [m for m in (pattern([w], r"(?:\A|(?<!\n)\n)").search(text) for w in words) if m]
+        if have or not hits:
+            out.append(have)
+            continue
+        tail = text[hits[0].end():]
+        stop = every.search(tail)
+        out.append((hits[0].group() + (tail[: stop.start()] if stop else tail)).strip())
+    return out
+
+
+def test_one_pass_scan_equals_the_scan_by_keyword(spark):
+    rng = random.Random(9)
+    words = [w for _, _, ws in SECTIONS for w in ws]
+    parts = ["\n", "\n\n", " ", "1. ", "2", ":", "-", ".", "—", "some words", "method of", "x"]
+    texts = ["".join(rng.choice([*parts, rng.choice(words), rng.choice(words).upper(), "\n" + rng.choice(words) + "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4)
+    bare = SF.keyword_sections(SF.section_runs(F.col("t")))
+    for _, t, have, got in df.withColumn("s", bare).select("i", "t", "s", SF.scan_missing(F.col("t"), F.col("s"))).collect():
+        assert [s.text for s in got] == plain_scan(t, [s.text for s in have]), t
+
+
+def test_checksum_by_residues(spark):
+    rng = random.Random(2)
+    texts = ["", "a", "é日\U0001F600"] + ["".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(128, 3000)])) for _ in range(rng.randrange(60))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, points in df.select("t", SF.points_mod_6(F.col("t"))).collect():
+        assert points == sum(map(ord, t)) % 6
+
+
 def test_smart_truncate(spark):
     df = spark.createDataFrame([("One end. Two words here",), ("nospaces" * 4,), ("short",)], "t string")
     got = [r[0] for r in df.select(PF.smart_truncate(F.col("t"), 12)).collect()]
