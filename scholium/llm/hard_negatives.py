@@ -209,6 +209,16 @@ def anchors_with_floor(blocks: DataFrame, positives: int) -> DataFrame:
     return blocks.mapInArrow(seed, "vec_id long, label long, v array<int>, dim int, block long, floor long")
 
 
+def in_chunks(anchors: DataFrame, number: int) -> DataFrame:
+    """Anchors with the ``chunk`` they pass through in: ranges of blocks, so that a chunk's anchors lie near each other."""
+    chunks = -(-2 * number // CHUNK)  # twice as many as are needed, as ranges come out of unequal size
+    if chunks < 2:
+        return anchors.withColumn("chunk", F.lit(0))
+    cuts = [k / chunks for k in range(1, chunks)]
+    bounds = anchors.groupBy("dim").agg(F.percentile_approx("block", cuts, 20 * chunks).alias("bounds"))
+    return anchors.join(bounds, "dim").withColumn("chunk", F.size(F.filter("bounds", lambda b: b < F.col("block")))).drop("bounds")
+
+
 class Chunk:
     """Some anchors of one dimension and what they look for; sent to the tasks.
 
@@ -323,9 +333,7 @@ def mine(
     zones = store(zone_maps(blocks))
     anchors = anchors_with_floor(blocks, positives)
     number = blocks.where("anchor").count()
-    # twice as many ranges as chunks would need, as ranges come out of unequal size
-    chunks = max(1, -(-2 * number // CHUNK))
-    anchors = store(anchors.repartitionByRange(chunks, "dim", "block", "vec_id").withColumn("chunk", F.spark_partition_id()))
+    anchors = store(in_chunks(store(anchors), number))
     path = shared_dir(spark)
     for part in anchors.select("dim", "chunk").distinct().orderBy("dim", "chunk").collect():
         own = anchors.where((F.col("dim") == part["dim"]) & (F.col("chunk") == part["chunk"])).orderBy("vec_id").toArrow()

@@ -29,6 +29,8 @@ from scholium.llm.common import id_and_text, limit_batches, store
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that one lane steps through, about.
 LANE_BYTES = 256
+#: Bytes of an Arrow batch; texts of a batch are aligned together, with about 100 bytes of memory for each of theirs.
+ALIGN_BYTES = 4 << 20
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 1 << 20
 #: Batches whose rows of one id pair meet in one task, about.
@@ -184,7 +186,7 @@ def _lists(parts: list, kind: pa.DataType) -> pa.Array:
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document and one per batch (with ``pairs`` and ``docs``, and no ``n_a``)."""
-    limit_batches(docs.sparkSession)
+    limit_batches(docs.sparkSession, ALIGN_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32

@@ -104,6 +104,7 @@ def plain_negatives(rows, is_anchor, positives=5, negatives=5):
 
 def test_hard_negatives(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(hard_negatives, "CHUNK", 8)
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(6, 5))
     rows = [(i, (centre[i % 6] + rng.normal(size=5) / 4).astype(float).tolist(), int(i % 6 if i % 3 else rng.integers(4))) for i in range(300)]
