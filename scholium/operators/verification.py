@@ -176,10 +176,11 @@ def verify_titles(
     """Adds ``status`` to (doc_id, pos, title, year) rows.
 
     Verified when any hit is similar enough; a year within one of a hit's lowers the threshold.
-    Equal titles are settled first by an equi-join. Similarity is the matching-blocks ratio, computed
-    for pairs whose common characters (an upper bound of it) allow it; with ``dice`` it is
+    Equal titles are settled first by an equi-join. Similarity is the matching-blocks ratio, in one expression, computed
+    for pairs whose common characters (an upper bound of it) allow it, the hit with most shared words first; with ``dice`` it is
     Dice over character pairs. Per title only the outcome is kept, and the years for which it is near.
     """
+    cut = cut or (lambda df: df)
     titles = checks.where(F.col("title") != "").select(F.lower("title").alias("title")).distinct()
     same = titles.join(registry_titles(works).select(F.col("found").alias("title")), "title", "left_semi")
     rest = titles.join(same, "title", "left_anti")
@@ -190,10 +191,16 @@ def verify_titles(
         scored = hits.withColumn("similarity", SIM.dice(F.col("a"), F.col("b")))
     else:
         bound = SIM.character_bound(F.col("title"), F.col("found"))
-        possible = pin(hits, bound=bound).where(F.col("bound") >= TITLE_MIN_SIMILARITY_SAME_YEAR)
-        scored = pin(possible, similarity=SIM.matching_ratio(F.col("title"), F.col("found")))
-    scored = (cut or (lambda df: df))(
-        scored.where(F.col("similarity") >= TITLE_MIN_SIMILARITY_SAME_YEAR).select("title", "years", "similarity"))
+        possible = cut(pin(hits, bound=bound).where(F.col("bound") >= TITLE_MIN_SIMILARITY_SAME_YEAR))
+        # most titles are settled by their likeliest hit: the others are compared only where it is not enough
+        likeliest = possible.groupBy("title").agg(
+            F.max_by(F.struct("found", "years"), F.struct("shared", "bound", "found")).alias("h")).select("title", "h.*")
+        first = cut(pin(likeliest, similarity=SIM.matching_ratio(F.col("title"), F.col("found"))))
+        settled = first.where(F.col("similarity") >= TITLE_MIN_SIMILARITY).select("title")
+        rest = possible.join(settled, "title", "left_anti").select("title", "found", "years")
+        rest = pin(rest, similarity=SIM.matching_ratio(F.col("title"), F.col("found")))
+        scored = first.select("title", "years", "similarity").union(rest.select("title", "years", "similarity"))
+    scored = cut(scored.where(F.col("similarity") >= TITLE_MIN_SIMILARITY_SAME_YEAR).select("title", "years", "similarity"))
     sure = same.union(scored.where(F.col("similarity") >= TITLE_MIN_SIMILARITY).select("title")).distinct()
     years = scored.select("title", F.explode("years").alias("w"))
     near = years.select(
