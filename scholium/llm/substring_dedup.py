@@ -13,18 +13,22 @@ from collections import Counter
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.common import id_and_text, limit_batches, map_arrow, mix64, remove, shared_dir, store
+from scholium.operators.lookup import lookup_join
 
 PHRASE = 5
 WINDOW = 20
 #: Bytes of text in a shard, about; a longer document is a shard of its own.
 SHARD_BYTES = 2_000_000
+#: Rows of one context that meet its earliest row in a task, about.
+ROWS_PER_SLICE = 100_000
+#: Copies of a row that are made in one array.
+REPEATED_AT_ONCE = 100_000
 #: Stands for a null id between the steps, before all others.
 NO_ID = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -74,58 +78,89 @@ def phrases(docs: DataFrame, window: int) -> DataFrame:
     return map_arrow(docs.select("text", "shard"), choose, "phrase string, shard long, n long")
 
 
+def near_hits(found: np.ndarray, n_words: int, window: int) -> list[tuple[int, int]]:
+    """Word ranges, apart from each other, of all windows that hold a phrase starting at one of the places found."""
+    begin, stop = np.maximum(found - (window - PHRASE), 0), np.minimum(found + window, n_words)
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > stop[:-1]]))
+    last = np.concatenate([first[1:], [len(found)]]) - 1
+    return list(zip(begin[first].tolist(), stop[last].tolist()))
+
+
 def locate(words: list[bytes], automaton, window: int):
-    """``(phrase hash, first window, window hashes)`` around every chosen phrase that the automaton finds."""
+    """``(phrase hash, first window, window hashes)`` around every chosen phrase that the automaton finds.
+
+    Only words around what the automaton finds are hashed.
+    """
     text = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
     ends = [end for end, _ in automaton.iter(text)]
     if not ends:
         return
     # the automaton reports the space behind a phrase; that space's number is the number of words before it
-    spaces = np.flatnonzero(np.fromiter(map(32 .__eq__, text.encode("utf-32-le", "surrogatepass")[::4]), bool, len(text))) if not text.isascii() else np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
-    found = np.searchsorted(spaces, ends) - PHRASE
-    own = word_hashes(words)
-    at = chosen(own, window)
+    marks = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    found = np.unique(np.searchsorted(np.flatnonzero(marks == 32), ends) - PHRASE)
     confirmed = np.zeros(len(words) + 1, bool)
     confirmed[found] = True
-    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    last = np.concatenate([first[1:], [len(at)]])
-    keep = confirmed[at[first]]
-    if keep.any():
-        hashes, names = rolling(own, window).view(np.int64), rolling(own, PHRASE).view(np.int64)
-        for a, b in zip(first[keep].tolist(), last[keep].tolist()):
-            yield int(names[at[a]]), a, hashes[a:b]
+    for begin, stop in near_hits(found, len(words), window):
+        if stop - begin < window:
+            continue
+        own = word_hashes(words[begin:stop])
+        at = chosen(own, window)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+        last = np.concatenate([first[1:], [len(at)]])
+        keep = confirmed[at[first] + begin]
+        if keep.any():
+            hashes, names = rolling(own, window).view(np.int64), rolling(own, PHRASE).view(np.int64)
+            for a, b in zip(first[keep].tolist(), last[keep].tolist()):
+                yield int(names[at[a]]), begin + a, hashes[a:b]
 
 
 def occurrences(docs: DataFrame, confirmed: DataFrame, window: int) -> DataFrame:
     """Rows ``phrase, context, doc_id, twin, start, windows``: neighbouring windows with one chosen, confirmed phrase."""
     limit_batches(docs.sparkSession)
+    schema = pa.schema([
+        ("phrase", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("twin", pa.binary()), ("start", pa.int32()), ("windows", pa.list_(pa.int64())),
+    ])
 
-    def scan(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(own) and len(docs):
+    def scan(docs: pa.Table, own: pa.Table) -> pa.Table:
+        phrase, context, start, windows, owner = [], [], [], [], []
+        if own.num_rows and docs.num_rows:
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for phrase in own["phrase"]:
-                automaton.add_word(phrase)
+            for p in own.column("phrase").to_pylist():
+                automaton.add_word(p)
             automaton.make_automaton()
-            for doc_id, twin, text in zip(docs["doc_id"], docs["twin"], docs["text"]):
+            for k, text in enumerate(docs.column("text")):
+                text = text.as_py()
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
                 if len(words) >= window:
-                    rows += [(name, xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), doc_id, twin, a, h) for name, a, h in locate(words, automaton, window)]
-        return pd.DataFrame(rows, columns=["phrase", "context", "doc_id", "twin", "start", "windows"])
-
-    return docs.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInPandas(
-        scan, "phrase long, context long, doc_id long, twin int, start int, windows array<long>")
+                    for name, a, h in locate(words, automaton, window):
+                        phrase.append(name)
+                        context.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                        start.append(a)
+                        windows.append(h)
+                        owner.append(k)
+        if not owner:
+            return schema.empty_table()
+        ends = np.concatenate([[0], np.cumsum([len(h) for h in windows])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(windows)))
+        rows = pa.array(owner, pa.int64())
+        return pa.table([pa.array(phrase, pa.int64()), pa.array(context, pa.int64()), docs.column("doc_id").take(rows), docs.column("twin").take(rows),
+                         pa.array(start, pa.int32()), lists], schema=schema)
+
+    return docs.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(
+        scan, "phrase long, context long, doc_id long, twin binary, start int, windows array<long>")
 
 
 def later_windows(found: DataFrame, window: int) -> DataFrame:
     """Rows ``doc_id, twin, start, stop``: words covered by windows that also start earlier.
 
     Equal contexts hold equal windows: all but the earliest are covered whole. Only the windows of each earliest
-    context are looked up one by one.
+    context are looked up one by one. Windows are equal if their 64-bit hashes and those of their chosen phrases are.
     """
     place = F.struct("doc_id", "start")
-    earliest = found.groupBy("phrase", "context").agg(F.min(place).alias("first"))
-    marked = found.join(earliest, ["phrase", "context"]).withColumn("is_first", place == F.col("first"))
+    earliest = store(found.groupBy("phrase", "context").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    # a passage of every document is one context: its rows are dealt to slices
+    firsts, counts = earliest.drop("n"), earliest.select("phrase", "context", "n")
+    marked = lookup_join(found, firsts, ["phrase", "context"], "inner", ROWS_PER_SLICE, counts).withColumn("is_first", place == F.col("first"))
     marked = store(marked.select("phrase", "doc_id", "twin", "start", F.size("windows").alias("n"), F.when(F.col("is_first"), F.col("windows")).alias("windows")))
     whole = marked.where(F.col("windows").isNull()).select("doc_id", "twin", "start", (F.col("start") + F.col("n") + (window - 1)).alias("stop"))
     single = marked.where(F.col("windows").isNotNull()).select("phrase", "doc_id", "twin", F.col("start").alias("from"), F.posexplode("windows").alias("k", "window"))
@@ -135,23 +170,38 @@ def later_windows(found: DataFrame, window: int) -> DataFrame:
     return whole.union(later.select("doc_id", "twin", "start", (F.col("start") + window).alias("stop")))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, twin, n``: rows of one id and text as one, ``n`` of them; ``twin`` tells rows of one id apart.
+
+    Its first byte is 0 where the id is null (``doc_id`` is then the least number), else 1; where ids repeat a digest of the text follows.
+    """
+    flag = F.when(F.col("doc_id").isNull(), F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
+    known = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", flag.alias("twin"))
+    if known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty():
+        return known.withColumn("n", F.lit(1).cast("long"))
+    known = known.withColumn("twin", F.concat("twin", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))))
+    return store(known.groupBy("doc_id", "twin").agg(F.first("text").alias("text"), F.count("*").alias("n")))
+
+
+def repeat(rows: DataFrame, count: str) -> DataFrame:
+    """Every row as often as ``count`` says, in steps that bound the arrays it takes."""
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / REPEATED_AT_ONCE))))
+    left = F.least(F.lit(REPEATED_AT_ONCE), F.col(count) - F.col("_block") * REPEATED_AT_ONCE)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_block", "_copy")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every text without the words covered by a window that also starts earlier.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Words are runs without ASCII white space. Earlier means a
     smaller id, or the same id and an earlier start; a null id comes before all others. Rows that
-    repeat an id are not earlier than each other at the same start, so equal ones are treated alike. Windows are judged on the input.
+    repeat an id are not earlier than each other at the same start, so equal ones are treated alike (they are worked on once). Windows are judged on the input.
     Null, empty and short texts lose nothing. No rows give no rows.
     Returns ``doc_id, n_words, n_removed, kept`` (the words left, joined by one space) and ``removed``, ranges of word positions.
     """
     if window <= PHRASE:
         raise ValueError(f"a window has more than {PHRASE} words")
-    source = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    repeated = source.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        source = source.withColumn("twin", F.lit(0))
-    else:  # rows of one id are told apart by their texts
-        source = source.withColumn("twin", F.hash("text"))
+    source = told_apart(id_and_text(docs))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     source = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "twin"), F.lit(shards)))
@@ -183,12 +233,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             removed.append([{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()])
         span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, pa.list_(span))],
-            names=["doc_id", "n_words", "n_removed", "kept", "removed"],
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, pa.list_(span)), batch.column(3)],
+            names=["doc_id", "n_words", "n_removed", "kept", "removed", "n"],
         )
 
-    out = map_arrow(
-        source.join(ranges, ["doc_id", "twin"], "left").select("doc_id", "text", "ranges"), strip,
-        "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,stop:long>>",
-    )
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    given = F.when(F.substring("twin", 1, 1) == F.lit(b"\x01"), F.col("doc_id")).alias("doc_id")
+    rows = source.join(ranges, ["doc_id", "twin"], "left").select(given, "text", "ranges", "n")
+    out = map_arrow(rows, strip, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,stop:long>>, n long")
+    return repeat(out, "n").drop("n")

@@ -138,6 +138,38 @@ def test_repeats_equal_brute_force(spark):
     assert sorted((r.doc_id, r.n_removed) for r in same) == [(1, 0), (1, 0), (2, 70)]
 
 
+def test_repeats_of_one_id_are_told_apart(spark):
+    """Texts of one id, or of none, whose 32-bit hashes are equal, and many equal rows."""
+    long = F.concat(F.lit("start "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "), F.lit(" e"), F.col("id").cast("string"))
+    ids = spark.range(120000)
+    pair = ids.select(long.alias("a")).join(ids.select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("b")), F.hash("a") == F.hash("b")).first()
+    assert pair is not None
+    other = " ".join(f"w{i}" for i in range(1, 61))
+    rows = [(i, t) for i in (5, None) for t in pair] + [(9, other), (9, "short"), (-(1 << 63), "least of all ids")] + [(9, other)] * 70
+    got = substring_dedup.remove_repeats(frame(spark, rows)).withColumn("sha", F.sha2("kept", 256)).collect()
+    alike = {}
+    for r in got:
+        alike.setdefault((r.doc_id, r.n_words), []).append((r.n_removed, r.sha))
+    assert len(got) == len(rows) and all(len(set(v)) == 1 for v in alike.values())
+    assert {k: len(v) for k, v in alike.items()} == {(5, 62): 1, (5, 1): 1, (None, 62): 1, (None, 1): 1, (9, 60): 71, (9, 1): 1, (-(1 << 63), 4): 1}
+    assert alike[(None, 62)][0][0] == 0 and alike[(5, 62)][0][0] == 62 and alike[(9, 60)][0][0] == 60
+
+
+def test_repeats_beside_letters_that_end_like_a_space(spark):
+    passage = " ".join(f"\u0120{i} \u4e20\u0220 é{i}" for i in range(20))
+    rows = [(i, f"\u0120 a{i} b{i} {passage} c{i}") for i in range(6)]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.sha) for r in got), key=str) == stripped(rows)
+
+
+def test_a_passage_of_all_documents_is_dealt_to_slices(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "ROWS_PER_SLICE", 3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"a{i} {passage} c{i}") for i in range(60)]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.sha) for r in got), key=str) == stripped(rows)
+
+
 def test_repeats_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = QUERIES["op6_substring_dedup"](spark, SF).collect()
