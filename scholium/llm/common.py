@@ -51,6 +51,61 @@ def store(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored frames of one job, deleted together once its last result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_dir(self.spark))
+        return store(df, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+
+#: Stands for a null id between the steps of an operator.
+NO_ID = -(1 << 63)
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``doc_id, text, twin, n`` and whether ids are unique: rows of one id and text as one, ``n`` of them; ``twin`` tells rows of one id apart.
+
+    The first byte of ``twin`` is 0 where the id is null (``doc_id`` is then NO_ID), else 1; where ids repeat, a digest of the text follows.
+    """
+    known = with_twin(docs, F.lit(b""))
+    if known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty():
+        return known.withColumn("n", F.lit(1).cast("long")), True
+    known = with_twin(docs)
+    return store(known.groupBy("doc_id", "twin").agg(F.first("text").alias("text"), F.count("*").alias("n"))), False
+
+
+def with_twin(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """``doc_id, text, twin`` and all other columns; see :func:`told_apart`."""
+    flag = F.when(F.col("doc_id").isNull(), F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) if digest is None else digest
+    return docs.withColumns({"twin": F.concat(flag, digest), "doc_id": F.coalesce("doc_id", F.lit(NO_ID))})
+
+
+def own_id() -> Column:
+    """The id of a row with a ``twin``, null again where it was null."""
+    return F.when(F.substring("twin", 1, 1) == F.lit(b"\x01"), F.col("doc_id"))
+
+
+#: Copies of a row that are made in one array.
+REPEATED_AT_ONCE = 100_000
+
+
+def repeat(rows: DataFrame, count: str) -> DataFrame:
+    """Every row as often as ``count`` says, in steps that bound the arrays it takes."""
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / REPEATED_AT_ONCE))))
+    left = F.least(F.lit(REPEATED_AT_ONCE), F.col(count) - F.col("_block") * REPEATED_AT_ONCE)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_block", "_copy")
+
+
 def limit_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches of this session by bytes, so that long texts cannot fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

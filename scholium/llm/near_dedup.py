@@ -2,9 +2,9 @@
 
 Every shingle throws its ranks 0, 1, 2, ... at positions of a random permutation; a signature holds the least
 rank and fraction per position and is complete as soon as no position waits for a later rank.
-Documents of equal shingle sets are one node. Nodes that share a band meet the chief of that bucket,
-then what is still outside the bucket's largest component meets the rest: every link between different
-components is found, without writing out the pairs of a group.
+Documents of equal shingle sets are one node. Every node meets the chief of a bucket; then what is still
+outside a bucket's largest component meets the nodes of others with which it shares a rare shingle: every
+link between different components is found, without writing out the pairs of a group.
 """
 
 from __future__ import annotations
@@ -15,14 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from scholium.llm.common import id_and_text, limit_batches, map_arrow, mix64, store
+from scholium.llm.common import Scratch, id_and_text, limit_batches, map_arrow, mix64, own_id, repeat, store, told_apart, with_twin
+from scholium.operators.lookup import lookup_join
 
 #: At the least similarity s a link is missed with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 2e-8 at 0.85.
 BANDS, ROWS = 24, 4
+#: Pairs of one node that meet its text in a task, about.
+TEXTS_PER_SLICE = 2_000
+#: Counters that order shingles by frequency; bounds what is collected and broadcast.
+TALLY = 1 << 20
 #: Shingles whose permutations are held in memory at a time.
 AT_ONCE = 1 << 16
 _RANK, _FRACTION = np.uint64(56), np.uint64(8)
@@ -91,29 +95,35 @@ def node_of(hashes: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, node, keys``; equal sets have one node, 128 bits wide, empty sets none."""
+    """``doc_id, twin, copies, n_shingles, node, keys``; equal sets have one node, 128 bits wide, empty sets none."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(t, size) for t in batch.column(1).to_pylist()]
+        sets = [shingle_hashes(t, size) for t in batch.column(3).to_pylist()]
         keys = band_keys(signatures(sets, bands * rows), bands, rows).tolist()
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
+                *batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([k if len(s) else None for s, k in zip(sets, keys)], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "node", "keys"],
+            names=["doc_id", "twin", "copies", "n_shingles", "node", "keys"],
         )
 
-    return map_arrow(docs, make, "doc_id long, n_shingles long, node binary, keys array<long>")
+    return map_arrow(docs.select("doc_id", "twin", F.col("n").alias("copies"), "text"), make, "doc_id long, twin binary, copies long, n_shingles long, node binary, keys array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the least node of its component, for every node on an edge ``(a, b)``.
 
     Large and small stars in turn (each node's neighbours move to its least neighbour) until nothing changes. Only
-    aggregates by node and joins with them; a node of many edges is one row of an aggregate.
+    aggregates by node, and joins with them in which the edges of a node of very many are dealt to slices.
     """
-    e = store(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    scratch = Scratch(edges.sparkSession)
+
+    def least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        per = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return per.select("u", "m"), per.select("u", "n")
+
+    e = scratch.store(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -121,17 +131,24 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = store(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lower, "u")
-        e = store(moved.select("u", F.col("m").alias("v")).union(moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        lower, counts = least(both)
+        lower = lower.select("u", F.least("u", "m").alias("m"))
+        large = lookup_join(both, lower, "u", "inner", counts=counts).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.store(large.where("u != v").distinct())
+        lower, counts = least(large)
+        moved = lookup_join(large, lower, "u", "inner", counts=counts)
+        e = scratch.store(moved.select("u", F.col("m").alias("v")).union(moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct())
+    out = store(e.select(F.col("u").alias("node"), F.col("v").alias("label")))
+    scratch.clear()
+    return out
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``a, b, common, total``: shingles in both and in either full set of the nodes of every pair."""
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    sides = pairs
+    for side in "ab":  # the pairs of a node of very many are dealt to slices
+        counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        sides = lookup_join(sides, texts.select(F.col("node").alias(side), F.col("text").alias(f"t{side}")), side, "inner", TEXTS_PER_SLICE, counts)
     limit_batches(pairs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,63 +177,94 @@ def least_bands(percent: int, bands: int, rows: int, risk: float = 1e-6) -> int:
         shared += 1
 
 
+def rare_first(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node, rare``: of every set as many of its rarest shingles as any linked set must share one of.
+
+    Sets of n and more shingles with ``percent`` of their union in common cannot avoid each other's first
+    n - ceil(percent n / 100) + 1, in any order of all shingles. The order is by counts in a table of fixed size,
+    so rare ones come first; shingles that share a place in it only make the order worse, not the result.
+    """
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(TALLY, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(seen, (shingle_hashes(text.as_py(), size) % np.uint64(TALLY)).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["place", "n"])
+
+    spark = texts.sparkSession
+    limit_batches(spark)
+    counted = texts.select("text").mapInArrow(tally, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(TALLY, np.int64)
+    table[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
+    known = spark.sparkContext.broadcast(table)
+
+    def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for text in batch.column(1):
+            own = shingle_hashes(text.as_py(), size)
+            order = np.lexsort((own, known.value[(own % np.uint64(TALLY)).astype(np.int64)]))
+            out.append(own[order[: len(own) + 1 - -(-percent * len(own) // 100)]].view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "rare"])
+
+    return map_arrow(texts.select("node", "text"), rarest, "node binary, rare array<long>")
+
+
 def link(nodes: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
     """``node, label`` of all nodes that have a link.
 
-    First every bucket's chief, the node whose buckets hold most, meets the others of the bucket. Of the
-    nodes still outside their bucket's largest component each then meets all others of another component,
-    which leaves no pair of a bucket unsettled. A pair is taken up in the first band it shares, and only if
-    distances to the bucket's chief allow the link: Jaccard distance is a metric, so two nodes are at
-    least as far apart as their distances to the chief differ.
+    First every node meets one other, the chief of one of its buckets: the node whose buckets hold most. What that links
+    is settled. In buckets that still hold several components, the nodes outside the largest one then meet those
+    of other components with which they share a rare shingle and enough bands. Linked nodes share both,
+    so no link between different components is missed, and no pair of a group is written out for the group's sake.
     """
-    ints = F.transform("keys", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))
-    posted = nodes.select("node", "n", ints.alias("bands"), F.posexplode("keys").alias("band", "key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    posted = store(posted.join(shared, "key"))
-    reach = store(posted.groupBy("node").agg(F.sum("held").alias("reach")))
-    texts = store(texts.join(reach.select("node"), "node"))
-    ranked = posted.select("key", "node", "n").join(reach, "node")
-    chiefs = store(
-        ranked.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("reach", "node")).alias("c"))
-        .select("key", F.col("c.node").alias("chief"), F.col("c.n").alias("chief_n")))
+    scratch = Scratch(nodes.sparkSession)
+    posted = nodes.select("node", F.explode("keys").alias("key"))
+    shared = scratch.store(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    posted = scratch.store(lookup_join(posted, shared.select("key", F.col("n").alias("held")), "key", "inner", counts=shared))
+    reach = posted.groupBy("node").agg(F.sum("held").alias("reach"))
+    chiefs = posted.drop("held").join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node")).alias("chief"))
+    met = lookup_join(posted.drop("held"), chiefs, "key", "inner", counts=shared).where(F.col("node") != F.col("chief.node"))
+    met = met.groupBy("node").agg(F.max("chief").alias("chief")).select(F.col("node").alias("a"), F.col("chief.node").alias("b"))
+    sizes = nodes.select("node", "n")
 
     def near_in_size(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    def pair_of(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    met = posted.join(chiefs, "key").where((F.col("node") != F.col("chief")) & near_in_size("n", "chief_n"))
-    first = store(similarities(met.select(*pair_of("node", "chief")).distinct(), texts, size))
+    met = lookup_join(met.join(sizes.toDF("a", "na"), "a"), sizes.toDF("b", "nb"), "b", "inner").where(near_in_size("na", "nb"))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     enough = 100 * F.col("common") >= percent * F.col("total")
-    labels = store(components(first.where(enough).select("a", "b")))
-
-    distance = first.select("a", "b", (1 - F.col("common") / F.col("total")).alias("distance"))
-    placed = (
-        posted.join(chiefs.select("key", "chief"), "key").where(F.col("node") != F.col("chief")).withColumns(dict(zip("ab", pair_of("node", "chief"))))
-        .join(distance, ["a", "b"], "left").join(labels, "node", "left")
-        .select("key", "band", "node", "n", "bands", "distance", F.coalesce("label", "node").alias("label"))
-    )
-    placed = store(placed)
-    largest = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    outside = placed.join(largest, "key").where(F.col("label") != F.col("largest"))
-    o = store(outside.drop("band")).select("key", "largest", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "bands", "distance", "label")])
-    same = F.zip_with("bands", "o_bands", lambda x, y: x == y)
-    within = F.coalesce(F.abs(F.col("distance") - F.col("o_distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    # of two nodes outside, one row is enough
-    once = (F.col("label") == F.col("largest")) | (F.col("node") < F.col("o_node"))
-    rest = placed.join(o, "key").where(
-        (F.col("label") != F.col("o_label")) & once & near_in_size("n", "o_n") & within
-        & (F.array_position(same, True) == F.col("band") + 1)
-        & (F.size(F.filter(same, lambda x: x)) >= least_bands(percent, bands, rows))
-    )
-    second = store(similarities(rest.select(*pair_of("node", "o_node")), texts, size).where(enough).select("a", "b"))
+    labels = components(scratch.store(similarities(scratch.store(met), texts, size).where(enough).select("a", "b")))
+
+    placed = scratch.store(posted.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    by_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_keys = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    open_keys = scratch.store(open_keys.drop("labels"))
+    inside = lookup_join(placed, open_keys.drop("n"), "key", "inner", counts=open_keys.select("key", "n"))
+    inside = scratch.store(inside.groupBy("node").agg(F.any_value("label").alias("label"), F.max(F.col("label") != F.col("largest")).alias("outside")))
+
+    ints = F.transform("keys", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))
+    rare = rare_first(texts.join(inside.select("node"), "node"), size, percent)
+    open_nodes = scratch.store(inside.join(nodes.select("node", "n", ints.alias("bands")), "node").join(rare, "node"))
+    each = open_nodes.select("*", F.posexplode("rare").alias("at", "shingle"))
+    there = each.where("outside").select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "bands", "rare", "outside", "at")])
+    # nothing before the first shingle that two share is common, so what follows it on either side bounds what is
+    left = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    same = F.size(F.filter(F.zip_with("bands", "o_bands", lambda x, y: x == y), lambda x: x))
+    pairs = each.join(there, "shingle").where(
+        # of two nodes outside, and of the shingles that two share, one row is enough
+        (F.col("label") != F.col("o_label")) & (~F.col("outside") | (F.col("node") < F.col("o_node"))) & near_in_size("n", "o_n")
+        & ((100 + percent) * left >= percent * (F.col("n") + F.col("o_n"))) & (same >= least_bands(percent, bands, rows)) & (F.get(F.array_intersect("rare", "o_rare"), F.lit(0)) == F.col("shingle")))
+    pairs = scratch.store(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+    second = similarities(pairs, texts, size).where(enough).select("a", "b")
     # links between labels: the components of components
     a, b = (labels.toDF(side, f"{side}_label") for side in "ab")
     ends = second.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    merged = store(components(ends))
+    merged = components(ends)
     moved = labels.join(merged.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return moved.union(merged.join(labels, "node", "left_anti"))
+    out = store(moved.union(merged.join(labels, "node", "left_anti")))
+    scratch.clear()
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -225,62 +273,55 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Two documents are linked if their sets of ``size``-word
     shingles have at least ``percent`` of their union in common. Texts without words, also null ones, are linked with
     nothing. Rows that repeat an id are documents of their own with one id; if their texts differ, each has the group of its own text.
+    Rows without an id are documents like others, and take part in links; a group of none but those has no ``component_id``.
     An empty table gives no rows. Returns ``doc_id, n_shingles, component_id, kept``: ``component_id`` is the smallest id reachable.
     """
-    out = grouped(docs, size, percent, bands, rows)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out, _ = grouped(docs, size, percent, bands, rows)
+    out = repeat(out, "copies").select(own_id().alias("doc_id"), "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
 
+def grouped(docs: DataFrame, size: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, bool]:
+    """``doc_id, twin, copies, n_shingles, label, component_id`` of every id and text, and whether ids are unique.
 
-def grouped(docs: DataFrame, size: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, node, label, component_id`` of every row; ``label`` is the least node of its group, null without words."""
-    source = id_and_text(docs)
+    ``label`` is the least node of a text's group, null without words; ids as in :func:`scholium.llm.common.told_apart`.
+    """
+    source, unique = told_apart(id_and_text(docs))
     sketches = store(sketch(source, size, bands, rows))
     full = sketches.where(F.col("node").isNotNull())
-    nodes = store(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-    # texts by node: of rows that repeat an id, the one whose own set is the node's
-    own = full.join(nodes.select("node", F.col("doc_id").alias("first")), "node").where(F.col("doc_id") == F.col("first"))
-    texts = source.join(own.select("doc_id", "node").distinct(), "doc_id").select("node", "text")
-    repeated = full.groupBy("doc_id").agg(F.count_distinct("node").alias("sets")).where("sets > 1").limit(1)
-    if not repeated.isEmpty():
-        texts = matching(texts, size)
+    nodes = store(full.groupBy("node").agg(
+        F.min(F.struct("doc_id", "twin")).alias("holder"), F.min(own_id()).alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"),
+        F.count("*").alias("rows")))
+    texts = source.join(nodes.select("holder.*", "node"), ["doc_id", "twin"]).select("node", "text")  # one text of every node
     labels = link(nodes, texts, size, percent, bands, rows)
-    label = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = label.select("node", "label").join(least, "label").select("node", "label", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "node").join(answer, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "node", "label", "component_id")
-
-
-def matching(texts: DataFrame, size: int) -> DataFrame:
-    """Rows ``node, text`` whose text has just that node, one per node."""
-
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same = [node_of(shingle_hashes(t, size)) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        return batch.filter(pa.array(same, pa.bool_()))
-
-    return map_arrow(texts, keep, "node binary, text string")
-
-
-def with_node(docs: DataFrame, size: int) -> DataFrame:
-    """The rows of ``docs`` as ``row``, with ``id`` and ``body`` and the ``node`` of their own text."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("body"))
-
-    def name(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(t, size) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())], names=["row", "id", "body", "node"])
-
-    return map_arrow(rows, name, StructType([*rows.schema.fields, StructField("node", BinaryType())]))
+    label = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    least = label.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    answer = lookup_join(label.select("node", "label"), least.drop("n"), "label", counts=least.select("label", "n"))
+    columns = ["doc_id", "twin", "copies", "n_shingles", "label", "component_id"]
+    out = lookup_join(full.drop("keys"), answer, "node", "inner", counts=nodes.select("node", F.col("rows").alias("n"))).select(columns)
+    alone = sketches.where(F.col("node").isNull()).withColumns({"label": F.lit(None).cast("binary"), "component_id": own_id()}).select(columns)
+    return out.union(alone), unique
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near copies, the smallest id.
+    """One document of each group of near copies, the smallest id; all columns stay as they are.
 
     A row stands for its own text, so an id repeated with texts of several groups is kept or not in each of them. Where
-    the smallest id has several rows in a group, the first text stays. Of rows that repeat an id without words, one stays.
+    the smallest id has several rows in a group, the first text stays. A group without any id keeps one row.
+    Texts without words are linked with nothing: of those that repeat an id one stays, those without an id stay all.
+    An empty table gives no rows.
     """
-    groups = grouped(docs, size, percent)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "label").distinct()
-    chosen = with_node(docs, size).join(kept, (F.col("id") == F.col("kept_id")) & F.col("node").eqNullSafe(F.col("kept_node")))
-    first = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.col("body").asc_nulls_last()))
-    chosen = chosen.withColumn("copy", first).where("copy = 1")
-    return chosen.select("row.*").union(docs.where(F.col("doc_id").isNull()))
+    groups, unique = grouped(docs, size, percent)
+    nameless = own_id().isNull()
+    worded = groups.where(F.col("label").isNotNull())
+    first = worded.groupBy("label").agg(F.min(F.struct(nameless.alias("nameless"), "doc_id")).alias("k")).select("label", "k.doc_id")
+    bare = groups.where(F.col("label").isNull()).select("label", "doc_id", "twin")
+    kept = store(worded.select("label", "doc_id", "twin").join(first, ["label", "doc_id"]).union(bare))
+    if unique:  # at most one id is null
+        chosen = kept.select(own_id().alias("_kept"))
+        return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = with_twin(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = rows.join(kept, ["doc_id", "twin"])
+    empty = F.col("label").isNull() & nameless
+    one = rows.where(~empty).groupBy("label", "doc_id").agg(F.min_by("row", F.struct(F.col("text").isNull(), "text")).alias("row"))
+    return one.select("row.*").union(rows.where(empty).select("row.*"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import id_and_text, limit_batches, map_arrow, mix64, remove, shared_dir, store
+from scholium.llm.common import id_and_text, limit_batches, map_arrow, mix64, own_id, remove, repeat, shared_dir, store, told_apart
 from scholium.operators.lookup import lookup_join
 
 PHRASE = 5
@@ -27,10 +27,6 @@ WINDOW = 20
 SHARD_BYTES = 2_000_000
 #: Rows of one context that meet its earliest row in a task, about.
 ROWS_PER_SLICE = 100_000
-#: Copies of a row that are made in one array.
-REPEATED_AT_ONCE = 100_000
-#: Stands for a null id between the steps, before all others.
-NO_ID = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,26 +166,6 @@ def later_windows(found: DataFrame, window: int) -> DataFrame:
     return whole.union(later.select("doc_id", "twin", "start", (F.col("start") + window).alias("stop")))
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, twin, n``: rows of one id and text as one, ``n`` of them; ``twin`` tells rows of one id apart.
-
-    Its first byte is 0 where the id is null (``doc_id`` is then the least number), else 1; where ids repeat a digest of the text follows.
-    """
-    flag = F.when(F.col("doc_id").isNull(), F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
-    known = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", flag.alias("twin"))
-    if known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty():
-        return known.withColumn("n", F.lit(1).cast("long"))
-    known = known.withColumn("twin", F.concat("twin", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))))
-    return store(known.groupBy("doc_id", "twin").agg(F.first("text").alias("text"), F.count("*").alias("n")))
-
-
-def repeat(rows: DataFrame, count: str) -> DataFrame:
-    """Every row as often as ``count`` says, in steps that bound the arrays it takes."""
-    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / REPEATED_AT_ONCE))))
-    left = F.least(F.lit(REPEATED_AT_ONCE), F.col(count) - F.col("_block") * REPEATED_AT_ONCE)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_block", "_copy")
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every text without the words covered by a window that also starts earlier.
 
@@ -201,7 +177,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if window <= PHRASE:
         raise ValueError(f"a window has more than {PHRASE} words")
-    source = told_apart(id_and_text(docs))
+    source, _ = told_apart(id_and_text(docs))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     source = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "twin"), F.lit(shards)))
@@ -237,7 +213,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             names=["doc_id", "n_words", "n_removed", "kept", "removed", "n"],
         )
 
-    given = F.when(F.substring("twin", 1, 1) == F.lit(b"\x01"), F.col("doc_id")).alias("doc_id")
-    rows = source.join(ranges, ["doc_id", "twin"], "left").select(given, "text", "ranges", "n")
+    rows = source.join(ranges, ["doc_id", "twin"], "left").select(own_id().alias("doc_id"), "text", "ranges", "n")
     out = map_arrow(rows, strip, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,stop:long>>, n long")
     return repeat(out, "n").drop("n")

@@ -89,6 +89,58 @@ def test_one_of_each_with_two_texts_under_one_id(spark):
         [(3, copy), (7, clean), (9, other), (9, "entirely different words here"), (10, ""), (11, "one")], key=str)
 
 
+def test_rows_without_an_id_are_linked(spark):
+    copy, clean = (" ".join(f"{c}{i}" for i in range(60)) for c in "ac")
+    rows = [(None, copy), (3, copy + " more"), (4, copy + " and"), (None, clean), (None, clean), (None, clean + " x"), (None, None), (None, ""), (5, "")]
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted(
+        [(None, 3, False), (3, 3, True), (4, 3, False), *[(None, None, True)] * 5, (5, 5, True)], key=str)
+    left = near_dedup.one_of_each(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+        [(3, copy + " more"), (None, clean), (None, None), (None, ""), (5, "")], key=str)
+
+
+def test_repeated_rows_are_verified_once(spark, monkeypatch):
+    """Many rows of one id and text are one text: 60 of each side give one pair."""
+    seen = []
+    whole = near_dedup.similarities
+
+    def counting(pairs, texts, size):
+        out = near_dedup.store(whole(pairs, texts, size))
+        seen.append((out.count(), texts.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "similarities", counting)
+    a = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, a)] * 60 + [(2, a + " end")] * 60 + [(7, f"lonely text {a[:3]}")]
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == 121 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (7, 7)}
+    assert seen[0] == (1, 3) and seen[1][0] == 0
+
+
+def test_similar_but_unlinked_families_stay_cheap_and_whole(spark, monkeypatch):
+    """Texts 0.6 to 0.8 alike share buckets and are linked with few: all links are found, from few of the pairs."""
+    seen = []
+    whole = near_dedup.similarities
+
+    def counting(pairs, texts, size):
+        seen.append(pairs.count())
+        return whole(pairs, texts, size)
+
+    monkeypatch.setattr(near_dedup, "similarities", counting)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(220):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.choice([3, 9, 14, 20])):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows, 3, 85)
+    assert sum(seen) < 220 * 219 / 2 / 8
+
+
 def test_near_dedup_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = QUERIES["op4_near_dedup"](spark, SF).collect()
