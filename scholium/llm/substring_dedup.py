@@ -34,17 +34,26 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
-def rolling(own: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words, in order."""
-    acc = np.full(max(0, len(own) - width + 1), width, np.uint64)
-    for k in range(width):
-        acc = mix64(acc * _STEP + own[k : k + len(acc)])
-    return acc
+def phrase_hashes(own: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of PHRASE words, in order."""
+    acc = np.zeros(max(0, len(own) - PHRASE + 1), np.uint64)
+    for k in range(PHRASE):
+        acc *= _STEP
+        acc += own[k : k + len(acc)]
+    return mix64(acc)
 
 
-def chosen(own: np.ndarray, window: int) -> np.ndarray:
+def window_hashes(phrases: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of all windows, from those of phrases that cover them."""
+    acc = np.zeros(len(phrases) - (window - PHRASE), np.uint64)
+    for k in [*range(0, window - PHRASE, PHRASE), window - PHRASE]:
+        acc *= _STEP
+        acc += phrases[k : k + len(acc)]
+    return mix64(acc)
+
+
+def chosen(phrases: np.ndarray, window: int) -> np.ndarray:
     """Start of every window's phrase: the least hash in it, the leftmost of equals."""
-    phrases = rolling(own, PHRASE)
     inside = np.lib.stride_tricks.sliding_window_view(phrases, window - PHRASE + 1)
     at = np.empty(len(inside), np.int64)
     for a in range(0, len(inside), 1 << 18):
@@ -64,7 +73,7 @@ def phrases(docs: DataFrame, window: int) -> DataFrame:
         for text, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = text.encode("utf-8", "surrogatepass").split() if text else []
             if len(words) >= window:
-                places = np.unique(chosen(word_hashes(words), window)).tolist()
+                places = np.unique(chosen(phrase_hashes(word_hashes(words)), window)).tolist()
                 counts.update([(phrase_text(words, p), shard) for p in places])
         if not counts:
             return None
@@ -99,13 +108,13 @@ def locate(words: list[bytes], automaton, window: int):
     for begin, stop in near_hits(found, len(words), window):
         if stop - begin < window:
             continue
-        own = word_hashes(words[begin:stop])
-        at = chosen(own, window)
+        names = phrase_hashes(word_hashes(words[begin:stop]))
+        at = chosen(names, window)
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         last = np.concatenate([first[1:], [len(at)]])
         keep = confirmed[at[first] + begin]
         if keep.any():
-            hashes, names = rolling(own, window).view(np.int64), rolling(own, PHRASE).view(np.int64)
+            hashes, names = window_hashes(names, window).view(np.int64), names.view(np.int64)
             for a, b in zip(first[keep].tolist(), last[keep].tolist()):
                 yield int(names[at[a]]), begin + a, hashes[a:b]
 
