@@ -154,7 +154,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets: dict[bytes, np.ndarray] = {}  # of this batch, whose bytes are bounded
+            sets: dict[int, np.ndarray] = {}  # of this batch, whose bytes are bounded
             for nodes, column in ((a, batch.column(2)), (b, batch.column(3))):
                 for k, node in enumerate(nodes):
                     if node not in sets:
@@ -163,7 +163,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             total = [len(sets[x]) + len(sets[y]) - n for x, y, n in zip(a, b, common)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
-    return sides.select("a", "b", "ta", "tb").mapInArrow(count, "a binary, b binary, common long, total long")
+    return sides.select("a", "b", "ta", "tb").mapInArrow(count, "a long, b long, common long, total long")
 
 
 def least_bands(percent: int, bands: int, rows: int, risk: float = 1e-6) -> int:
@@ -178,7 +178,7 @@ def least_bands(percent: int, bands: int, rows: int, risk: float = 1e-6) -> int:
 
 
 def rare_first(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``node, rare``: of every set as many of its rarest shingles as any linked set must share one of.
+    """``node, at, shingle``: of every set as many of its rarest shingles as any linked set must share one of, in order.
 
     Sets of n and more shingles with ``percent`` of their union in common cannot avoid each other's first
     n - ceil(percent n / 100) + 1, in any order of all shingles. The order is by counts in a table of fixed size,
@@ -200,18 +200,21 @@ def rare_first(texts: DataFrame, size: int, percent: int) -> DataFrame:
     known = spark.sparkContext.broadcast(table)
 
     def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        out, lengths = [np.zeros(0, np.int64)], []
         for text in batch.column(1):
             own = shingle_hashes(text.as_py(), size)
             order = np.lexsort((own, known.value[(own % np.uint64(TALLY)).astype(np.int64)]))
             out.append(own[order[: len(own) + 1 - -(-percent * len(own) // 100)]].view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "rare"])
+            lengths.append(len(out[-1]))
+        rows = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(out))], names=["node", "at", "shingle"])
 
-    return map_arrow(texts.select("node", "text"), rarest, "node binary, rare array<long>")
+    return map_arrow(texts.select("node", "text"), rarest, "node long, at int, shingle long")
 
 
 def link(nodes: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """``node, label`` of all nodes that have a link.
+    """``node, label`` of all nodes (numbers) that have a link.
 
     First every node meets one other, the chief of one of its buckets: the node whose buckets hold most. What that links
     is settled. In buckets that still hold several components, the nodes outside the largest one then meet those
@@ -222,7 +225,8 @@ def link(nodes: DataFrame, texts: DataFrame, size: int, percent: int, bands: int
     posted = nodes.select("node", F.explode("keys").alias("key"))
     shared = scratch.store(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     posted = scratch.store(lookup_join(posted, shared.select("key", F.col("n").alias("held")), "key", "inner", counts=shared))
-    reach = posted.groupBy("node").agg(F.sum("held").alias("reach"))
+    reach = scratch.store(posted.groupBy("node").agg(F.sum("held").alias("reach")))
+    texts = scratch.store(texts.join(reach.select("node"), "node"))  # only those of nodes that share a bucket
     chiefs = posted.drop("held").join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node")).alias("chief"))
     met = lookup_join(posted.drop("held"), chiefs, "key", "inner", counts=shared).where(F.col("node") != F.col("chief.node"))
     met = met.groupBy("node").agg(F.max("chief").alias("chief")).select(F.col("node").alias("a"), F.col("chief.node").alias("b"))
@@ -241,21 +245,24 @@ def link(nodes: DataFrame, texts: DataFrame, size: int, percent: int, bands: int
     open_keys = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     open_keys = scratch.store(open_keys.drop("labels"))
     inside = lookup_join(placed, open_keys.drop("n"), "key", "inner", counts=open_keys.select("key", "n"))
-    inside = scratch.store(inside.groupBy("node").agg(F.any_value("label").alias("label"), F.max(F.col("label") != F.col("largest")).alias("outside")))
-
-    ints = F.transform("keys", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))
-    rare = rare_first(texts.join(inside.select("node"), "node"), size, percent)
-    open_nodes = scratch.store(inside.join(nodes.select("node", "n", ints.alias("bands")), "node").join(rare, "node"))
-    each = open_nodes.select("*", F.posexplode("rare").alias("at", "shingle"))
-    there = each.where("outside").select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "bands", "rare", "outside", "at")])
+    inside = inside.groupBy("node").agg(F.any_value("label").alias("label"), F.max(F.col("label") != F.col("largest")).alias("outside"), F.count("*").alias("open"))
+    # two nodes without a link yet share as many open buckets as linked ones share bands
+    asked = least_bands(percent, bands, rows)
+    inside = scratch.store(inside.where(F.col("open") >= asked).join(sizes, "node").select("node", "label", "outside", "n"))
+
+    rare = rare_first(scratch.store(texts.join(inside.select("node"), "node")), size, percent)
+    each = scratch.store(rare.join(inside, "node"))
+    there = each.where("outside").select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "at")])
     # nothing before the first shingle that two share is common, so what follows it on either side bounds what is
     left = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
-    same = F.size(F.filter(F.zip_with("bands", "o_bands", lambda x, y: x == y), lambda x: x))
     pairs = each.join(there, "shingle").where(
-        # of two nodes outside, and of the shingles that two share, one row is enough
-        (F.col("label") != F.col("o_label")) & (~F.col("outside") | (F.col("node") < F.col("o_node"))) & near_in_size("n", "o_n")
-        & ((100 + percent) * left >= percent * (F.col("n") + F.col("o_n"))) & (same >= least_bands(percent, bands, rows)) & (F.get(F.array_intersect("rare", "o_rare"), F.lit(0)) == F.col("shingle")))
-    pairs = scratch.store(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+        (F.col("label") != F.col("o_label")) & (~F.col("outside") | (F.col("node") < F.col("o_node")))  # of two nodes outside, one row is enough
+        & near_in_size("n", "o_n") & ((100 + percent) * left >= percent * (F.col("n") + F.col("o_n"))))
+    pairs = scratch.store(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+    ints = nodes.select("node", F.transform("keys", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")).alias("bands")).join(inside.select("node"), "node")
+    ints = scratch.store(ints)
+    same = F.size(F.filter(F.zip_with("xs", "ys", lambda x, y: x == y), lambda x: x))
+    pairs = scratch.store(pairs.join(ints.toDF("a", "xs"), "a").join(ints.toDF("b", "ys"), "b").where(same >= asked).select("a", "b"))
     second = similarities(pairs, texts, size).where(enough).select("a", "b")
     # links between labels: the components of components
     a, b = (labels.toDF(side, f"{side}_label") for side in "ab")
@@ -284,22 +291,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 def grouped(docs: DataFrame, size: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, bool]:
     """``doc_id, twin, copies, n_shingles, label, component_id`` of every id and text, and whether ids are unique.
 
-    ``label`` is the least node of a text's group, null without words; ids as in :func:`scholium.llm.common.told_apart`.
+    ``label`` is the number of a text's group, null without words; ids as in :func:`scholium.llm.common.told_apart`.
     """
     source, unique = told_apart(id_and_text(docs))
     sketches = store(sketch(source, size, bands, rows))
     full = sketches.where(F.col("node").isNotNull())
-    nodes = store(full.groupBy("node").agg(
+    nodes = full.groupBy("node").agg(
         F.min(F.struct("doc_id", "twin")).alias("holder"), F.min(own_id()).alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"),
-        F.count("*").alias("rows")))
+        F.count("*").alias("rows"))
+    # stored nodes keep their number, which stands for them from here on
+    nodes = store(nodes.withColumnRenamed("node", "set").withColumn("node", F.monotonically_increasing_id()))
     texts = source.join(nodes.select("holder.*", "node"), ["doc_id", "twin"]).select("node", "text")  # one text of every node
-    labels = link(nodes, texts, size, percent, bands, rows)
-    label = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    labels = link(nodes.select("node", "n", "keys"), texts, size, percent, bands, rows)
+    label = nodes.select("set", "node", "least", "rows").join(labels, "node", "left").select("set", "least", "rows", F.coalesce("label", "node").alias("label"))
     least = label.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    answer = lookup_join(label.select("node", "label"), least.drop("n"), "label", counts=least.select("label", "n"))
+    answer = store(lookup_join(label.drop("least"), least.drop("n"), "label", counts=least.select("label", "n")).withColumnRenamed("set", "node"))
     columns = ["doc_id", "twin", "copies", "n_shingles", "label", "component_id"]
-    out = lookup_join(full.drop("keys"), answer, "node", "inner", counts=nodes.select("node", F.col("rows").alias("n"))).select(columns)
-    alone = sketches.where(F.col("node").isNull()).withColumns({"label": F.lit(None).cast("binary"), "component_id": own_id()}).select(columns)
+    out = lookup_join(full.drop("keys"), answer.drop("rows"), "node", "inner", counts=answer.select("node", F.col("rows").alias("n"))).select(columns)
+    alone = sketches.where(F.col("node").isNull()).withColumns({"label": F.lit(None).cast("long"), "component_id": own_id()}).select(columns)
     return out.union(alone), unique
 
 
