@@ -2,14 +2,15 @@
 
 The lengths of all pieces make a histogram of at most ``capacity`` bins, whatever the corpus. On it the
 driver plans: full patterns of few documents are enumerated over rounded lengths, with a greedy pattern of
-any number for each length that is in none of them; non-negative least squares fits how often each is repeated, the counts are rounded down, and what is left is packed best-fit into
-the sequences begun so far or into new ones. The plan consists of runs, "the next n pieces of this
+any number for each length that is in none of them; non-negative least squares fits how often each is repeated, the counts are rounded down, and
+fitted again to what they leave; the rest, the shortest pieces among it, is packed best-fit into the sequences begun so far or into new ones. The plan consists of runs, "the next n pieces of this
 length go to sequences s, s+1, ... at this offset"; pieces find their run by length and rank.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import os
 import re
@@ -32,10 +33,15 @@ END_ID = 1
 #: Lengths are rounded up to one of so many steps to enumerate full patterns, of at most so many documents.
 STEPS = 64
 PATTERN_DOCS = 3
-#: Shares of the fitted repeats that are tried, none of them 0; the plan with fewest sequences is taken.
+#: Shares of the fitted repeats that are tried in a single fit, none of them 0.
 FIXED_SHARES = (1.0, 0.5, 0.25)
-#: Distinct words whose ids a task remembers before it starts again; bounds its memory, not its results.
-REMEMBERED_WORDS = 300_000
+#: Plans that fit in rounds: share of the pieces, the shortest, that patterns leave out, and share of the fitted repeats.
+IN_ROUNDS = ((0.05, 1.0), (0.05, 0.97), (0.06, 1.0), (0.06, 0.94), (0.07, 1.0), (0.08, 1.0))
+ROUNDS = 12
+#: Plans with no more than one in so many sequences above the fewest count as equally good.
+NEAR_LEAST = 2_000
+#: Distinct words whose ids a worker remembers before it starts again; bounds its memory, not its results.
+REMEMBERED_WORDS = 600_000
 #: Words encoded in one call; bounds the tokenizer's own results.
 ENCODED_AT_ONCE = 2_000
 #: Words, of one document or more, whose new ones are learned together.
@@ -64,7 +70,6 @@ class WordIds:
             raise RuntimeError("ids are written as little-endian 32-bit numbers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine already
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -124,6 +129,12 @@ class WordIds:
         return out[: len(texts)]
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per worker process: what a task learned, the next one knows."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token ids of every document plus ``end_id``, cut where longer than ``capacity``; one row per piece."""
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
@@ -145,22 +156,31 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return map_arrow(id_and_text(docs), cut, "doc_id long, piece int, start long, length long, ids_crc32 long", lambda: WordIds(path))
-
-
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Minimise ``|a x - b|`` over ``x >= 0`` by projected accelerated gradient steps."""
-    gram, target = a.T @ a, a.T @ b
-    step = 1 / max(np.abs(gram).sum(1).max(), 1e-12)
-    x = y = np.zeros(a.shape[1])
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * (gram @ y - target))
-        if (new - x) @ (y - new) > 0:
-            t = 1.0
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t_new * (new - x)
-        x, t = new, t_new
+    return map_arrow(id_and_text(docs), cut, "doc_id long, piece int, start long, length long, ids_crc32 long", lambda: word_ids(path))
+
+
+def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """Minimise ``|a x - b|`` over ``x >= 0`` by active sets: no more patterns are used than there are lengths."""
+    x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(6 * len(b)):
+        gain = a.T @ (b - a @ x)
+        gain[used] = -1
+        best = int(gain.argmax())
+        if gain[best] <= tolerance:
+            break
+        used[best] = True
+        while True:
+            at = np.flatnonzero(used)
+            free = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            low = free <= 1e-12
+            if not low.any():
+                break
+            # as far towards the free solution as no pattern falls below none; those that reach it leave
+            x[at] += (x[at][low] / (x[at][low] - free[low])).min() * (free - x[at])
+            used &= x > 1e-12
+            x[~used] = 0
+        x[:] = 0
+        x[at] = free
     return x
 
 
@@ -195,7 +215,7 @@ class Plan:
     """Groups of equally filled sequences, and the runs that filled them. A group is (room, first sequence, count)."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.sequences = capacity, 0
+        self.capacity, self.sequences, self.by_patterns = capacity, 0, 0
         self.rooms: list[int] = []
         self.groups: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.runs: list[tuple[int, int, int, int, int]] = []  # length, rank, count, sequence, offset
@@ -226,30 +246,71 @@ class Plan:
         return self.sequences - count
 
 
-def plan_packing(histogram: np.ndarray, capacity: int, steps: int = STEPS, most: int = PATTERN_DOCS) -> Plan:
-    """Plan for ``histogram[length]`` pieces of every length."""
-    width = -(-capacity // steps)
-    steps = capacity // width
-    rounded = np.minimum(-(-np.arange(capacity + 1) // width), steps)
+def fit(histogram: np.ndarray, rounded: np.ndarray, steps: int, most: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Patterns of the rounded lengths, and how often each should be repeated to use them up."""
     per_step = np.bincount(rounded, weights=histogram, minlength=steps + 1)
     used = [u for u in range(steps, 0, -1) if per_step[u]]
     shapes = patterns(steps, most, used)
     shapes += greedy_patterns(steps, used, shapes)
-    repeats = np.zeros(len(shapes))
-    if shapes:
-        matrix = np.zeros((steps + 1, len(shapes)))
-        for k, shape in enumerate(shapes):
-            for u in shape:
-                matrix[u, k] += 1
-        scale = per_step.max()
-        repeats = nonnegative_least_squares(matrix, per_step / scale) * scale
-    plans = [fill(histogram, capacity, width, rounded, shapes, np.floor(share * repeats + 1e-6).astype(np.int64)) for share in FIXED_SHARES]
-    return min(plans, key=lambda plan: plan.sequences)
+    if not shapes:
+        return shapes, np.zeros(0)
+    matrix = np.zeros((steps + 1, len(shapes)))
+    for k, shape in enumerate(shapes):
+        for u in shape:
+            matrix[u, k] += 1
+    scale = per_step.max()
+    return shapes, nonnegative_least_squares(matrix, per_step / scale) * scale
+
+
+def whole(repeats: np.ndarray) -> np.ndarray:
+    return np.floor(repeats + 1e-6).astype(np.int64)
+
+
+def plan_packing(histogram: np.ndarray, capacity: int, steps: int = STEPS, most: int = PATTERN_DOCS) -> Plan:
+    """Plan for ``histogram[length]`` pieces of every length.
+
+    Of all plans tried, those within one in NEAR_LEAST of the fewest sequences count as equal; of them that is taken whose patterns hold most
+    pieces, or the one of fewest sequences if several hold nine in ten.
+    """
+    width = -(-capacity // steps)
+    steps = capacity // width
+    rounded = np.minimum(-(-np.arange(capacity + 1) // width), steps)
+    shapes, repeats = fit(histogram, rounded, steps, most)
+    plans = [fill(histogram, capacity, width, rounded, shapes, whole(share * repeats)) for share in FIXED_SHARES]
+    plans += [fill_in_rounds(histogram, capacity, width, rounded, steps, most, *kind) for kind in IN_ROUNDS]
+    least = min(plan.sequences for plan in plans)
+    near = [plan for plan in plans if NEAR_LEAST * (plan.sequences - least) <= least]
+    mostly = 0.9 * histogram.sum()
+    return max(near, key=lambda plan: (min(plan.by_patterns, mostly), -plan.sequences, plan.by_patterns))
 
 
 def fill(histogram: np.ndarray, capacity: int, width: int, rounded: np.ndarray, shapes: list, repeats: np.ndarray) -> Plan:
     """Fill sequences by patterns as often as ``repeats`` says, then pack what is left best-fit, longest first."""
     left, plan = histogram.astype(np.int64).copy(), Plan(capacity)
+    place_patterns(plan, left, capacity, width, rounded, shapes, repeats)
+    return best_fit(plan, left, capacity)
+
+
+def fill_in_rounds(histogram: np.ndarray, capacity: int, width: int, rounded: np.ndarray, steps: int, most: int, fillers: float, share: float) -> Plan:
+    """Fit patterns to what is left, again and again, until they place nothing more; then best-fit.
+
+    The shortest pieces, a share ``fillers`` of all, take no part in patterns: they fill what those leave.
+    """
+    histogram = histogram.astype(np.int64)
+    plan, short = Plan(capacity), histogram.copy()
+    short[np.searchsorted(np.cumsum(histogram), fillers * histogram.sum(), "right") :] = 0
+    left = histogram - short
+    for _ in range(ROUNDS):
+        before = plan.by_patterns
+        shapes, repeats = fit(left, rounded, steps, most)
+        place_patterns(plan, left, capacity, width, rounded, shapes, whole(share * repeats))
+        if plan.by_patterns == before:
+            break
+    return best_fit(plan, left + short, capacity)
+
+
+def place_patterns(plan: Plan, left: np.ndarray, capacity: int, width: int, rounded: np.ndarray, shapes: list, repeats: np.ndarray) -> None:
+    """Open a sequence for every repeat that the pieces ``left`` allow, and take its pieces from them."""
     for k in sorted(np.flatnonzero(repeats), key=lambda k: (-repeats[k], k)):
         shape = shapes[k]
         need = {u: shape.count(u) for u in shape}
@@ -267,12 +328,17 @@ def fill(histogram: np.ndarray, capacity: int, width: int, rounded: np.ndarray,
                     if length:
                         plan.runs.append((length, plan.ranks[length], put, first, capacity - room))
                         plan.ranks[length] += put
+                        plan.by_patterns += put
                         left[length] -= put
                     after.append((first, put, room - length))
                     first, n = first + put, n - put
             pending = after
         for first, n, room in pending:
             plan.add(room, first, n)
+
+
+def best_fit(plan: Plan, left: np.ndarray, capacity: int) -> Plan:
+    """Put what is left, longest first, where it leaves least room."""
     for length in range(capacity, 0, -1):
         while left[length]:
             at = bisect.bisect_left(plan.rooms, length)

@@ -65,7 +65,6 @@ def pieces_of(tokenizer, text, capacity=4096):
 
 def test_packing_holds_every_piece_without_gaps(spark, awkward):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     for table, got in ((awkward, packing.pack(awkward)), (None, QUERIES["op1_best_fit_packing"](spark, SF))):
         source = table if table is not None else spark.read.parquet(f"{SF}/documents.parquet")
         rows = got.collect()
@@ -117,6 +116,23 @@ def test_every_plan_holds_fitted_patterns(monkeypatch):
         assert len(planned) == len(packing.FIXED_SHARES) and min(planned) >= 0.1 * len(lengths)
 
 
+def test_most_pieces_are_placed_by_patterns():
+    """Lengths like those of the given documents, many short and few very long: no more sequences than best fit makes."""
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(rng.lognormal(6.3, 1.0, 10000).astype(int) + 1, 4096)
+    plan = packing.plan_packing(np.bincount(lengths, minlength=4097), 4096)
+    assert plan.by_patterns >= 0.9 * len(lengths)
+    assert plan.sequences <= -(-int(lengths.sum()) // 4096) * 1.0006 + 1
+
+
+def test_special_tokens_are_encoded_as_the_tokenizer_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, ours = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b <|endoftext|><|endoftext|>.", "<|END|> x<| endoftext|>", "(<|endoftext|>)"]
+    for text, ids in zip(texts, ours(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_language(spark, awkward, docs):
     rows = {(r.doc_id, i): r for i, r in enumerate(language_id.identify(awkward, docs).collect())}
     assert [r.lang_pred for (d, _), r in rows.items() if d in (1, 2, 3, 7)] == ["und"] * 4
