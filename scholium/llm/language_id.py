@@ -7,7 +7,6 @@ one, smallest share first, as long as that raises the penalised likelihood.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,8 @@ SMOOTHING = 0.5
 SLICE = 1 << 20
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages of a model at most; bounds what is collected and broadcast to so many times BUCKETS numbers.
+MOST_LANGUAGES = 500
 _LETTERS_ONLY = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 
 
@@ -60,13 +60,18 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[lang] = sums.get(lang, 0) + ngram_counts(text)
+                if lang in sums:
+                    sums[lang] += ngram_counts(text)
+                else:
+                    sums[lang] = ngram_counts(text)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], names=["lang", "bucket", "n"])
 
     sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; the model is made for {MOST_LANGUAGES} at most")
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     for i, lang in enumerate(langs):
         own = sums[sums["lang"] == lang]
@@ -112,7 +117,7 @@ def mixture(counts: np.ndarray, probability: np.ndarray, penalty: float) -> tupl
 
 def detect(text: str | None, langs: list[str], probability: np.ndarray, penalty: float) -> tuple[str, float, list[tuple[str, float]]]:
     """Language, its share among all languages, and the selected mixture; ``probability`` is (BUCKETS, languages)."""
-    if not langs or not text or not _LETTER.search(text):
+    if not langs or not text or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, []
     full, selected = mixture(ngram_counts(text), probability, penalty)
     best = int(np.argmax(selected))

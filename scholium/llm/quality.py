@@ -160,6 +160,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     )
     chosen = positive.union(unlabelled)  # at most FIT_POSITIVES + FIT_UNLABELLED ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one row per chosen id, the least text: a repeated id adds nothing to what is collected
+    rows = rows.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t).tolist() for t in batch.column(1).to_pylist()]

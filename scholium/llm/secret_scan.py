@@ -25,6 +25,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 KINDS = ("assign", "access", "hex", "crf")
+#: Bytes of a window that is learned from, at most; bounds what the driver collects to fit the field.
+MOST_WINDOW_BYTES = 4_000
 #: Windows with, and without, a base span that the field is fitted on (those with the least hashes).
 FIT_WITH, FIT_WITHOUT = 2_000, 2_000
 #: Words on both sides of the middle word of such a window.
@@ -276,7 +278,7 @@ def train(docs: DataFrame) -> Field:
     """Fit on a bounded sample of word windows from all documents.
 
     Every base span offers the window around it, and every document one window at a place that its id's hash
-    gives. Repeated windows count once.
+    gives. Repeated windows count once. Windows of MOST_WINDOW_BYTES or more, which hold very long words, are not learned from.
     """
 
     def offer(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -291,7 +293,7 @@ def train(docs: DataFrame) -> Field:
             about = file_type(len(text), words)
             for k in sorted(middles):
                 part = slice(max(0, k - REACH), k + REACH + 1)
-                if sum(map(len, words[part])) < 4_000:
+                if sum(map(len, words[part])) < MOST_WINDOW_BYTES:
                     rows.append((b" ".join(words[part]).decode("utf-8", "surrogatepass"), tags[part], list(about), any(tags[part])))
         columns = list(zip(*rows)) or [[], [], [], []]
         kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_())

@@ -133,6 +133,21 @@ def test_special_tokens_are_encoded_as_the_tokenizer_does():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_numerals_are_no_letters(docs):
+    langs, table = ["en", "fr"], np.full((language_id.BUCKETS, 2), 0.5)
+    assert [language_id.detect(t, langs, table, 0.5)[0] for t in ("½ ² 7 ③", "_!", "", None)] == ["und"] * 4
+    assert language_id.detect("ª", langs, table, 0.5)[0] in langs
+
+
+def test_quality_learns_one_row_of_a_repeated_id(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda a, b: fitted.append((len(a), len(b))))
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(40) for k in range(1 + 50 * (i == 3))], "doc_id bigint, text string")
+    quality.train(docs, spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int"))
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert fitted == [(sum(i < 10 for i in learned), len(learned))]
+
+
 def test_language(spark, awkward, docs):
     rows = {(r.doc_id, i): r for i, r in enumerate(language_id.identify(awkward, docs).collect())}
     assert [r.lang_pred for (d, _), r in rows.items() if d in (1, 2, 3, 7)] == ["und"] * 4
