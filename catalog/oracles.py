@@ -776,6 +776,15 @@ ORACLES["r2_calibrate"] = "SELECT doc_id, layer, score FROM calibrated_layers"
 ORACLES["r3_resolve_discipline"] = f"""SELECT doc_id, CASE WHEN d IN ({KNOWN_DISCIPLINES}) THEN d ELSE 'computer_science' END AS discipline
 FROM (SELECT doc_id, json_extract_string(ok, '$.discipline') AS d FROM review_docs)"""
 ORACLES["r4_weighted_score"] = "SELECT doc_id, discipline, final_score FROM final_scores"
+CTES["other_weights"] = """SELECT * FROM weights WHERE discipline <> 'physics' UNION ALL
+SELECT 'physics', layer, weight, max_marks FROM weights WHERE discipline = 'mathematics' AND layer <> 'citations'"""
+ORACLES["r4_weighted_score_by_table"] = f"""
+SELECT doc_id, discipline, {round_py("greatest(0.0::DOUBLE, least(100.0::DOUBLE, total * 10.0::DOUBLE))")} AS final_score, earned FROM (
+  SELECT doc_id, discipline, list_reduce(list(score * weight ORDER BY ord), lambda a, b: a + b) AS total,
+    string_agg(CAST(round_even(score * max_marks / 10.0::DOUBLE, 0) AS BIGINT), ',' ORDER BY ord) AS earned
+  FROM (SELECT d.doc_id, d.discipline, w.weight, w.max_marks, coalesce(c.score, 0.0::DOUBLE) AS score, list_position({list(C.LAYERS)}, w.layer) AS ord
+    FROM (SELECT DISTINCT doc_id, discipline FROM calibrated_layers) d JOIN other_weights w USING (discipline)
+    LEFT JOIN calibrated_layers c ON c.doc_id = d.doc_id AND c.layer = w.layer) GROUP BY doc_id, discipline)"""
 ORACLES["r5_grade"] = f"SELECT doc_id, {by_letter(C.GRADE_TEXT)} AS grade FROM final_scores"
 ORACLES["r6_marks"] = """SELECT doc_id, layer, CAST(max_marks AS BIGINT) AS max_marks,
 CAST(round_even(score * max_marks / 10.0::DOUBLE, 0) AS BIGINT) AS earned FROM calibrated_layers JOIN weights USING (discipline, layer)"""
@@ -876,6 +885,19 @@ ORACLES["q10_run_verdict"] = """SELECT CASE WHEN count(*) FILTER (status = 'FAIL
  WHEN count(*) FILTER (status = 'WARN') > 0 THEN 'WARNINGS FOUND' ELSE 'ALL CLEAR' END AS verdict FROM statuses"""
 ORACLES["q11_batch_counts"] = """SELECT category, count(*) FILTER (analyze_status = 200) AS success, count(*) FILTER (analyze_status <> 200) AS failed,
  round(avg(analyze_time_ms), 6) AS avg_time_ms, CAST(quantile_disc(analyze_time_ms, 0.5) AS BIGINT) AS median_time_ms FROM results GROUP BY category"""
+ORACLES["q8_observed_summary"] = ORACLES["q8_run_summary"]
+ORACLES["q11_merged_counts"] = """SELECT category, count(*) FILTER (analyze_status = 200) AS success, count(*) FILTER (analyze_status <> 200) AS failed,
+ round(avg(analyze_time_ms), 6) AS avg_time_ms, CAST(quantile_disc(analyze_time_ms, 0.5) AS BIGINT) AS p50_time_ms,
+ CAST(quantile_disc(analyze_time_ms, 0.9) AS BIGINT) AS p90_time_ms FROM results GROUP BY category"""
+ORACLES["s6_old_shapes"] = """
+SELECT paper, j IS NOT NULL AS readable, TRY_CAST(json_extract_string(j, '$.final_score') AS DOUBLE) AS final_score, json_extract_string(j, '$.grade') AS grade,
+  CAST(coalesce(json_extract(j, '$.citation_result.total_refs'), json_extract(j, '$.citations.total_refs')) AS BIGINT) AS total_refs,
+  CAST(coalesce(json_extract(j, '$.citation_result.verified'), json_extract(j, '$.citations.verified')) AS BIGINT) AS verified,
+  CASE WHEN j IS NULL THEN '' ELSE array_to_string(list_sort(list_filter(json_keys(j), lambda k: k IN ('reviewer', 'mark', 'score'))), ',') END AS unknown,
+  CAST(json_extract(j, '$.layer_scores.citations') AS DOUBLE) AS citations
+FROM (SELECT paper, CASE WHEN json_valid(old) THEN CAST(old AS JSON) END AS j FROM (SELECT paper, CASE CAST(regexp_extract(paper, '([0-9]+)', 1) AS BIGINT) % 6
+  WHEN 1 THEN replace(response_json, '"citation_result"', '"citations"') WHEN 2 THEN replace(response_json, '"grade":"', '"reviewer":"me","mark":"')
+  WHEN 3 THEN replace(response_json, '"final_score":', '"final_score":"high","score":') WHEN 4 THEN 'oops ' || response_json ELSE response_json END AS old FROM results))"""
 ORACLES["e3_validate_batch"] = "SELECT kind, item, count(*) AS n FROM finding_rows GROUP BY kind, item"
 
 # --- whole jobs ------------------------------------------------------------------

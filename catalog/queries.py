@@ -648,6 +648,16 @@ def r4_weighted_score(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", "discipline", "final_score")
 
 
+@query
+def r4_weighted_score_by_table(spark, sf_dir):
+    """Weights from a table: physics takes those of mathematics, and has no row of its own for the last layer."""
+    rows = [(d, l, i, w[i], SC.max_marks(w[i])) for d, w in SC.DISCIPLINE_WEIGHTS.items() for i, l in enumerate(LAYERS)]
+    table = spark.createDataFrame(rows, "discipline string, layer string, ord int, weight double, max_marks int").where("discipline <> 'physics'")
+    own = table.where((F.col("discipline") == "mathematics") & (F.col("ord") < 4)).withColumn("discipline", F.lit("physics"))
+    out = RV.weighted_score_by(layered(spark, sf_dir), table.union(own))
+    return out.select("doc_id", "discipline", "final_score", F.array_join(F.transform("marks", lambda m: m["earned"].cast("string")), ",").alias("earned"))
+
+
 @query
 def r5_grade(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", "grade")
@@ -758,6 +768,13 @@ def q8_run_summary(spark, sf_dir):
     return s.withColumn("avg_score", F.round("avg_score", 6)).withColumn("avg_time_ms", F.round("avg_time_ms", 6))
 
 
+@query
+def q8_observed_summary(spark, sf_dir):
+    """The same summary, counted while the records are written."""
+    s = VAL.write_with_summary(validations(spark, sf_dir), new_path(spark, "validations"))
+    return s.withColumn("avg_score", F.round("avg_score", 6)).withColumn("avg_time_ms", F.round("avg_time_ms", 6))
+
+
 @query
 def q9_findings(spark, sf_dir):
     return VAL.findings(validations(spark, sf_dir))
@@ -774,6 +791,32 @@ def q11_batch_counts(spark, sf_dir):
     return c.withColumn("avg_time_ms", F.round("avg_time_ms", 6)).withColumn("median_time_ms", F.col("median_time_ms").cast("bigint"))
 
 
+@query
+def q11_merged_counts(spark, sf_dir):
+    """Counts and quantiles over two batches whose sketches were stored apart."""
+    r = results(spark, sf_dir)
+    first = F.pmod(F.xxhash64("paper"), F.lit(2)) == 0
+    batches = [materialize(VAL.latency_sketches(r.where(c))) for c in (first, ~first)]
+    c = VAL.merged_counts(batches[0].union(batches[1]))
+    return c.withColumn("avg_time_ms", F.round("avg_time_ms", 6))
+
+
+@query
+def s6_old_shapes(spark, sf_dir):
+    """Records as older versions wrote them: other names, other types, keys of their own, or no JSON at all."""
+    r = results(spark, sf_dir).withColumn("id", F.regexp_extract("paper", r"(\d+)", 1).cast("bigint"))
+    j, i = F.col("response_json"), F.col("id")
+    old = (
+        F.when(i % 6 == 1, F.replace(j, F.lit('"citation_result"'), F.lit('"citations"')))
+        .when(i % 6 == 2, F.replace(j, F.lit('"grade":"'), F.lit('"reviewer":"me","mark":"')))
+        .when(i % 6 == 3, F.replace(j, F.lit('"final_score":'), F.lit('"final_score":"high","score":')))
+        .when(i % 6 == 4, F.concat(F.lit("oops "), j)).otherwise(j))
+    out = readers.tolerant_responses(r.withColumn("response_json", old))
+    return out.select(
+        "paper", "readable", "final_score", "grade", "total_refs", "verified", F.array_join(F.array_sort("unknown"), ",").alias("unknown"),
+        F.try_element_at("layer_scores", F.lit("citations")).alias("citations"))
+
+
 # --- whole jobs ------------------------------------------------------------------
 
 def job_papers(spark, sf_dir):

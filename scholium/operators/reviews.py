@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.constants import (
-    DASHBOARD_RECOMMENDATION, FALLBACK_ISSUE, FALLBACK_SUGGESTION, GRADES, LAYER_LABEL, LAYERS,
+    DASHBOARD_RECOMMENDATION, DEFAULT_DISCIPLINE, FALLBACK_ISSUE, FALLBACK_SUGGESTION, GRADES, LAYER_LABEL, LAYERS,
     MODEL_LAYERS, NO_ISSUES, NO_SECTION_ISSUE, NO_SECTION_SUGGESTION, NO_SUGGESTIONS,
     QUALITY_TITLE, RECOMMENDATION, SCORE_DESCRIPTION,
 )
 from scholium.functions import scoring as SC
+from scholium.functions.text import round_exact
 from scholium.operators.frames import pin
+from scholium.operators.lookup import lookup_join
 
 LAYER_SCHEMA = "struct<score:string,issues:array<string>,suggestions:array<string>,analysis_failed:boolean>"
 
@@ -116,6 +118,32 @@ def weighted_score(layered: DataFrame) -> DataFrame:
     return out.withColumn("grade", SC.grade(F.col("final_score")))
 
 
+def weight_table(weights: DataFrame) -> DataFrame:
+    """(discipline, weights): the rows (discipline, layer, ord, weight, max_marks) of a discipline, in order."""
+    row = F.struct("ord", "layer", "weight", "max_marks")
+    return weights.groupBy("discipline").agg(F.sort_array(F.collect_list(row)).alias("weights"))
+
+
+def weighted_score_by(layered: DataFrame, weights: DataFrame) -> DataFrame:
+    """As :func:`weighted_score`, with the weights of a table; adds ``marks`` too, (layer, max_marks, earned) of every weighted layer.
+
+    A discipline without weights scores like ``DEFAULT_DISCIPLINE``. The table's rows come to the papers by a look-up, which the planner sends
+    around only if they are small enough.
+    """
+    table = weight_table(weights)
+    known = lookup_join(layered, table, "discipline")
+    fallback = table.where(F.col("discipline") == DEFAULT_DISCIPLINE).select("weights").scalar()
+    out = pin(known, scores=score_map(F.col("layers")), weights=F.coalesce("weights", fallback))
+
+    def score_of(w: Column) -> Column:
+        return F.coalesce(F.try_element_at("scores", w["layer"]), F.lit(0.0))
+
+    total = F.aggregate("weights", F.lit(0.0), lambda t, w: t + score_of(w) * w["weight"])
+    out = pin(out, final_score=round_exact(SC.clip(total * 10.0, 0.0, 100.0), 1), marks=F.transform("weights", lambda w: F.struct(
+        w["layer"].alias("layer"), w["max_marks"].alias("max_marks"), SC.earned_marks(score_of(w), w["max_marks"]).alias("earned"))))
+    return out.drop("weights").withColumn("grade", SC.grade(F.col("final_score")))
+
+
 def marks(layered: DataFrame) -> DataFrame:
     """Maximum and earned marks per layer; the maxima of a discipline may add to 99 or 101."""
     rows = layered.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scholium.constants import (
@@ -190,18 +190,30 @@ def validate(results: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(validations: DataFrame) -> DataFrame:
+def _summary_metrics() -> list[Column]:
     def total(col: str) -> Column:
         return F.coalesce(F.sum(F.size(col)), F.lit(0)).alias(f"total_{col}")
 
-    return validations.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("PASS", "WARN", "FAIL")],
         F.coalesce(F.avg("final_score"), F.lit(0.0)).alias("avg_score"),
         F.coalesce(F.avg(F.when(F.col("analyze_time_ms") > 0, F.col("analyze_time_ms"))), F.lit(0.0))
         .alias("avg_time_ms"),
         *[total(c) for c in ("fallback_layers", "section_gaps", "citation_gaps", "warnings", "errors")],
-    )
+    ]
+
+
+def run_summary(validations: DataFrame) -> DataFrame:
+    return validations.agg(*_summary_metrics())
+
+
+def write_with_summary(validations: DataFrame, path: str) -> DataFrame:
+    """Write validation records and return their summary, which is counted while they are written: one scan."""
+    seen = Observation()
+    validations.observe(seen, *_summary_metrics()).write.mode("overwrite").parquet(path)
+    schema = run_summary(validations).schema
+    return validations.sparkSession.createDataFrame([tuple(seen.get[f.name] for f in schema)], schema)
 
 
 def run_verdict(summary: DataFrame) -> DataFrame:
@@ -236,3 +248,26 @@ def batch_counts(results: DataFrame) -> DataFrame:
         F.avg("analyze_time_ms").alias("avg_time_ms"),
         F.percentile_approx("analyze_time_ms", 0.5, 10000).alias("median_time_ms"),
     )
+
+
+def latency_sketches(results: DataFrame, k: int = 4_000) -> DataFrame:
+    """Counts and a quantile sketch of the latency by category, small enough to be stored for every batch.
+
+    Sketches of several batches add up (:func:`merged_counts`). Up to about ``k`` latencies are kept as they are; beyond
+    that ranks are off by about 1.7 / k.
+    """
+    ok = F.coalesce(F.col("analyze_status") == 200, F.lit(False))
+    return results.groupBy("category").agg(
+        F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.sum("analyze_time_ms").alias("time_ms"),
+        F.count("analyze_time_ms").alias("timed"), F.kll_sketch_agg_bigint("analyze_time_ms", k).alias("latency"),
+    )
+
+
+def merged_counts(sketches: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9), k: int = 4_000) -> DataFrame:
+    """Counts, mean and quantiles of the latency by category over the sketches of any number of batches."""
+    both = sketches.groupBy("category").agg(
+        F.sum("success").alias("success"), F.sum("failed").alias("failed"), (F.sum("time_ms") / F.sum("timed")).alias("avg_time_ms"),
+        F.sum("timed").alias("timed"), F.kll_merge_agg_bigint("latency", k).alias("latency"))
+    quantiles = [
+        F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_bigint("latency", F.lit(r))).alias(f"p{round(100 * r)}_time_ms") for r in ranks]
+    return both.select("category", "success", "failed", "avg_time_ms", *quantiles)

@@ -136,3 +136,44 @@ def read_results(spark: SparkSession, path: str, by_line: bool = False) -> DataF
     ``by_line`` reads one record per line instead, as :func:`scholium.sources.incremental.write_results` writes them.
     """
     return spark.read.schema(RESULT_SCHEMA).option("multiLine", not by_line).json(path)
+
+
+# Where a field of a response is found: in today's records, then in older ones.
+RESPONSE_FIELDS = {
+    "final_score": ("double", ["final_score"]),
+    "grade": ("string", ["grade"]),
+    "layer_scores": ("map<string,double>", ["layer_scores"]),
+    "detected_sections": ("map<string,int>", ["detected_sections"]),
+    "total_refs": ("int", ["citation_result.total_refs", "citations.total_refs"]),
+    "verified": ("int", ["citation_result.verified", "citations.verified"]),
+    "flagged_dois": ("array<string>", ["citation_result.flagged_dois", "citations.flagged_dois"]),
+}
+KNOWN_KEYS = [
+    "filename", "detected_sections", "section_count", "warnings", "layer_scores", "layer_details", "final_score", "grade", "citation_result",
+    "citations", "discipline", "layer_max_marks", "verdict_text",
+]
+
+
+def tolerant_responses(results: DataFrame) -> DataFrame:
+    """Batch records of any shape: typed fields where they can be read, and what is not known.
+
+    ``response_json`` is kept as it is, as VARIANT ``response`` (null where it is no JSON). A field that is absent, or of another
+    type, is null; older names count. ``unknown`` are the keys that no field is read from, ``readable`` says whether there is JSON at all.
+    """
+    parsed = results.withColumn("response", F.try_parse_json("response_json"))
+
+    def field(kind: str, paths: list[str]) -> Column:
+        return F.coalesce(*[F.try_variant_get("response", F.lit(f"$.{p}"), kind) for p in paths])
+
+    keys = F.when(F.col("response").isNotNull(), F.json_object_keys("response_json"))
+    return parsed.select(
+        *results.columns, "response", F.col("response").isNotNull().alias("readable"),
+        *[field(*how).alias(name) for name, how in RESPONSE_FIELDS.items()],
+        F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*map(F.lit, KNOWN_KEYS))).alias("unknown"),
+    )
+
+
+def response_shapes(results: DataFrame, by: str = "category") -> DataFrame:
+    """The merged schema of all responses of a group, and how many there are: shows new and changed fields at a glance."""
+    parsed = results.withColumn("response", F.try_parse_json("response_json")).where(F.col("response").isNotNull())
+    return parsed.groupBy(by).agg(F.count("*").alias("n"), F.schema_of_variant_agg("response").alias("shape"))

@@ -129,6 +129,20 @@ def test_equal_title_is_found_among_many_longer_ones(spark):
         assert got[(2, 0)] == ("verified" if dice else "not_found")  # same words, other order
 
 
+def test_a_changed_weight_changes_the_score(spark):
+    layers = "array<struct<layer:string,score:double,issues:array<string>>>"
+    df = spark.createDataFrame([(1, "physics", [(l, 8.0, []) for l in LAYERS]), (2, "astrology", [(LAYERS[0], 5.0, [])]), (3, None, None)],
+                               f"doc_id bigint, discipline string, layers {layers}")
+    rows = [(d, l, i, w[i], max_marks(w[i])) for d, w in DISCIPLINE_WEIGHTS.items() for i, l in enumerate(LAYERS)]
+    schema = "discipline string, layer string, ord int, weight double, max_marks int"
+    same = {r.doc_id: r for r in RV.weighted_score_by(df, spark.createDataFrame(rows, schema)).collect()}
+    plain = {r.doc_id: r.final_score for r in RV.weighted_score(RV.resolve_discipline(df.where("layers is not null"))).collect()}
+    assert {i: same[i].final_score for i in plain} == plain and same[3].final_score == 0.0
+    halved = [(d, l, i, w / 2 if d == "physics" else w, m) for d, l, i, w, m in rows]
+    other = {r.doc_id: r.final_score for r in RV.weighted_score_by(df, spark.createDataFrame(halved, schema)).collect()}
+    assert other[1] == plain[1] / 2 and other[2] == plain[2]
+
+
 def test_character_bound_is_above_the_ratio(spark):
     rng = random.Random(5)
     make = lambda: "".join(rng.choice("abcd ef") for _ in range(rng.randint(0, 14)))

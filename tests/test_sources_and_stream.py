@@ -1,8 +1,10 @@
+import bisect
 import hashlib
 import json
 
 from pyspark.sql import functions as F
 
+from scholium.operators import validation as VAL
 from scholium.plans.analyze import analyze_corpus, validate_batch
 from scholium.sources import incremental as INC
 from scholium.sources import readers
@@ -61,6 +63,48 @@ def test_store_keeps_failures_out(spark):
     assert sorted(map(tuple, INC.merge_store(store, new).collect())) == [("k1", 7), ("k2", 6)]
 
 
+def test_records_of_unknown_shape(spark):
+    rows = [
+        ("new", '{"final_score": 7, "grade": "B", "citation_result": {"total_refs": 3, "verified": 1, "flagged_dois": ["x"]}, "layer_scores": {"citations": 2.5}}'),
+        ("old", '{"final_score": 76.5, "citations": {"total_refs": 53, "verified": 0, "score": 2.0}, "detected_sections": {"Abstract": 92}, "verdict": "fine"}'),
+        ("odd", '{"final_score": {"value": 1}, "grade": 5, "layer_scores": [1, 2]}'), ("list", "[1]"), ("broken", "{"), ("none", None), ("empty", ""),
+    ]
+    df = spark.createDataFrame([(p, j, "c") for p, j in rows], "paper string, response_json string, category string")
+    got = {r.paper: r for r in readers.tolerant_responses(df).drop("response").collect()}
+    assert (got["new"].final_score, got["new"].total_refs, got["new"].flagged_dois, got["new"].layer_scores) == (7.0, 3, ["x"], {"citations": 2.5})
+    assert (got["old"].final_score, got["old"].total_refs, got["old"].grade, got["old"].unknown) == (76.5, 53, None, ["verdict"])
+    assert got["odd"].final_score is None and got["odd"].grade == "5" and got["odd"].layer_scores is None
+    assert [got[p].readable for p in ("list", "broken", "none", "empty")] == [True, False, False, False]
+    assert all(got[p].unknown == [] for p in ("list", "broken", "none", "empty"))
+    shapes = readers.response_shapes(df).collect()
+    assert len(shapes) == 1 and shapes[0].n == 4 and readers.tolerant_responses(df.limit(0)).count() == 0
+
+
+def test_summary_while_writing(spark, tmp_path):
+    rows = [("a", "PASS", 50.0, 10, [], ["w"]), ("b", "FAIL", None, 0, ["e", "f"], []), ("c", "WARN", 70.0, 30, [], ["w", "v"])]
+    df = spark.createDataFrame(rows, "paper string, status string, final_score double, analyze_time_ms bigint, errors array<string>, warnings array<string>")
+    for c in ("fallback_layers", "section_gaps", "citation_gaps"):
+        df = df.withColumn(c, F.array().cast("array<string>"))
+    observed = VAL.write_with_summary(df, str(tmp_path / "v"))
+    assert observed.collect() == VAL.run_summary(df).collect() and spark.read.parquet(str(tmp_path / "v")).count() == 3
+    none = VAL.write_with_summary(df.limit(0), str(tmp_path / "w")).first()
+    assert (none.total, none.avg_score, none.total_errors) == (0, 0.0, 0)
+
+
+def test_sketches_of_batches_add_up(spark):
+    times = [(i * 7919) % 100003 for i in range(30000)]
+    df = spark.createDataFrame([("a" if i % 3 else "b", 200 if i % 5 else 500, t) for i, t in enumerate(times)], "category string, analyze_status int, analyze_time_ms bigint")
+    whole = {r.category: r for r in VAL.merged_counts(VAL.latency_sketches(df)).collect()}
+    parts = VAL.latency_sketches(df.where("analyze_time_ms < 30000")).union(VAL.latency_sketches(df.where("analyze_time_ms >= 30000")))
+    merged = {r.category: r for r in VAL.merged_counts(parts).collect()}
+    for c in "ab":
+        own = sorted(t for i, t in enumerate(times) if (i % 3 > 0) == (c == "a"))
+        assert merged[c][1:4] == whole[c][1:4]
+        for r in (merged[c], whole[c]):
+            for share, value in ((0.5, r.p50_time_ms), (0.9, r.p90_time_ms)):
+                assert abs(bisect.bisect_right(own, value) / len(own) - share) < 0.005
+
+
 def files_of(path):
     return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
 
