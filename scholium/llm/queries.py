@@ -141,14 +141,17 @@ ish AS (SELECT item_id, s, count(*) AS c FROM (
 dsh AS (SELECT DISTINCT doc_id, s FROM (
     SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda p: array_to_string(w[p:p + 4], ' '))) AS s FROM d WHERE len(w) > 0)),
 pairs AS (SELECT DISTINCT doc_id, item_id FROM dsh JOIN ish USING (s)),
-win AS (SELECT p.doc_id, p.item_id, n, m, unnest(range(0, len(d.w) - n + 1)) AS start FROM pairs p JOIN d USING (doc_id) JOIN item USING (item_id)),
-wsh AS (SELECT win.doc_id, win.item_id, win.n, win.m, start,
-    unnest(list_transform(range(1, win.m + 1), lambda p: array_to_string(d.w[start + p:start + p + least(5, win.n) - 1], ' '))) AS s FROM win JOIN d USING (doc_id)),
-cnt AS (SELECT doc_id, item_id, n, m, start, s, count(*) AS c FROM wsh GROUP BY ALL),
-sim AS (SELECT doc_id, cnt.item_id, n, start, sum(least(cnt.c, ish.c)) AS both_, any_value(m) AS m FROM cnt JOIN ish ON cnt.item_id = ish.item_id AND cnt.s = ish.s GROUP BY ALL)
-SELECT doc_id, item_id, (both_ / (2 * m - both_))::DOUBLE AS similarity, start::BIGINT AS start, n::BIGINT AS n_words FROM sim
-WHERE 100 * both_ >= 80 * (2 * m - both_)
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY both_ / (2 * m - both_) DESC, start) = 1
+-- a text shorter than the item is a window itself, if its shingles are enough to be as similar
+win AS (SELECT p.doc_id, p.item_id, least(n, len(d.w)) AS n, m, greatest(1, least(n, len(d.w)) - 4) AS own,
+    unnest(CASE WHEN len(d.w) >= n THEN range(0, len(d.w) - n + 1) WHEN len(d.w) >= 5 AND 100 * (len(d.w) - 4) >= 80 * (n - 4) THEN [0] ELSE [] END) AS start
+    FROM pairs p JOIN d USING (doc_id) JOIN item USING (item_id)),
+wsh AS (SELECT win.doc_id, win.item_id, win.n, win.m, win.own, start,
+    unnest(list_transform(range(1, win.own + 1), lambda p: array_to_string(d.w[start + p:start + p + least(5, win.n) - 1], ' '))) AS s FROM win JOIN d USING (doc_id)),
+cnt AS (SELECT doc_id, item_id, n, m, own, start, s, count(*) AS c FROM wsh GROUP BY ALL),
+sim AS (SELECT doc_id, cnt.item_id, n, start, sum(least(cnt.c, ish.c)) AS both_, any_value(m) + any_value(own) AS total FROM cnt JOIN ish ON cnt.item_id = ish.item_id AND cnt.s = ish.s GROUP BY ALL)
+SELECT doc_id, item_id, (both_ / (total - both_))::DOUBLE AS similarity, start::BIGINT AS start, n::BIGINT AS n_words FROM sim
+WHERE 100 * both_ >= 80 * (total - both_)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY both_ / (total - both_) DESC, start) = 1
 """
 
 

@@ -246,6 +246,29 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6] and kept.columns == frame(spark, rows).columns
 
 
+def test_windows_meet_only_items_that_they_share_a_shingle_with(spark, monkeypatch):
+    """Ten times the items do not make ten times the pairs; repeated rows are worked on once."""
+    pairs = []
+    stored = decontamination.store
+
+    def spy(df, *rest):
+        out = stored(df, *rest)
+        if "shingles" in out.columns and "start" in out.columns:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontamination, "store", spy)
+    item = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    rows = [(i, f"before {item(i % 3)} after {i}") for i in range(30)] + [(99, item(1))] * 50 + [(None, item(2))] * 50
+    for n in (20, 200):
+        items = spark.createDataFrame([(k, item(k)) for k in range(n)] + [(None, item(n))], "item_id bigint, text string")
+        got = decontamination.leaks(frame(spark, rows), items).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted([(i, i % 3) for i in range(30)] + [(99, 1), (None, 2)], key=str)
+    assert pairs[0] == pairs[1] < 32 * 6
+    nameless = spark.createDataFrame([(None, item(0)), (None, item(1))], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, rows[:2]), nameless).collect()} == {(0, None), (1, None)}
+
+
 def test_leaks_of_texts_shorter_than_the_item(spark):
     item = [f"term{i}" for i in range(40)]
     items = spark.createDataFrame([(1, " ".join(item)), (2, "a b c d e f"), (3, "p q r")], "item_id bigint, text string")
