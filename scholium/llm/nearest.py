@@ -26,6 +26,8 @@ CALIBRATION_QUERIES = 64
 #: Share of exact neighbours of those queries that the visited buckets must hold.
 CALIBRATION_RECALL = 0.96
 MOST_PROBES = 243
+#: Width of a cell that holds all vectors.
+ONE_CELL = 1e12
 #: Indexed vectors, and queries, that meet in one task at most (about, for the hash that deals them out).
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 8_192
@@ -140,7 +142,7 @@ def calibrate(index: DataFrame, dim: int, count: int) -> Hashing:
 
     Cells are as wide as the median distance to the farthest wanted neighbour. The number of hashes begins
     with the logarithm of the index's size and falls until the least number of probes that reaches the recall is
-    within bounds; with one hash all cells near the query are visited.
+    within bounds. Where none is, or distances are not finite, there is one cell: every query then meets every vector.
     """
     size, norm = index.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))).first()
     sample = index.orderBy(F.xxhash64("v"), "rep").limit(CALIBRATION_QUERIES).collect()
@@ -149,7 +151,10 @@ def calibrate(index: DataFrame, dim: int, count: int) -> Hashing:
     own, near = queries[found[:, 0].astype(int)], found[:, 2:]
     distance = np.sqrt(np.maximum(0, 2 - 2 * found[:, 1] / (np.linalg.norm(own, axis=1) * norm)))
     farthest = [distance[found[:, 0] == q].max() for q in range(len(queries))]
-    width = max(float(np.median(farthest)), 1e-6)
+    width = float(np.maximum(np.median(farthest), 1e-6))
+    everything = Hashing(dim, 1, ONE_CELL, norm if math.isfinite(norm) else 1.0)
+    if not math.isfinite(width):
+        return everything
     for k in range(max(1, round(math.log2(max(2, size / BLOCK_ROWS)) / 1.5) + 4), 0, -1):
         hashing = Hashing(dim, k, width, norm, MOST_PROBES)
         hit = hashing.visits(own) == hashing.buckets(near)[:, :, None]
@@ -158,7 +163,7 @@ def calibrate(index: DataFrame, dim: int, count: int) -> Hashing:
         if needed <= MOST_PROBES:
             hashing.probes = needed
             return hashing
-    return Hashing(dim, 1, 4 * width, norm, MOST_PROBES)
+    return everything
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, count: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -229,13 +234,17 @@ def search(index: DataFrame, wanted: DataFrame, dim: int, count: int) -> DataFra
         placed.join(plan, ["tab", "key"]).withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("slices")))
         .join(index.select("rep", "v"), "rep").select("tab", "block", "slice", "key", "rep", "v")
     )
-    query_slices = max(1, math.ceil(wanted.count() / BLOCK_QUERIES))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_slices - 1))))
-    probes = (
+    asks = store(
         map_arrow(wanted.select("qid", "v"), visit, "qid long, tab int, key long").join(plan, ["tab", "key"])
         .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
         .groupBy("qid", "tab", "block", "slice").agg(F.collect_list("key").alias("keys"))
-        .join(wanted.select("qid", "v"), "qid").withColumn("part", F.pmod(F.xxhash64("qid", F.lit(2)), F.lit(query_slices)).cast("int"))
+    )
+    # a block goes where its own queries are: once for as many as fit a task, and nowhere if nobody asks for it
+    load = store(asks.groupBy("tab", "block", "slice").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts")))
+    rows = rows.join(load, ["tab", "block", "slice"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    probes = (
+        asks.join(load, ["tab", "block", "slice"]).withColumn("part", F.pmod(F.xxhash64("qid", F.lit(2)), F.col("parts")).cast("int")).drop("parts")
+        .join(wanted.select("qid", "v"), "qid")
     )
 
     def rank(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

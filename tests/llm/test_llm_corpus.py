@@ -331,6 +331,47 @@ def test_nearest(spark):
     assert nearest.neighbours(table.limit(0), table).count() == 0
 
 
+def recall(spark, got, table, everything=False):
+    """Share of the exact 20 nearest that are found; scores must be exact and in order."""
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    near = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        near.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = total = 0
+    assert set(near) == {i for i in ids.tolist() if i % 20 == 0}
+    for q, found in near.items():
+        s = x @ x[ids == q][0]
+        best = [i for _, i in sorted((-v, i) for v, i in zip(s.tolist(), ids.tolist()) if i != q)][: len(found)]
+        assert all(abs(score - s[ids == i][0]) < 1e-9 for i, score in found) and found == sorted(found, key=lambda f: (-f[1], f[0]))
+        assert len(found) == min(20, len(ids) - 1)
+        hits, total = hits + len({i for i, _ in found} & set(best)), total + len(best)
+    return hits / total
+
+
+def test_registered_nearest(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        assert recall(spark, QUERIES["op10_nearest"](spark, f"/root/testdata/{sf}"), table) >= 0.9
+
+
+def test_nearest_of_grouped_vectors_reads_few_blocks_and_splits_busy_ones(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(30, 12)) * 3
+    x = (centre[np.arange(3000) % 30] + rng.normal(size=(3000, 12)) / 3).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").cache()
+    assert recall(spark, nearest.neighbours(table, table.where("vec_id % 20 = 0")), table) >= 0.9
+
+
+def test_nearest_is_exact_where_no_setting_is_good_enough(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "MOST_PROBES", 1)
+    monkeypatch.setattr(nearest, "CALIBRATION_RECALL", 1.0)
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert recall(spark, nearest.neighbours(table, table.where("vec_id % 20 = 0")), table) == 1.0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scans", "packing"]
