@@ -164,7 +164,9 @@ def acceptable(found: tuple[str, float, list[tuple[str, float]]], least_share: f
 def accepted(docs: DataFrame, least_share: float = 0.5, penalty: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a language with at least ``least_share`` of the selected mixture.
 
-    Rows are judged in place, nothing is shuffled. Undetermined texts (null, or without a letter) go.
+    Rows are judged in place, nothing is shuffled: rows that repeat an id, or have none, each for itself, whatever their other
+    columns hold. Undetermined texts (null, empty, or without a letter) go, and all texts where no row has a language to
+    learn from. Texts are read whole, however long. An empty table stays empty.
     """
     model, text = fitted(docs), docs.columns.index("text")
 

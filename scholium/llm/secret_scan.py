@@ -337,7 +337,8 @@ def scan(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; spans that meet are replaced together.
 
-    All columns stay; ``n_chars``, where it is a column, becomes the new length. Null texts stay null. Nothing is shuffled.
+    All columns stay; ``n_chars``, where it is a column, becomes the new length. Null texts stay null, empty ones empty. Nothing
+    is shuffled: rows that repeat an id, or have none, are each cleaned; texts are read whole, however long. An empty table stays empty.
     """
     field = docs.sparkSession.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
