@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 from scholium import constants as C
-from scholium.functions import headings as H
 from scholium.functions.text import LINE_BREAKS, WS_CHARS, uni
 from scholium.sources import derived as D
 
@@ -20,6 +19,31 @@ ORACLES: dict[str, str] = {}
 OVERRIDES: dict[str, dict[str, str]] = {}
 
 
+# Patterns of headings and references, written here for DuckDB's engine and not taken from the library.
+GAP, INK, NUM = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]", r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]", r"\p{Nd}"
+HEADING_MARKS = f"^#{{1,4}}{GAP}*"
+LEADING_NUMBER = rf"^{NUM}+\.?{NUM}*\.?{GAP}*"
+LEADING_ROMAN = rf"^[IVX]+\.?{GAP}+"
+TRAILING_MARKS = r"(?:—|–|:|-|\.)+\z"
+LIST_ENTRY = rf"^(?:\[{NUM}+\]|{NUM}+\.){GAP}+[A-Z][a-z]"
+NUMBERED_LINE = rf"^(?:[IVX]|{NUM})+\.?{NUM}*\.?{GAP}+[A-Z]"
+LETTERED_LINE = rf"^[a-z](?:\.{NUM}+)*{GAP}"
+DIGIT_LIKE = "[\\p{Nd}²³¹⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉]"
+TOP_HASH, TOP_NUMBER, TOP_ROMAN = f"^##?{GAP}+", f"^{NUM}{NUM}?{GAP}+[A-Z]", rf"^[IVX]{{1,5}}\.{GAP}+[A-Z]"
+ARXIV = rf"(?i)(?:arXiv{GAP}*(?:preprint{GAP}*arXiv)?{GAP}*:|arxiv\.org/(?:abs|pdf)/)({NUM}{{4}}\.{NUM}{{4}}{NUM}?)"
+DOI_LABELLED = rf"(?i)(?:doi\.org/|doi:{GAP}*)(10\.{NUM}{{4,}}/{INK}+)"
+NOT_IN_DOI = r"\s\x0b\x1c-\x1f\x{85}\p{Z},;)\]>'\"`‘’“”"
+DOI_STANDALONE = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(10\.{NUM}{{4,9}}/[^{NOT_IN_DOI}]+)"
+DOI_OF_LINK = rf"(10\.{NUM}{{4,9}}/[^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}},;)\]>'\"]+)"
+DOI_ENDS = r"[.,;:>'\"`\\\-‘’“”]+\z"
+ENTRY_NUMBER = rf"\A{GAP}*(?:\[{NUM}+\]|\({NUM}+\)|{NUM}+[.)]){GAP}*"
+QUOTED = "[\"“]([^\\n]+?)[\"”]"
+AFTER_PARENS = rf"\({NUM}{{4}}\)\.?{GAP}*([^\n]+?)\."
+AFTER_BARE_YEAR = rf"{NUM}{{4}}[.,]{GAP}*([^\n]+?)\."
+AUTHOR_YEAR = rf"\A([A-Z][a-z]+(?:{GAP}+(?:et{GAP}+al\.?|&{GAP}+[\p{{L}}\p{{N}}_]+))?[^\n]*?{NUM}{{4}})"
+LINK_TARGET = 'href="([^"]*)"'
+
+
 def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -64,17 +88,17 @@ def split_lines(col: str) -> str:
 
 
 def clean_heading(col: str) -> str:
-    x = sub(strip(col), H.HASH_PREFIX)
-    x = sub(sub(f"replace({x}, '**', '')", H.NUMBER_PREFIX), H.ROMAN_PREFIX)
-    return f"lower({strip(sub(x, H.TAIL_MARKS))})"
+    x = sub(strip(col), HEADING_MARKS)
+    x = sub(sub(f"replace({x}, '**', '')", LEADING_NUMBER), LEADING_ROMAN)
+    return f"lower({strip(sub(x, TRAILING_MARKS))})"
 
 
 def is_heading(x: str) -> str:
     """On a stripped line."""
     return (f"(CASE WHEN {x} = '' THEN false WHEN starts_with({x}, '#') THEN true "
-            f"WHEN {has(x, H.BIBLIOGRAPHY_ITEM)} THEN false "
-            f"WHEN length({x}) >= 3 AND {is_upper(x)} AND NOT {has(x, H.ANY_DIGIT)} THEN true "
-            f"WHEN {has(x, H.NUMBERED_HEADING)} THEN true "
+            f"WHEN {has(x, LIST_ENTRY)} THEN false "
+            f"WHEN length({x}) >= 3 AND {is_upper(x)} AND NOT {has(x, DIGIT_LIKE)} THEN true "
+            f"WHEN {has(x, NUMBERED_LINE)} THEN true "
             f"ELSE length({x}) < 80 AND NOT ends_with({x}, '.') AND NOT starts_with({x}, '|') END)")
 
 
@@ -107,9 +131,9 @@ SELECT doc_id, line_no, line, s, clean,
   CASE WHEN clean IS NULL THEN NULL
        WHEN {any_of('clean', C.STOP_WORDS)} THEN
          CASE WHEN starts_with(s, '#') OR (length(s) >= 3 AND {is_upper('s')}) THEN 'HARD_CLEAR' ELSE 'SOFT_CLEAR' END
-       WHEN {has('clean', H.APPENDIX_LETTER)} THEN 'HARD_CLEAR'
+       WHEN {has('clean', LETTERED_LINE)} THEN 'HARD_CLEAR'
        WHEN ({SECTION_CASE}) IS NOT NULL THEN 'SET' END AS event,
-  CASE WHEN clean IS NULL OR {any_of('clean', C.STOP_WORDS)} OR {has('clean', H.APPENDIX_LETTER)} THEN NULL
+  CASE WHEN clean IS NULL OR {any_of('clean', C.STOP_WORDS)} OR {has('clean', LETTERED_LINE)} THEN NULL
        ELSE {SECTION_CASE} END AS section
 FROM headings"""
 CTES["states"] = """
@@ -159,8 +183,8 @@ CTES["candidates"] = f"""
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos, s AS heading FROM (
   SELECT doc_id, line_no, s, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY line_no) AS rn
   FROM headings WHERE length(s) BETWEEN 1 AND 90 AND (
-    {has('s', H.CANDIDATE_HASH)} OR (length(s) >= 3 AND {is_upper('s')} AND NOT {has('s', H.ANY_DIGIT)})
-    OR {has('s', H.CANDIDATE_NUMBER)} OR {has('s', H.CANDIDATE_ROMAN)}))
+    {has('s', TOP_HASH)} OR (length(s) >= 3 AND {is_upper('s')} AND NOT {has('s', DIGIT_LIKE)})
+    OR {has('s', TOP_NUMBER)} OR {has('s', TOP_ROMAN)}))
 WHERE rn = 1"""
 CTES["mapped_keys"] = f"""
 SELECT doc_id, {clean_heading('heading')} AS clean, arg_max(section, pos) AS target
@@ -170,7 +194,7 @@ CTES["map_states"] = f"""
 SELECT *, nullif(last_value(CASE WHEN stops OR target = 'none' THEN '' ELSE target END IGNORE NULLS)
     OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS state
 FROM (SELECT h.doc_id, line_no, line, target,
-        coalesce({any_of('h.clean', C.STOP_WORDS)} OR {has('h.clean', H.APPENDIX_LETTER)}, false) AS stops
+        coalesce({any_of('h.clean', C.STOP_WORDS)} OR {has('h.clean', LETTERED_LINE)}, false) AS stops
       FROM headings h LEFT JOIN mapped_keys m ON m.doc_id = h.doc_id AND m.clean = h.clean)"""
 CTES["map_sections"] = f"""
 SELECT doc_id, state AS section, {strip("string_agg(line, chr(10) ORDER BY line_no)")} AS text
@@ -227,7 +251,7 @@ SELECT doc_id, line_no, heading, total FROM (
     row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn
   FROM (SELECT *, {strip('line')} AS s FROM raw_lines)
   WHERE length(s) BETWEEN 1 AND 80 AND (starts_with(s, '#') OR ({is_upper('s')} AND length(s) >= 3)
-    OR {has('s', H.NUMBERED_HEADING)} OR (length(s) < 80 AND NOT ends_with(s, '.') AND NOT starts_with(s, '|'))))
+    OR {has('s', NUMBERED_LINE)} OR (length(s) < 80 AND NOT ends_with(s, '.') AND NOT starts_with(s, '|'))))
 """
 ORACLES["l15_compare_extractions"] = """
 SELECT doc_id, d.section, CASE WHEN a.section IS NOT NULL AND b.section IS NOT NULL THEN 'both'
@@ -403,12 +427,7 @@ FROM papers LEFT JOIN (SELECT doc_id, string_agg(heading, '|' ORDER BY pos) AS h
 
 # --- references --------------------------------------------------------------
 
-from scholium.functions import references as RF  # noqa: E402
-
 NOW = 2024
-ARXIV = RF.ARXIV.replace("(?iu)", "(?i)")
-DOI_LABELLED = RF.DOI_LABELLED.replace("(?iu)", "(?i)")
-DOI_STANDALONE = RF.DOI_STANDALONE.replace("(?iu)", "(?i)").replace(uni(r"(?<!\w)"), uni(r"(?:^|[^\w])"))
 YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
 
 CTES["works"] = D.works_sql(DD)
@@ -444,11 +463,11 @@ SELECT doc_id, pos, doi FROM (
     SELECT doc_id, doi, kind, n, row_number() OVER (PARTITION BY doc_id, doi ORDER BY kind, n) AS rn FROM (
       SELECT doc_id, kind, n, {peel('y', '[', ']')} AS doi FROM (
         SELECT doc_id, kind, n, {peel('x', '(', ')')} AS y FROM (
-          SELECT doc_id, kind, n, {strip(sub('raw', RF.TRAILING_JUNK))} AS x FROM doi_raw)))
+          SELECT doc_id, kind, n, {strip(sub('raw', DOI_ENDS))} AS x FROM doi_raw)))
     WHERE doi <> '')
   WHERE rn = 1)"""
 CTES["link_rows"] = f"""
-SELECT doc_id, doi, min(link_no) AS link_no FROM (SELECT doc_id, link_no, rtrim(regexp_extract(uri, {q(RF.DOI_IN_LINK)}, 1), '.') AS doi FROM links)
+SELECT doc_id, doi, min(link_no) AS link_no FROM (SELECT doc_id, link_no, rtrim(regexp_extract(uri, {q(DOI_OF_LINK)}, 1), '.') AS doi FROM links)
 WHERE doi <> '' GROUP BY doc_id, doi"""
 CTES["dois"] = f"""
 SELECT doc_id, pos, doi FROM (
@@ -464,9 +483,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, ar
 
 
 def title_of(line: str) -> str:
-    x = strip(sub(line, RF.NUMBERING, "", ""))
-    quoted = f"regexp_extract({x}, {q(RF.QUOTED)}, 1)"
-    a, b = (strip(f"regexp_extract({x}, {q(p)}, 1)") for p in (RF.AFTER_YEAR_PARENS, RF.AFTER_YEAR))
+    x = strip(sub(line, ENTRY_NUMBER, "", ""))
+    quoted = f"regexp_extract({x}, {q(QUOTED)}, 1)"
+    a, b = (strip(f"regexp_extract({x}, {q(p)}, 1)") for p in (AFTER_PARENS, AFTER_BARE_YEAR))
     return (f"(CASE WHEN {quoted} <> '' THEN {strip(quoted)} WHEN length({a}) > 10 THEN {a} "
             f"WHEN length({b}) > 10 THEN {b} ELSE '' END)")
 
@@ -476,7 +495,7 @@ def year_of(line: str) -> str:
 
 
 def label_of(line: str, default: str, flags: str = "") -> str:
-    m = f"regexp_extract({line}, {q(flags + RF.LABEL)}, 1)"
+    m = f"regexp_extract({line}, {q(flags + AUTHOR_YEAR)}, 1)"
     return f"(CASE WHEN {m} <> '' THEN {m} ELSE {default} END)"
 
 
@@ -518,7 +537,7 @@ CTES["raw_ref_lines"] = lines_cte("raw_stripped", "t")
 CTES["duplicates"] = duplicates_sql("ref_all_lines")
 ORACLES["s2_link_dois"] = "SELECT doc_id, string_agg(doi, '|' ORDER BY link_no) AS dois FROM link_rows GROUP BY doc_id"
 ORACLES["s2_hrefs"] = f"""SELECT page_id, unnest(range(0, len(m))) AS link_no, unnest(m) AS uri
-FROM (SELECT page_id, regexp_extract_all(html, {q(RF.HREF)}, 1) AS m FROM pages)"""
+FROM (SELECT page_id, regexp_extract_all(html, {q(LINK_TARGET)}, 1) AS m FROM pages)"""
 ORACLES["k1_ref_lines"] = "SELECT doc_id, pos, line FROM ref_lines"
 ORACLES["k1_total_refs"] = f"""SELECT doc_id, CASE WHEN {strip('refs')} = '' THEN 0 ELSE greatest(coalesce(n, 0), 1) END AS total_refs
 FROM refs LEFT JOIN (SELECT doc_id, count(*) AS n FROM ref_lines GROUP BY doc_id) USING (doc_id)"""
